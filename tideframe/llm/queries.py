@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import curve_packing, fit_packing, sharding
+from . import curve_packing, decontaminate, fit_packing, language, minhash_join, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,11 +28,35 @@ def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve_packing.digest(curve_packing.pack_along_curve(_read(spark, sf_dir, "documents")))
 
 
+def op6_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _read(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, model).select("doc_id", F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op7_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs)
+    return language.predict(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(language.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op9_minhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.link_documents(_read(spark, sf_dir, "documents"))
+
+
+def op10_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_splitter_shards": op3_splitter_shards,
         "op4_curve_packing": op4_curve_packing,
+        "op6_neighbour_quality": op6_neighbour_quality,
+        "op7_subword_language": op7_subword_language,
+        "op9_minhash_links": op9_minhash_links,
+        "op10_edit_matching": op10_edit_matching,
     }
 
 
