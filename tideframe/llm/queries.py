@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curve_packing, decontaminate, fit_packing, language, minhash_join, quality, sharding
+from . import curve_packing, decontaminate, fit_packing, language, markov, minhash_join, near_vectors, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_quantised_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.link_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_packing.digest(fit_packing.pack_best_fit(_read(spark, sf_dir, "documents")))
 
@@ -28,6 +32,10 @@ def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve_packing.digest(curve_packing.pack_along_curve(_read(spark, sf_dir, "documents")))
 
 
+def op5_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markov.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op6_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, _read(spark, sf_dir, "labels"))
@@ -50,9 +58,11 @@ def op10_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quantised_links": op1_quantised_links,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_splitter_shards": op3_splitter_shards,
         "op4_curve_packing": op4_curve_packing,
+        "op5_hidden_markov": op5_hidden_markov,
         "op6_neighbour_quality": op6_neighbour_quality,
         "op7_subword_language": op7_subword_language,
         "op9_minhash_links": op9_minhash_links,
