@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curve_packing, decontaminate, fit_packing, language, markov, minhash_join, near_vectors, quality, sharding
+import corpus_pipeline
+
+from . import curve_packing, decontaminate, fit_packing, language, markov, minhash_join, near_vectors, quality, sharding, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +50,10 @@ def op7_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(language.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op8_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_pages(_read(spark, sf_dir, "pages"))
+
+
 def op9_minhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.link_documents(_read(spark, sf_dir, "documents"))
 
@@ -65,10 +71,12 @@ def queries() -> dict[str, Query]:
         "op5_hidden_markov": op5_hidden_markov,
         "op6_neighbour_quality": op6_neighbour_quality,
         "op7_subword_language": op7_subword_language,
+        "op8_wrapper_text": op8_wrapper_text,
         "op9_minhash_links": op9_minhash_links,
         "op10_edit_matching": op10_edit_matching,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
