@@ -1 +1 @@
-"""functions."""
+"""Scalar functions as Spark columns."""

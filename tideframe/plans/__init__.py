@@ -1 +1 @@
-"""plans."""
+"""Strategy documents: checking, rewriting, identity, and compilation to columns."""
