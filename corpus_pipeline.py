@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideframe.llm import curve_packing, decontaminate, language, minhash_join, quality
+from tideframe.llm.idfilter import id_filter
 from tideframe.llm.scratch import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -34,8 +36,10 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of least id. Rows without id stay; rows that repeat an id are
     one document and stay or go together."""
-    gone = minhash_join.link_documents(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = Scratch(spark).cut(minhash_join.link_documents(docs).where("not kept").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
+    # most documents are surely none of these and need no join
+    suspect = id_filter(gone, "doc_id").may_hold("doc_id")
+    return docs.where(~suspect).unionByName(docs.where(suspect).join(gone, "doc_id", "left_anti").select(docs.columns))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .arrays import U, Words, mix, seeds, shingle_sets, text_slices
 from .components import components
+from .idfilter import id_filter
 from .scratch import Scratch
 from .streams import groups
 
@@ -195,7 +196,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), *[F.min(F.struct(F.xxhash64("doc_id", F.lit(i)), "doc_id"))["doc_id"].alias(f"l{i}") for i in range(LEADERS)]
     )
     members = scratch.cut(clusters.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
-    texts = scratch.cut(rows.join(members, "doc_id"))
+    texts = scratch.cut(rows.where(id_filter(members, "doc_id").may_hold("doc_id")).join(members, "doc_id"))
     leader = F.col("doc_id").isin(*[F.col(f"l{i}") for i in range(LEADERS)])
     places = F.when((F.col("blocks") > 1) & leader, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", F.lit(77)), "blocks").cast("int")))
     dealt = texts.withColumn("block", F.explode(places)).withColumns({"other": F.lit(0), "comp": F.col("doc_id"), "outside": F.lit(False)})
