@@ -1,56 +1,31 @@
-"""First-order recursions along a series, in blocks."""
+"""Recursions along a series: decaying sums by windows, and swings."""
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def affine_scan(rows: DataFrame, series: list[str], block: str, order: str, factor: str, term: str, out: str) -> DataFrame:
-    """rows with out[i] = factor[i] * out[i - 1] + term[i] along each series (null while undefined; a null term ends it).
+def decaying_sum(place: Column, term: Column, keep: float, keys: list[str]) -> tuple[dict[str, Column], Column, Column]:
+    """Parts of y[p] = keep * y[p - 1] + term[p], p = 0, 1, ... along each run of rows (keys), by window sums alone.
 
-    Blocks of a series (sessions: bounded) are scanned each on its own, as one map x -> a * x + b. The maps of the blocks, a
-    row a block, are then chained along the series, and the block's entry value is put in. No task holds more than a block,
-    or a row a block of one series.
+    Places are cut into blocks so long that keep ** length falls below 1e-17: what lies two blocks back is below the last
+    digit, and inside a block sums scaled by powers of keep are exact to rounding. Gives helper columns (to be added first),
+    the sum within the block, and the carry of the block before, both read where place is not null.
     """
-    keys = [*series, block]
-    work = rows.withColumns({"_fa": F.coalesce(F.col(factor), F.lit(0.0)), "_fb": F.col(term).cast("double")})
-    schema = T.StructType([*work.schema.fields, T.StructField("_pa", T.DoubleType()), T.StructField("_pb", T.DoubleType())])
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        a, b = pdf["_fa"].to_numpy(), pdf["_fb"].to_numpy(dtype=float)
-        pa_, pb_ = np.empty(len(a)), np.empty(len(a))
-        x, y = 1.0, 0.0
-        for i in range(len(a)):
-            if np.isnan(b[i]):
-                x, y = 0.0, np.nan
-            elif a[i] == 0.0:
-                x, y = 0.0, b[i]
-            else:
-                x, y = a[i] * x, a[i] * y + b[i]
-            pa_[i], pb_[i] = x, y
-        return pdf.assign(_pa=pa_, _pb=pb_)
-
-    scanned = work.groupBy(*keys).applyInPandas(scan, schema)
-    ends = scanned.groupBy(*keys).agg(F.max_by("_pa", order).alias("ea"), F.max_by("_pb", order).alias("eb"))
-    chain_schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("_entry", T.DoubleType())])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(block)
-        entry, x = [], np.nan
-        for a, b in zip(pdf["ea"], pdf["eb"], strict=True):
-            entry.append(x)
-            x = b if a == 0 else a * x + b
-        return pdf[keys].assign(_entry=entry)
-
-    entries = ends.groupBy(*series).applyInPandas(chain, chain_schema)
-    value = F.when(F.col("_pa") == 0, F.col("_pb")).otherwise(F.col("_pa") * F.col("_entry") + F.col("_pb"))
-    return scanned.join(entries, keys).withColumn(out, F.when(~F.isnan(value), value)).drop("_fa", "_fb", "_pa", "_pb", "_entry")
+    length = max(1, math.ceil(17 / -math.log10(keep))) if 0 < keep < 1 else 1
+    block, offset = F.floor(place / length), F.pmod(place, F.lit(length))
+    helpers = {"_block": block, "_offset": offset, "_scaled": term * F.pow(F.lit(float(keep)), -offset)}
+    inside = W.partitionBy(*keys, "_block").orderBy("_offset").rowsBetween(W.unboundedPreceding, 0)
+    local = F.pow(F.lit(float(keep)), F.col("_offset")) * F.sum("_scaled").over(inside)
+    before = W.partitionBy(*keys).orderBy("_block").rangeBetween(-1, -1)
+    carry = F.pow(F.lit(float(keep)), F.col("_offset") + 1) * F.max(F.when(F.col("_offset") == length - 1, F.col("_local"))).over(before)
+    return helpers, local, carry
 
 
 def zigzag(rows: DataFrame, series: list[str], order: str, value: str, threshold: float) -> DataFrame:

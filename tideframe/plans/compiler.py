@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.recursions import affine_scan
+from ..operators.recursions import decaying_sum
 from .document import Condition, DocumentError, Operand, canonical, comparable
 
 FIELDS = {
@@ -108,12 +108,13 @@ class Compiler:
         order = W.partitionBy("instrument", run).orderBy("t")
         place = self.add(key + "#place", F.when(F.col(name).isNotNull(), F.sum(F.col(name).isNotNull().cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))))
         seed = self.add(key + "#seed", F.avg(name).over(order.rowsBetween(1 - n, 0)))
-        factor = F.when(F.col(place) > n, F.lit(keep)).otherwise(F.lit(0.0))
+        rank = F.when(F.col(place) >= n, F.col(place) - n)
         term = F.when(F.col(place) > n, F.col(name) * weight).when(F.col(place) == n, F.col(seed))
-        out = key + "#out"
-        self.names[out] = f"x{len(self.names)}"
-        self.frame = affine_scan(self.frame.withColumns({"_a": factor, "_b": term}), ["instrument"], "session", "t", "_a", "_b", self.names[out]).drop("_a", "_b")
-        return F.col(self.names[out])
+        helpers, local, carry = decaying_sum(rank, term, keep, ["instrument", run])
+        self.frame = self.frame.withColumns(helpers).withColumn("_local", local)
+        out = self.add(key + "#out", F.when(F.col(place) >= n, F.col("_local") + F.coalesce(carry, F.lit(0.0))))
+        self.frame = self.frame.drop(*helpers, "_local")
+        return F.col(out)
 
     def _ema(self, x: dict) -> Column:
         n = int(x["n"])
