@@ -1 +1 @@
-"""streaming."""
+"""Structured Streaming: tape capture, bars, consensus and running indicators."""
