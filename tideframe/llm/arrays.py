@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -76,6 +77,8 @@ def text_slices(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, i
         hi = min(n, max(hi, lo + 1))
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    if n >= 1000:
+        trim()
 
 
 class Words:
@@ -103,6 +106,26 @@ class Words:
         return span_hashes(BYTE_CODE[LOWER[self.data]], self.start, self.end)
 
 
+def trim() -> None:
+    """Give freed memory back: workers are kept between tasks, and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function over batches that trims the worker's memory when its partition is done."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return inner
+
+
 SHINGLE_WORDS = 5
 SHINGLE_CODE = seeds(SHINGLE_WORDS, 11) | U(1)
 

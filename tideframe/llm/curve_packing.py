@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U, Words, mix, text_slices
+from .arrays import U, Words, mix, text_slices, tidy
 from .sharding import range_numbers
 from .tokens import END_ID, default_path, encoder
 
@@ -177,14 +177,14 @@ def pack_along_curve(docs: DataFrame, tokenizer: str | None = None, sequence: in
         # a size-weighted sample of rows, of which only the keys go to the driver
         rate = ranges * 64 / float(total)
         drawn = sized.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)) < F.col("size") * (rate * (1 << 40)))
-        keyed = drawn.mapInArrow(_keys_only, "doc_id long, size long, curve long").where("doc_id is not null")
+        keyed = drawn.mapInArrow(tidy(_keys_only), "doc_id long, size long, curve long").where("doc_id is not null")
         keyed = keyed.withColumn("size", F.greatest(F.col("size").cast("double"), F.lit(1 / rate)))
         splitters = splitters_of(keyed.select("curve", "doc_id", "size").toPandas(), ranges)
-    tokens = rows.mapInArrow(_tokens(tokenizer, splitters), "doc_id long, part long, curve long, n long, ids binary")
-    dealt = tokens.repartition("part").sortWithinPartitions("part", "curve", "doc_id")
-    filled = dealt.mapInArrow(_fill(sequence), PIECES)
+    tokens = rows.mapInArrow(tidy(_tokens(tokenizer, splitters)), "doc_id long, part long, curve long, n long, ids binary")
+    dealt = tokens.repartition("part").sortWithinPartitions("part", "curve", "doc_id", "n", "ids")
+    filled = dealt.mapInArrow(tidy(_fill(sequence)), PIECES)
     ends = filled.where("not full").withColumn("group", F.floor(F.col("part") / 64))
-    ends = ends.repartition("group").sortWithinPartitions("group", "part", "seq", "offset").mapInArrow(_refill(sequence), PIECES)
+    ends = ends.repartition("group").sortWithinPartitions("group", "part", "seq", "offset").mapInArrow(tidy(_refill(sequence)), PIECES)
     whole = filled.where("full").withColumn("sequence_id", F.shiftleft("part", 32) + F.col("seq"))
     rest = ends.withColumn("sequence_id", F.lit(1 << 62) + F.shiftleft("part", 32) + F.col("seq"))
     return whole.unionByName(rest).select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")

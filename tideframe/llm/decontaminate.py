@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import tidy
+
 ERROR_RATE = 0.05
 #: Items of a block are held by every task; a larger benchmark is matched block by block.
 BLOCK_BYTES = 8 << 20
@@ -136,7 +138,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "edits", "match_start", "match_end"])
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(tidy(run), schema)
 
     out = None
     for items in item_blocks(benchmark, block_bytes):
@@ -154,5 +156,5 @@ def without_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERR
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.matches(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import text_slices
+from .arrays import text_slices, tidy
 from .tokens import END_ID, default_path, encoder
 
 SEQUENCE = 2048
@@ -134,7 +134,7 @@ def pack_best_fit(docs: DataFrame, tokenizer: str | None = None, sequence: int =
     doc_id stays null. Other columns are ignored; an empty table gives no row.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_pack(tokenizer or default_path(), sequence, held_tokens), ROWS)
+    return rows.mapInArrow(tidy(_pack(tokenizer or default_path(), sequence, held_tokens)), ROWS)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import tidy
 from .features import LANGUAGE_BUCKETS, batched, has_letter, subwords
 from .streams import with_outputs
 
@@ -118,7 +119,7 @@ def fit(docs: DataFrame, sampled: int = SAMPLED, fold: int = 0) -> Model | None:
         return None
     rate = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(int((1 << 40) * min(1, sampled / r["count"])))) for r in counts], F.lit(0))
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 40)) < rate)
-    found = drawn.mapInArrow(_sparse_rows, "lang string, doc_id long, at binary, share binary").toPandas().sort_values(["doc_id", "lang", "at"])
+    found = drawn.mapInArrow(tidy(_sparse_rows), "lang string, doc_id long, at binary, share binary").toPandas().sort_values(["doc_id", "lang", "at"])
     return train([(lang, np.frombuffer(at, "<u2"), np.frombuffer(share, np.float32)) for lang, at, share in zip(found.lang, found["at"], found["share"], strict=True)])
 
 

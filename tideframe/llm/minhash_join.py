@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U, Words, mix, seeds, shingle_sets, text_slices
+from .arrays import U, Words, mix, seeds, shingle_sets, text_slices, tidy
 from .components import components
 from .idfilter import id_filter
 from .scratch import Scratch
@@ -157,7 +157,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(rows: DataFrame) -> DataFrame:
     keys = ["cluster", "block", "other"]
-    return rows.select(*keys, "doc_id", "comp", "outside", "text").repartition(*keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(_confirmed, "a long, b long")
+    return rows.select(*keys, "doc_id", "comp", "outside", "text").repartition(*keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(tidy(_confirmed), "a long, b long")
 
 
 def candidate_clusters(sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -171,7 +171,7 @@ def candidate_clusters(sets: DataFrame, scratch: Scratch) -> DataFrame:
     # a long list is a cluster as it is: sets are compared there anyway
     long_ = lists.join(sizes.where(F.col("n") > BLOCK), "key").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     short = lists.join(sizes.where(F.col("n") <= BLOCK).select("key"), "key").join(sets.select("doc_id", F.transform("sig", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("sig")), "doc_id")
-    agreed = short.select("key", "doc_id", "sig").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_agreeing, "a long, b long")
+    agreed = short.select("key", "doc_id", "sig").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(tidy(_agreeing), "a long, b long")
     return components(long_.unionByName(agreed), scratch)
 
 
@@ -184,7 +184,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = scratch.cut(rows.mapInArrow(_signatures, "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>"))
+    made = scratch.cut(rows.mapInArrow(tidy(_signatures), "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>"))
     full = made.where("n_shingles > 0 and doc_id is not null")
     # equal sets: the least doc_id stands for its class
     copies = full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")).where("rep <> most").drop("most")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import tidy
 from .components import components
 from .minhash_join import Forest
 from .scratch import Scratch
@@ -211,7 +212,7 @@ def link_vectors(vectors: DataFrame, least: float = LEAST, sample: int = SAMPLE)
     drawn = drawn if drawn.num_rows else reps.limit(1).select("v").toArrow()
     index = fit(units(drawn.column("v").combine_chunks())[1], n, least)
     shared = spark.sparkContext.broadcast(index)
-    coded = scratch.cut(reps.mapInArrow(_encode(shared), "vec_id long, label int, copies long, v array<double>, list int, codes binary, error double, probes array<int>"))
+    coded = scratch.cut(reps.mapInArrow(tidy(_encode(shared)), "vec_id long, label int, copies long, v array<double>, list int, codes binary, error double, probes array<int>"))
 
     asked = coded.select("vec_id", "label", "copies", "v", "codes", "error", F.explode("probes").alias("list"))
     key = ["label", "list"]
@@ -224,7 +225,7 @@ def link_vectors(vectors: DataFrame, least: float = LEAST, sample: int = SAMPLE)
     left = coded.join(sizes, key).withColumns({"block": mine("high", 1), "queries": F.explode(each("wide")), "stored": F.lit(True)}).select(columns)
     right = asked.join(sizes, key).withColumns({"queries": mine("wide", 2), "block": F.explode(each("high")), "stored": F.lit(False)}).select(columns)
     task = ["label", "list", "block", "queries"]
-    found = scratch.cut(left.unionByName(right).repartition(*task).sortWithinPartitions(*task).mapInArrow(_search(shared, least), FOUND))
+    found = scratch.cut(left.unionByName(right).repartition(*task).sortWithinPartitions(*task).mapInArrow(tidy(_search(shared, least)), FOUND))
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     comps = components(found.where("b is not null").select("a", "b"), scratch).select(F.col("node").alias("rep"), "component")
     out = member.join(counts, "rep", "left").join(comps, "rep", "left").select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import tidy
 from .features import batched, quality_features
 from .streams import with_outputs
 
@@ -77,7 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, fold: int
     drawn = known.where(uniform < F.when(F.col("quality") == 1, F.lit(int((1 << 40) * min(1, labelled / max(1, counts.get(1, 0)))))).otherwise(F.lit(int((1 << 40) * min(1, labelled / max(1, counts.get(0, 0)))))))
     # about 2 * labelled rows, by the bound above
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(drawn), "doc_id")
-    found = rows.select("doc_id", "text", "quality").mapInArrow(_feature_rows, "doc_id long, quality int, features binary").toPandas().sort_values(["doc_id", "features"])
+    found = rows.select("doc_id", "text", "quality").mapInArrow(tidy(_feature_rows), "doc_id long, quality int, features binary").toPandas().sort_values(["doc_id", "features"])
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     if not len(found):
         return Model(np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior or 0.5)

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .arrays import tidy
+
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of rows with equal keys of a stream sorted by them; a run may span batches."""
@@ -49,4 +51,4 @@ def with_outputs(rows: DataFrame, compute: Callable[[pa.RecordBatch], dict[str,
             found = compute(batch)
             yield pa.record_batch([batch.column(n) for n in names] + [found[n] for n in made.names], names=names + made.names)
 
-    return rows.select(*[f"`{n}`" for n in names]).mapInArrow(run, T.StructType(kept + made.fields))
+    return rows.select(*[f"`{n}`" for n in names]).mapInArrow(tidy(run), T.StructType(kept + made.fields))

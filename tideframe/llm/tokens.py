@@ -83,7 +83,7 @@ def piece_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes runs of texts; keeps the ids of the pieces met so far, at most `keep` of them."""
 
-    def __init__(self, path: str, keep: int = 1 << 20):
+    def __init__(self, path: str, keep: int = 1 << 19):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path).model
