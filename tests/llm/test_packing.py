@@ -53,7 +53,9 @@ def test_curve_pieces_hold_every_id_once(spark, whole, clash):
         pieces.sort(key=lambda x: x[0])
         rows = []  # repeated rows give the same pieces several times
         for start, ids in pieces:
-            row = next(r for r in rows if len(r) == start)
+            if start == 0:
+                rows.append([])
+            row = next(r for r in rows[::-1] if len(r) == start)
             row.extend(ids.tolist())
         assert all(len(r) == total for r in rows)
         seen += [zlib.crc32(np.array(r, "<u4").tobytes()) for r in rows]

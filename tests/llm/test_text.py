@@ -65,7 +65,7 @@ def test_items_against_brute_force(spark):
     rng = random.Random(6)
     items = [(i, words(rng, 12)) for i in range(8)] + [(20, None), (21, ""), (None, "no id here at all"), (0, "Another text of item nought, quite long enough")]
     rows = []
-    for i in range(60):
+    for i in range(105):
         text = words(rng, 30)
         if i % 3 == 0:
             item = list(items[i % 8][1])
