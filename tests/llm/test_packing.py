@@ -142,7 +142,10 @@ def test_empty_tables(spark):
 
 def test_written_files(spark, tmp_path):
     rows = [(i, f"text {i}", "en", "s", 1) for i in range(50)]
-    sharding.write_shards(docs(spark, rows), str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 50
+    for clash in (False, True):  # rows without id and repeated ones are written too
+        sharding.write_shards(docs(spark, rows + odd_rows(), clash=clash), str(tmp_path / f"s{clash}"))
+        written = spark.read.parquet(str(tmp_path / f"s{clash}"))
+        assert written.count() == 50 + len(odd_rows())
+        assert written.where("doc_id is null").count() == 2
     fit_packing.write_packed(fit_packing.pack_best_fit(docs(spark, rows).coalesce(1)), str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 1

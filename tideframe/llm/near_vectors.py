@@ -60,6 +60,10 @@ class Index:
     books: list[np.ndarray]
     reach: float
 
+    def __post_init__(self) -> None:
+        norms = (self.centres**2).sum(axis=1)
+        self.apart = np.sqrt(np.maximum(0, norms[:, None] - 2 * self.centres @ self.centres.T + norms))
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and coding error of each unit vector."""
         at = nearest(x, self.centres)
@@ -74,9 +78,8 @@ class Index:
 
     def probes(self, x: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         """Of each unit vector: the lists whose cell lies within reach of it."""
-        far = ((x[:, None, :] - self.centres[None]) ** 2).sum(axis=2) if len(x) * len(self.centres) < 1 << 14 else (x**2).sum(axis=1)[:, None] - 2 * x @ self.centres.T + (self.centres**2).sum(axis=1)
-        gap = np.sqrt(np.maximum(0, ((self.centres[at][:, None] - self.centres[None]) ** 2).sum(axis=2)))
-        near = far - far[np.arange(len(x)), at][:, None] <= 2 * gap * self.reach + 1e-6
+        far = (x**2).sum(axis=1)[:, None] - 2 * x @ self.centres.T + (self.centres**2).sum(axis=1)
+        near = far - far[np.arange(len(x)), at][:, None] <= 2 * self.apart[at] * self.reach + 1e-6
         return [np.flatnonzero(row) for row in near]
 
     def distances(self, queries: np.ndarray, list_: int, codes: np.ndarray) -> np.ndarray:

@@ -71,7 +71,8 @@ def range_column(splitters: list[tuple[int, int]], key: str, row_id: str):
     def number(k: pd.Series, i: pd.Series) -> pd.Series:
         return pd.Series(range_numbers(k.to_numpy(np.int64), i.to_numpy(np.int64), splitters))
 
-    return number(F.col(key), F.col(row_id))
+    least = F.lit(-(1 << 63))
+    return number(F.coalesce(F.col(key), least), F.coalesce(F.col(row_id), least))
 
 
 def shard_by_size(rows: DataFrame, scratch: Scratch, key: str = "key", row_id: str = "doc_id", size: str = "size", shards: int = 16, range_bytes: int = 8 << 20, together: float = 0.01) -> DataFrame:
@@ -129,14 +130,15 @@ def text_key(text):
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def document_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 1; a null text has none), CRC-32 and key of each text (null: as empty)."""
+def document_rows(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, size (UTF-8 bytes plus 1; a null text has none), CRC-32 and key of each text (null: as empty), and columns named in more."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return docs.select(
         F.col("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         text_key(text).alias("key"),
+        *more,
     )
 
 
@@ -147,8 +149,10 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
-    """The documents in their shards, as a Parquet table partitioned by shard and sorted by slot."""
-    placed = shard_documents(docs, shards).select("doc_id", "shard", "slot")
-    rows = docs.join(placed, "doc_id").repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot")
+    """Every document row, whole, in its shard, as a Parquet table partitioned by shard and sorted by slot. A column of docs
+    named shard or slot gives way."""
+    whole = document_rows(docs.select("*", F.struct(*[docs[c] for c in docs.columns]).alias("_row_")), "_row_")
+    placed = shard_by_size(whole, Scratch(docs.sparkSession), shards=shards).select("_row_.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    placed = placed.drop("shard", "slot").withColumnsRenamed({"_shard": "shard", "_slot": "slot"})
+    rows = placed.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot")
     rows.write.partitionBy("shard").parquet(path)
-
