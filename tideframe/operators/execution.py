@@ -190,23 +190,25 @@ def features(compiler: Compiler, document: dict[str, Any], params: dict[str, flo
 
 def execute(frame: DataFrame, settings: list[Settings], by: str | None = None) -> DataFrame:
     """Trades of each setting on a feature frame. `by`: a column of the frame that says which setting a row is for;
-    else each group is replayed under every setting. Settings are few (a sweep's bound); they travel with the function."""
+    else each group is replayed under every setting. Settings are few (a sweep's bound); they travel with the function.
+    A group is a session with all its settings, so its size is bounded by both, and small groups cost few conversions."""
     plans = [asdict(s) for s in settings]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        bars = {k: pdf[k].to_numpy() for k in ("t", "sessmin", "o", "h", "l", "c", "status")}
-        bars |= {k: pdf[k].fillna(False).to_numpy(bool) for k in ("long", "short")} | {k: pdf[k].to_numpy(float) for k in ("atr", "level", "goal")}
         rows = []
-        for k in [int(pdf[by].iloc[0])] if by else range(len(plans)):
-            made, _ = replay(bars, Settings(**plans[k]))
-            rows += [{"config": k, "instrument": pdf["instrument"].iloc[0], "session": pdf["session"].iloc[0], **x} for x in made]
+        for number, part in pdf.groupby(by, sort=True) if by else [(None, pdf)]:
+            part = part.sort_values("t")
+            bars = {k: part[k].to_numpy() for k in ("t", "sessmin", "o", "h", "l", "c", "status")}
+            bars |= {k: part[k].fillna(False).to_numpy(bool) for k in ("long", "short")} | {k: part[k].to_numpy(float) for k in ("atr", "level", "goal")}
+            for k in [int(number)] if by else range(len(plans)):
+                made, _ = replay(bars, Settings(**plans[k]))
+                rows += [{"config": k, "instrument": part["instrument"].iloc[0], "session": part["session"].iloc[0], **x} for x in made]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in TRADES.split(", ")])
 
     keys = ["instrument", "session"] + ([by] if by else [])
     # sessions without a signal make no trade and never leave the JVM
     fired = F.max((F.col("long") | F.col("short")).cast("int")).over(W.partitionBy(*keys))
-    return frame.withColumn("_fired", fired).where("_fired = 1").drop("_fired").groupBy(*keys).applyInPandas(run, TRADES)
+    return frame.withColumn("_fired", fired).where("_fired = 1").drop("_fired").groupBy("instrument", "session").applyInPandas(run, TRADES)
 
 
 def session_records(trades: DataFrame, sessions: DataFrame, configs: int) -> DataFrame:
