@@ -28,7 +28,7 @@ from .scratch import Scratch
 from .streams import groups
 
 #: Signature size, and the agreements that make a candidate. At a similarity of 0.85 the chance that fewer than 23 of 40
-#: coordinates agree is below 1e-5; at 0.35 that so many do is below 2e-3.
+#: coordinates agree is below 1e-5; at 0.35 that so many do is about 3e-3.
 COORDINATES, MATCHES = 40, 23
 PERCENT = 85
 BLOCK = 128
