@@ -40,6 +40,14 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NEWS = "news AS (SELECT CAST(floor(sec / 3600.0) AS BIGINT) AS t, CAST(event_id % 3 + 1 AS INTEGER) AS impact FROM ticks WHERE event_id % 37 = 0)"
+
+
+def all_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A news item in the hour of every event, impact 1 to 3."""
+    return I.ticks(spark, sf_dir).select(F.floor(F.col("sec") / 3600).alias("t"), (F.pmod(F.col("event_id"), F.lit(3)) + 1).cast("int").alias("impact")).distinct()
+
+
+ALL_NEWS = "news AS (SELECT DISTINCT CAST(floor(sec / 3600.0) AS BIGINT) AS t, CAST(event_id % 3 + 1 AS INTEGER) AS impact FROM ticks)"
 #: The frame with anchored and edge marks in SQL.
 FRAME = f"""{BARS}, fr AS (SELECT *, sessmin BETWEEN {ANCHOR[0]} AND {ANCHOR[1]} AS anchored FROM bars),
 fx AS (SELECT *, (anchored AND row_number() OVER (PARTITION BY instrument, session, anchored ORDER BY t) = 1) OR lag(t) OVER w IS NULL AS edge, lag(c) OVER w AS c1 FROM fr {S})"""
@@ -250,6 +258,12 @@ condition(
     f"WITH {FRAME}, {NEWS} SELECT instrument, t, NOT EXISTS (SELECT 1 FROM news WHERE impact >= 2 AND news.t >= fx.t + 1 - 1 AND news.t <= fx.t + 1 + 1) AS holds FROM fx",
     news=news,
 )
+condition(
+    "cond_news_anti_all",
+    {"news": 2, "before": 1, "after": 1},
+    f"WITH {FRAME}, {ALL_NEWS} SELECT instrument, t, NOT EXISTS (SELECT 1 FROM news WHERE impact >= 2 AND news.t >= fx.t + 1 - 1 AND news.t <= fx.t + 1 + 1) AS holds FROM fx",
+    news=all_news,
+)
 
 
 @register("domain_filter", f"WITH {FRAME} SELECT instrument, t, anchored AND sessmin - 8 >= 2 AND sessmin + 1 >= 10 AND sessmin < 18 AND (session + 3) % 7 + 1 IN (1, 2, 3, 4) AS tradable, CASE WHEN lead(t) OVER w IS NULL OR lead(session) OVER w <> session THEN 1 WHEN lead(t) OVER w <> t + 1 THEN 2 ELSE 0 END AS status FROM fx {S}")
@@ -283,19 +297,35 @@ def asof_tolerance(spark, sf_dir):
     return J.as_of(ticks.where("event_id % 2 = 0").select("k", "event_id", "sec"), right, ["k"], "sec", ["x"], tolerance=1800)
 
 
+def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, instrument, lo (day number), len (days) of each order."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("instrument"), F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).cast("long").alias("lo"), (F.col("o_custkey") % 20).alias("len"))
+
+
 @register(
     "trial_overlap",
     """WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS instrument, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS lo, o_custkey % 20 AS len FROM orders),
 p AS (SELECT id, instrument, lo, lo + len AS hi FROM o WHERE id % 50 = 0), q AS (SELECT id AS other, instrument, lo AS lo2, lo + len AS hi2 FROM o WHERE id % 50 = 1) SELECT p.id, q.other FROM p JOIN q ON p.instrument = q.instrument AND p.lo <= q.hi2 AND q.lo2 <= p.hi""",
 )
 def trial_overlap(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("instrument"), F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).cast("long").alias("lo"), (F.col("o_custkey") % 20).alias("len"))
-    # the two sides are two registries, told apart by their ids
+    """Pairs of the twin's two id subsets; trial_overlap_counts takes all orders."""
+    o = order_spans(spark, sf_dir)
     p = o.where("id % 50 = 0").select("id", "instrument", "lo", (F.col("lo") + F.col("len")).alias("hi"))
     q = o.where("id % 50 = 1").select(F.col("id").alias("other"), "instrument", F.col("lo").alias("lo2"), (F.col("lo") + F.col("len")).alias("hi2"))
     return J.overlapping(p, q, ["instrument"], "lo", "hi", "lo2", "hi2", 32).select("id", "other")
 
 
+@register(
+    "trial_overlap_counts",
+    """WITH o AS (SELECT row_number() OVER () AS n, o_orderkey AS id, o_orderpriority AS instrument, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS lo, o_custkey % 20 AS len FROM orders)
+SELECT p.id, p.instrument, p.lo, p.lo + p.len AS hi, count(q.id) AS overlapping FROM o p LEFT JOIN o q ON p.n <> q.n AND p.instrument = q.instrument AND p.lo <= q.lo + q.len AND q.lo <= p.lo + p.len GROUP BY p.n, p.id, p.instrument, p.lo, p.len""",
+)
+def trial_overlap_counts(spark, sf_dir):
+    """Every order with the number of other orders of its instrument whose days meet its own."""
+    o = order_spans(spark, sf_dir).select("id", "instrument", "lo", (F.col("lo") + F.col("len")).alias("hi"))
+    return J.overlap_counts(o, ["instrument"], "lo", "hi", "overlapping")
+
+
 @register("consensus_window", "SELECT event_type AS instrument, event_id, CAST(sum(CASE WHEN value >= 50 THEN 1 ELSE -1 END) OVER w AS BIGINT) AS imbalance, count(*) OVER w AS calls FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY sec RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW)")
 def consensus_window(spark, sf_dir):
     w = W.partitionBy("instrument").orderBy("sec").rangeBetween(-7200, 0)
