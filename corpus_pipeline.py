@@ -15,6 +15,9 @@ from tideframe.llm import curve_packing, decontaminate, language, minhash_join,
 from tideframe.llm.idfilter import id_filter
 from tideframe.llm.scratch import Scratch
 
+#: Least similarity of near duplicates in hundredths (op9's own is 85), and the agreeing coordinates, of 40, of a candidate.
+PERCENT, MATCHES = 80, 20
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -36,7 +39,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of least id. Rows without id stay; rows that repeat an id are
     one document and stay or go together."""
-    gone = Scratch(spark).cut(minhash_join.link_documents(docs).where("not kept").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
+    gone = Scratch(spark).cut(minhash_join.link_documents(docs, PERCENT, MATCHES).where("not kept").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
     # most documents are surely none of these and need no join
     suspect = id_filter(gone, "doc_id").may_hold("doc_id")
     return docs.where(~suspect).unionByName(docs.where(suspect).join(gone, "doc_id", "left_anti").select(docs.columns))

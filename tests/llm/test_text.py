@@ -115,6 +115,19 @@ def test_duplicate_stage_keeps_one(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [2, 30, None]
 
 
+def test_duplicate_stage_takes_four_fifths(spark):
+    """Of 100 shingles each, 90 shared are a similarity of 0.82 and go; 88 shared are 0.79 and stay."""
+    rng = random.Random(10)
+    rows = []
+    for i in range(0, 60, 3):
+        base = words(rng, 104, 100_000).split()
+        rows += [(i + d, " ".join([*(f"c{i}d{d}k{k}" for k in range(n)), *base[n:]]), "en", "s", 1) for d, n in enumerate((0, 10))]
+        other = words(rng, 104, 100_000).split()
+        rows += [(1000 + i + d, " ".join([*(f"c{i}e{d}k{k}" for k in range(n)), *other[n:]]), "en", "s", 1) for d, n in enumerate((0, 12))]
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_first_of_group(spark, docs(spark, rows), "").collect()}
+    assert kept == {r[0] for r in rows} - {i + 1 for i in range(0, 60, 3)}
+
+
 @pytest.mark.parametrize("name", ["quality"])
 def test_quality_stage_keeps_clean_text(spark, name):
     folder = "/root/testdata/sf0.01"

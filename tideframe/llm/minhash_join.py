@@ -4,7 +4,7 @@ Documents are sets of 5-word shingles. Sets that are equal collapse into one cla
 under every (coordinate, value) pair; pairs that one class alone holds cannot collide and go. Of the rest each class posts
 the rarest only, the prefix: two signatures that agree in `matches` coordinates share a pair within both prefixes. Inside a
 posting list signatures are compared whole, and those that agree often enough are linked into clusters. Clusters hold the
-candidates: there the full sets are compared, and links of 100 * |A & B| >= 85 * |A | B| make the components. Documents of
+candidates: there the full sets are compared, and links of 100 * |A & B| >= percent * |A | B| make the components. Documents of
 one component are not compared again (skip).
 
 A posting list or cluster of many members is dealt out in blocks that share a few leaders; only members that their
@@ -28,7 +28,8 @@ from .scratch import Scratch
 from .streams import groups
 
 #: Signature size, and the agreements that make a candidate. At a similarity of 0.85 the chance that fewer than 23 of 40
-#: coordinates agree is below 1e-5; at 0.35 that so many do is about 3e-3.
+#: coordinates agree is below 1e-5; at 0.35 that so many do is about 3e-3. Other thresholds need other matches: at 0.80
+#: fewer than 20 agree with a chance of 5.0e-6.
 COORDINATES, MATCHES = 40, 23
 PERCENT = 85
 BLOCK = 128
@@ -86,23 +87,27 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning links of the signatures in one posting list that agree in MATCHES coordinates at least."""
-    out: list[tuple[int, int]] = []
-    for table in groups(batches, ["key"]):
-        n = table.num_rows
-        ids = table.column("doc_id").to_pylist()
-        sig = table.column("sig").combine_chunks()
-        sig = sig.flatten().to_numpy().reshape(n, COORDINATES)
-        forest = Forest(n)
-        for i in range(n - 1):
-            for j in (np.flatnonzero((sig[i + 1 :] == sig[i]).sum(axis=1) >= MATCHES) + i + 1).tolist():
-                if forest.join(i, j):
-                    out.append((ids[i], ids[j]))
-        if len(out) > 10_000:
-            yield _pairs(out)
-            out = []
-    yield _pairs(out)
+def _agreeing(matches: int):
+    """Spanning links of the signatures in one posting list that agree in `matches` coordinates at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for table in groups(batches, ["key"]):
+            n = table.num_rows
+            ids = table.column("doc_id").to_pylist()
+            sig = table.column("sig").combine_chunks()
+            sig = sig.flatten().to_numpy().reshape(n, COORDINATES)
+            forest = Forest(n)
+            for i in range(n - 1):
+                for j in (np.flatnonzero((sig[i + 1 :] == sig[i]).sum(axis=1) >= matches) + i + 1).tolist():
+                    if forest.join(i, j):
+                        out.append((ids[i], ids[j]))
+            if len(out) > 10_000:
+                yield _pairs(out)
+                out = []
+        yield _pairs(out)
+
+    return run
 
 
 def similar_rows(sets: list[np.ndarray], i: int, order: np.ndarray, starts: np.ndarray, ranks: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
@@ -116,7 +121,7 @@ def similar_rows(sets: list[np.ndarray], i: int, order: np.ndarray, starts: np.n
     return np.flatnonzero(100 * shared >= percent * (sizes + len(sets[i]) - shared))
 
 
-def linked(sets: list[np.ndarray], wanted: np.ndarray, forest: Forest) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], wanted: np.ndarray, forest: Forest, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Spanning links, beyond those in the forest, between each wanted set and all sets."""
     full = [i for i, s in enumerate(sets) if len(s)]
     if len(full) < 2:
@@ -131,53 +136,59 @@ def linked(sets: list[np.ndarray], wanted: np.ndarray, forest: Forest) -> list[t
     out = []
     for i in np.flatnonzero(wanted).tolist():
         if len(sets[i]):
-            out += [(i, j) for j in similar_rows(sets, i, order, starts, ranks).tolist() if j != i and forest.join(i, j)]
+            out += [(i, j) for j in similar_rows(sets, i, order, starts, ranks, percent).tolist() if j != i and forest.join(i, j)]
     return out
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(percent: int):
     """Spanning links on full sets inside each (cluster, block, other) group; documents with equal `comp` are linked already.
 
     Where a group has rows marked outside, only their links are looked for.
     """
-    out: list[tuple[int, int]] = []
-    for table in groups(batches, ["cluster", "block", "other"]):
-        ids, comp = table.column("doc_id").to_pylist(), table.column("comp").to_pylist()
-        outside = np.array(table.column("outside").to_pylist(), bool)
-        forest, first = Forest(len(ids)), {}
-        for i, c in enumerate(comp):
-            forest.join(i, first.setdefault(c, i))
-        sets = [s for _, _, data, offsets in text_slices(table.column("text")) for s in shingle_sets(Words(data, offsets))]
-        out += [(ids[i], ids[j]) for i, j in linked(sets, outside if outside.any() else ~outside, forest)]
-        if len(out) > 10_000:
-            yield _pairs(out)
-            out = []
-    yield _pairs(out)
-
-
-def _confirm(rows: DataFrame) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for table in groups(batches, ["cluster", "block", "other"]):
+            ids, comp = table.column("doc_id").to_pylist(), table.column("comp").to_pylist()
+            outside = np.array(table.column("outside").to_pylist(), bool)
+            forest, first = Forest(len(ids)), {}
+            for i, c in enumerate(comp):
+                forest.join(i, first.setdefault(c, i))
+            sets = [s for _, _, data, offsets in text_slices(table.column("text")) for s in shingle_sets(Words(data, offsets))]
+            out += [(ids[i], ids[j]) for i, j in linked(sets, outside if outside.any() else ~outside, forest, percent)]
+            if len(out) > 10_000:
+                yield _pairs(out)
+                out = []
+        yield _pairs(out)
+
+    return run
+
+
+def _confirm(rows: DataFrame, percent: int) -> DataFrame:
     keys = ["cluster", "block", "other"]
-    return rows.select(*keys, "doc_id", "comp", "outside", "text").repartition(*keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(tidy(_confirmed), "a long, b long")
+    return rows.select(*keys, "doc_id", "comp", "outside", "text").repartition(*keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(tidy(_confirmed(percent)), "a long, b long")
 
 
-def candidate_clusters(sets: DataFrame, scratch: Scratch) -> DataFrame:
+def candidate_clusters(sets: DataFrame, scratch: Scratch, matches: int = MATCHES) -> DataFrame:
     """(node, component): clusters of classes whose signatures agree often (sets: doc_id, sig)."""
     posts = sets.select("doc_id", F.posexplode("sig").alias("k", "v")).select("doc_id", F.xxhash64("k", "v").alias("key"))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     held = posts.join(shared, "key").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("held"))  # 40 a document
-    prefix = held.where(F.size("held") >= MATCHES).select("doc_id", F.explode(F.expr(f"slice(held, 1, size(held) - {MATCHES - 1})")).alias("h"))
+    prefix = held.where(F.size("held") >= matches).select("doc_id", F.explode(F.expr(f"slice(held, 1, size(held) - {matches - 1})")).alias("h"))
     lists = scratch.cut(prefix.select(F.col("h.key").alias("key"), "doc_id"))
     sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
     # a long list is a cluster as it is: sets are compared there anyway
     long_ = lists.join(sizes.where(F.col("n") > BLOCK), "key").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     short = lists.join(sizes.where(F.col("n") <= BLOCK).select("key"), "key").join(sets.select("doc_id", F.transform("sig", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("sig")), "doc_id")
-    agreed = short.select("key", "doc_id", "sig").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(tidy(_agreeing), "a long, b long")
+    agreed = short.select("key", "doc_id", "sig").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(tidy(_agreeing(matches)), "a long, b long")
     return components(long_.unionByName(agreed), scratch)
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
+def link_documents(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
     """Each row's doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own included) and kept.
 
+    percent is the least similarity of a link, in hundredths; matches the agreeing coordinates that make a candidate.
+
     Words, sets and links are as in the module's head. A text without words, or null, has an empty set and no link. A row
     without doc_id is linked with nothing: its component is null and it is kept. Rows that repeat a doc_id are one
     document in the graph and a row each in the result. Other columns are ignored.
@@ -190,7 +201,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     copies = full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")).where("rep <> most").drop("most")
     copies = scratch.cut(full.select("doc_id", "n_shingles", "f1", "f2").join(copies, ["n_shingles", "f1", "f2"]).where("doc_id <> rep").select("doc_id", "rep"))
     reps = full.join(copies.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_shingles", "sig")
-    clusters = scratch.cut(candidate_clusters(reps, scratch).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
+    clusters = scratch.cut(candidate_clusters(reps, scratch, matches).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
 
     sizes = clusters.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n"), *[F.min(F.struct(F.xxhash64("doc_id", F.lit(i)), "doc_id"))["doc_id"].alias(f"l{i}") for i in range(LEADERS)]
@@ -200,7 +211,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     leader = F.col("doc_id").isin(*[F.col(f"l{i}") for i in range(LEADERS)])
     places = F.when((F.col("blocks") > 1) & leader, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", F.lit(77)), "blocks").cast("int")))
     dealt = texts.withColumn("block", F.explode(places)).withColumns({"other": F.lit(0), "comp": F.col("doc_id"), "outside": F.lit(False)})
-    links = scratch.cut(_confirm(dealt))
+    links = scratch.cut(_confirm(dealt, percent))
     found = components(links, scratch)
 
     big = members.where("blocks > 1").select("doc_id", "cluster", "n")
@@ -215,7 +226,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
         wanted = grid.where("outside").select("doc_id", "cluster", "comp", "outside", mine("wide", 3).alias("block"), F.explode(each("high")).alias("other"))
         against = grid.where("not outside or wide > 0").select("doc_id", "cluster", "comp", F.lit(False).alias("outside"), F.explode(each("wide")).alias("block"), mine("high", 4).alias("other"))
         pairs = wanted.unionByName(against).join(texts.select("doc_id", "text"), "doc_id")
-        links = scratch.cut(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_confirm(pairs)))
+        links = scratch.cut(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_confirm(pairs, percent)))
         found = components(links, scratch)
 
     found = found.where("node <> component")
