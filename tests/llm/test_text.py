@@ -37,6 +37,23 @@ def test_wrapper_text(spark):
     assert wrappers.extract_pages(clash).count() == 1
 
 
+def test_copies_are_no_template(spark):
+    """Pages that occur many times are content all the same, however much of a host's pages they make."""
+    rng = random.Random(12)
+    page = "<html><body><div class='top'>Site name</div><div id='c'>{}</div></body></html>"
+    texts = [[words(rng, 12) for _ in range(3 + i % 3)] for i in range(10)] + [[words(rng, 12) for _ in range(9)]]
+    rows = [(i, f"http://h.example/{i}", page.format("".join(f"<p>{t}</p>" for t in ts))) for i, ts in enumerate(texts)]
+    rows += [(100 + i, f"http://h.example/c{i}", rows[10][2]) for i in range(40)]
+    rows += [(200 + i, "http://same.example/", rows[10][2]) for i in range(9)]
+    got = wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        i = r["page_id"]
+        assert r["text"].removeprefix("Site name ") == " ".join(texts[i if i < 11 else 10]), r
+    pages = [r[2] for r in rows[:4]] + [rows[10][2]] * 2
+    assert wrappers.induce(pages) == wrappers.induce(pages[:5])
+
+
 def test_tree_matching():
     a, b = parse("<ul><li>1<li>2<li>3</ul><p>x"), parse("<ul><li>1<li>3</ul><p>y<p>z")
     size, pairs = match_trees(a, b)

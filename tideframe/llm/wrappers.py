@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction.
 
-A bounded sample of each host's pages is parsed and aligned, each with a reference page, by simple tree matching. A node
-whose text stays the same on most of them is template; slots that vary are content. The wrapper of a host is the path to
+A bounded sample of each host's distinct pages is parsed and aligned, each with a reference page, by simple tree matching. A node
+whose text stays the same on most of them, two at least besides the reference, is template; slots that vary are content. The wrapper of a host is the path to
 the smallest element that holds most of the varying text, and the constant texts inside it. It is then applied to all pages
 of the host. Elements that by their name or class are no article (menus, footers, adverts, forms, comments and so on) never
 count. A host with a single page, or a page that lacks the wrapper's path, takes its article or main element, else its body.
@@ -30,6 +30,8 @@ SAMPLED = 8
 BROADCAST_BYTES = 32 << 20
 #: The share of aligned pages with the same text that makes a node constant, and of the varying text that the content holds.
 CONSTANT, SHARE = 0.6, 0.7
+#: The aligned pages besides the reference that a constant node needs.
+ALIGNED = 2
 # Elements, and words of a class, id or role, that are no part of an article.
 NO_CONTENT = frozenset("script style nav footer aside form noscript template iframe svg button select textarea input head title object canvas audio video dialog menu".split())
 NO_CONTENT_HINT = re.compile(
@@ -57,7 +59,7 @@ def code(text: str) -> int:
 
 def induce(pages: list[str]) -> dict | None:
     """The wrapper of a host from sampled pages: path to the content, and constant texts by path. None from one page."""
-    trees = [parse(p) for p in pages if p]
+    trees = [parse(p) for p in dict.fromkeys(pages) if p]
     if len(trees) < 2:
         return None
     way_of = [{id(n): w for n, w in paths(t)} for t in trees]
@@ -74,7 +76,7 @@ def induce(pages: list[str]) -> dict | None:
             if text := a.own_text():
                 seen[id(a)] += 1
                 same[id(a)] += text == b.own_text()
-    fixed = {a for a, n in seen.items() if same[a] >= max(1, CONSTANT * n)} if len(trees) > 2 else set()
+    fixed = {a for a, n in seen.items() if n >= ALIGNED and same[a] >= CONSTANT * n}
     mass, constants = Counter(), set()
     for k, tree in enumerate(trees):
         for node, way in paths(tree):
@@ -143,15 +145,19 @@ def extract(page: str | None, wrapper: dict | None) -> str:
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The SAMPLED pages of least hash of each host in a partition."""
+    """The SAMPLED distinct pages of least hash of each host in a partition."""
     held: dict[str, list[tuple[int, str]]] = {}
+    ranks: dict[str, set[int]] = {}
     for batch in batches:
         for host, rank, page in zip(*(batch.column(c).to_pylist() for c in ("host", "rank", "html")), strict=True):
-            heap = held.setdefault(host, [])
+            heap, known = held.setdefault(host, []), ranks.setdefault(host, set())
+            if rank in known:
+                continue
+            known.add(rank)
             if len(heap) < SAMPLED:
                 heapq.heappush(heap, (-rank, page))
             else:
-                heapq.heappushpop(heap, (-rank, page))
+                known.remove(-heapq.heappushpop(heap, (-rank, page))[0])
     rows = [(h, -r, p) for h, heap in held.items() for r, p in heap]
     for lo in range(0, len(rows), 64):
         part = list(zip(*rows[lo : lo + 64], strict=True))
@@ -160,7 +166,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in groups(batches, ["host"]):
-        wrapper = induce(table.column("html").slice(0, SAMPLED).to_pylist())
+        wrapper = induce(list(dict.fromkeys(table.column("html").to_pylist()))[:SAMPLED])
         yield pa.record_batch({"host": pa.array([table.column("host")[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(wrapper)], pa.string())})
 
 
