@@ -95,3 +95,17 @@ def test_tape_and_store(spark, tmp_path):
     flows.record_tape(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), "me").awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).orderBy("instrument").collect()
     assert [(r["instrument"], r["side"], r["note"]) for r in rows] == [("ES", "short", ""), ("NQ", "long", "breakout")]
+
+
+def test_all_lines_tell_the_date_order(spark, tmp_path):
+    """Month-first dates whose first day beyond the 12th comes after more than 2,000 lines."""
+    at = [dt.datetime(2026, 3, 10) + dt.timedelta(minutes=2 * i) for i in range(3000)]
+    lines = [f"{x:%m/%d/%Y %H:%M};1,5;2,5;1;2;7" for x in at]
+    (tmp_path / "m.csv").write_text("\n".join(["time;open;high;low;close;volume", *lines, "no bar at all"]))
+    bars, warnings = bar_files.read_tolerant(spark, str(tmp_path / "m.csv"))
+    first = int(at[0].replace(tzinfo=dt.UTC).timestamp()) // 60
+    assert sorted(r["t"] for r in bars.select("t").collect()) == [first + 2 * i for i in range(3000)]
+    got = warnings.first()
+    assert (got["lines"], got["unread"], got["ambiguous"]) == (3000, 1, False)
+    (tmp_path / "a.csv").write_text("\n".join(["time;open;high;low;close;volume", *lines[:50]]))
+    assert bar_files.read_tolerant(spark, str(tmp_path / "a.csv"))[1].first()["ambiguous"]

@@ -47,29 +47,45 @@ def sniff(lines: list[str]) -> dict:
     body = text[1:] if header else text
     votes = [m for x in body for m in [re.match(r"^\"?(\d{1,2})[./-](\d{1,2})[./-]\d{4}", x)] if m]
     month_first = sum(int(m[2]) > 12 for m in votes) > sum(int(m[1]) > 12 for m in votes)
-    return {"sep": sep, "header": header, "at": at, "decimal_comma": sep != "," and any(re.search(r"\d,\d", x) for x in body), "month_first": month_first}
+    return {"sep": sep, "header": header, "first": text[0] if text else "", "at": at, "decimal_comma": sep != "," and any(re.search(r"\d,\d", x) for x in body), "month_first": month_first}
 
 
 def read_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Bars (t: minute number, o, h, l, c, v) of almost any bar file, and one row of warnings.
 
-    The first 2,000 lines tell the dialect; all lines are then read as text by the executors. Highs and lows are widened to
-    hold open and close. Of a repeated minute the last line stays and is counted.
+    The first lines tell separator and header; all lines vote on decimal comma and date order. Highs and lows are widened to
+    hold open and close. Of a repeated minute the last line stays and is counted. Warnings also count lines that could not be
+    read, and tell whether no majority of lines settles the order of day and month.
     """
     lines = spark.read.text(path)
     look = sniff([r["value"] for r in lines.limit(2000).collect()])
     at = look["at"]
+    lines = lines.where(F.trim("value") != "")
+    if look["header"]:
+        lines = lines.where(F.col("value") != look["first"])
     cells = F.split("value", re.escape(look["sep"]))
     cell = lambda k: F.trim(F.regexp_replace(F.get(cells, F.lit(at[k])), '^"|"$', ""))
     text = F.concat_ws(" ", cell("time"), cell("clock")) if "clock" in at else cell("time")
+    date = r"^(\d{1,2})[./-](\d{1,2})[./-]\d{4}"
+    beyond = lambda k: F.count_if(F.regexp_extract(cell("time"), date, k).try_cast("int") > 12)
+    votes = lines.agg(beyond(1).alias("day"), beyond(2).alias("month"), F.count_if(cell("time").rlike(date)).alias("dated"), F.count_if(F.col("value").rlike(r"\d,\d")).alias("commas")).first()
+    look |= {"month_first": votes["month"] > votes["day"], "decimal_comma": look["sep"] != "," and votes["commas"] > 0}
     rows = lines.withColumn("_line", F.monotonically_increasing_id()).select(
         "_line", instant(text, look["month_first"]).alias("ts"), *[number(cell(k), look["decimal_comma"]).alias(k) for k in "ohlc"], (number(cell("v"), look["decimal_comma"]) if "v" in at else F.lit(None).cast("double")).alias("v")
     )
-    good = rows.where("ts is not null and o is not null and h is not null and l is not null and c is not null").withColumn("t", F.floor(F.unix_timestamp("ts") / 60))
+    read = F.expr("ts is not null and o is not null and h is not null and l is not null and c is not null")
+    rows = rows.withColumns({"_read": read, "t": F.when(read, F.floor(F.unix_timestamp("ts") / 60))})
+    good = rows.where("_read")
     last = W.partitionBy("t").orderBy(F.desc("_line"))
     kept = good.withColumn("_n", F.row_number().over(last)).where("_n = 1")
     bars = kept.select("t", "o", F.greatest("h", "o", "l", "c").alias("h"), F.least("l", "o", "h", "c").alias("l"), "c", "v")
-    warnings = good.agg(F.count(F.lit(1)).alias("lines"), (F.count(F.lit(1)) - F.countDistinct("t")).alias("repeated"), F.count_if((F.col("h") < F.greatest("o", "c")) | (F.col("l") > F.least("o", "c"))).alias("mended"))
+    warnings = rows.agg(
+        F.count_if("_read").alias("lines"),
+        (F.count_if("_read") - F.countDistinct("t")).alias("repeated"),
+        F.count_if(F.col("_read") & ((F.col("h") < F.greatest("o", "c")) | (F.col("l") > F.least("o", "c")))).alias("mended"),
+        F.lit(votes["dated"] > 0 and votes["day"] == votes["month"]).alias("ambiguous"),
+        F.count_if(~F.col("_read")).alias("unread"),
+    )
     return bars, warnings
 
 
