@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -104,3 +105,20 @@ def test_language(spark):
     assert language.fit(docs(spark, [])) is None
     assert {r["lang_pred"] for r in language.predict(docs(spark), None).collect()} == {"und"}
     assert language.predict(docs(spark), language.fit(docs(spark))).count() == len(odd_rows())
+
+
+def test_training_of_few_short_texts(spark):
+    """Every pass sees every segment, however few lie in a partition: the chain is that of a plain loop."""
+    rng = np.random.default_rng(5)
+    v = SimpleNamespace(size=12, unigram=np.ones(12))
+    texts = [rng.integers(0, 12, 9).astype("<u2") for _ in range(6)]
+    want, back = markov.first_chain(v), np.full(12, 1 / 12)
+    for _ in range(markov.PASSES):
+        start, move, emit = markov.expected_counts(want, texts, np.ones(6, bool))
+        start, move, use = start + 1, move + 0.5, emit.sum(axis=0)
+        emit = (emit + markov.SMOOTHING * back[:, None]) / (use + markov.SMOOTHING)
+        want = markov.Chain(start / start.sum(), (use + 1) / (use + 1).sum(), move / move.sum(axis=1, keepdims=True), emit)
+    frame = spark.createDataFrame([(False, bytearray(t.tobytes())) for t in texts], "held_out boolean, symbols binary")
+    for n in (1, 6):
+        got = markov.train(frame.repartition(n), v)
+        assert got.emit == pytest.approx(want.emit) and got.move == pytest.approx(want.move) and got.start == pytest.approx(want.start)

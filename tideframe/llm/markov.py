@@ -2,8 +2,8 @@
 
 Counts of all training words give the vocabulary. The commonest words are symbols of their own; each other word is a
 symbol of its ending's class, and the class gives the word by its count, so a text's probability is that of its symbols
-times that of its words in their classes. Baum-Welch trains the states: each pass sums expected counts over partitions,
-the first passes over a sixteenth of the training segments, the last ones over all. The scaled forward recursion gives the
+times that of its words in their classes. Baum-Welch trains the states: each pass sums expected counts over partitions
+of all training segments. The scaled forward recursion gives the
 exact probability of each whole text. Counts of common words are broadcast, up to a bound; those of all others are joined.
 """
 
@@ -25,7 +25,7 @@ STATES = 8
 #: Words with a symbol of their own, classes of endings, and words whose counts are broadcast.
 SYMBOL_WORDS, CLASSES, HEAD_WORDS = 8192, 2048, 60_000
 SEGMENT = 256
-WARM_PASSES, FULL_PASSES = 8, 2
+PASSES = 10
 SMOOTHING = 300.0
 END = np.int64(0x3C6EF372FE94F82B)
 #: Bytes of text that the forward recursion runs over at once.
@@ -192,13 +192,13 @@ def expected_counts(chain: Chain, sequences: list[np.ndarray], first: np.ndarray
     return gammas[0][first].sum(axis=0), moves * chain.move, emissions
 
 
-def _expect(shared, part: int):
-    """Expected counts of a partition's segments (those whose number is 0 modulo part), as rows kind, index, counts."""
+def _expect(shared):
+    """Expected counts of a partition's segments, as rows kind, index, counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain: Chain = shared.value
         start, moves, emissions = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros_like(chain.emit)
-        held, first, size, number = [], [], 0, 0
+        held, first, size = [], [], 0
 
         def add() -> None:
             nonlocal start, moves, emissions, held, first, size
@@ -211,13 +211,11 @@ def _expect(shared, part: int):
             for body in batch.column("symbols").to_pylist():
                 ids = np.frombuffer(body, "<u2")
                 for at in range(0, len(ids), SEGMENT):
-                    number += 1
-                    if number % part == 0:
-                        held.append(ids[at : at + SEGMENT])
-                        first.append(at == 0)
-                        size += len(held[-1])
-                        if size >= 400_000:
-                            add()
+                    held.append(ids[at : at + SEGMENT])
+                    first.append(at == 0)
+                    size += len(held[-1])
+                    if size >= 400_000:
+                        add()
         add()
         used = np.flatnonzero(emissions.any(axis=1))
         index = np.concatenate([[-1], -2 - np.arange(STATES), used])
@@ -237,16 +235,16 @@ def first_chain(v: Vocabulary, seed: int = 3) -> Chain:
     return Chain(even, even, move, emit / emit.sum(axis=0))
 
 
-def train(symbols: DataFrame, v: Vocabulary, warm: int = WARM_PASSES, full: int = FULL_PASSES) -> Chain:
+def train(symbols: DataFrame, v: Vocabulary, passes: int = PASSES) -> Chain:
     """Baum-Welch over the training rows of symbols. What returns to the driver is a row a symbol."""
     chain, context = first_chain(v), symbols.sparkSession.sparkContext
     back = (v.unigram + 1) / (v.unigram + 1).sum()
     names = [f"s{s}" for s in range(STATES)]
     schema = "i long, " + ", ".join(f"{n} double" for n in names)
     rows = symbols.where("not held_out").select("symbols")
-    for part in [16] * warm + [1] * full:
+    for _ in range(passes):
         shared = context.broadcast(chain)
-        found = rows.mapInArrow(tidy(_expect(shared, part)), schema).groupBy("i").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+        found = rows.mapInArrow(tidy(_expect(shared)), schema).groupBy("i").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
         i, values = found.i.to_numpy(), found[names].to_numpy()
         shared.destroy()
         if not len(i) or not values.any():
