@@ -38,20 +38,134 @@ def test_wrapper_text(spark):
 
 
 def test_copies_are_no_template(spark):
-    """Pages that occur many times are content all the same, however much of a host's pages they make."""
+    """Pages that occur many times, or nearly so, are content all the same, however much of a host's pages they make."""
     rng = random.Random(12)
     page = "<html><body><div class='top'>Site name</div><div id='c'>{}</div></body></html>"
     texts = [[words(rng, 12) for _ in range(3 + i % 3)] for i in range(10)] + [[words(rng, 12) for _ in range(9)]]
     rows = [(i, f"http://h.example/{i}", page.format("".join(f"<p>{t}</p>" for t in ts))) for i, ts in enumerate(texts)]
     rows += [(100 + i, f"http://h.example/c{i}", rows[10][2]) for i in range(40)]
     rows += [(200 + i, "http://same.example/", rows[10][2]) for i in range(9)]
+    near = {300 + i: [*texts[10][:8], words(rng, 12)] for i in range(60)}
+    rows += [(i, "http://near.example/", page.format("".join(f"<p>{t}</p>" for t in ts))) for i, ts in near.items()]
+    rows += [(400 + i, "http://near.example/", rows[i][2]) for i in range(3)]
     got = wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
     assert len(got) == len(rows)
     for r in got:
         i = r["page_id"]
-        assert r["text"].removeprefix("Site name ") == " ".join(texts[i if i < 11 else 10]), r
+        want = near[i] if i in near else texts[i - 400 if i >= 400 else i if i < 11 else 10]
+        assert r["text"].removeprefix("Site name ") == " ".join(want), r
     pages = [r[2] for r in rows[:4]] + [rows[10][2]] * 2
     assert wrappers.induce(pages) == wrappers.induce(pages[:5])
+    a, b, c = ("".join(f"<div><p>{words(rng, 9)}</p></div>" for _ in range(6)) for _ in range(3))
+    wrapper = wrappers.induce([a + " "] + [a + " " * i for i in range(6)] + [b, c])
+    assert [wrappers.extract(x, wrapper) for x in (a, b, c)] == [wrappers.extract(x, None) for x in (a, b, c)] != [""] * 3
+
+
+def plain_wrapper_text(pages):
+    """What pages of one layout vary in: all leaf texts, by their path of child numbers, but those that all pages share."""
+    from collections import defaultdict
+
+    leaves = []
+    for page in pages:
+        found, stack = {}, [(parse(page), ())]
+        while stack:
+            node, way = stack.pop()
+            if node.tag in ("script", "style"):
+                continue
+            for i, c in enumerate(node.children):
+                if isinstance(c, str):
+                    if c.strip():
+                        found[*way, i] = " ".join(c.split())
+                else:
+                    stack.append((c, (*way, i)))
+        leaves.append(found)
+    values = defaultdict(list)
+    for found in leaves:
+        for way, text in found.items():
+            values[way].append(text)
+    return [" ".join(t for w, t in sorted(found.items()) if not (len(values[w]) == len(pages) and len(set(values[w])) == 1)) for found in leaves]
+
+
+BARE = """<html><body><div>Site {n}</div><div><p>Posted in News</p><div>{a}</div><p>{b}</p><p>{c}<i>Read more</i></p><p>Subscribe now</p></div><div>Contact us</div><script>var a{n};</script></body></html>"""
+
+
+def test_wrappers_without_names_of_elements(spark):
+    """Pages without article elements or telling classes: alignment alone parts menus and constant lines from the text."""
+    rng = random.Random(21)
+    rows = [(i, f"https://bare.example/{i}", BARE.format(n=i % 2, a=words(rng, 30), b=words(rng, 25), c=words(rng, 9))) for i in range(30)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = plain_wrapper_text([r[2] for r in rows])
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_pages(frame).collect()}
+    for i, text in enumerate(want):
+        assert got[i] == text.removeprefix(f"Site {i % 2} "), (got[i], text)
+        assert wrappers.extract(rows[i][2], None) != got[i]
+
+
+def test_table_pages_by_alignment_alone(spark):
+    """The article of every page of the table, found with its elements' names taken away."""
+    import re
+    from collections import defaultdict
+
+    hosts = defaultdict(list)
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect():
+        hosts[re.search("://([^/?#:]+)", r["url"])[1]].append(r["html"])
+    checked = 0
+    for pages in hosts.values():
+        bare = [re.sub(r"<(/?)(article|nav|footer)>", r"<\1div>", p).replace('<div class="ad">', "<div>") for p in pages]
+        if len(pages) < 3:
+            continue
+        wrapper = wrappers.induce(bare[: wrappers.SAMPLED])
+        for whole, page in zip(pages, bare, strict=True):
+            assert wrappers.extract(page, wrapper) == wrappers.extract(whole, None) != wrappers.extract(page, None)
+            checked += 1
+    assert checked > 150
+
+
+def test_registered_query_reads_all_pages(spark):
+    import re
+
+    from tideframe.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    got = queries.op8_wrapper_text(spark, folder).collect()
+    assert sorted(r["page_id"] for r in got) == sorted(pages)
+    for r in got:
+        whole = re.search(r"<article>(.*)</article>", pages[r["page_id"]]["html"], re.S)[1]
+        import html
+
+        assert r["text"] == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", whole)).split()) or "<" in html.unescape(whole)
+        assert r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize("part", ['<p class="x>t ', "<div>", "<p title='a>b ", "<b><hr>", "<a b ", "<!x ", "<!-- ", "</b ", "<p><td><b>", "<li><b>", "<svg>", "< a"])
+def test_odd_pages_take_linear_time(part):
+    """Pages of 200,000 unclosed parts: neither deep recursion nor time by the square."""
+    import time
+
+    page = "<body><p>first</p>" + part * (200_000 // len(part))
+    began = time.perf_counter()
+    wrapper = wrappers.induce([page, page + "<p>other</p>", "<p>more</p>" + page[18:]])
+    for w in (None, wrapper, {"path": [["body", None]], "heed": True, "constants": [[1, 1]]}):
+        wrappers.extract(page, w)
+    assert time.perf_counter() - began < 20
+
+
+def test_wide_pages_are_aligned_in_bounded_time():
+    page = lambda x: "<body>" + "".join(f"<p>{x}{i}<b>b</b></p>" for i in range(20_000)) + "<p>same</p>"
+    wrapper = wrappers.induce([page("a"), page("b"), page("c")])
+    assert wrapper["path"] == [["body", None]]
+    assert wrappers.extract(page("d"), wrapper).startswith("d0")
+
+
+def test_hints_do_not_hide_the_page():
+    page = '<html><body class="menu-open has-sidebar"><article class="post comments-open"><p>text one</p></article><div class="comments">no</div></body></html>'
+    assert wrappers.extract(page, None) == "text one"
+    two = "<html><head><title>t</title><body><article>a</article><article class='comment'>c</article><article>b</article>"
+    assert wrappers.extract(two, None) == "a b"
+    rng = random.Random(3)
+    odd = ["<body><div class='site-share widget'><div><p>" + "<p>".join(words(rng, 20) for _ in range(4)) + "</div></div><div>x</div>" for _ in range(5)]
+    assert len(wrappers.extract(odd[0], wrappers.induce(odd))) > 300  # nearly all text lies in the class
 
 
 def test_tree_matching():
