@@ -36,6 +36,7 @@ SAMPLED = 8
 BROADCAST_BYTES = 32 << 20
 #: Rows (host, hash of a page) of all samples up to which they are broadcast.
 BROADCAST_ROWS = 200_000
+MERGED = 32
 #: The share of aligned pages with the same text that makes a node constant, and of the varying text that the content holds.
 CONSTANT, SHARE = 0.6, 0.7
 #: The aligned pages besides the reference that a constant node needs.
@@ -243,8 +244,11 @@ def learn_wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, wrapper as JSON) of the hosts that have one. A host's sample is its SAMPLED distinct pages of least hash, over
     all its pages; copies of a page count once, before anything is sampled."""
     rows = pages.where("html is not null").select(host_of("url").alias("host"), F.xxhash64("html").alias("rank"), "html")
-    least = F.row_number().over(W.partitionBy("host").orderBy("rank"))  # each task keeps the least of its own first
-    chosen = scratch.cut(rows.select("host", "rank").distinct().withColumn("n", least).where(F.col("n") <= SAMPLED))
+    # the least of each task, of each of MERGED groups of tasks, then of all: no step sees many rows of a large host
+    least = lambda *key: F.row_number().over(W.partitionBy(*key).orderBy("rank"))
+    merged = rows.select("host", "rank").distinct().withColumn("group", F.pmod(F.spark_partition_id(), F.lit(MERGED)))
+    merged = merged.withColumn("n", least("host", "group")).where(F.col("n") <= SAMPLED).select("host", "rank")
+    chosen = scratch.cut(merged.withColumn("n", least("host")).where(F.col("n") <= SAMPLED))
     wanted = chosen.join(chosen.where("n = 2").select("host"), "host", "left_semi").select("host", "rank")
     key = ["host", "rank"]
     if chosen.count() <= BROADCAST_ROWS:
