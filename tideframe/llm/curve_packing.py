@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U, Words, mix, text_slices, tidy
-from .sharding import range_numbers
+from .sharding import range_numbers, uniform
 from .tokens import END_ID, default_path, encoder
 
 DIMENSIONS, BITS = 4, 12
@@ -66,15 +67,25 @@ def curve_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return hilbert_keys(grid, BITS)
 
 
+def order_ids(doc_id: pa.Array, first: int) -> np.ndarray:
+    """The ids that order documents of one key: their own, or an even number of their own for rows without one."""
+    spare = mix(np.arange(first, first + len(doc_id), dtype=U) + U(TaskContext.get().partitionId() << 40)).view(np.int64)
+    if not doc_id.null_count:
+        return doc_id.to_numpy()
+    return np.where(doc_id.is_null().to_numpy(zero_copy_only=False), spare, doc_id.fill_null(0).to_numpy())
+
+
 def _keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = 0
     for batch in batches:
         keys = [curve_keys(data, offsets) for _, _, data, offsets in text_slices(batch.column("text"))]
-        yield pa.record_batch({"doc_id": batch.column("doc_id"), "size": batch.column("size"), "curve": np.concatenate(keys) if keys else np.zeros(0, np.int64)})
+        yield pa.record_batch({"doc_id": order_ids(batch.column("doc_id"), seen), "size": batch.column("size"), "curve": np.concatenate(keys) if keys else np.zeros(0, np.int64)})
+        seen += batch.num_rows
 
 
 def _tokens(path: str, splitters: list[tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode, seen = encoder(path).encode, 0
         for batch in batches:
             ids_of = batch.column("doc_id").cast(pa.int64())
             for lo, hi, data, offsets in text_slices(batch.column("text")):
@@ -87,8 +98,9 @@ def _tokens(path: str, splitters: list[tuple[int, int]]):
                 joined[keep] = ids
                 cuts = pa.py_buffer(np.concatenate([[0], ends * joined.itemsize]).astype(np.int64))
                 body = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, cuts, pa.py_buffer(joined)])
-                part = range_numbers(curve, doc.fill_null(-(1 << 63)).to_numpy(), splitters)
+                part = range_numbers(curve, order_ids(doc, seen + lo), splitters)
                 yield pa.record_batch({"doc_id": doc, "part": part, "curve": curve, "n": counts + 1, "ids": body.cast(pa.binary())})
+            seen += batch.num_rows
 
     return run
 
@@ -174,10 +186,10 @@ def pack_along_curve(docs: DataFrame, tokenizer: str | None = None, sequence: in
     ranges = int(min(max(1, total // range_bytes), 20_000))
     splitters = []
     if ranges > 1:
-        # a size-weighted sample of rows, of which only the keys go to the driver
+        # a size-weighted sample of rows, each drawn by itself, of which only the keys go to the driver: ranges * 64 about
         rate = ranges * 64 / float(total)
-        drawn = sized.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)) < F.col("size") * (rate * (1 << 40)))
-        keyed = drawn.mapInArrow(tidy(_keys_only), "doc_id long, size long, curve long").where("doc_id is not null")
+        drawn = sized.where(uniform("doc_id", "size", F.monotonically_increasing_id(), seed=5) < F.col("size") * rate)
+        keyed = drawn.mapInArrow(tidy(_keys_only), "doc_id long, size long, curve long")
         keyed = keyed.withColumn("size", F.greatest(F.col("size").cast("double"), F.lit(1 / rate)))
         splitters = splitters_of(keyed.select("curve", "doc_id", "size").toPandas(), ranges)
     tokens = rows.mapInArrow(tidy(_tokens(tokenizer, splitters)), "doc_id long, part long, curve long, n long, ids binary")

@@ -18,25 +18,28 @@ from .scratch import Scratch
 
 #: Expected number of sampled keys for each range: a bound on what the driver sees.
 SAMPLES_A_RANGE = 48
+LEAST_LONG = -(1 << 63)
 
 
-def uniform(column, seed: int):
-    """A fixed pseudo-random number in [0, 1) from a column."""
-    return F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+def uniform(*columns, seed: int):
+    """A fixed pseudo-random number in [0, 1) from columns."""
+    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
 def weighted_splitters(rows: DataFrame, key: str, row_id: str, size: str, ranges: int, total: float, seed: int = 1) -> list[tuple[int, int]]:
     """At most ranges - 1 boundaries (key, row id), ascending: quantiles of a sample drawn in proportion to size.
 
     A boundary lies between keys, but inside a key where that key alone spans more than one quantile. A null key or id
-    sorts as the least long. The sample is bounded by its expected count, ranges * SAMPLES_A_RANGE.
+    sorts as the least long. Every row is drawn by itself, rows that repeat an id or are equal included, so the sample is
+    bounded by its expected count, ranges * SAMPLES_A_RANGE.
     """
     if ranges < 2 or not total:
         return []
     rate = ranges * SAMPLES_A_RANGE / float(total)
+    least = F.lit(LEAST_LONG)
     found = (
-        rows.select(F.col(key).alias("k"), F.col(row_id).alias("i"), F.col(size).cast("double").alias("w"))
-        .where(uniform(F.col("i"), seed) < F.col("w") * rate)
+        rows.select(F.coalesce(key, least).alias("k"), F.coalesce(row_id, least).alias("i"), F.col(size).cast("double").alias("w"), F.monotonically_increasing_id().alias("row"))
+        .where(uniform("k", "i", "row", seed=seed) < F.col("w") * rate)
         .select("k", "i", F.greatest("w", F.lit(1 / rate)).alias("w"))
         .toPandas()
         .sort_values(["k", "i"])
@@ -46,9 +49,8 @@ def weighted_splitters(rows: DataFrame, key: str, row_id: str, size: str, ranges
     upto = found.w.cumsum().to_numpy()
     at = np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges)
     picks = [(int(found.k.iloc[i]), int(found.i.iloc[i])) for i in at]
-    low = -(1 << 63)
     heavy = {k for (k, _), (n, _) in zip(picks, picks[1:], strict=False) if k == n}
-    return sorted({(k, i if k in heavy else low) for k, i in picks} | {(k, low) for k in heavy})
+    return sorted({(k, i if k in heavy else LEAST_LONG) for k, i in picks} | {(k, LEAST_LONG) for k in heavy})
 
 
 def range_numbers(keys: np.ndarray, ids: np.ndarray, splitters: list[tuple[int, int]]) -> np.ndarray:
@@ -71,17 +73,18 @@ def range_column(splitters: list[tuple[int, int]], key: str, row_id: str):
     def number(k: pd.Series, i: pd.Series) -> pd.Series:
         return pd.Series(range_numbers(k.to_numpy(np.int64), i.to_numpy(np.int64), splitters))
 
-    least = F.lit(-(1 << 63))
+    least = F.lit(LEAST_LONG)
     return number(F.coalesce(F.col(key), least), F.coalesce(F.col(row_id), least))
 
 
 def shard_by_size(rows: DataFrame, scratch: Scratch, key: str = "key", row_id: str = "doc_id", size: str = "size", shards: int = 16, range_bytes: int = 8 << 20, together: float = 0.01) -> DataFrame:
     """rows with `shard` (0 to shards - 1, int) and `slot` (0, 1, ... inside each shard in key order, long).
 
-    key, row_id and size are longs without nulls (row_id: unique, else equal rows may swap slots). Every shard's size
-    differs from the mean by the largest row plus `together` of a shard at most: groups of equal keys up to that part of a
-    shard stay whole. Other columns pass through. An empty table gives none.
+    key, row_id and size are longs without nulls. row_id orders the rows of a key; rows that are equal in both lie in one
+    range and may swap slots. Every shard's size differs from the mean by the largest row plus `together` of a shard at
+    most: groups of equal keys up to that part of a shard stay whole. Other columns pass through. An empty table gives none.
     """
+    rows = scratch.cut(rows)  # read several times below, of which only the last needs more than three columns
     light = rows.select(key, row_id, size)
     totals = light.agg(F.sum(size).alias("size"), F.count(F.lit(1)).alias("n")).first()
     total = totals["size"] or 0
@@ -131,10 +134,12 @@ def text_key(text):
 
 
 def document_rows(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 1; a null text has none), CRC-32 and key of each text (null: as empty), and columns named in more."""
+    """doc_id, size (UTF-8 bytes plus 1; a null text has none), CRC-32 and key of each text (null: as empty), the id that
+    orders equal texts (a number of its own for each row without doc_id), and columns named in more."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return docs.select(
-        F.col("doc_id"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.monotonically_increasing_id())).alias("order_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         text_key(text).alias("key"),
@@ -143,8 +148,13 @@ def document_rows(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """Place of every document: doc_id, size, text_crc32, law ("bytes"), shard, slot, grown_shard (null: no such law)."""
-    placed = shard_by_size(document_rows(docs), Scratch(docs.sparkSession), shards=shards)
+    """Place of every document: doc_id, size, text_crc32, law ("bytes"), shard, slot, grown_shard (null: no such law).
+
+    A null text counts as an empty one, of size 1. A null doc_id stays null; its rows are placed by text like any other.
+    Repeated rows are placed one by one, equal texts next to each other by doc_id. Other columns are ignored; an empty table
+    gives no row.
+    """
+    placed = shard_by_size(document_rows(docs), Scratch(docs.sparkSession), row_id="order_id", shards=shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -152,7 +162,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
     """Every document row, whole, in its shard, as a Parquet table partitioned by shard and sorted by slot. A column of docs
     named shard or slot gives way."""
     whole = document_rows(docs.select("*", F.struct(*[docs[c] for c in docs.columns]).alias("_row_")), "_row_")
-    placed = shard_by_size(whole, Scratch(docs.sparkSession), shards=shards).select("_row_.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    placed = shard_by_size(whole, Scratch(docs.sparkSession), row_id="order_id", shards=shards).select("_row_.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
     placed = placed.drop("shard", "slot").withColumnsRenamed({"_shard": "shard", "_slot": "slot"})
     rows = placed.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot")
     rows.write.partitionBy("shard").parquet(path)
