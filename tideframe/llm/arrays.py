@@ -59,8 +59,9 @@ def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
-def text_slices(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row, bytes, offsets of the rows in them) of runs of rows of about `limit` bytes; null is empty.
+def text_slices(column: pa.Array, limit: int = 1 << 19, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, bytes, offsets of the rows in them) of runs of at most `rows` rows, of about `limit` bytes; null
+    is empty.
 
     A longer text makes a run of its own, so whole texts are seen and memory follows the longest one.
     """
@@ -74,7 +75,7 @@ def text_slices(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, i
     lo = 0
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1
-        hi = min(n, max(hi, lo + 1))
+        hi = min(n, lo + rows, max(hi, lo + 1))
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
     if n >= 1000:

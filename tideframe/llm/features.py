@@ -62,8 +62,8 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 SHAPE_BUCKETS = 512
+TERM_BUCKETS = 1024
 STEPS = 8
-MEASURES = 7
 
 
 def _step(share: np.ndarray) -> np.ndarray:
@@ -73,7 +73,8 @@ def _step(share: np.ndarray) -> np.ndarray:
 
 
 def quality_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Shape of each text: hashed runs of character kinds, and measures of repetition and make-up."""
+    """Of each text: its hashed terms (root of counts), then its shape: hashed runs of character kinds, and measures of
+    repetition and make-up. documents x (TERM_BUCKETS + SHAPE_BUCKETS + 7 * STEPS)."""
     words, docs = Words(data, offsets), len(offsets) - 1
     shape = np.sqrt(gram_counts(SHAPE[data], offsets, SHAPE_BUCKETS, 3))
     shape /= np.maximum(1e-9, np.linalg.norm(shape, axis=1, keepdims=True))
@@ -107,12 +108,17 @@ def quality_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         np.minimum(1, (size / n) / 16),
     ]
     weights = [1.0, 1.0, 1.0, 1.0, 1.0, 0.2, 0.2]
-    out = np.hstack([shape, *[w * _step(s) for s, w in zip(shares, weights, strict=True)]]).astype(np.float32)
+    terms = np.sqrt(word_counts(words, TERM_BUCKETS))
+    out = np.hstack([terms, shape, *[w * _step(s) for s, w in zip(shares, weights, strict=True)]]).astype(np.float32)
     out[words.counts == 0] = 0
     return out
 
 
+#: Documents that are dense rows at once.
+DENSE_ROWS = 512
+
+
 def batched(column: pa.Array, make, width_bytes: int = 1 << 19) -> Iterator[np.ndarray]:
-    """make(bytes, offsets) of each run of texts of an Arrow column."""
-    for _, _, data, offsets in text_slices(column, width_bytes):
+    """make(bytes, offsets) of each run of texts of an Arrow column, bounded in bytes and in rows."""
+    for _, _, data, offsets in text_slices(column, width_bytes, DENSE_ROWS):
         yield make(data, offsets)

@@ -18,9 +18,11 @@ from .arrays import tidy
 from .features import LANGUAGE_BUCKETS, batched, has_letter, subwords
 from .streams import with_outputs
 
-#: Documents of each language in the sample, and the most languages.
-SAMPLED = 800
-LANGUAGES = 200
+#: Documents of each language in the sample, and of all languages together: with more languages than MOST / SAMPLED each
+#: has an equal part of MOST. No language is left out.
+SAMPLED, MOST = 800, 160_000
+#: Languages up to which their rates are broadcast.
+BROADCAST_LANGUAGES = 100_000
 WIDTH = 16
 EPOCHS = 12
 #: The part of right predictions that the rejection may cost.
@@ -77,8 +79,9 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
         x = np.zeros((len(part), size), np.float32)
         for i, (_, at, share) in enumerate(part):
             x[i, at] = share
-        return x, np.array([languages.index(r[0]) for r in part], np.int64)
+        return x, np.array([number[r[0]] for r in part], np.int64)
 
+    number = {name: i for i, name in enumerate(languages)}
     held, learned = rows[::5], [r for i, r in enumerate(rows) if i % 5]
     held, learned = (held, learned) if len(learned) >= len(languages) else (rows, rows)
     model = Model(languages, rng.normal(0, 0.1, (size, WIDTH)).astype(np.float32), rng.normal(0, 0.1, (WIDTH, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32))
@@ -96,30 +99,42 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
             model.bias -= rate * 0.1 * gap.sum(axis=0)
             used = np.flatnonzero(x.any(axis=0))
             model.embedding[used] -= 8 * rate * x[:, used].T @ back
-    logits, truth = [], []
+    # the temperature of least loss, then the score that nearly all right predictions reach
+    steps, loss, right = [0.25 * 1.25**i for i in range(20)], np.zeros(20), []
     for lo in range(0, len(held), 256):
         x, y = dense(held[lo : lo + 256])
-        logits.append(model.logits(x))
-        truth.append(y)
-    logits, truth = np.concatenate(logits), np.concatenate(truth)
-    loss = lambda t: -np.log(np.maximum(1e-12, softmax(logits / t)[np.arange(len(truth)), truth])).mean()
-    model.temperature = float(min((0.25 * 1.25**i for i in range(20)), key=loss))
-    scores = softmax(logits / model.temperature)
-    right = scores.max(axis=1)[scores.argmax(axis=1) == truth]
+        logits = model.logits(x)
+        loss += [-np.log(np.maximum(1e-12, softmax(logits / t)[np.arange(len(y)), y])).sum() for t in steps]
+    model.temperature = steps[int(loss.argmin())]
+    for lo in range(0, len(held), 256):
+        x, y = dense(held[lo : lo + 256])
+        scores = model.scores(x)
+        right.append(scores.max(axis=1)[scores.argmax(axis=1) == y])
+    right = np.concatenate(right)
     model.least = float(min(0.5, np.quantile(right, COST))) if len(right) else 0.0
     return model
 
 
-def fit(docs: DataFrame, sampled: int = SAMPLED, fold: int = 0) -> Model | None:
-    """A model of at most about `sampled` documents of each of the commonest LANGUAGES languages, none of the held-out
-    fold; None if no document has text and language."""
+def fit(docs: DataFrame, sampled: int = SAMPLED, fold: int = 0, most: int = MOST) -> Model | None:
+    """A model of about `sampled` documents at most of each language, `most` of all, and none of the held-out fold; None if
+    no document has text and language.
+
+    A document is drawn by a hash of its id and text, and counts once in the sample however often its row repeats. So the
+    driver's sample is bounded by its expected count whatever ids repeat, and does not hang on how rows are dealt.
+    """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("lang is not null and length(text) > 0 and doc_id is not null").where(~held_out(fold))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = counts.count()
+    if not languages:
+        return None
+    share = min(sampled, most / languages)
+    rates = counts.select("lang", (F.least(F.lit(1.0), F.lit(share) / F.col("n")) * (1 << 40)).cast("long").alias("rate"))
+    rates = F.broadcast(rates) if languages <= BROADCAST_LANGUAGES else rates
+    draw = F.xxhash64("doc_id", "text", F.lit(9))
+    drawn = known.withColumn("draw", draw).join(rates, "lang").where(F.pmod("draw", F.lit(1 << 40)) < F.col("rate")).dropDuplicates(["doc_id", "lang", "draw"])
+    found = drawn.select("doc_id", "lang", "text").mapInArrow(tidy(_sparse_rows), "lang string, doc_id long, at binary, share binary").toPandas().sort_values(["doc_id", "lang", "at", "share"])
+    if not len(found):
         return None
-    rate = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(int((1 << 40) * min(1, sampled / r["count"])))) for r in counts], F.lit(0))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 40)) < rate)
-    found = drawn.mapInArrow(tidy(_sparse_rows), "lang string, doc_id long, at binary, share binary").toPandas().sort_values(["doc_id", "lang", "at"])
     return train([(lang, np.frombuffer(at, "<u2"), np.frombuffer(share, np.float32)) for lang, at, share in zip(found.lang, found["at"], found["share"], strict=True)])
 
 
