@@ -26,7 +26,8 @@ STATES = 8
 SYMBOL_WORDS, CLASSES, HEAD_WORDS = 8192, 2048, 60_000
 SEGMENT = 256
 PASSES = 10
-SMOOTHING = 300.0
+#: Counts of the unigram law that each state's emissions are smoothed with: so many, or a part of a state's share of the tokens.
+SMOOTHING, SMOOTHED_PART = 300.0, 0.05
 END = np.int64(0x3C6EF372FE94F82B)
 #: Bytes of text that the forward recursion runs over at once.
 RUN_BYTES = 12 << 20
@@ -225,20 +226,27 @@ def _expect(shared):
     return run
 
 
+def smoothed_unigram(v: Vocabulary) -> np.ndarray:
+    """Training counts of symbols, each with a part of one more: as much as all seen symbols together have, one each at most.
+    A small corpus sees few symbols, and whole counts for all the others would outweigh its own."""
+    return v.unigram + min(1.0, (np.count_nonzero(v.unigram) + 1) / v.size)
+
+
 def first_chain(v: Vocabulary, seed: int = 3) -> Chain:
     """States that stay, with emissions of all words, each symbol bent towards some states at random."""
     rng = np.random.default_rng(seed)
-    emit = (v.unigram + 1)[:, None] * rng.gamma(1.0, 1.0, (v.size, STATES))
+    emit = smoothed_unigram(v)[:, None] * rng.gamma(1.0, 1.0, (v.size, STATES))
     move = np.full((STATES, STATES), 0.3 / (STATES - 1))
     np.fill_diagonal(move, 0.7)
     even = np.full(STATES, 1 / STATES)
     return Chain(even, even, move, emit / emit.sum(axis=0))
 
 
-def train(symbols: DataFrame, v: Vocabulary, passes: int = PASSES) -> Chain:
+def train(symbols: DataFrame, v: Vocabulary, passes: int = PASSES, smoothing: float = SMOOTHING) -> Chain:
     """Baum-Welch over the training rows of symbols. What returns to the driver is a row a symbol."""
     chain, context = first_chain(v), symbols.sparkSession.sparkContext
-    back = (v.unigram + 1) / (v.unigram + 1).sum()
+    back = smoothed_unigram(v)
+    back /= back.sum()
     names = [f"s{s}" for s in range(STATES)]
     schema = "i long, " + ", ".join(f"{n} double" for n in names)
     rows = symbols.where("not held_out").select("symbols")
@@ -257,7 +265,7 @@ def train(symbols: DataFrame, v: Vocabulary, passes: int = PASSES) -> Chain:
             else:
                 move[-2 - index] += row
         use = emit.sum(axis=0)
-        emit = (emit + SMOOTHING * back[:, None]) / (use + SMOOTHING)
+        emit = (emit + smoothing * back[:, None]) / (use + smoothing)
         chain = Chain(start / start.sum(), (use + 1) / (use + 1).sum(), move / move.sum(axis=1, keepdims=True), emit)
     return chain
 
@@ -317,7 +325,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = scratch.cut(counts.groupBy("h").agg(F.min("g").alias("g"), F.sum("n").alias("n")))
     v = vocabulary(counts)
     symbols = scratch.cut(rows.mapInArrow(tidy(_symbols(spark.sparkContext.broadcast(v))), SYMBOL_ROWS))
-    chain = train(symbols, v)
+    chain = train(symbols, v, smoothing=min(SMOOTHING, max(1.0, SMOOTHED_PART * v.total / STATES)))
     tail = symbols.select("rid", F.explode(F.arrays_zip("tail_h", "tail_n")).alias("t")).select("rid", F.col("t.tail_h").alias("h"), F.col("t.tail_n").alias("m"))
     tail = tail.join(counts.select("h", "n"), "h").groupBy("rid").agg(F.sum(F.col("m") * F.log10(F.col("n") + 1)).alias("tail"), F.sum(F.col("m").cast("long")).alias("tail_known"))
     kept = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "words"]
