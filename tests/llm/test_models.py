@@ -107,6 +107,75 @@ def test_language(spark):
     assert language.predict(docs(spark), language.fit(docs(spark))).count() == len(odd_rows())
 
 
+@pytest.mark.parametrize("kind", ["one id", "null ids", "copies"])
+def test_samples_stay_bounded(spark, kind):
+    """Thousands of rows of one id, of none, or of one text give the driver no more than the stated number."""
+    rows = [(None if kind == "null ids" else 3 if kind == "one id" else i, "ein text" if kind == "copies" else f"text {i} mot", "de" if i % 2 else "fr", "s", 1) for i in range(5000)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 5000)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs(spark, rows), labels, labelled=200)
+    assert len(model.vectors) <= (1 if kind == "one id" else 0 if kind == "null ids" else 560)
+    seen = []
+    real, language.train = language.train, lambda rows: seen.append(len(rows))
+    try:
+        assert language.fit(docs(spark, rows), sampled=100) is None
+    finally:
+        language.train = real
+    assert not seen if kind == "null ids" else seen[0] <= 320
+
+
+def test_every_language_is_learned(spark):
+    """No language is left out for being rare, nor for there being many."""
+    rows = [(i, f"lang{i % 300}word other{i % 300} " * 3, f"l{i % 300}", "s", 1) for i in range(3000)]
+    model = language.fit(docs(spark, rows))
+    assert len(model.languages) == 300
+    few = language.fit(docs(spark, rows), most=1500)
+    assert len(few.languages) > 280
+
+
+def test_short_texts_take_bounded_memory():
+    import pyarrow as pa
+
+    from tideframe.llm.features import DENSE_ROWS, batched, quality_features, subwords
+
+    column = pa.array([f"text {i}" for i in range(3000)])
+    for make in (subwords, quality_features):
+        sizes = [len(x) for x in batched(column, make)]
+        assert sum(sizes) == 3000 and max(sizes) <= DENSE_ROWS
+
+
+def test_forty_documents_in_many_partitions(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"{'ab'[j % 2]}{rng.integers(0, 6)}word" for j in range(60)), "en", "s", 1) for i in range(40)]
+    table = docs(spark, rows)
+    one, many = (markov.score_documents(table.repartition(n)).toPandas() for n in (1, 8))
+    assert many["score"].sum() > many["base_score"].sum()
+    assert many["score"].sum() == pytest.approx(one["score"].sum())
+
+
+def test_registered_queries(spark):
+    """held_out, digests and casts of the registered queries themselves."""
+    from tideframe.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{folder}/documents.parquet").count()
+    crc = lambda i, of: zlib.crc32(str(i).encode()) % of
+    for name, of, fold in (("op5_hidden_markov", 7, 2), ("op6_neighbour_quality", 4, 2), ("op7_subword_language", 5, 0)):
+        rows = queries.queries()[name](spark, folder).collect()
+        assert len(rows) == n
+        assert all(r["held_out"] == (crc(r["doc_id"], of) == fold) for r in rows)
+        if of == 4:
+            assert all(r["predicted"] == (r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in rows)
+    langs = {r[0] for r in spark.read.parquet(f"{folder}/documents.parquet").select("lang").distinct().collect()}
+    assert {r["lang_pred"] for r in rows} <= langs | {"und"}
+    shards = queries.op3_splitter_shards(spark, folder).collect()
+    assert len(shards) == n and {r["law"] for r in shards} == {"bytes"}
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert all((r["size"], r["text_crc32"]) == (len(texts[r["doc_id"]]) + 1, zlib.crc32(texts[r["doc_id"]])) for r in shards)
+    pieces = queries.op4_curve_packing(spark, folder).toPandas()
+    ends = pieces.sort_values("start").groupby("doc_id").agg({"length": "sum", "doc_tokens": "first"})
+    assert len(ends) == n and (ends["length"] == ends["doc_tokens"]).all()
+
+
 def test_training_of_few_short_texts(spark):
     """Every pass sees every segment, however few lie in a partition: the chain is that of a plain loop."""
     rng = np.random.default_rng(5)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -83,14 +84,27 @@ def test_hilbert_neighbours_touch():
 @pytest.mark.parametrize("clash", [False, True])
 def test_best_fit_rows(spark, whole, clash):
     got = fit_packing.pack_best_fit(docs(spark, clash=clash), sequence=256).collect()
-    total = 0
+    total, pieces = 0, defaultdict(list)
     for r in got:
         ids, place, cuts = np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["position_ids"], "<u4"), r["cu_seqlens"]
         assert len(ids) == len(place) == 256 and cuts[0] == 0 and cuts[-1] == r["n_tokens"] <= 256
         for a, b, n in zip(cuts, cuts[1:], r["lengths"], strict=False):
             assert b - a == n and place[a:b].tolist() == list(range(n))
+        for doc, start, a, b in zip(r["doc_ids"], r["starts"], cuts, cuts[1:], strict=False):
+            pieces[doc].append((start, ids[a:b].tolist()))
         total += r["n_tokens"]
     assert total == sum(len(whole(x[1])) + 1 for x in odd_rows())
+    want = defaultdict(list)
+    for x in odd_rows():
+        want[x[0]].append([*whole(x[1]), 1])
+    for doc, found in pieces.items():  # a document's pieces, joined by their starts, are its ids
+        rows = []
+        for start, ids in sorted(found, key=lambda x: x[0]):
+            if start == 0:
+                rows.append([])
+            next(r for r in reversed(rows) if len(r) == start).extend(ids)
+        assert sorted(rows) == sorted(want[doc])
+    assert set(pieces) == set(want)
 
 
 def test_best_fit_chooses_the_least_room():
@@ -127,6 +141,37 @@ def test_shards(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+@pytest.mark.parametrize("n", [1, 100, 4000])
+@pytest.mark.parametrize("kind", ["null ids", "one id", "equal rows", "null texts"])
+def test_samples_of_rows_without_own_ids(spark, n, kind):
+    """Shards and curve pieces of tables whose ids do not tell rows apart: whole results, and a bounded sample."""
+    rows = [(None if kind == "null ids" else 7 if kind in ("one id", "equal rows") else i, None if kind == "null texts" else "same text" if kind == "equal rows" else f"text {i * 7919 % n} " * (1 + i % 5), "en", "s", 1) for i in range(n)]
+    got = sharding.shard_documents(docs(spark, rows)).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == n and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    if n == 4000:
+        assert len(slots) == 16
+    frame = sharding.document_rows(docs(spark, rows))
+    total = frame.agg({"size": "sum"}).first()[0]
+    assert len(sharding.weighted_splitters(frame, "key", "order_id", "size", 8, total)) <= 8
+    pieces = curve_packing.pack_along_curve(docs(spark, rows), sequence=256, range_bytes=2048).select("length", "start", "doc_tokens").collect()
+    assert sum(p["length"] for p in pieces) == sum(p["doc_tokens"] for p in pieces if p["start"] == 0)
+    assert sum(p["start"] == 0 for p in pieces) == n
+
+
+def test_neighbours_on_the_curve_are_alike(spark):
+    """Documents that follow each other in the pieces share their topic far more often than chance."""
+    rng = random.Random(8)
+    topics = [[f"t{k}w{j}" for j in range(12)] for k in range(12)]
+    rows = [(i, " ".join(rng.choice(topics[i % 12]) for _ in range(80)), "en", "s", 1) for i in range(600)]
+    got = curve_packing.pack_along_curve(docs(spark, rows), range_bytes=8192).where("start = 0").orderBy("sequence_id", "offset").collect()
+    order = [r["doc_id"] % 12 for r in got]
+    assert len(order) == 600
+    assert sum(a == b for a, b in zip(order, order[1:], strict=False)) > 4 * 600 / 12
+
+
 def test_odd_shards(spark):
     got = sharding.shard_documents(docs(spark, clash=True)).collect()
     assert len(got) == len(odd_rows())
