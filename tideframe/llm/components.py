@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +34,20 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+class Groups:
+    """Connected groups of the rows of one task."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, i: int, others: np.ndarray) -> list[int]:
+        """Put others into the group of row i; gives one of them for each group that was another."""
+        out = []
+        for label in np.unique(self.label[others]).tolist():
+            if label != self.label[i]:
+                out.append(int(others[np.argmax(self.label[others] == label)]))
+        for j in out:
+            self.label[self.label == self.label[j]] = self.label[i]
+        return out

@@ -3,13 +3,13 @@
 Documents are sets of 5-word shingles. Sets that are equal collapse into one class first. Each class posts its signature
 under every (coordinate, value) pair; pairs that one class alone holds cannot collide and go. Of the rest each class posts
 the rarest only, the prefix: two signatures that agree in `matches` coordinates share a pair within both prefixes. Inside a
-posting list signatures are compared whole, and those that agree often enough are linked into clusters. Clusters hold the
-candidates: there the full sets are compared, and links of 100 * |A & B| >= percent * |A | B| make the components. Documents of
-one component are not compared again (skip).
+posting list, however long, signatures are compared whole, and those that agree often enough are linked into clusters.
+Clusters hold the candidates: there the full sets are compared, and links of 100 * |A & B| >= percent * |A | B| make the
+components. Signatures and documents of one component are not compared again (skip).
 
 A posting list or cluster of many members is dealt out in blocks that share a few leaders; only members that their
-block and the leaders leave outside the cluster's main component are then compared with all others, block by block. No
-task sees more than a block pair, and tasks give spanning links, not all pairs.
+block and the leaders leave outside its main component are then compared with all others, block by block. No task sees more
+than a block pair, and tasks give spanning links, not all pairs. Joins by key broadcast the few keys of very many rows.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U, Words, mix, seeds, shingle_sets, text_slices, tidy
-from .components import components
+from .components import Groups, components
 from .idfilter import id_filter
 from .scratch import Scratch
+from .skew import join_by_key
 from .streams import groups
 
 #: Signature size, and the agreements that make a candidate. At a similarity of 0.85 the chance that fewer than 23 of 40
@@ -32,7 +33,8 @@ from .streams import groups
 #: fewer than 20 agree with a chance of 5.0e-6.
 COORDINATES, MATCHES = 40, 23
 PERCENT = 85
-BLOCK = 128
+#: Documents of a block of a cluster, signatures of a block of a posting list, and leaders that the blocks share.
+BLOCK, SIGNATURES = 128, 1024
 LEADERS = 4
 SCALE = seeds(COORDINATES, 23) | U(1)
 SHIFT = seeds(COORDINATES, 29)
@@ -64,44 +66,28 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "f1": as_long(f1), "f2": as_long(f2), "sig": sig})
 
 
-class Forest:
-    """Union-find over the rows of one task."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def top(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.top(i), self.top(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     a, b = zip(*found, strict=True) if found else ((), ())
     return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _agreeing(matches: int):
-    """Spanning links of the signatures in one posting list that agree in `matches` coordinates at least."""
+    """Spanning links of the signatures in one block of a posting list that agree in `matches` coordinates at least; those
+    with equal `comp` are linked already. Where a group has rows marked outside, only their links are looked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for table in groups(batches, ["key"]):
-            n = table.num_rows
-            ids = table.column("doc_id").to_pylist()
-            sig = table.column("sig").combine_chunks()
-            sig = sig.flatten().to_numpy().reshape(n, COORDINATES)
-            forest = Forest(n)
-            for i in range(n - 1):
-                for j in (np.flatnonzero((sig[i + 1 :] == sig[i]).sum(axis=1) >= matches) + i + 1).tolist():
-                    if forest.join(i, j):
-                        out.append((ids[i], ids[j]))
+        for table in groups(batches, ["key", "block", "other"]):
+            n, ids = table.num_rows, table.column("doc_id").to_numpy()
+            sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(n, COORDINATES)
+            outside = table.column("outside").to_numpy().astype(bool)
+            linked = Groups(n)
+            linked.label = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
+            for i in np.flatnonzero(outside).tolist() if outside.any() else range(n - 1):
+                rest = np.flatnonzero(linked.label != linked.label[i]) if outside.any() else np.flatnonzero(linked.label[i + 1 :] != linked.label[i]) + i + 1
+                near = rest[(sig[rest] == sig[i]).sum(axis=1) >= matches]
+                if len(near):
+                    out += [(int(ids[i]), int(ids[j])) for j in linked.join(i, near)]
             if len(out) > 10_000:
                 yield _pairs(out)
                 out = []
@@ -121,8 +107,8 @@ def similar_rows(sets: list[np.ndarray], i: int, order: np.ndarray, starts: np.n
     return np.flatnonzero(100 * shared >= percent * (sizes + len(sets[i]) - shared))
 
 
-def linked(sets: list[np.ndarray], wanted: np.ndarray, forest: Forest, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Spanning links, beyond those in the forest, between each wanted set and all sets."""
+def linked(sets: list[np.ndarray], wanted: np.ndarray, known: Groups, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Spanning links, beyond those known, between each wanted set and all sets."""
     full = [i for i, s in enumerate(sets) if len(s)]
     if len(full) < 2:
         return []
@@ -136,7 +122,8 @@ def linked(sets: list[np.ndarray], wanted: np.ndarray, forest: Forest, percent:
     out = []
     for i in np.flatnonzero(wanted).tolist():
         if len(sets[i]):
-            out += [(i, j) for j in similar_rows(sets, i, order, starts, ranks, percent).tolist() if j != i and forest.join(i, j)]
+            near = similar_rows(sets, i, order, starts, ranks, percent)
+            out += [(i, j) for j in known.join(i, near)]
     return out
 
 
@@ -149,13 +136,11 @@ def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for table in groups(batches, ["cluster", "block", "other"]):
-            ids, comp = table.column("doc_id").to_pylist(), table.column("comp").to_pylist()
-            outside = np.array(table.column("outside").to_pylist(), bool)
-            forest, first = Forest(len(ids)), {}
-            for i, c in enumerate(comp):
-                forest.join(i, first.setdefault(c, i))
+            ids, outside = table.column("doc_id").to_pylist(), table.column("outside").to_numpy().astype(bool)
+            known = Groups(len(ids))
+            known.label = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
             sets = [s for _, _, data, offsets in text_slices(table.column("text")) for s in shingle_sets(Words(data, offsets))]
-            out += [(ids[i], ids[j]) for i, j in linked(sets, outside if outside.any() else ~outside, forest, percent)]
+            out += [(ids[i], ids[j]) for i, j in linked(sets, outside if outside.any() else ~outside, known, percent)]
             if len(out) > 10_000:
                 yield _pairs(out)
                 out = []
@@ -169,19 +154,59 @@ def _confirm(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select(*keys, "doc_id", "comp", "outside", "text").repartition(*keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(tidy(_confirmed(percent)), "a long, b long")
 
 
+def dealt(members: DataFrame, group: str, block: int, scratch: Scratch) -> DataFrame:
+    """(group, block, other, doc_id, comp, outside): members (group, n, doc_id) of groups of n, in blocks of about `block`
+    members. Groups of more than one block have LEADERS members in all of them."""
+    one = members.where(F.col("n") <= block).select(group, F.lit(0).alias("block"), "doc_id")
+    large = scratch.cut(members.where(F.col("n") > block))
+    least = large.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[F.min(F.struct(F.xxhash64("doc_id", F.lit(i)), "doc_id"))["doc_id"].alias(f"l{i}") for i in range(LEADERS)])
+    total = large.count()
+    if total:
+        blocks = F.ceil(F.col("n") / block).cast("int")
+        leader = F.col("doc_id").isin(*[F.col(f"l{i}") for i in range(LEADERS)])
+        places = F.when(leader, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", F.lit(77)), blocks).cast("int")))
+        more = join_by_key(large.drop("n"), least, [group], "n", total).select(group, F.explode(places).alias("block"), "doc_id")
+        one = one.unionByName(more)
+    return one.withColumns({"other": F.lit(0), "comp": F.col("doc_id"), "outside": F.lit(False)})
+
+
+def left_out(members: DataFrame, group: str, block: int, found: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """The same for groups of more than one block, once their blocks' links make the components `found`: members outside
+    their group's main component meet all its members, block by block. None if there is no such group."""
+    large = members.where(F.col("n") > block)
+    placed = scratch.cut(large.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(group, "n", "doc_id", F.coalesce("component", "doc_id").alias("comp")))
+    total = placed.count()
+    if not total:
+        return None
+    of = placed.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n")).groupBy(group)
+    # of each group: its main component, and the members outside it
+    main = of.agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.first("n").alias("n"), (F.sum("m") - F.max("m")).alias("out")).where("out > 0")
+    grid = join_by_key(placed.drop("n"), main, [group], "n", total).withColumns({"outside": F.col("comp") != F.col("main"), "wide": F.ceil(F.col("out") / block).cast("int"), "high": F.ceil(F.col("n") / block).cast("int")})
+    mine = lambda c, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(c)).cast("int")
+    each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    wanted = grid.where("outside").select(group, mine("wide", 3).alias("block"), F.explode(each("high")).alias("other"), "doc_id", "comp", "outside")
+    against = grid.select(group, F.explode(each("wide")).alias("block"), mine("high", 4).alias("other"), "doc_id", "comp", F.lit(False).alias("outside"))
+    return wanted.unionByName(against)
+
+
 def candidate_clusters(sets: DataFrame, scratch: Scratch, matches: int = MATCHES) -> DataFrame:
     """(node, component): clusters of classes whose signatures agree often (sets: doc_id, sig)."""
     posts = sets.select("doc_id", F.posexplode("sig").alias("k", "v")).select("doc_id", F.xxhash64("k", "v").alias("key"))
-    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = posts.join(shared, "key").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("held"))  # 40 a document
+    shared = scratch.cut(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    held = join_by_key(posts, shared, ["key"], "n", sets.count() * COORDINATES)
+    held = held.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("held"))  # 40 a document
     prefix = held.where(F.size("held") >= matches).select("doc_id", F.explode(F.expr(f"slice(held, 1, size(held) - {matches - 1})")).alias("h"))
     lists = scratch.cut(prefix.select(F.col("h.key").alias("key"), "doc_id"))
-    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    # a long list is a cluster as it is: sets are compared there anyway
-    long_ = lists.join(sizes.where(F.col("n") > BLOCK), "key").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    short = lists.join(sizes.where(F.col("n") <= BLOCK).select("key"), "key").join(sets.select("doc_id", F.transform("sig", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("sig")), "doc_id")
-    agreed = short.select("key", "doc_id", "sig").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(tidy(_agreeing(matches)), "a long, b long")
-    return components(long_.unionByName(agreed), scratch)
+    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = scratch.cut(join_by_key(lists, sizes, ["key"], "n", lists.count()))
+    signs = sets.select("doc_id", F.transform("sig", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("sig"))
+    keys = ["key", "block", "other"]
+    agree = lambda rows: rows.join(signs, "doc_id").repartition(*keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(tidy(_agreeing(matches)), "a long, b long")
+    found = components(agree(dealt(members, "key", SIGNATURES, scratch)), scratch)
+    more = left_out(members, "key", SIGNATURES, found, scratch)
+    if more is not None:
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(scratch.cut(agree(more))), scratch)
+    return found
 
 
 def link_documents(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
@@ -198,38 +223,26 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, matches: int = MATCH
     made = scratch.cut(rows.mapInArrow(tidy(_signatures), "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>"))
     full = made.where("n_shingles > 0 and doc_id is not null")
     # equal sets: the least doc_id stands for its class
-    copies = full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")).where("rep <> most").drop("most")
-    copies = scratch.cut(full.select("doc_id", "n_shingles", "f1", "f2").join(copies, ["n_shingles", "f1", "f2"]).where("doc_id <> rep").select("doc_id", "rep"))
+    names = ["n_shingles", "f1", "f2"]
+    same = full.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("rep <> most").drop("most")
+    same = scratch.cut(same)
+    whole = full.count()
+    copies = scratch.cut(join_by_key(full.select("doc_id", *names), same, names, "n", whole).where("doc_id <> rep").select("doc_id", "rep"))
     reps = full.join(copies.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_shingles", "sig")
     clusters = scratch.cut(candidate_clusters(reps, scratch, matches).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
 
-    sizes = clusters.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("n"), *[F.min(F.struct(F.xxhash64("doc_id", F.lit(i)), "doc_id"))["doc_id"].alias(f"l{i}") for i in range(LEADERS)]
-    )
-    members = scratch.cut(clusters.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
-    texts = scratch.cut(rows.where(id_filter(members, "doc_id").may_hold("doc_id")).join(members, "doc_id"))
-    leader = F.col("doc_id").isin(*[F.col(f"l{i}") for i in range(LEADERS)])
-    places = F.when((F.col("blocks") > 1) & leader, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", F.lit(77)), "blocks").cast("int")))
-    dealt = texts.withColumn("block", F.explode(places)).withColumns({"other": F.lit(0), "comp": F.col("doc_id"), "outside": F.lit(False)})
-    links = scratch.cut(_confirm(dealt, percent))
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    members = scratch.cut(join_by_key(clusters, sizes, ["cluster"], "n", clusters.count()))
+    texts = scratch.cut(rows.where(id_filter(members, "doc_id").may_hold("doc_id")).join(members.select("doc_id"), "doc_id"))
+    links = scratch.cut(_confirm(dealt(members, "cluster", BLOCK, scratch).join(texts, "doc_id"), percent))
     found = components(links, scratch)
-
-    big = members.where("blocks > 1").select("doc_id", "cluster", "n")
-    if big.limit(1).count():
-        placed = scratch.cut(big.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")))
-        main = placed.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("cluster").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
-        out = scratch.cut(placed.select("doc_id", "cluster", "n", "comp").join(main, "cluster").withColumn("outside", F.col("comp") != F.col("main")))
-        counts = out.groupBy("cluster").agg(F.count_if("outside").alias("o")).where("o > 0")
-        grid = out.join(counts, "cluster").withColumns({"wide": F.ceil(F.col("o") / BLOCK).cast("int"), "high": F.ceil(F.col("n") / BLOCK).cast("int")})
-        mine = lambda c, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), c).cast("int")
-        each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-        wanted = grid.where("outside").select("doc_id", "cluster", "comp", "outside", mine("wide", 3).alias("block"), F.explode(each("high")).alias("other"))
-        against = grid.where("not outside or wide > 0").select("doc_id", "cluster", "comp", F.lit(False).alias("outside"), F.explode(each("wide")).alias("block"), mine("high", 4).alias("other"))
-        pairs = wanted.unionByName(against).join(texts.select("doc_id", "text"), "doc_id")
-        links = scratch.cut(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_confirm(pairs, percent)))
+    more = left_out(members, "cluster", BLOCK, found, scratch)
+    if more is not None:
+        links = scratch.cut(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_confirm(more.join(texts, "doc_id"), percent)))
         found = components(links, scratch)
 
     found = found.where("node <> component")
-    moved = copies.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("moved"))
+    told = same.select("rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("moved"))
+    moved = join_by_key(copies, told, ["rep"], "n", whole).select("doc_id", "moved")
     moved = moved.unionByName(found.select(F.col("node").alias("doc_id"), F.col("component").alias("moved"))).distinct()
     return made.select("doc_id", "n_shingles").join(moved, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("moved", "doc_id").alias("component_id"), F.coalesce(F.col("moved").isNull() | (F.col("moved") == F.col("doc_id")), F.lit(True)).alias("kept"))
