@@ -221,11 +221,30 @@ def test_items_against_brute_force(spark):
         kept = decontaminate.without_items(docs(spark, rows), table, block_bytes=block)
         assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {d for d, _, _ in want}
     assert len(want) > 10
+    assert {r["item_id"] for r in decontaminate.find_items(docs(spark, [(1, items[0][1] + " a", None, None, None)]), spark.createDataFrame([(0, items[0][1]), (1, "a")], "item_id long, text string"), shortest=5).collect()} == {0}
+    big = spark.createDataFrame([(5, items[1][1] * 3), (6, items[2][1]), (7, items[3][1] * 4)], "item_id long, text string")
+    found = decontaminate.find_items(docs(spark, [(i, t[1] * 4, None, None, None) for i, t in enumerate(items[:4])]), big, block_bytes=60).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 5), (2, 6), (3, 7)}
     assert decontaminate.find_items(docs(spark, []), table).count() == 0
     assert decontaminate.find_items(docs(spark), table.limit(0)).count() == 0
     assert decontaminate.without_items(docs(spark, clash=True), table).count() >= 1
 
 
+def test_registered_matches(spark):
+    """op10 over the whole table: every item that a text holds exactly is found, and each found one is within its budget."""
+    from tideframe.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: decontaminate.normal(r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    items = {r["item_id"]: decontaminate.normal(r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
+    got = {(r["doc_id"], r["item_id"]): r for r in queries.op10_edit_matching(spark, folder).collect()}
+    exact = {(d, i) for d, text in texts.items() for i, item in items.items() if item and item in text}
+    assert exact <= set(got)
+    for (d, i), r in got.items():
+        assert r["edits"] == plain_distance(items[i], texts[d][r["match_start"] : r["match_end"]]) <= int(len(items[i]) * decontaminate.ERROR_RATE)
+        assert (r["edits"] == 0) == ((d, i) in exact)
+
+
 def test_pipeline_stages(spark):
     folder = "/root/testdata/sf0.001"
     columns = spark.read.parquet(f"{folder}/documents.parquet").columns

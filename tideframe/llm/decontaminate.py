@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import tidy
+from .scratch import Scratch
 
 ERROR_RATE = 0.05
 #: Items of a block are held by every task; a larger benchmark is matched block by block.
 BLOCK_BYTES = 8 << 20
+Items = tuple[tuple[int, str], ...]
 
 
 def normal(text: str | None) -> str:
@@ -103,32 +105,40 @@ def _matcher(items: tuple[tuple[int, str], ...], error_rate: float) -> Matcher:
     return Matcher(items, error_rate)
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[tuple[tuple[int, str], ...]]:
-    """The items, normalised, in blocks of about block_bytes. Empty or null items and those without id match nothing."""
+def item_blocks(benchmark: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES, shortest: int = 1) -> Iterator[Items]:
+    """The items, normalised, in blocks of about block_bytes, one after the other: the driver holds one block at a time.
+
+    An item larger than block_bytes is a block by itself. Empty or null items, those without id and those of fewer than
+    `shortest` characters match nothing.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(size // block_bytes) + 1
-    out = []
+    items = scratch.cut(items.withColumn("size", F.octet_length("text").cast("long")))
+    small = items.where(F.col("size") <= block_bytes)
+    blocks = int((small.agg(F.sum("size")).first()[0] or 0) // block_bytes) + 1
+    kept = lambda rows: tuple(sorted((r["item_id"], t) for r in rows if len(t := normal(r["text"])) >= max(1, shortest)))
     for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        found = sorted((r["item_id"], t) for r in part if (t := normal(r["text"])))
-        if found:
-            out.append(tuple(found))
-    return out
+        if found := kept(small.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()):
+            yield found
+    for row in items.where(F.col("size") > block_bytes).toLocalIterator():
+        if found := kept([row]):
+            yield found
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES, shortest: int = 1) -> DataFrame:
     """One row for each document row and item found in it: doc_id, item_id, edits, match_start, match_end.
 
-    The place is in the normalised text; the fewest edits count, then the earliest place. Null texts match nothing; equal
-    rows are matched one by one; a null doc_id stays null. Items that share an id are matched as separate texts. Other
-    columns are ignored.
+    The place is in the normalised text; the fewest edits count, then the earliest place. An item of fewer than
+    1 / error_rate characters has no edits to spare and matches wherever it occurs exactly, so one of a letter or two
+    matches nearly all texts: `shortest` leaves such items out. Null texts match nothing; equal rows are matched one by
+    one; a null doc_id stays null. Items that share an id are matched as separate texts. Other columns are ignored. A
+    benchmark of several blocks is searched one block at a time, each found table written before the next.
     """
+    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, edits int, match_start long, match_end long"
 
-    def search(items):
-        shared = docs.sparkSession.sparkContext.broadcast(items)  # block_bytes at most
+    def search(items: Items) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(items)  # block_bytes, or one item
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(shared.value, error_rate)
@@ -140,21 +150,39 @@ def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
 
         return rows.mapInArrow(tidy(run), schema)
 
-    out = None
-    for items in item_blocks(benchmark, block_bytes):
-        out = search(items) if out is None else out.unionByName(search(items))
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    blocks = item_blocks(benchmark, scratch, block_bytes, shortest)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    if second is None:
+        return search(first)
+    out = scratch.cut(search(first)).unionByName(scratch.cut(search(second)))
+    for items in blocks:
+        out = out.unionByName(scratch.cut(search(items)))
+    return out
+
 
+def without_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES, shortest: int = 1) -> DataFrame:
+    """The rows of docs, all columns, whose text holds no item. Null and empty texts hold none; repeated rows stay or go
+    together. With several blocks the rows left by one are written before the next."""
+    scratch = Scratch(docs.sparkSession)
 
-def without_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, all columns, whose text holds no item."""
-    for items in item_blocks(benchmark, block_bytes):
+    def clean(docs: DataFrame, items: Items) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(shared.value, error_rate)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.matches(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(tidy(run), docs.schema)
-    return docs
+        return docs.mapInArrow(tidy(run), docs.schema)
+
+    waiting, before = None, None
+    for items in item_blocks(benchmark, scratch, block_bytes, shortest):
+        if waiting is not None:
+            docs, last = scratch.cut(clean(docs, waiting)), docs
+            if before is not None:
+                scratch.drop(last)
+            before = docs
+        waiting = items
+    return docs if waiting is None else clean(docs, waiting)
