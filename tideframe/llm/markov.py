@@ -26,6 +26,8 @@ STATES = 8
 SYMBOL_WORDS, CLASSES, HEAD_WORDS = 8192, 2048, 60_000
 SEGMENT = 256
 PASSES = 10
+#: Tokens that a Baum-Welch step runs over at once.
+EXPECTED_TOKENS = 400_000
 #: Counts of the unigram law that each state's emissions are smoothed with: so many, or a part of a state's share of the tokens.
 SMOOTHING, SMOOTHED_PART = 300.0, 0.05
 END = np.int64(0x3C6EF372FE94F82B)
@@ -161,36 +163,40 @@ class Chain:
 
 
 def expected_counts(chain: Chain, sequences: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch sums over sequences: of start states, of moves, and of emissions (symbols x S)."""
-    order = np.argsort([-len(s) for s in sequences], kind="stable")
-    sequences, first = [sequences[i] for i in order], first[order]
-    lengths = np.array([len(s) for s in sequences])
-    grid = np.zeros((lengths[0], len(sequences)), np.int64)
-    for i, s in enumerate(sequences):
-        grid[: len(s), i] = s
-    active = [int((lengths > t).sum()) for t in range(lengths[0])]
-    alpha, scale = [], []
-    a = np.where(first[:, None], chain.start, chain.middle) * chain.emit[grid[0]]
+    """Baum-Welch sums over sequences: of start states, of moves, and of emissions (symbols x S).
+
+    Columns are tokens, step after step, the longest sequence's first; rows are states. Every step is scaled to one, so
+    single precision is enough; sums are in double.
+    """
+    order = np.argsort([-len(s) for s in sequences], kind="stable").tolist()
+    lengths, first = np.array([len(sequences[i]) for i in order]), first[order]
+    active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left").tolist()  # how many are longer than t
+    cut = np.concatenate([[0], np.cumsum(active)]).tolist()
+    begin = np.cumsum(lengths) - lengths
+    symbols = np.concatenate([sequences[i] for i in order])[np.concatenate([begin[:n] + t for t, n in enumerate(active)])].astype(np.int64)
+    seen = np.ascontiguousarray(chain.emit.T, np.float32).take(symbols, axis=1)
+    move = chain.move.astype(np.float32)
+    forth, alpha = np.ascontiguousarray(move.T), np.empty_like(seen)
+    a = np.where(first, chain.start[:, None], chain.middle[:, None]).astype(np.float32)
     for t, n in enumerate(active):
-        if t:
-            a = (a[:n] @ chain.move) * chain.emit[grid[t, :n]]
-        c = a.sum(axis=1, keepdims=True)
-        a = a / c
-        alpha.append(a)
-        scale.append(c)
-    moves, gammas = np.zeros_like(chain.move), [None] * len(active)
-    beta = np.ones_like(alpha[-1])
-    for t in range(len(active) - 1, -1, -1):
-        n = active[t]
-        if t + 1 < len(active):
-            after = beta * chain.emit[grid[t + 1, : active[t + 1]]] / scale[t + 1]
-            moves += alpha[t][: active[t + 1]].T @ after
-            beta = np.vstack([after @ chain.move.T, np.ones((n - active[t + 1], chain.move.shape[0]))])
-        gamma = alpha[t] * beta
-        gammas[t] = gamma / gamma.sum(axis=1, keepdims=True)
-    symbols, gamma = np.concatenate([grid[t, :n] for t, n in enumerate(active)]), np.concatenate(gammas)
-    emissions = np.stack([np.bincount(symbols, gamma[:, s], len(chain.emit)) for s in range(gamma.shape[1])], axis=1)
-    return gammas[0][first].sum(axis=0), moves * chain.move, emissions
+        here = slice(cut[t], cut[t + 1])
+        a = (forth @ a[:, :n] if t else a) * seen[:, here]
+        scale = a.sum(axis=0)
+        a /= scale
+        seen[:, here] /= scale
+        alpha[:, here] = a
+    moves, beta = np.zeros(chain.move.shape), np.ones((len(move), active[-1]), np.float32)
+    for t in range(len(active) - 1, 0, -1):
+        n, here = active[t], slice(cut[t], cut[t + 1])
+        after = beta * seen[:, here]
+        moves += alpha[:, cut[t - 1] : cut[t - 1] + n] @ after.T
+        alpha[:, here] *= beta
+        beta = np.ones((len(move), active[t - 1]), np.float32)
+        np.matmul(move, after, out=beta[:, :n])
+    alpha[:, : cut[1]] *= beta
+    alpha /= alpha.sum(axis=0)
+    emissions = np.stack([np.bincount(symbols, g, len(chain.emit)) for g in alpha], axis=1)
+    return alpha[:, : cut[1]][:, first].sum(axis=1, dtype=np.float64), moves * chain.move, emissions
 
 
 def _expect(shared):
@@ -215,7 +221,7 @@ def _expect(shared):
                     held.append(ids[at : at + SEGMENT])
                     first.append(at == 0)
                     size += len(held[-1])
-                    if size >= 400_000:
+                    if size >= EXPECTED_TOKENS:
                         add()
         add()
         used = np.flatnonzero(emissions.any(axis=1))
