@@ -124,18 +124,19 @@ class Index:
         return np.split(found, np.searchsorted(owner, np.arange(1, len(x))))
 
     def distances(self, queries: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric squared distances of queries to coded vectors of some lists: a table lookup in each subspace."""
-        out = np.empty((len(queries), len(codes)), np.float32)
+        """Asymmetric squared distances of queries to coded vectors of some lists: a table lookup in each subspace, which
+        takes a row of all queries' distances for each code."""
+        out = np.empty((len(codes), len(queries)), np.float32)
         for at in np.unique(lists):
             here = np.flatnonzero(lists == at)
             rest = queries - self.centre(np.array([at]))
-            total = np.zeros((len(queries), len(here)), np.float32)
+            total, found = np.zeros((len(here), len(queries)), np.float32), np.empty((len(here), len(queries)), np.float32)
             for s, book in enumerate(self.books):
                 part = rest[:, self.bounds[s] : self.bounds[s + 1]]
-                table = ((part**2).sum(axis=1)[:, None] - 2 * part @ book.T + (book**2).sum(axis=1)).astype(np.float32)
-                total += table[:, codes[here, s]]
-            out[:, here] = total
-        return np.maximum(0, out)
+                table = ((book**2).sum(axis=1)[:, None] - 2 * book @ part.T + (part**2).sum(axis=1)).astype(np.float32)
+                total += np.take(table, codes[here, s], axis=0, out=found, mode="clip")
+            out[here] = total
+        return np.maximum(0, out, out=out).T
 
 
 def fit(sample: np.ndarray, rows: int, least: float = LEAST, seed: int = 5) -> Index:
@@ -199,7 +200,7 @@ FOUND = "a long, h long, b long, links long"
 def _search(shared, least: float):
     """Links of each (key, list, block, other) task: counts as (rep, h, null, count), spanning links as (rep, h, rep, null).
 
-    Stored rows meet asked ones, and each other where other is 0."""
+    Stored rows meet visiting ones, and each other where other is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
@@ -213,23 +214,29 @@ def _search(shared, least: float):
         for table in groups(batches, ["key", "list", "block", "other"]):
             rep, h, weight = (table.column(c).to_numpy() for c in ("rep", "h", "copies"))
             stored = table.column("stored").to_numpy().astype(bool)
-            own = np.flatnonzero(stored)
-            inner = table.column("other")[0].as_py() == 0
-            asked = np.arange(len(rep)) if inner else np.flatnonzero(~stored)
+            own, others = np.flatnonzero(stored), np.flatnonzero(~stored)
             x, unit = units(table.column("v").combine_chunks())
             length = np.sqrt((x**2).sum(axis=1))
             at, error = table.column("at").to_numpy()[own], table.column("error").to_numpy()[own]
             coded = at[0] >= 0 if len(own) else False
             codes = np.stack([np.frombuffer(c, np.uint8) for c in table.column("codes").to_pylist()])[own] if coded else None
             linked, count = Groups(len(rep)), np.zeros(len(rep))
-            for lo in range(0, len(asked) if len(own) else 0, 256):
-                q = asked[lo : lo + 256]
-                near = index.distances(unit[q], at, codes) <= (np.float32(index.reach) + error + np.float32(1e-4)) ** 2 if coded else np.ones((len(q), len(own)), bool)
-                near &= own[None, :] != q[:, None]
+            inner = table.column("other")[0].as_py() == 0
+            # stored rows meet those after them, visitors all stored ones: each pair is seen once and counts for both
+            tasks = [(own[lo : lo + 256], lo) for lo in range(0, len(own), 256)] if inner else []
+            tasks += [(others[lo : lo + 256], None) for lo in range(0, len(others) if len(own) else 0, 256)]
+            for q, lo in tasks:
+                rest = slice(lo or 0, None)
+                if coded:
+                    near = index.distances(unit[q], at[rest], codes[rest]) <= (np.float32(index.reach) + error[rest] + np.float32(1e-4)) ** 2
+                else:
+                    near = np.ones((len(q), len(own[rest])), bool)
+                if lo is not None:
+                    near &= np.arange(near.shape[1]) > np.arange(len(q))[:, None]
                 some, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
                 if not len(some):
                     continue
-                q, cols = q[some], own[columns]
+                q, cols = q[some], own[rest][columns]
                 near = near[np.ix_(some, columns)]
                 cosine = x[q] @ x[cols].T / (length[q][:, None] * length[cols])
                 i, j = np.nonzero(near & (np.abs(cosine - least) < 1e-9))  # sums in another order may fall on the other side
@@ -237,9 +244,7 @@ def _search(shared, least: float):
                     cosine[i, j] = np.einsum("ij,ij->i", x[q[i]], x[cols[j]]) / np.sqrt(np.einsum("ij,ij->i", x[q[i]], x[q[i]]) * np.einsum("ij,ij->i", x[cols[j]], x[cols[j]]))
                 hit = near & (cosine >= least)
                 count[q] += hit @ weight[cols]
-                visiting = ~stored[q]
-                if visiting.any():  # a stored row that is met as one that asks counts for itself there
-                    np.add.at(count, cols, hit[visiting].T @ weight[q[visiting]])
+                count[cols] += hit.T @ weight[q]
                 for k in np.flatnonzero(hit.any(axis=1)).tolist():
                     met = cols[hit[k]]
                     met = met[linked.label[met] != linked.label[q[k]]]
