@@ -107,3 +107,12 @@ def union_assets(parts: list[DataFrame]) -> DataFrame:
     rows = reduce(DataFrame.unionByName, marked)
     last = W.partitionBy("instrument", "t").orderBy(F.desc("_part"))
     return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_part")
+
+
+def segments(bars: DataFrame, expected: int) -> DataFrame:
+    """bars with segment: how many rolls, jumps between sessions far beyond the usual, lie at or before their session."""
+    jumps = roll_jumps(bars, expected).select("instrument", "session", "is_roll")
+    days = bars.select("instrument", "session").distinct().join(jumps, ["instrument", "session"], "left")
+    upto = W.partitionBy("instrument").orderBy("session").rowsBetween(W.unboundedPreceding, 0)  # a row a session
+    days = days.select("instrument", "session", F.sum(F.coalesce("is_roll", F.lit(False)).cast("long")).over(upto).alias("segment"))
+    return bars.join(days, ["instrument", "session"])

@@ -91,3 +91,22 @@ def fan(draws: DataFrame) -> DataFrame:
     """Five, fifty and ninety-five per cent levels of the resampled mean, total and drawdown."""
     levels = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
     return draws.agg(*[F.percentile(c, levels).alias(c) for c in ("mean", "total", "drawdown")])
+
+
+def repeatable_draw(seed):
+    """A number in [0, 1) of a non-negative long column, by three steps of a multiplicative generator any engine can repeat."""
+    x = F.pmod(seed, F.lit(2147483646)) + 1
+    for _ in range(3):
+        x = F.pmod(x * 48271, F.lit(2147483647))
+    return x / 2147483647.0
+
+
+def sign_permutation(rows: DataFrame, keys: list[str], value: str, seed, draws: int) -> DataFrame:
+    """Total of a value by keys, and the share of draws of random signs whose total is as great (the real one counts too).
+
+    seed: a long column that tells rows apart. Every task sums all draws of its own rows, so rows are not copied in a shuffle.
+    """
+    sign = lambda k: F.when(repeatable_draw(F.col("_s") + 1000003 * k) < 0.5, 1).otherwise(-1)
+    drawn = rows.withColumn("_s", seed).groupBy(*keys).agg(F.sum(value).alias("total"), *[F.sum(sign(k) * F.col(value)).alias(f"_d{k}") for k in range(1, draws + 1)])
+    greater = sum(((F.col(f"_d{k}") >= F.col("total")).cast("int") for k in range(2, draws + 1)), (F.col("_d1") >= F.col("total")).cast("int"))
+    return drawn.select(*keys, "total", ((1 + greater) / (draws + 1)).alias("p"))

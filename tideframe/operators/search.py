@@ -93,3 +93,14 @@ def verdict(sheet: DataFrame) -> DataFrame:
     gates = {"trades": F.col("n") >= 100, "edge": F.col("mean_r") > 0, "psr": F.col("psr") >= 0.95, "dsr": F.col("dsr") >= 0.95, "pbo": F.col("pbo") <= 0.2, "out_of_sample": F.col("os_mean") > 0}
     items = F.array(*[F.struct(F.lit(k).alias("item"), F.when(c.isNull(), "missing").when(c, "passed").otherwise("failed").alias("state")) for k, c in gates.items()])
     return sheet.select("*", F.explode(items).alias("x")).select(*sheet.columns, "x.item", "x.state")
+
+
+def purged_folds(days: DataFrame, day: str, value: str, folds: int, before: int, after: int) -> DataFrame:
+    """Consecutive folds of near-equal size: days and mean value of each, and of the days that may train for it, which are more
+    than `before` days ahead of it or `after` behind it. days: one row a day, so one window over all of them is small."""
+    everything = W.partitionBy(F.lit(1))
+    rows = days.withColumn("fold", F.floor((F.row_number().over(everything.orderBy(day)) - 1) * folds / F.count(F.lit(1)).over(everything)).cast("int"))
+    ends = rows.groupBy("fold").agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
+    both = rows.withColumnRenamed("fold", "_own").crossJoin(F.broadcast(ends))  # folds: a parameter, few
+    test, train = F.col("_own") == F.col("fold"), (F.col(day) < F.col("_lo") - before) | (F.col(day) > F.col("_hi") + after)
+    return both.groupBy("fold").agg(F.count_if(test).alias("test_days"), F.count_if(train).alias("train_days"), F.avg(F.when(test, F.col(value))).alias("test_mean"), F.avg(F.when(train, F.col(value))).alias("train_mean"))

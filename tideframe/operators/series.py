@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import factorial, log2
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -168,14 +170,79 @@ def hidden_states(rows: DataFrame, series: list[str], order: str, value: str, st
     return rows.groupBy(*series).applyInPandas(fit, schema)
 
 
-def correlation_spectrum(panel: DataFrame, values: list[str]) -> DataFrame:
-    """Eigenvalues of the correlations of columns, and the edges that pure noise would have. Correlations are one aggregate."""
-    pairs = [(i, j) for i in range(len(values)) for j in range(i + 1, len(values))]
-    row = panel.agg(F.count(F.lit(1)).alias("n"), *[F.corr(values[i], values[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    matrix = np.eye(len(values))
-    for i, j in pairs:
-        matrix[i, j] = matrix[j, i] = row[f"c{i}_{j}"] or 0.0
-    found, ratio = np.sort(np.linalg.eigvalsh(matrix))[::-1], len(values) / max(1, row["n"])
-    rows = [(k, float(v), float((1 - ratio**0.5) ** 2), float((1 + ratio**0.5) ** 2)) for k, v in enumerate(found)]
-    return panel.sparkSession.createDataFrame(rows, "rank int, eigenvalue double, noise_low double, noise_high double")
+def correlation_spectrum(rows: DataFrame, vector: str) -> DataFrame:
+    """Eigenvalues of the correlations of an array column's coordinates, and the edges that pure noise would have.
 
+    Each task sums its own products; the driver sees one matrix, the square of the width. Rows that are null, not finite or
+    of another width than the first sound row's are left out.
+    """
+    width = rows.where(F.size(vector) > 0).select(F.size(vector).alias("w")).first()
+    schema = "rank int, eigenvalue double, noise_low double, noise_high double"
+    if width is None:
+        return rows.sparkSession.createDataFrame([], schema)
+    k = width["w"]
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k + 1, k + 1))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, k)
+            x = x[np.isfinite(x).all(axis=1)]
+            x = np.hstack([np.ones((len(x), 1)), x])
+            total += x.T @ x
+        i, j = np.indices(total.shape)
+        yield pa.record_batch({"i": i.ravel().astype(np.int32), "j": j.ravel().astype(np.int32), "s": total.ravel()})
+
+    sums = rows.where(F.size(vector) == k).select(F.col(vector).cast("array<double>").alias("x")).mapInArrow(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
+    total = np.zeros((k + 1, k + 1))
+    total[sums.i, sums.j] = sums.s
+    n = max(1.0, total[0, 0])
+    mean = total[0, 1:] / n
+    spread = total[1:, 1:] / n - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(spread), 0))
+    matrix = np.where(np.outer(sd, sd) > 0, spread / np.maximum(1e-300, np.outer(sd, sd)), 0.0)
+    np.fill_diagonal(matrix, 1.0)
+    found, ratio = np.sort(np.linalg.eigvalsh(matrix))[::-1], k / n
+    return rows.sparkSession.createDataFrame([(r, float(v), float((1 - ratio**0.5) ** 2), float((1 + ratio**0.5) ** 2)) for r, v in enumerate(found)], schema)
+
+
+def robust_ratio(returns: DataFrame, series: list[str], q: int, order: str = "t") -> DataFrame:
+    """Variance ratio of q steps with the factor for finite segments, summed over segments longer than q, and its z under
+    changing variance (Lo and MacKinlay). Null z where products of squares are nought; no row without variance."""
+    seg, every = W.partitionBy(*series, "segment"), W.partitionBy(*series)
+    last = seg.orderBy(order).rowsBetween(1 - q, 0)
+    rows = returns.withColumns({"m": F.avg("ret").over(every), "len": F.count("ret").over(seg), "wide": F.when(F.count("ret").over(last) == q, F.sum("ret").over(last))})
+    rows = rows.withColumn("d", F.pow(F.col("ret") - F.col("m"), 2))
+    long = F.col("len") > q
+    first = F.row_number().over(seg.orderBy(order)) == 1
+    rows = rows.withColumns({"weight": F.when(long & first, q * (F.col("len") - q + 1) * (1 - q / F.col("len"))), **{f"p{j}": F.col("d") * F.lag("d", j).over(seg.orderBy(order)) for j in range(1, q)}})
+    sums = rows.groupBy(*series).agg(
+        F.var_samp("ret").alias("one"), F.sum(F.when(long, F.pow(F.col("wide") - q * F.col("m"), 2))).alias("many"), F.sum("weight").alias("weight"), F.sum("d").alias("total"), *[F.coalesce(F.sum(f"p{j}"), F.lit(0.0)).alias(f"p{j}") for j in range(1, q)]
+    )
+    psi = sum(((2 * (q - j) / q) ** 2 * F.col(f"p{j}") for j in range(2, q)), (2 * (q - 1) / q) ** 2 * F.col("p1")) / (F.col("total") * F.col("total"))
+    return sums.where("one > 0 and weight is not null").withColumn("vr", F.try_divide(F.col("many"), F.col("weight")) / F.col("one")).withColumn("psi", psi).select(*series, "vr", F.when(F.col("psi") > 0, (F.col("vr") - 1) / F.sqrt("psi")).alias("z"))
+
+
+def tail_levels(rows: DataFrame, series: list[str], value: str, level: float, confidence: float) -> DataFrame:
+    """Value at risk and expected shortfall at a confidence, by the law of what exceeds a quantile; no shortfall if the law
+    has no mean."""
+    law = excess_law(rows, series, value, level).join(rows.groupBy(*series).agg(F.count(F.lit(1)).alias("n")), series)
+    ratio = (1 - confidence) / (F.col("exceedances") / F.col("n"))
+    risk = F.when(F.abs("shape") < 1e-9, F.col("u") - F.col("scale") * F.log(ratio)).otherwise(F.col("u") + F.col("scale") / F.col("shape") * (F.pow(ratio, -F.col("shape")) - 1))
+    law = law.withColumn("value_at_risk", risk)
+    return law.select(*series, "value_at_risk", F.when(F.col("shape") < 1, (F.col("value_at_risk") + F.col("scale") - F.col("shape") * F.col("u")) / (1 - F.col("shape"))).alias("shortfall"))
+
+
+def restricted_mean(curve: DataFrame, keys: list[str], time: str, end: float) -> DataFrame:
+    """Area under a survival curve (time, survival; 1 before the first time) up to `end`."""
+    w = W.partitionBy(*keys).orderBy(time)
+    rows = curve.withColumns({"_before": F.coalesce(F.lag("survival").over(w), F.lit(1.0)), "_since": F.coalesce(F.lag(time).over(w), F.lit(0)), "_next": F.lead(time).over(w)})
+    inside = F.when(F.col("_since") < end, F.col("_before") * (F.least(F.col(time), F.lit(end)) - F.col("_since"))).otherwise(0.0)
+    tail = F.when(F.col("_next").isNull() & (F.col(time) < end), F.col("survival") * (end - F.col(time))).otherwise(0.0)
+    return rows.groupBy(*keys).agg((F.sum(inside) + F.sum(tail)).alias("rmst"))
+
+
+def branching(dispersed: DataFrame, keys: list[str]) -> DataFrame:
+    """Branching ratio n of self-exciting counts, whose variance over mean is 1 / (1 - n)**2, and the events that one brings
+    in all, 1 / (1 - n); no branching where counts are no wider than by chance."""
+    wide = F.col("fano") > 1
+    return dispersed.select(*keys, F.when(wide, 1 - 1 / F.sqrt("fano")).otherwise(0.0).alias("branching"), F.when(wide, F.sqrt("fano")).otherwise(1.0).alias("response"))

@@ -144,3 +144,29 @@ def cluster_statistic(trades: DataFrame, day: str, r: str, tau: str, weight: str
     mu = days.agg((F.sum("a") / F.sum("b")).alias("mu"))
     v = days.crossJoin(F.broadcast(mu)).agg(F.first("mu").alias("mu"), F.sum("b").alias("b"), F.sum(F.pow(F.col("a") - F.col("mu") * F.col("b"), 2)).alias("v"), F.count(F.lit(1)).alias("clusters"))
     return v.select("mu", "clusters", (F.col("b") * F.col("b") / F.col("v")).alias("information"), (F.col("mu") * F.col("b") / F.sqrt("v")).alias("z"))
+
+
+def rolling_sortino(trades: DataFrame, keys: list[str], order: list[str], value: str, width: int) -> DataFrame:
+    """Mean over downside deviation of the last `width` records, null until there are so many or without a loss."""
+    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(1 - width, 0)
+    x = F.col(value)
+    below = F.sqrt(F.avg(F.pow(F.least(x, F.lit(0.0)), 2)).over(w))
+    return trades.withColumn("rolling", F.when(F.count(x).over(w) == width, ratio(F.avg(x).over(w), below)))
+
+
+def curve_sheet(trades: DataFrame, keys: list[str], order: list[str], pnl4: str, day: str) -> DataFrame:
+    """Figures of an equity curve (results in 1e-4, shown in units of 100): greatest drawdown, ulcer index, and the total
+    over each; the result of a year of calendar days; the fit of a line; gain to pain."""
+    upto = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = trades.withColumns({"_e": F.sum(pnl4).over(upto) / 1e6, "_i": F.count(F.lit(1)).over(upto).cast("double")})
+    rows = rows.withColumn("_d", F.greatest(F.lit(0.0), F.max("_e").over(upto)) - F.col("_e"))
+    x = F.col(pnl4) / 1e6
+    made = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.max_by("_e", "_i").alias("total"), F.max("_d").alias("max_drawdown"), F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("ulcer"), F.avg("_d").alias("pain"),
+        (F.max(day) - F.min(day) + 1).alias("days"), F.regr_r2("_e", "_i").alias("straightness"), F.sum(F.greatest(x, F.lit(0.0))).alias("gain"), F.sum(F.greatest(-x, F.lit(0.0))).alias("loss"),
+    )
+    yearly = F.col("total") / F.col("days") * 365.25
+    return made.select(
+        *keys, "n", "max_drawdown", "ulcer", ratio(F.col("total"), F.col("max_drawdown")).alias("recovery"), yearly.alias("yearly"), ratio(yearly, F.col("max_drawdown")).alias("calmar"),
+        ratio(F.col("total"), F.col("ulcer")).alias("martin"), ratio(F.col("total"), F.col("pain")).alias("pain_ratio"), "straightness", ratio(F.col("gain") - F.col("loss"), F.col("loss")).alias("gain_to_pain"),
+    )

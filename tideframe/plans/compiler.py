@@ -1,7 +1,8 @@
 """Compilation of operands and conditions to columns of a bar frame.
 
-The frame has instrument, t (strictly rising inside an instrument), session, sessmin, o, h, l, c, v. Each distinct operand
-becomes one column, found again by its canonical text. Series windows run across sessions of an instrument; anchored ones
+The frame has instrument, t (strictly rising inside an instrument), session, sessmin, o, h, l, c, v, and may have segment, a
+number that changes where prices jump (operators.bars.segments). Each distinct operand becomes one column, found again by its
+canonical text. Series windows run across sessions of an instrument, but never from one segment into the next; anchored ones
 restart with the session. An undefined operand is null, and conditions follow SQL's three-valued logic.
 """
 
@@ -29,14 +30,14 @@ class Compiler:
 
     def __init__(self, bars: DataFrame, anchor: tuple[int, int] = (0, 1 << 30), expected: int = 24, levels: DataFrame | None = None, news: DataFrame | None = None, tick: float = 0.01):
         self.anchor, self.expected, self.levels, self.news, self.tick = anchor, expected, levels, news, tick
+        self.keys = ["instrument", *(["segment"] if "segment" in bars.columns else [])]
         self.frame = bars.withColumn("anchored", F.col("sessmin").between(*anchor))
         first = F.row_number().over(W.partitionBy("instrument", "session", "anchored").orderBy("t")) == 1
         self.frame = self.frame.withColumn("edge", (first & F.col("anchored")) | F.lag("t").over(self.series()).isNull())
         self.names: dict[str, str] = {}
 
-    @staticmethod
-    def series() -> W:
-        return W.partitionBy("instrument").orderBy("t")
+    def series(self) -> W:
+        return W.partitionBy(*self.keys).orderBy("t")
 
     @staticmethod
     def inside() -> W:
@@ -105,12 +106,12 @@ class Compiler:
         name = self.add(key + "#in", value)
         gaps = F.sum(F.col(name).isNull().cast("int")).over(self.series().rowsBetween(W.unboundedPreceding, 0))
         run = self.add(key + "#run", gaps)
-        order = W.partitionBy("instrument", run).orderBy("t")
+        order = W.partitionBy(*self.keys, run).orderBy("t")
         place = self.add(key + "#place", F.when(F.col(name).isNotNull(), F.sum(F.col(name).isNotNull().cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))))
         seed = self.add(key + "#seed", F.avg(name).over(order.rowsBetween(1 - n, 0)))
         rank = F.when(F.col(place) >= n, F.col(place) - n)
         term = F.when(F.col(place) > n, F.col(name) * weight).when(F.col(place) == n, F.col(seed))
-        helpers, local, carry = decaying_sum(rank, term, keep, ["instrument", run])
+        helpers, local, carry = decaying_sum(rank, term, keep, [*self.keys, run])
         self.frame = self.frame.withColumns(helpers).withColumn("_local", local)
         out = self.add(key + "#out", F.when(F.col(place) >= n, F.col("_local") + F.coalesce(carry, F.lit(0.0))))
         self.frame = self.frame.drop(*helpers, "_local")
@@ -150,7 +151,9 @@ class Compiler:
         return F.when(F.col("anchored"), value)
 
     def _rvol(self, x: dict) -> Column:
-        before = W.partitionBy("instrument", "sessmin").orderBy("session").rangeBetween(-int(x["n"]), -1)
+        """Volume over its mean at the same bar of the n sessions before, as sessions of the instrument follow each other."""
+        place = self.add("session#", F.dense_rank().over(W.partitionBy("instrument").orderBy("session")))
+        before = W.partitionBy("instrument", "sessmin").orderBy(place).rangeBetween(-int(x["n"]), -1)
         return F.when(F.sum("v").over(before) > 0, F.try_divide(F.col("v"), F.avg("v").over(before)))
 
     def _sess(self, x: dict) -> Column:
@@ -334,7 +337,7 @@ class Compiler:
 
     def executable(self) -> Column:
         """0: the next bar follows in the session; 1: the session ends here; 2: a bar is missing."""
-        w = self.series()
+        w = W.partitionBy("instrument").orderBy("t")
         after, day = F.lead("t").over(w), F.lead("session").over(w)
         return F.when(after.isNull() | (day != F.col("session")), 1).when(after != F.col("t") + 1, 2).otherwise(0)
 

@@ -35,11 +35,12 @@ levels AS (SELECT session, 'S2' AS name, S2 AS price FROM lv UNION ALL SELECT se
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A news item in the hour of every 37th event, impact 1 to 3."""
-    return I.ticks(spark, sf_dir).where("event_id % 37 = 0").select(F.floor(F.col("sec") / 3600).alias("t"), (F.pmod(F.col("event_id"), F.lit(3)) + 1).cast("int").alias("impact"))
+    """A news item in the hour of every event, its impact by its price: 3 from 99, 2 from 95, else 1."""
+    price = F.col("price")
+    return I.ticks(spark, sf_dir).select(F.floor(F.col("sec") / 3600).alias("t"), F.when(price >= 99, 3).when(price >= 95, 2).otherwise(1).alias("impact"))
 
 
-NEWS = "news AS (SELECT CAST(floor(sec / 3600.0) AS BIGINT) AS t, CAST(event_id % 3 + 1 AS INTEGER) AS impact FROM ticks WHERE event_id % 37 = 0)"
+NEWS = "news AS (SELECT CAST(floor(sec / 3600.0) AS BIGINT) AS t, CASE WHEN price >= 99 THEN 3 WHEN price >= 95 THEN 2 ELSE 1 END AS impact FROM ticks)"
 
 
 def all_news(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +160,7 @@ operand("sma", {"ind": "sma", "n": 12}, f"WITH {FRAME} SELECT instrument, t, CAS
 operand("rolling_sd", {"ind": "sd", "n": 12}, f"WITH {FRAME} SELECT instrument, t, CASE WHEN count(c) OVER x = 12 THEN stddev_pop(c) OVER x END AS value FROM fx WINDOW x AS (PARTITION BY instrument ORDER BY t ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)")
 operand("highest_high", {"ind": "hh", "n": 10}, f"WITH {FRAME} SELECT instrument, t, CASE WHEN count(h) OVER x = 10 THEN max(h) OVER x END AS value FROM fx WINDOW x AS (PARTITION BY instrument ORDER BY t ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)")
 operand("lowest_low", {"ind": "ll", "n": 10}, f"WITH {FRAME} SELECT instrument, t, CASE WHEN count(l) OVER x = 10 THEN min(l) OVER x END AS value FROM fx WINDOW x AS (PARTITION BY instrument ORDER BY t ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)")
-operand("rvol", {"ind": "rvol", "n": 5}, f"WITH {FRAME} SELECT instrument, t, CASE WHEN sum(v) OVER x > 0 THEN v / avg(v) OVER x END AS value FROM fx WINDOW x AS (PARTITION BY instrument, sessmin ORDER BY session RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING)")
+operand("rvol", {"ind": "rvol", "n": 5}, f"WITH {FRAME}, so AS (SELECT *, dense_rank() OVER (PARTITION BY instrument ORDER BY session) AS place FROM fx) SELECT instrument, t, CASE WHEN sum(v) OVER x > 0 THEN v / avg(v) OVER x END AS value FROM so WINDOW x AS (PARTITION BY instrument, sessmin ORDER BY place RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING)")
 operand("session_running_high", {"ind": "sess", "field": "high"}, f"WITH {FRAME} SELECT instrument, t, CASE WHEN anchored THEN max(h) OVER (PARTITION BY instrument, session, anchored ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS value FROM fx")
 operand(
     "opening_range_mid",
@@ -216,6 +217,51 @@ SELECT nb.instrument, nb.t, CASE WHEN u = 0 AND d = 0 THEN 50.0 WHEN d = 0 THEN
 )
 
 
+# series that stop at rolls
+
+
+def rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars whose prices go up by 1,000 on the twentieth day of the table, as an unadjusted roll would, with their segments."""
+    bars = I.bars(spark, sf_dir)
+    day = bars.agg((F.min("session") + 20).alias("_day"))
+    jump = F.when(F.col("session") >= F.col("_day"), 1000.0).otherwise(0.0)
+    bars = bars.crossJoin(F.broadcast(day)).withColumns({x: F.col(x) + jump for x in "ohlc"}).drop("_day")
+    return B.segments(bars, 24)
+
+
+ROLLED = f"""{BARS}, rb AS (SELECT instrument, t, session, sessmin, o + j AS o, h + j AS h, l + j AS l, c + j AS c, v, n FROM (SELECT *, CASE WHEN session >= (SELECT min(session) + 20 FROM bars) THEN 1000.0 ELSE 0.0 END AS j FROM bars)),
+rd AS (SELECT instrument, session, arg_min(o, t) AS open, arg_max(c, t) AS close FROM rb GROUP BY 1, 2), rj AS (SELECT *, open - lag(close) OVER (PARTITION BY instrument ORDER BY session) AS jump FROM rd),
+rm AS (SELECT instrument, quantile_cont(jump, 0.5) AS middle FROM rj WHERE jump IS NOT NULL GROUP BY 1), ra AS (SELECT rj.*, abs(jump - middle) AS away FROM rj LEFT JOIN rm USING (instrument)), rs AS (SELECT instrument, 1.4826 * quantile_cont(away, 0.5) AS scale FROM ra WHERE jump IS NOT NULL GROUP BY 1),
+sg AS (SELECT instrument, session, CAST(coalesce(sum(CAST(coalesce(away > 8 * scale, false) AS BIGINT)) OVER (PARTITION BY instrument ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS BIGINT) AS segment FROM ra LEFT JOIN rs USING (instrument)), sb AS (SELECT rb.*, segment FROM rb JOIN sg USING (instrument, session))"""
+
+
+def segmented(name: str, spec, sql: str):
+    """Register a query of one operand over bars with a roll."""
+
+    @register(name, f"WITH RECURSIVE {ROLLED}{sql}")
+    def query(spark, sf_dir, spec=spec):
+        compiler = Compiler(rolled(spark, sf_dir), anchor=ANCHOR, expected=24)
+        value = compiler.operand(spec)
+        return compiler.frame.select("instrument", "t", "segment", r6(value, "value"))
+
+
+X12S = "WINDOW x AS (PARTITION BY instrument, segment ORDER BY t ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"
+segmented("segment_sma", {"ind": "sma", "n": 12}, f" SELECT instrument, t, segment, {r6_sql('CASE WHEN count(c) OVER x = 12 THEN avg(c) OVER x END', 'value')} FROM sb {X12S}")
+segmented("segment_lag", {"ind": "close", "lag": 3}, f" SELECT instrument, t, segment, {r6_sql('lag(c, 3) OVER (PARTITION BY instrument, segment ORDER BY t)', 'value')} FROM sb")
+segmented(
+    "segment_ema",
+    {"ind": "ema", "n": 10},
+    f""", nb AS (SELECT *, row_number() OVER (PARTITION BY instrument, segment ORDER BY t) AS i FROM sb), e(instrument, segment, i, value) AS (SELECT instrument, segment, CAST(10 AS BIGINT), avg(c) FROM nb WHERE i <= 10 GROUP BY 1, 2 HAVING count(*) = 10
+UNION ALL SELECT nb.instrument, nb.segment, nb.i, (1 - 2.0 / 11) * e.value + 2.0 / 11 * nb.c FROM e JOIN nb ON nb.instrument = e.instrument AND nb.segment = e.segment AND nb.i = e.i + 1) SELECT nb.instrument, nb.t, nb.segment, {r6_sql('e.value', 'value')} FROM nb LEFT JOIN e ON e.instrument = nb.instrument AND e.segment = nb.segment AND e.i = nb.i""",
+)
+segmented(
+    "segment_atr",
+    {"ind": "atr", "n": 14},
+    f""", nb AS (SELECT *, row_number() OVER w AS i, CASE WHEN lag(c) OVER w IS NULL THEN h - l ELSE greatest(h - l, abs(h - lag(c) OVER w), abs(l - lag(c) OVER w)) END AS tr FROM sb WINDOW w AS (PARTITION BY instrument, segment ORDER BY t)), e(instrument, segment, i, value) AS (SELECT instrument, segment, CAST(14 AS BIGINT), avg(tr) FROM nb WHERE i <= 14 GROUP BY 1, 2 HAVING count(*) = 14
+UNION ALL SELECT nb.instrument, nb.segment, nb.i, (e.value * 13 + nb.tr) / 14 FROM e JOIN nb ON nb.instrument = e.instrument AND nb.segment = e.segment AND nb.i = e.i + 1) SELECT nb.instrument, nb.t, nb.segment, {r6_sql('e.value', 'value')} FROM nb LEFT JOIN e ON e.instrument = nb.instrument AND e.segment = nb.segment AND e.i = nb.i""",
+)
+
+
 # conditions
 
 
@@ -298,20 +344,20 @@ def asof_tolerance(spark, sf_dir):
 
 
 def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, instrument, lo (day number), len (days) of each order."""
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("instrument"), F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).cast("long").alias("lo"), (F.col("o_custkey") % 20).alias("len"))
+    """id, instrument, status, lo (day number), len (days) of each order."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("instrument"), F.col("o_orderstatus").alias("status"), F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).cast("long").alias("lo"), (F.col("o_custkey") % 20).alias("len"))
 
 
 @register(
     "trial_overlap",
-    """WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS instrument, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS lo, o_custkey % 20 AS len FROM orders),
-p AS (SELECT id, instrument, lo, lo + len AS hi FROM o WHERE id % 50 = 0), q AS (SELECT id AS other, instrument, lo AS lo2, lo + len AS hi2 FROM o WHERE id % 50 = 1) SELECT p.id, q.other FROM p JOIN q ON p.instrument = q.instrument AND p.lo <= q.hi2 AND q.lo2 <= p.hi""",
+    """WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS instrument, o_orderstatus AS status, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS lo, o_custkey % 20 AS len FROM orders),
+p AS (SELECT id, instrument, lo, lo + len AS hi FROM o WHERE status = 'P'), q AS (SELECT id AS other, instrument, lo AS lo2, lo + len AS hi2 FROM o WHERE status = 'F') SELECT p.id, q.other FROM p JOIN q ON p.instrument = q.instrument AND p.lo <= q.hi2 AND q.lo2 <= p.hi""",
 )
 def trial_overlap(spark, sf_dir):
-    """Pairs of the twin's two id subsets; trial_overlap_counts takes all orders."""
+    """Every trial still pending with the finished ones of its instrument whose days meet its own."""
     o = order_spans(spark, sf_dir)
-    p = o.where("id % 50 = 0").select("id", "instrument", "lo", (F.col("lo") + F.col("len")).alias("hi"))
-    q = o.where("id % 50 = 1").select(F.col("id").alias("other"), "instrument", F.col("lo").alias("lo2"), (F.col("lo") + F.col("len")).alias("hi2"))
+    p = o.where("status = 'P'").select("id", "instrument", "lo", (F.col("lo") + F.col("len")).alias("hi"))
+    q = o.where("status = 'F'").select(F.col("id").alias("other"), "instrument", F.col("lo").alias("lo2"), (F.col("lo") + F.col("len")).alias("hi2"))
     return J.overlapping(p, q, ["instrument"], "lo", "hi", "lo2", "hi2", 32).select("id", "other")
 
 

@@ -44,8 +44,12 @@ def variance_ratio(spark, sf_dir):
     return r6_all(ratios(spark, sf_dir), "vr")
 
 
-@register("hurst_regression", f"WITH {RATIOS} SELECT instrument, {r6_sql('regr_slope(ln(vr * q), ln(q)) / 2', 'hurst')}, {r6_sql('regr_r2(ln(vr * q), ln(q))', 'r2')} FROM vr WHERE vr > 0 GROUP BY 1")
+@register(
+    "hurst_regression",
+    f"""WITH {RATIOS} SELECT instrument, {r6_sql('CASE WHEN count(*) > 1 THEN regr_slope(ln(vr * q), ln(q)) / 2 END', 'hurst')}, {r6_sql('CASE WHEN count(*) > 1 THEN regr_r2(ln(vr * q), ln(q)) END', 'r2')} FROM vr WHERE vr > 0 GROUP BY 1""",
+)
 def hurst_regression(spark, sf_dir):
+    """Slopes over the positive ratios of each instrument; null with fewer than two of them."""
     return r6_all(X.hurst(ratios(spark, sf_dir).where("vr > 0"), ["instrument"]), "hurst", "r2")
 
 
@@ -157,6 +161,52 @@ def hmm_fit(spark, sf_dir):
 
 @register("correlation_spectrum")
 def correlation_spectrum(spark, sf_dir):
-    """Spectrum of the first eight coordinates of the embeddings; eigenvalues have no SQL twin."""
-    panel = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(*[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(8)])
-    return X.correlation_spectrum(panel, [f"e{i}" for i in range(8)])
+    """Spectrum of all coordinates of the embeddings; eigenvalues have no SQL twin, tests hold them against numpy."""
+    return X.correlation_spectrum(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding")
+
+
+ROBUST = f"""{RET}, mu AS (SELECT instrument, avg(ret) AS m, var_samp(ret) AS va FROM ret GROUP BY 1), dv AS (SELECT ret.*, m, va, pow(ret - m, 2) AS d, count(*) OVER (PARTITION BY instrument, segment) AS len, CASE WHEN count(ret) OVER x = 4 THEN pow(sum(ret) OVER x - 4 * m, 2) END AS wide,
+ lag(pow(ret - m, 2), 1) OVER s AS d1, lag(pow(ret - m, 2), 2) OVER s AS d2, lag(pow(ret - m, 2), 3) OVER s AS d3 FROM ret JOIN mu USING (instrument) WINDOW s AS (PARTITION BY instrument, segment ORDER BY t), x AS (PARTITION BY instrument, segment ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+lg AS (SELECT instrument, segment, max(len) AS n FROM dv WHERE len > 4 GROUP BY 1, 2), dn AS (SELECT instrument, sum(4 * (n - 3) * (1 - 4.0 / n)) AS weight FROM lg GROUP BY 1),
+sm AS (SELECT instrument, max(va) AS va, sum(CASE WHEN len > 4 THEN wide END) AS wide, sum(d) AS total, coalesce(sum(d * d1), 0) AS c1, coalesce(sum(d * d2), 0) AS c2, coalesce(sum(d * d3), 0) AS c3 FROM dv GROUP BY 1),
+rb AS (SELECT instrument, wide / weight / va AS vr, (pow(2.0 * 3 / 4, 2) * c1 + pow(2.0 * 2 / 4, 2) * c2 + pow(2.0 * 1 / 4, 2) * c3) / (total * total) AS psi FROM sm JOIN dn USING (instrument) WHERE va > 0)"""
+
+
+@register("robust_ratio", f"WITH {ROBUST} SELECT instrument, {r6_sql('vr', 'vr')}, {r6_sql('CASE WHEN psi > 0 THEN (vr - 1) / sqrt(psi) END', 'z')} FROM rb")
+def robust_ratio(spark, sf_dir):
+    """Variance ratio of four steps with the factor for finite segments, and its z robust to changing variance."""
+    return r6_all(X.robust_ratio(X.log_returns(I.bars(spark, sf_dir), ["instrument"], "t"), ["instrument"], 4), "vr", "z")
+
+
+@register(
+    "tail_levels",
+    f"""WITH {T}, n AS (SELECT setup, quantile_cont(-r, 0.95) AS u, count(*) AS n FROM trades GROUP BY 1), m AS (SELECT setup, max(u) AS u, max(n) AS n, count(*) AS k, avg(-r - u) AS m, var_samp(-r - u) AS v FROM trades JOIN n USING (setup) WHERE -r > u GROUP BY 1),
+f AS (SELECT setup, u, 0.5 * (1 - m * m / v) AS xi, 0.5 * m * (m * m / v + 1) AS beta, 0.001 / (k / CAST(n AS DOUBLE)) AS ratio FROM m), w AS (SELECT *, CASE WHEN abs(xi) < 1e-9 THEN u - beta * ln(ratio) ELSE u + beta / xi * (pow(ratio, -xi) - 1) END AS var FROM f)
+SELECT setup, {r6_sql('var', 'value_at_risk')}, {r6_sql('CASE WHEN xi < 1 THEN (var + beta - xi * u) / (1 - xi) END', 'shortfall')} FROM w""",
+)
+def tail_levels(spark, sf_dir):
+    losses = I.trades(spark, sf_dir).withColumn("loss", -F.col("r"))
+    return r6_all(X.tail_levels(losses, ["setup"], "loss", 0.95, 0.999), "value_at_risk", "shortfall")
+
+
+@register(
+    "restricted_mean",
+    f"""WITH {T}, t AS (SELECT setup, qty, count(*) FILTER (reason <> 'time') AS d, count(*) AS leaving FROM trades GROUP BY 1, 2), k AS (SELECT *, CAST(sum(leaving) OVER (PARTITION BY setup ORDER BY qty ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS at_risk FROM t),
+s AS (SELECT setup, qty, CASE WHEN max(CAST(d >= at_risk AS INTEGER)) OVER u = 1 THEN 0.0 ELSE exp(sum(CASE WHEN d < at_risk THEN ln(1 - d / CAST(at_risk AS DOUBLE)) END) OVER u) END AS sv FROM k WINDOW u AS (PARTITION BY setup ORDER BY qty ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+g AS (SELECT setup, qty, coalesce(lag(sv) OVER w, 1.0) AS before, coalesce(lag(qty) OVER w, 0) AS since, sv, lead(qty) OVER w AS following FROM s WINDOW w AS (PARTITION BY setup ORDER BY qty))
+SELECT setup, {r6_sql('sum(CASE WHEN since < 30 THEN before * (least(qty, 30) - since) ELSE 0 END) + sum(CASE WHEN following IS NULL AND qty < 30 THEN sv * (30 - qty) ELSE 0 END)', 'rmst')} FROM g GROUP BY 1""",
+)
+def restricted_mean(spark, sf_dir):
+    """Area under the survival curve up to 30."""
+    x = I.trades(spark, sf_dir).withColumn("ended", F.col("reason") != "time")
+    return r6_all(X.restricted_mean(X.survival(x, ["setup"], "qty", "ended"), ["setup"], "qty", 30.0), "rmst")
+
+
+@register(
+    "branching",
+    f"""WITH {I.TICKS_SQL}, c AS (SELECT instrument, CAST(floor(sec / 7200.0) AS BIGINT) AS w, count(*) AS n FROM ticks GROUP BY 1, 2), m AS (SELECT instrument, max(w) - min(w) + 1 AS windows, CAST(sum(n) AS DOUBLE) AS s, CAST(sum(n * n) AS DOUBLE) AS s2 FROM c GROUP BY 1),
+f AS (SELECT instrument, (s2 / windows - s / windows * (s / windows)) / (s / windows) AS fano FROM m) SELECT instrument, {r6_sql('CASE WHEN fano <= 1 THEN 0.0 ELSE 1 - 1 / sqrt(fano) END', 'branching')}, {r6_sql('CASE WHEN fano <= 1 THEN 1.0 ELSE sqrt(fano) END', 'response')} FROM f""",
+)
+def branching(spark, sf_dir):
+    """Branching ratio of self-exciting counts from their variance over mean, and the total response to one event."""
+    return r6_all(X.branching(X.fano(I.ticks(spark, sf_dir), ["instrument"], "sec", 7200), ["instrument"]), "branching", "response")

@@ -104,11 +104,15 @@ def risk_sheet(spark, sf_dir):
     return r6_all(S.risk_sheet(I.trades(spark, sf_dir), ["setup"]), *RISK)
 
 
-@register("quantile_table", "WITH " + T + ", q AS (SELECT setup, unnest([0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]) AS level, unnest(quantile_cont(r, [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])) AS x FROM trades GROUP BY 1) SELECT setup, CAST(level AS DOUBLE) AS level, " + r6_sql("x", "value") + " FROM q")
+LEVELS = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
+
+
+@register("quantile_table", f"WITH {T}, q AS (SELECT setup, unnest({LEVELS}) AS level, unnest(quantile_cont(CAST(pnl4 AS DOUBLE), {LEVELS})) AS x FROM trades GROUP BY 1) SELECT setup, CAST(level AS DOUBLE) AS level, round(x, 2) / 1e6 AS value FROM q")
 def quantile_table(spark, sf_dir):
-    levels = F.array(*[F.lit(q) for q in (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)])
-    made = I.trades(spark, sf_dir).groupBy("setup").agg(F.percentile("r", levels).alias("q"))
-    return made.select("setup", F.explode(F.arrays_zip(levels.alias("level"), F.col("q").alias("value"))).alias("x")).select("setup", F.col("x.level").alias("level"), r6(F.col("x.value"), "value"))
+    """Quantiles of exact results in 1e-4: at levels of hundredths they have two digits, so they are rounded once, exactly."""
+    levels = F.array(*[F.lit(q) for q in LEVELS])
+    made = I.trades(spark, sf_dir).groupBy("setup").agg(F.percentile("pnl4", levels).alias("q"))
+    return made.select("setup", F.explode(F.arrays_zip(levels.alias("level"), F.col("q").alias("value"))).alias("x")).select("setup", F.col("x.level").alias("level"), (F.round("x.value", 2) / 1e6).alias("value"))
 
 
 @register("hour_weekday_pivot", "SELECT CAST(hour(ts) AS INTEGER) AS hour, " + ", ".join(f"CAST(count(*) FILTER (isodow(ts) = {d}) AS BIGINT) AS d{d}" for d in range(1, 8)) + " FROM events GROUP BY 1")
@@ -208,7 +212,9 @@ un AS (SELECT *, CAST(sum(qty) OVER (PARTITION BY book, side ORDER BY l_shipdate
 
 @register(
     "fifo_match",
-    f"""WITH {FILLS} SELECT b.book, b.q1 - b.qty AS b0, s.q1 - s.qty AS s0, b.price AS b_price, s.price AS s_price, least(b.q1, s.q1) - greatest(b.q1 - b.qty, s.q1 - s.qty) AS matched FROM un b JOIN un s ON b.book = s.book AND b.side = 'B' AND s.side = 'S' AND b.q1 - b.qty < s.q1 AND s.q1 - s.qty < b.q1""",
+    f"""WITH {FILLS}, bl AS (SELECT book, side, price, q1 - qty AS q0, q1, unnest(range(CAST(floor((q1 - qty) / 64.0) AS BIGINT), CAST(floor((q1 - 1) / 64.0) AS BIGINT) + 1)) AS block FROM un)
+SELECT b.book, b.q0 AS b0, s.q0 AS s0, b.price AS b_price, s.price AS s_price, CAST(sum(least(b.q1, s.q1, (b.block + 1) * 64) - greatest(b.q0, s.q0, b.block * 64)) AS BIGINT) AS matched
+FROM bl b JOIN bl s ON b.book = s.book AND b.block = s.block AND b.side = 'B' AND s.side = 'S' AND b.q0 < s.q1 AND s.q0 < b.q1 AND greatest(b.q0, s.q0, b.block * 64) < least(b.q1, s.q1, (b.block + 1) * 64) GROUP BY 1, 2, 3, 4, 5""",
 )
 def fifo_match(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -236,3 +242,48 @@ def document_store(spark, sf_dir):
     ev = I.ticks(spark, sf_dir)
     last = ev.groupBy("user_id").agg(F.max_by(F.struct(F.col("instrument").alias("kind"), "price", F.col("sec").alias("updated")), "ts").alias("d"))
     return last.where("d.price >= 5").select("user_id", "d.kind", "d.updated")
+
+
+@register(
+    "share_bounds",
+    f"""WITH {T}, g AS (SELECT setup, side, CAST(count(*) FILTER (r > 0) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM trades GROUP BY 1, 2), x AS (SELECT setup, side, k, n, k / n + 1.96 * 1.96 / (2 * n) AS m, 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n)) AS h, 1 + 1.96 * 1.96 / n AS s FROM g)
+SELECT setup, side, {r6_sql('(m - h) / s', 'low')}, {r6_sql('(m + h) / s', 'high')}, {r6_sql('ln(n * (k / n)) / ln(1 / (1 - k / n))', 'longest_run')} FROM x WHERE k > 0 AND k < n""",
+)
+def share_bounds(spark, sf_dir):
+    """Bounds of each win rate, and the longest run of losses that chance gives."""
+    from ..functions import closed_forms as cf
+
+    g = I.trades(spark, sf_dir).groupBy("setup", "side").agg(F.count_if(F.col("r") > 0).cast("double").alias("k"), F.count(F.lit(1)).cast("double").alias("n")).where("k > 0 and k < n")
+    low, high = cf.wilson(F.col("k"), F.col("n"))
+    return g.select("setup", "side", r6(low, "low"), r6(high, "high"), r6(cf.run_null(F.col("n"), 1 - F.col("k") / F.col("n")), "longest_run"))
+
+
+@register(
+    "cusum_alarm",
+    f"""WITH {T}, c AS (SELECT *, sum(r - 0.0 - 0.5) OVER {UPTO} AS s FROM trades), d AS (SELECT account, CAST(s AS DOUBLE) - least(0.0, min(s) OVER {UPTO}) AS cusum, row_number() OVER (PARTITION BY account ORDER BY {SEQ_SQL}) AS i FROM c)
+SELECT account, count(*) AS n, min(i) FILTER (cusum >= 40.0) AS alarm FROM d GROUP BY 1""",
+)
+def cusum_alarm(spark, sf_dir):
+    """Number of the first record at which the cumulative sum reaches 40; none if it never does."""
+    made = S.cusum(I.trades(spark, sf_dir), ["account"], SEQ, "r", 0.0, 0.5).withColumn("i", F.row_number().over(W.partitionBy("account").orderBy(*SEQ)))
+    return made.groupBy("account").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("cusum") >= 40.0, F.col("i"))).cast("long").alias("alarm"))
+
+
+@register("rolling_sortino", f"WITH {T} SELECT account, {SEQ_SQL}, {r6_sql('CASE WHEN count(r) OVER w = 30 THEN avg(r) OVER w / nullif(sqrt(avg(pow(least(r, 0.0), 2)) OVER w), 0) END', 'rolling')} FROM trades WINDOW w AS (PARTITION BY account ORDER BY {SEQ_SQL} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)")
+def rolling_sortino(spark, sf_dir):
+    return r6_all(S.rolling_sortino(I.trades(spark, sf_dir), ["account"], SEQ, "r", 30).select("account", *SEQ, "rolling"), "rolling")
+
+
+CURVE = f"""{T}, e AS (SELECT setup, pnl4, row_number() OVER w AS i, sum(pnl4) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 1e6 AS equity, day FROM trades WINDOW w AS (PARTITION BY setup ORDER BY {SEQ_SQL})),
+p AS (SELECT *, greatest(0.0, max(equity) OVER (PARTITION BY setup ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS peak FROM e)"""
+
+
+@register(
+    "curve_sheet",
+    f"""WITH {CURVE}, a AS (SELECT setup, count(*) AS n, arg_max(equity, i) AS total, max(peak - equity) AS mdd, sqrt(avg(pow(peak - equity, 2))) AS ulcer, avg(peak - equity) AS pain, max(day) - min(day) + 1 AS days, regr_r2(equity, i) AS r2, sum(greatest(pnl4 / 1e6, 0.0)) AS gain, sum(greatest(-pnl4 / 1e6, 0.0)) AS loss FROM p GROUP BY 1)
+SELECT setup, n, {r6_sql('mdd', 'max_drawdown', 4)}, {r6_sql('ulcer', 'ulcer', 4)}, {r6_sql('total / nullif(mdd, 0)', 'recovery')}, {r6_sql('total / days * 365.25', 'yearly', 3)}, {r6_sql('total / days * 365.25 / nullif(mdd, 0)', 'calmar')}, {r6_sql('total / nullif(ulcer, 0)', 'martin')}, {r6_sql('total / nullif(pain, 0)', 'pain_ratio')}, {r6_sql('r2', 'straightness')}, {r6_sql('(gain - loss) / nullif(loss, 0)', 'gain_to_pain')} FROM a""",
+)
+def curve_sheet(spark, sf_dir):
+    """Figures of each setup's equity curve: drawdown, ulcer index, recovery, yearly result, Calmar, Martin and pain ratios."""
+    made = S.curve_sheet(I.trades(spark, sf_dir), ["setup"], SEQ, "pnl4", "day")
+    return r6_all(made, "recovery", "calmar", "martin", "pain_ratio", "straightness", "gain_to_pain").withColumns({"max_drawdown": F.round("max_drawdown", 4), "ulcer": F.round("ulcer", 4), "yearly": F.round("yearly", 3)})
