@@ -28,7 +28,7 @@ def test_overlap_counts_take_every_order(spark):
 
 
 def test_all_news_takes_every_event(spark):
-    """Without one event in 37 only, hardly an hour of the whole table is free of news."""
+    """Where most events are news of weight, few hours of the table are free of them."""
     few, every = (registry.queries()[n](spark, SMALL).where("holds") for n in ("cond_news_anti", "cond_news_anti_all"))
     assert every.count() < few.count()
     hours = spark.read.parquet(f"{SMALL}/events.parquet").where("event_id % 3 >= 1").select(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("h")).distinct()

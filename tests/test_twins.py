@@ -38,8 +38,3 @@ def test_twin(spark, duck, name):
     assert sorted(names) == columns
     twin = sorted((tuple(plain(r[i]) for i in order) for r in cursor.fetchall()), key=str)
     assert mine == twin
-
-
-@pytest.mark.parametrize("name", ["zigzag_swings", "value_area", "zero_gamma", "implied_volatility", "correlation_spectrum", "stationary_bootstrap"])
-def test_without_twin_runs(spark, name):
-    assert registry.queries()[name](spark, SMALL).count() >= 0

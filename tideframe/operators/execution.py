@@ -6,12 +6,13 @@ signal counts. That is a path, so a (setting, instrument, session) is one group;
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict, dataclass, replace
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,7 +23,10 @@ TRADES = (
     "config int, instrument string, session long, i long, entry_t long, exit_t long, side string, qty long, entry double, stop double, target double, exit double, reason string, "
     "points double, pnl double, r double, cost double, mae double, mfe double, bars int"
 )
+#: Bars that the search for an exit looks at together.
+RUN = 64
 COUNTS = ("ambiguous", "gap", "expired", "limit", "size", "short_stop", "undefined")
+REFUSED = "config int, instrument string, session long, reason string, n long"
 
 
 @dataclass(frozen=True)
@@ -58,12 +62,25 @@ class Settings:
     through: float = 0.0
 
 
+def as_lists(bars: dict[str, np.ndarray]) -> dict[str, list]:
+    return {k: bars[k].tolist() for k in ("t", "sessmin", "o", "h", "l", "c", "status")}
+
+
 def replay(bars: dict[str, np.ndarray], s: Settings) -> tuple[list[dict[str, Any]], dict[str, int]]:
-    """Trades of one session. bars: t, sessmin, o, h, l, c, long, short, status, atr, level, goal (nan: undefined)."""
-    t, o, h, l, c = (bars[k] for k in ("t", "o", "h", "l", "c"))
+    """Trades of one session. bars: t, sessmin, o, h, l, c, long, short, status, atr, level, goal (nan: undefined); lists: the
+    same of t, sessmin, o, h, l, c and status as lists, if several replays share them."""
+    high, low = bars["h"], bars["l"]
+    t, minute, o, h, l, c, status = (bars.get("lists") or as_lists(bars)).values()
     n, out, counts = len(t), [], dict.fromkeys(COUNTS, 0)
     profit, losses, free = 0.0, 0, 0
-    grid = lambda p, up: (np.ceil(p / s.tick - 1e-9) if up else np.floor(p / s.tick + 1e-9)) * s.tick
+    still = math.isinf(s.trail) and math.isinf(s.break_even_r)
+    timed = s.flat <= minute[-1] if n else False
+
+    def grid(p: float, up: bool) -> float:
+        if not math.isfinite(p):
+            return math.nan
+        return (math.ceil(p / s.tick - 1e-9) if up else math.floor(p / s.tick + 1e-9)) * s.tick
+
     for i in np.flatnonzero(bars["long"] | bars["short"]).tolist():
         if i < free:
             continue
@@ -73,8 +90,8 @@ def replay(bars: dict[str, np.ndarray], s: Settings) -> tuple[list[dict[str, Any
         if bars["long"][i] and bars["short"][i]:
             counts["ambiguous"] += 1
             continue
-        if bars["status"][i]:
-            counts["gap" if bars["status"][i] == 2 else "expired"] += 1
+        if status[i]:
+            counts["gap" if status[i] == 2 else "expired"] += 1
             continue
         way = 1 if bars["long"][i] else -1
         # entry: price, and the bar that fills
@@ -100,13 +117,13 @@ def replay(bars: dict[str, np.ndarray], s: Settings) -> tuple[list[dict[str, Any
         if s.stop_kind == "points":
             stop = price - way * s.stop_x
         elif s.stop_kind == "atr":
-            stop = price - way * s.stop_x * bars["atr"][i]
+            stop = price - way * s.stop_x * float(bars["atr"][i])
         elif s.stop_kind == "swing":
             lo = max(0, i + 1 - s.stop_n)
-            stop = (l[lo : i + 1].min() if way > 0 else h[lo : i + 1].max()) - way * s.stop_x
+            stop = (min(l[lo : i + 1]) if way > 0 else max(h[lo : i + 1])) - way * s.stop_x
         else:
-            stop = bars["level"][i] - way * s.stop_x
-        if not np.isfinite(stop):
+            stop = float(bars["level"][i]) - way * s.stop_x
+        if not math.isfinite(stop):
             counts["undefined"] += 1
             continue
         stop = grid(stop, way < 0)
@@ -115,27 +132,48 @@ def replay(bars: dict[str, np.ndarray], s: Settings) -> tuple[list[dict[str, Any
             counts["short_stop"] += 1
             continue
         if s.target_kind == "none":
-            target = np.nan
+            target = math.nan
         else:
-            goal = {"r": s.target_x * risk, "points": s.target_x, "atr": s.target_x * bars["atr"][i], "level": way * (bars["goal"][i] - price)}[s.target_kind]
+            goal = s.target_x * risk if s.target_kind == "r" else s.target_x if s.target_kind == "points" else s.target_x * float(bars["atr"][i]) if s.target_kind == "atr" else way * (float(bars["goal"][i]) - price)
             target = grid(price + way * goal, way > 0)
-            if not np.isfinite(target) or way * (target - price) <= 0:
+            if not math.isfinite(target) or way * (target - price) <= 0:
                 counts["undefined"] += 1
                 continue
-        qty = s.contracts if s.risk_money <= 0 else int(min(s.max_qty, np.floor(s.risk_money / (risk * s.point_value + s.commission) + 1e-9)))
+        qty = s.contracts if s.risk_money <= 0 else int(min(s.max_qty, math.floor(s.risk_money / (risk * s.point_value + s.commission) + 1e-9)))
         if qty < 1:
             counts["size"] += 1
             continue
         now, mae, mfe, k, done, why = stop, 0.0, 0.0, e, None, ""
+        aimed = math.isfinite(target)
+        if still:
+            # nothing moves the stop, so the first bar on which anything may end the trade is found at once, run by run
+            k = min(e + s.max_bars, n) - 1
+            for lo in range(e, k + 1, RUN):
+                part = slice(lo, min(lo + RUN, k + 1))
+                stirs = low[part] <= now if way > 0 else high[part] >= now
+                if aimed:
+                    # an opening beyond the target lies inside the bar's range
+                    stirs = stirs | (high[part] >= target if way > 0 else low[part] <= target)
+                if timed:
+                    stirs = stirs | (bars["sessmin"][part] >= s.flat)
+                if s.opposite:
+                    stirs = stirs | bars["short" if way > 0 else "long"][part]
+                at = int(stirs.argmax())
+                if stirs[at]:
+                    k = lo + at
+                    break
+            if k > e:
+                top, bottom = max(h[e:k]), min(l[e:k])
+                mae, mfe = (min(0.0, bottom - price), max(0.0, top - price)) if way > 0 else (min(0.0, price - top), max(0.0, price - bottom))
         while done is None:
             adverse, better = (l[k], h[k]) if way > 0 else (h[k], l[k])
-            hit_stop, hit_target = way * (adverse - now) <= 0, np.isfinite(target) and way * (better - target) >= s.through * s.tick
+            hit_stop, hit_target = way * (adverse - now) <= 0, aimed and way * (better - target) >= s.through * s.tick
             opened = k > e or s.entry == "market"
-            if bars["sessmin"][k] >= s.flat:
+            if minute[k] >= s.flat:
                 done, why = o[k], "flat"
             elif opened and way * (o[k] - now) <= 0:
                 done, why = o[k], "stop"
-            elif opened and np.isfinite(target) and k > e and way * (o[k] - target) >= 0:
+            elif opened and aimed and k > e and way * (o[k] - target) >= 0:
                 done, why = o[k], "target"
             elif hit_stop or hit_target:
                 stop_first = hit_stop and (not hit_target or s.fill == "pessimistic" or (s.fill == "path" and way * (c[k] - o[k]) >= 0))
@@ -155,7 +193,7 @@ def replay(bars: dict[str, np.ndarray], s: Settings) -> tuple[list[dict[str, Any
                 # what is moved now holds from the next bar on
                 if mfe >= s.break_even_r * risk:
                     now = max(now, price) if way > 0 else min(now, price)
-                if np.isfinite(s.trail):
+                if math.isfinite(s.trail):
                     now = way * max(way * now, way * grid(price + way * (mfe - s.trail), way < 0))
                 k += 1
         legs = int(s.entry != "limit") + int(why != "target")
@@ -165,7 +203,7 @@ def replay(bars: dict[str, np.ndarray], s: Settings) -> tuple[list[dict[str, Any
         pnl = qty * (points * s.point_value - s.commission)
         profit, losses = profit + pnl, losses + (pnl < 0)
         out.append({
-            "i": int(t[i]), "entry_t": int(t[e]), "exit_t": int(t[k]), "side": "long" if way > 0 else "short", "qty": qty, "entry": price, "stop": stop, "target": None if np.isnan(target) else target, "exit": left,
+            "i": t[i], "entry_t": t[e], "exit_t": t[k], "side": "long" if way > 0 else "short", "qty": qty, "entry": price, "stop": stop, "target": target if aimed else None, "exit": left,
             "reason": why, "points": points, "pnl": pnl, "r": pnl / (qty * risk * s.point_value), "cost": cost, "mae": mae, "mfe": mfe, "bars": k - e + 1,
         })
         free = max(k + s.cooldown, i + 1)
@@ -175,49 +213,125 @@ def replay(bars: dict[str, np.ndarray], s: Settings) -> tuple[list[dict[str, Any
 COLUMNS = ["instrument", "session", "t", "sessmin", "o", "h", "l", "c"]
 
 
-def features(compiler: Compiler, document: dict[str, Any], params: dict[str, float] | None = None) -> DataFrame:
-    """Bars with what replay needs: long and short signals, executable status, average range, stop and goal levels."""
+def wants_range(settings: list[Settings]) -> bool:
+    """Whether any of some settings reads the average range."""
+    return any("atr" in (s.stop_kind, s.target_kind) for s in settings)
+
+
+def compiled(compiler: Compiler, document: dict[str, Any], params: dict[str, float] | None = None, average_range: bool = True) -> dict[str, Column]:
+    """Columns that replay needs, of a document: long and short signals, executable status, average range (null if not asked
+    for), stop and goal levels."""
     document = resolve({k: v for k, v in document.items() if k != "params"}, {**document.get("params", {}), **(params or {})})
     rule = {"setup": document.get("setup", []), "trigger": document["trigger"]}
     domain = compiler.domain(**document.get("domain", {}))
     up = compiler.signal(rule)
     down = compiler.signal({"setup": [mirror(x) for x in rule["setup"]], "trigger": mirror(rule["trigger"])}) if document.get("mirror", True) else F.lit(False)
     some = lambda key: compiler.operand(document[key]) if key in document else F.lit(None).cast("double")
-    atr = compiler.operand({"ind": "atr", "n": document.get("atr", 14)})
+    atr = compiler.operand({"ind": "atr", "n": document.get("atr", 14)}) if average_range else F.lit(None).cast("double")
     stop, goal = some("stop_level"), some("goal_level")
-    return compiler.frame.select(*COLUMNS, (up & domain).alias("long"), (down & domain).alias("short"), compiler.executable().alias("status"), atr.alias("atr"), stop.alias("level"), goal.alias("goal"))
+    return {"long": up & domain, "short": down & domain, "status": compiler.executable(), "atr": atr, "level": stop, "goal": goal}
+
 
+def features(compiler: Compiler, document: dict[str, Any], params: dict[str, float] | None = None, average_range: bool = True) -> DataFrame:
+    """Bars with what replay needs of a document."""
+    made = compiled(compiler, document, params, average_range)
+    return compiler.frame.select(*COLUMNS, *[c.alias(k) for k, c in made.items()])
 
-def execute(frame: DataFrame, settings: list[Settings], by: str | None = None) -> DataFrame:
-    """Trades of each setting on a feature frame. `by`: a column of the frame that says which setting a row is for;
-    else each group is replayed under every setting. Settings are few (a sweep's bound); they travel with the function.
-    A group is a session with all its settings, so its size is bounded by both, and small groups cost few conversions."""
+
+def session_arrays(part: pd.DataFrame) -> dict[str, np.ndarray]:
+    """What replay needs of one session's feature rows."""
+    part = part.sort_values("t")
+    bars = {k: part[k].to_numpy() for k in ("t", "sessmin", "o", "h", "l", "c", "status")}
+    bars |= {k: part[k].fillna(False).to_numpy(bool) for k in ("long", "short") if k in part} | {k: part[k].to_numpy(float) for k in ("atr", "level", "goal")}
+    return bars | {"lists": as_lists(bars)}
+
+
+def firing(frame: DataFrame, keys: list[str], fired: Column) -> DataFrame:
+    """Rows of the groups in which something fires; the others never leave the JVM. The window and the grouping after it
+    have the same keys, so they share one shuffle."""
+    return frame.withColumn("_fired", F.max(fired.cast("int")).over(W.partitionBy(*keys))).where("_fired = 1").drop("_fired")
+
+
+def execute(frame: DataFrame, settings: list[Settings], by: str | None = None, cells: bool = False) -> DataFrame:
+    """Trades of each setting on a feature frame. `by`: a column of the frame that says which setting a row is for; `cells`:
+    longs and shorts are arrays with a signal for each setting; else each group is replayed under every setting. Settings are
+    few (a sweep's bound); they travel with the function. A group is a session with all its settings, so its size is bounded
+    by both, and small groups cost few conversions."""
     plans = [asdict(s) for s in settings]
+    names = [x.split()[0] for x in TRADES.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        numbers, rows = [], []
         for number, part in pdf.groupby(by, sort=True) if by else [(None, pdf)]:
-            part = part.sort_values("t")
-            bars = {k: part[k].to_numpy() for k in ("t", "sessmin", "o", "h", "l", "c", "status")}
-            bars |= {k: part[k].fillna(False).to_numpy(bool) for k in ("long", "short")} | {k: part[k].to_numpy(float) for k in ("atr", "level", "goal")}
+            bars = session_arrays(part)
+            if cells:
+                part = part.sort_values("t")
+                longs, shorts = (np.stack(part[c].to_numpy()).astype(bool) for c in ("longs", "shorts"))
             for k in [int(number)] if by else range(len(plans)):
+                if cells:
+                    bars["long"], bars["short"] = longs[:, k], shorts[:, k]
                 made, _ = replay(bars, Settings(**plans[k]))
-                rows += [{"config": k, "instrument": part["instrument"].iloc[0], "session": part["session"].iloc[0], **x} for x in made]
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in TRADES.split(", ")])
+                numbers += [k] * len(made)
+                rows += made
+        fixed = {c: [v] * len(rows) for c, v in {"instrument": pdf["instrument"].iloc[0], "session": pdf["session"].iloc[0]}.items()}
+        return pd.DataFrame({"config": numbers, **fixed, **{c: [x[c] for x in rows] for c in names[3:]}}, columns=names)
 
     keys = ["instrument", "session"] + ([by] if by else [])
-    # sessions without a signal make no trade and never leave the JVM
-    fired = F.max((F.col("long") | F.col("short")).cast("int")).over(W.partitionBy(*keys))
-    return frame.withColumn("_fired", fired).where("_fired = 1").drop("_fired").groupBy("instrument", "session").applyInPandas(run, TRADES)
+    any_of = lambda c: F.exists(c, lambda x: x)
+    fired = any_of("longs") | any_of("shorts") if cells else F.col("long") | F.col("short")
+    return firing(frame, keys, fired).groupBy("instrument", "session").applyInPandas(run, TRADES)
+
+
+def refusals(frame: DataFrame, settings: list[Settings]) -> DataFrame:
+    """How many signals of each session made no trade under each setting, by the reason; only reasons that occur."""
+    plans = [asdict(s) for s in settings]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bars, rows = session_arrays(pdf), []
+        for k, plan in enumerate(plans):
+            rows += [(k, pdf["instrument"].iloc[0], pdf["session"].iloc[0], why, n) for why, n in replay(bars, Settings(**plan))[1].items() if n]
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in REFUSED.split(", ")])
+
+    return firing(frame, ["instrument", "session"], F.col("long") | F.col("short")).groupBy("instrument", "session").applyInPandas(run, REFUSED)
+
+
+RECORDS = "config int, instrument string, session long, n long, sum_r double, sum_r2 double, net double, wins long, losses long"
+
+
+def cell_records(rows: DataFrame, settings: list[Settings]) -> DataFrame:
+    """Sums of the trades of each setting (longs and shorts: arrays with a signal for each) in each session with a signal, made
+    where its bars are: trades do not leave the task."""
+    plans = [asdict(s) for s in settings]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bars, pdf, out = session_arrays(pdf), pdf.sort_values("t"), []
+        longs, shorts = (np.stack(pdf[c].to_numpy()).astype(bool) for c in ("longs", "shorts"))
+        for k in np.flatnonzero((longs | shorts).any(axis=0)).tolist():
+            made, _ = replay({**bars, "long": longs[:, k], "short": shorts[:, k]}, Settings(**plans[k]))
+            r, pnl = [x["r"] for x in made], [x["pnl"] for x in made]
+            out.append((k, pdf["instrument"].iloc[0], pdf["session"].iloc[0], len(r), sum(r), sum(x * x for x in r), sum(pnl), sum(x > 0 for x in pnl), sum(x < 0 for x in pnl)))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in RECORDS.split(", ")])
+
+    some = lambda c: F.exists(c, lambda x: x)
+    return firing(rows, ["instrument", "session"], some("longs") | some("shorts")).groupBy("instrument", "session").applyInPandas(run, RECORDS)
+
+
+def session_grid(sessions: DataFrame, configs: int) -> DataFrame:
+    """Every setting with every session; settings are few."""
+    return sessions.select("instrument", "session").distinct().crossJoin(F.broadcast(sessions.sparkSession.range(configs).select(F.col("id").cast("int").alias("config"))))
+
+
+def with_quiet_sessions(sums: DataFrame, sessions: DataFrame, configs: int) -> DataFrame:
+    """Session sums with a row of noughts for each setting and session without trades."""
+    return session_grid(sessions, configs).join(sums, ["config", "instrument", "session"], "left").fillna(0, ["n", "sum_r", "sum_r2", "net", "wins", "losses"])
 
 
 def session_records(trades: DataFrame, sessions: DataFrame, configs: int) -> DataFrame:
     """One row for each setting and session, those without trades included: n, sums of r, r squared, profit, wins, losses."""
-    grid = sessions.select("instrument", "session").distinct().crossJoin(F.broadcast(sessions.sparkSession.range(configs).select(F.col("id").cast("int").alias("config"))))
     sums = trades.groupBy("config", "instrument", "session").agg(
         F.count(F.lit(1)).alias("n"), F.sum("r").alias("sum_r"), F.sum(F.col("r") * F.col("r")).alias("sum_r2"), F.sum("pnl").alias("net"), F.count_if(F.col("pnl") > 0).alias("wins"), F.count_if(F.col("pnl") < 0).alias("losses")
     )
-    return grid.join(sums, ["config", "instrument", "session"], "left").fillna(0, ["n", "sum_r", "sum_r2", "net", "wins", "losses"])
+    return with_quiet_sessions(sums, sessions, configs)
 
 
 def envelope(frame: DataFrame, settings: Settings) -> DataFrame:

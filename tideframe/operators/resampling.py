@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import asdict
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .execution import Settings, execute
+from .execution import Settings, firing, replay, session_arrays
 
 
 def uniform(*columns):
@@ -18,25 +19,40 @@ def uniform(*columns):
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 52)) / float(1 << 52)
 
 
-def random_entries(frame: DataFrame, draws: int, seed: int = 1) -> DataFrame:
-    """Feature frames of `draws` draws: as many signals of each side in each session, on executable bars drawn at random.
+def drawn_entries(bars: dict[str, np.ndarray], draw: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Long and short signals of one draw in one session: as many of each as the real ones, on executable bars at random
+    (no more than there are such bars)."""
+    n_long, n_short = int(bars["long"].sum()), int(bars["short"].sum())
+    rng = np.random.default_rng([seed, draw, int(bars["t"][0]) & (1 << 62) - 1])
+    picked = rng.permutation(np.flatnonzero(bars["status"] == 0))[: n_long + n_short]
+    long, short = np.zeros(len(bars["t"]), bool), np.zeros(len(bars["t"]), bool)
+    long[picked[:n_long]], short[picked[n_long:]] = True, True
+    return long, short
 
-    Bars are not copied whole: ranks are drawn for (draw, session, bar) and the least of them become signals.
-    """
-    keys = ["instrument", "session"]
-    counts = frame.groupBy(*keys).agg(F.count_if("long").alias("_nl"), F.count_if("short").alias("_ns")).where("_nl + _ns > 0")
-    rows = frame.join(counts, keys).withColumn("cfg", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    pick = uniform(F.lit(seed), "cfg", "instrument", "t") + F.when(F.col("status") == 0, 0).otherwise(2)
-    rank = F.row_number().over(W.partitionBy("cfg", *keys).orderBy(pick, "t"))
-    rows = rows.withColumn("_k", rank).withColumns({"long": (F.col("_k") <= F.col("_nl")) & (F.col("status") == 0), "short": (F.col("_k") > F.col("_nl")) & (F.col("_k") <= F.col("_nl") + F.col("_ns")) & (F.col("status") == 0)})
-    return rows.drop("_nl", "_ns", "_k")
+
+DRAWN = "draw int, n long, sum_r double"
 
 
 def random_null(frame: DataFrame, settings: Settings, draws: int, seed: int = 1) -> DataFrame:
-    """Mean result of the real signals and of each draw of random ones."""
-    real = execute(frame, [settings]).agg(F.avg("r").alias("mean_r"), F.count(F.lit(1)).alias("n")).select(F.lit(-1).alias("draw"), "n", "mean_r")
-    null = execute(random_entries(frame, draws, seed), [settings] * draws, by="cfg").groupBy(F.col("config").alias("draw")).agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_r"))
-    return real.unionByName(null)
+    """Mean result of the real signals (draw -1) and of each draw of random ones.
+
+    Bars move once: a session's draws are made and replayed where its bars are, each with a generator of its own (seed, draw,
+    session), and only their counts and sums come back.
+    """
+    plan = asdict(settings)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bars, rows = session_arrays(pdf), []
+        for draw in range(-1, draws):
+            long, short = (bars["long"], bars["short"]) if draw < 0 else drawn_entries(bars, draw, seed)
+            made, _ = replay({**bars, "long": long, "short": short}, Settings(**plan))
+            rows.append((draw, len(made), sum(x["r"] for x in made)))
+        return pd.DataFrame(rows, columns=["draw", "n", "sum_r"])
+
+    keys = ["instrument", "session"]
+    found = firing(frame, keys, F.col("long") | F.col("short")).groupBy(*keys).applyInPandas(run, DRAWN)
+    sums = found.groupBy("draw").agg(F.sum("n").alias("n"), F.sum("sum_r").alias("sum_r"))
+    return sums.where("n > 0").select("draw", "n", (F.col("sum_r") / F.col("n")).alias("mean_r"))
 
 
 def p_value(results: DataFrame) -> DataFrame:
@@ -45,21 +61,30 @@ def p_value(results: DataFrame) -> DataFrame:
     return results.where("draw >= 0").crossJoin(F.broadcast(both)).agg(F.first("real").alias("real"), F.count(F.lit(1)).alias("draws"), ((1 + F.count_if(F.col("mean_r") >= F.col("real"))) / (F.count(F.lit(1)) + 1)).alias("p"))
 
 
+PERMUTED = "instrument string, session long, t long, sessmin int, o double, h double, l double, c double, v double, n long, draw int"
+
+
 def permuted_bars(bars: DataFrame, draws: int, bucket: int, seed: int = 1) -> DataFrame:
     """Bars of each draw with their moves shuffled inside buckets of a session and prices rebuilt: the day's total move, the
-    bucket's set of moves and the bar shapes stay."""
-    day = W.partitionBy("instrument", "session").orderBy("t")
-    before = F.coalesce(F.lag("c").over(day), F.col("o"))
-    moves = bars.select("instrument", "session", "t", "sessmin", "v", "n", F.floor(F.col("sessmin") / bucket).alias("b"), F.first("o").over(day).alias("base"), (F.col("o") - before).alias("do"), (F.col("h") - F.col("o")).alias("dh"), (F.col("l") - F.col("o")).alias("dl"), (F.col("c") - F.col("o")).alias("dc"))
-    rows = moves.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    keys = ["draw", "instrument", "session", "b"]
-    place = rows.withColumn("k", F.row_number().over(W.partitionBy(*keys).orderBy("t"))).select(*keys, "k", "t", "sessmin", "base")
-    drawn = rows.withColumn("k", F.row_number().over(W.partitionBy(*keys).orderBy(uniform(F.lit(seed), "draw", "instrument", "t"), "t"))).select(*keys, "k", "do", "dh", "dl", "dc", "v", "n")
-    both = place.join(drawn, [*keys, "k"])
-    path = W.partitionBy("draw", "instrument", "session").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
-    close = F.col("base") + F.sum(F.col("do") + F.col("dc")).over(path)
-    both = both.withColumn("c", close).withColumn("o", F.col("c") - F.col("dc"))
-    return both.select(F.concat_ws("#", "instrument", "draw").alias("instrument"), "session", "t", "sessmin", "o", (F.col("o") + F.col("dh")).alias("h"), (F.col("o") + F.col("dl")).alias("l"), "c", "v", "n", "draw")
+    bucket's set of moves and the bar shapes stay. A session's draws are made where its bars are, so bars move once."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        o, h, l, c = (pdf[x].to_numpy(float) for x in "ohlc")
+        gap = o - np.concatenate([o[:1], c[:-1]])
+        place = pdf["sessmin"].to_numpy() // bucket
+        out = []
+        for draw in range(draws):
+            rng = np.random.default_rng([seed, draw, int(pdf["t"].iloc[0]) & (1 << 62) - 1])
+            order = np.lexsort((rng.random(len(o)), place))
+            close = o[0] + np.cumsum(gap[order] + (c - o)[order])
+            opened = close - (c - o)[order]
+            part = pdf[["session", "t", "sessmin"]].copy()
+            part.insert(0, "instrument", f"{pdf['instrument'].iloc[0]}#{draw}")
+            out.append(part.assign(o=opened, h=opened + (h - o)[order], l=opened + (l - o)[order], c=close, v=pdf["v"].to_numpy()[order], n=pdf["n"].to_numpy()[order], draw=draw))
+        return pd.concat(out)
+
+    return bars.select("instrument", "session", "t", "sessmin", "o", "h", "l", "c", "v", "n").groupBy("instrument", "session").applyInPandas(run, PERMUTED)
 
 
 def stationary_bootstrap(spark: SparkSession, values: list[float], draws: int, block: float, seed: int = 1) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -9,21 +10,50 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.compiler import Compiler
-from ..plans.document import grid
-from .execution import Settings, execute, features
+from ..plans.document import grid, mirror, resolve
+from .execution import COLUMNS, Settings, cell_records, compiled, execute, features, session_records, wants_range, with_quiet_sessions
+
+
+def cells(compiler: Compiler, document: dict, points: list[dict[str, float]], settings: Settings) -> DataFrame:
+    """One row a bar with the signals of all settings as arrays (longs, shorts). All settings are compiled on one frame, so
+    operands that they share are computed once and those of one kind share a window."""
+    for point in points:
+        made = resolve({k: v for k, v in document.items() if k != "params"}, {**document.get("params", {}), **point})
+        rule = [*made.get("setup", []), made["trigger"]]
+        compiler.prepare(rule + [mirror(x) for x in rule] if document.get("mirror", True) else rule)
+    made = [compiled(compiler, document, point, wants_range([settings])) for point in points]
+    signals = [F.array(*[F.coalesce(x[side], F.lit(False)) for x in made]).alias(f"{side}s") for side in ("long", "short")]
+    return compiler.frame.select(*COLUMNS, *[made[-1][k].alias(k) for k in ("status", "atr", "level", "goal")], *signals)
+
+
+def levels_vary(document: dict) -> bool:
+    """Whether a document's stop or goal level, or its range, depends on a parameter."""
+    return "$" in json.dumps({k: v for k, v in document.items() if k not in ("params", "setup", "trigger", "domain")})
 
 
 def sweep(compiler: Compiler, document: dict, params: dict[str, list[float]], settings: Settings) -> tuple[DataFrame, list[dict[str, float]]]:
-    """Trades of every setting of one or two parameters. Operands that settings share are computed from
-    one frame; persist the bars before a wide sweep."""
+    """Trades of every setting of one or two parameters: bars move once, and a session is replayed under all settings in one
+    group. Documents whose stop or goal level depends on a parameter become a frame for each setting instead."""
     points = grid(params)
+    if not levels_vary(document):
+        return execute(cells(compiler, document, points, settings), [settings] * len(points), cells=True), points
     out = None
     for k, point in enumerate(points):
-        part = features(compiler, document, point).withColumn("cfg", F.lit(k))
+        part = features(compiler, document, point, wants_range([settings])).withColumn("cfg", F.lit(k))
         out = part if out is None else out.unionByName(part)
     return execute(out, [settings] * len(points), by="cfg"), points
 
 
+def sweep_records(compiler: Compiler, document: dict, params: dict[str, list[float]], settings: Settings) -> tuple[DataFrame, list[dict[str, float]]]:
+    """Session records of every setting, quiet sessions included: the matrix that walk-forward and cross-validation read."""
+    points = grid(params)
+    if levels_vary(document):
+        trades, points = sweep(compiler, document, params, settings)
+        return session_records(trades, compiler.frame, len(points)), points
+    sums = cell_records(cells(compiler, document, points, settings), [settings] * len(points))
+    return with_quiet_sessions(sums, compiler.bars, len(points)), points
+
+
 def best_config(matrix: DataFrame, least_trades: int = 1) -> DataFrame:
     """The setting of greatest mean r, the first on a tie, among those with enough trades."""
     total = matrix.groupBy("config").agg(F.sum("n").alias("n"), (F.sum("sum_r") / F.sum("n")).alias("mean_r")).where(F.col("n") >= least_trades)

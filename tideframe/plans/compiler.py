@@ -8,6 +8,8 @@ restart with the session. An undefined operand is null, and conditions follow SQ
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +32,7 @@ class Compiler:
 
     def __init__(self, bars: DataFrame, anchor: tuple[int, int] = (0, 1 << 30), expected: int = 24, levels: DataFrame | None = None, news: DataFrame | None = None, tick: float = 0.01):
         self.anchor, self.expected, self.levels, self.news, self.tick = anchor, expected, levels, news, tick
+        self.bars, self.pending = bars, {}
         self.keys = ["instrument", *(["segment"] if "segment" in bars.columns else [])]
         self.frame = bars.withColumn("anchored", F.col("sessmin").between(*anchor))
         first = F.row_number().over(W.partitionBy("instrument", "session", "anchored").orderBy("t")) == 1
@@ -43,12 +46,37 @@ class Compiler:
     def inside() -> W:
         return W.partitionBy("instrument", "session", "anchored").orderBy("t")
 
+    @property
+    def frame(self) -> DataFrame:
+        """The bars with all columns added so far. Columns that do not read each other are added together, so that many
+        operands of one kind share a window."""
+        if self.pending:
+            self._frame, self.pending = self._frame.withColumns(self.pending), {}
+        return self._frame
+
+    @frame.setter
+    def frame(self, frame: DataFrame) -> None:
+        self._frame = frame
+
     def add(self, key: str, column: Column) -> str:
         if key not in self.names:
             self.names[key] = f"x{len(self.names)}"
-            self.frame = self.frame.withColumn(self.names[key], column)
+            if not self.pending.keys().isdisjoint(re.findall(r"\bx\d+\b", str(column))):
+                self._frame = self.frame
+            self.pending[self.names[key]] = column
         return self.names[key]
 
+    def prepare(self, x) -> None:
+        """Add the operands of documents, conditions and lists of them, before the conditions that read them."""
+        if isinstance(x, dict):
+            if "ind" in x or "op" in x:
+                self.operand(x)
+            else:
+                self.prepare(list(x.values()))
+        elif isinstance(x, list):
+            for y in x:
+                self.prepare(y)
+
     def operand(self, x: Operand) -> Column:
         """The column of an operand."""
         if isinstance(x, (int, float)):
@@ -136,6 +164,8 @@ class Compiler:
     def _vwap(self, x: dict) -> Column:
         """Anchored volume-weighted mean price plus k deviations; equal weights while no volume has come."""
         upto, k = self.inside().rowsBetween(W.unboundedPreceding, 0), float(x.get("k", 0))
+        if "vwap#sigma" in self.names:
+            return self._band(k)
         price = F.expr(FIELDS["hlc3"])
         total, n = F.sum("v").over(upto), F.count(F.lit(1)).over(upto)
         first = F.first(price).over(upto)
@@ -144,11 +174,23 @@ class Compiler:
         def mean(y: Column) -> Column:
             return F.when(total > 0, F.try_divide(F.sum(F.col("v") * y).over(upto), total)).otherwise(F.sum(y).over(upto) / n)
 
-        m = mean(gap)
-        variance = mean(gap * gap) - m * m
-        sigma = F.when(variance <= 1e-12, 0.0).otherwise(F.sqrt(F.greatest(variance, F.lit(0.0))))
-        value = first + m if k == 0 else F.when(sigma >= self.tick, first + m + k * sigma)
-        return F.when(F.col("anchored"), value)
+        # first, mean and deviation are columns that all bands share
+        self.add("vwap#first", first)
+        m, square = F.col(self.add("vwap#mean", mean(gap))), F.col(self.add("vwap#square", mean(gap * gap)))
+        variance = square - m * m
+        self.add("vwap#sigma", F.when(variance <= 1e-12, 0.0).otherwise(F.sqrt(F.greatest(variance, F.lit(0.0)))))
+        return self._band(k)
+
+    def _band(self, k: float, before: bool = False) -> Column:
+        """The band k of a bar, or of the bar before it, from the columns that all bands share."""
+        names = {"anchored": "anchored", **{c: self.names[f"vwap#{c}"] for c in ("first", "mean", "sigma")}}
+        anchored, first, m, sigma = (self._before(x) if before else F.col(x) for x in names.values())
+        return F.when(anchored, first + m if k == 0 else F.when(sigma >= self.tick, first + m + k * sigma))
+
+    def _before(self, name: str) -> Column:
+        """A column's value on the bar before, which all that ask for it share."""
+        key = f"before#{name}"
+        return F.col(self.names[key] if key in self.names else self.add(key, F.lag(name).over(self.series())))
 
     def _rvol(self, x: dict) -> Column:
         """Volume over its mean at the same bar of the n sessions before, as sessions of the instrument follow each other."""
@@ -260,7 +302,12 @@ class Compiler:
         return F.col(self.names[key])
 
     def _lagged(self, x: Operand) -> Column:
-        return F.lag(self.operand(x)).over(self.series()) if not isinstance(x, (int, float)) else F.lit(float(x))
+        if isinstance(x, (int, float)):
+            return F.lit(float(x))
+        self.operand(x)
+        if isinstance(x, dict) and x.get("ind") == "vwap" and not x.get("lag"):
+            return self._band(float(x.get("k", 0)), before=True)
+        return self._before(self.names[canonical({"ind": x} if isinstance(x, str) else x)])
 
     def _edged(self, value: Column, *needed: Column) -> Column:
         """False on an edge bar; else null where an operand is undefined now or one bar before."""
@@ -289,13 +336,13 @@ class Compiler:
         if "touch" in x or "reject" in x:
             side = x.get("touch", x.get("reject"))
             level, before = self.operand(x["level"]), self._lagged(x["level"])
-            last = F.lag("c").over(self.series())
+            last = self._before("c")
             met = (F.col("l") <= level) & (last > before) if side == "above" else (F.col("h") >= level) & (last < before)
             if "reject" in x:
                 met = met & ((F.col("c") > level) if side == "above" else (F.col("c") < level))
             return self._edged(met, level, before, last)
         if "break" in x:
-            level, last = self.operand(x["level"]), F.lag("c").over(self.series())
+            level, last = self.operand(x["level"]), self._before("c")
             before = self._lagged(x["level"])
             return self._edged((F.col("c") > level) & (last <= before) if x["break"] == "up" else (F.col("c") < level) & (last >= before), level, before, last)
         if "bar" in x:
@@ -337,9 +384,8 @@ class Compiler:
 
     def executable(self) -> Column:
         """0: the next bar follows in the session; 1: the session ends here; 2: a bar is missing."""
-        w = W.partitionBy("instrument").orderBy("t")
-        after, day = F.lead("t").over(w), F.lead("session").over(w)
-        return F.when(after.isNull() | (day != F.col("session")), 1).when(after != F.col("t") + 1, 2).otherwise(0)
+        after = F.lead("t").over(W.partitionBy("instrument", "session").orderBy("t"))
+        return F.when(after.isNull(), 1).when(after != F.col("t") + 1, 2).otherwise(0)
 
     def signal(self, rule: dict) -> Column:
         """Where all of a rule's setup conditions and its trigger are true, on anchored bars."""

@@ -27,7 +27,7 @@ def compiler(spark: SparkSession, sf_dir: str) -> Compiler:
 
 
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.features(compiler(spark, sf_dir), DOCUMENT)
+    return E.features(compiler(spark, sf_dir), DOCUMENT, average_range=E.wants_range([BASE]))
 
 
 ROUNDED = ["entry", "stop", "target", "exit", "points", "pnl", "r", "mae", "mfe"]
@@ -39,6 +39,13 @@ def execute_run(spark, sf_dir):
     return r6_all(E.execute(frame(spark, sf_dir), [BASE]), *ROUNDED)
 
 
+@register("refusals")
+def refusals(spark, sf_dir):
+    """Signals that made no trade, by reason: once as they are, once with at most one trade a session."""
+    found = E.refusals(frame(spark, sf_dir), [BASE, E.replace(BASE, max_per_session=1)])
+    return found.groupBy("config", "reason").agg(F.sum("n").alias("n"))
+
+
 @register("envelope")
 def envelope(spark, sf_dir):
     return E.envelope(frame(spark, sf_dir), BASE).groupBy("config").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("r"), "mean_r"), r6(F.sum("pnl"), "net"))
@@ -52,9 +59,8 @@ def stress_grid(spark, sf_dir):
 @register("sweep_matrix")
 def sweep_matrix(spark, sf_dir):
     """Session records of every setting, sessions without trades included."""
-    c = compiler(spark, sf_dir)
-    trades, points = S.sweep(c, DOCUMENT, {"k": [-0.5, -1.0, -1.5, -2.0]}, BASE)
-    return r6_all(E.session_records(trades, c.frame, len(points)), "sum_r", "sum_r2", "net")
+    records, _ = S.sweep_records(compiler(spark, sf_dir), DOCUMENT, {"k": [-0.5, -1.0, -1.5, -2.0]}, BASE)
+    return r6_all(records, "sum_r", "sum_r2", "net")
 
 
 @register("random_null")
@@ -62,11 +68,17 @@ def random_null(spark, sf_dir):
     return r6_all(R.random_null(frame(spark, sf_dir), BASE, 20), "mean_r")
 
 
+@register("random_p_value")
+def random_p_value(spark, sf_dir):
+    """The real mean against twenty draws of random entries."""
+    return r6_all(R.p_value(R.random_null(frame(spark, sf_dir), BASE, 20)), "real", "p")
+
+
 @register("permute_null")
 def permute_null(spark, sf_dir):
     """Mean result of the document on ten sets of permuted bars."""
     shuffled = R.permuted_bars(I.bars(spark, sf_dir), 10, 4)
-    trades = E.execute(E.features(Compiler(shuffled, anchor=ANCHOR), DOCUMENT), [BASE])
+    trades = E.execute(E.features(Compiler(shuffled, anchor=ANCHOR), DOCUMENT, average_range=E.wants_range([BASE])), [BASE])
     return trades.groupBy(F.substring_index("instrument", "#", -1).cast("int").alias("draw")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("r"), "mean_r"))
 
 
