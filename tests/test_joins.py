@@ -33,3 +33,23 @@ def test_all_news_takes_every_event(spark):
     assert every.count() < few.count()
     hours = spark.read.parquet(f"{SMALL}/events.parquet").where("event_id % 3 >= 1").select(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("h")).distinct()
     assert every.select(F.explode(F.sequence("t", F.col("t") + 2)).alias("h")).join(hours, "h").count() == 0
+
+
+def test_fifo_flips_against_single_units(spark):
+    """Every unit by itself: the oldest open unit of the other side is closed first."""
+    from collections import defaultdict
+
+    li = spark.read.parquet(f"{SMALL}/lineitem.parquet").orderBy("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice").collect()
+    want, books = defaultdict(float), defaultdict(list)
+    for r in li:
+        side, price, open_ = "B" if r["l_linestatus"] == "O" else "S", float(r["l_extendedprice"]), books[r["l_suppkey"]]
+        for _ in range(round(float(r["l_quantity"]))):
+            if open_ and open_[0][0] != side:
+                first, entry = open_.pop(0)
+                want[r["l_suppkey"], "long" if first == "B" else "short", entry, price] += 1
+            else:
+                open_.append((side, price))
+    got = defaultdict(float)
+    for r in registry.queries()["fifo_flips"](spark, SMALL).collect():
+        got[r["book"], r["side"], r["entry"], r["exit"]] += r["matched"]
+    assert len(want) > 1000 and got == want

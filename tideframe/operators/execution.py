@@ -273,6 +273,8 @@ def execute(frame: DataFrame, settings: list[Settings], by: str | None = None, c
                 made, _ = replay(bars, Settings(**plans[k]))
                 numbers += [k] * len(made)
                 rows += made
+        if not rows:
+            return pd.DataFrame([], columns=names)
         fixed = {c: [v] * len(rows) for c, v in {"instrument": pdf["instrument"].iloc[0], "session": pdf["session"].iloc[0]}.items()}
         return pd.DataFrame({"config": numbers, **fixed, **{c: [x[c] for x in rows] for c in names[3:]}}, columns=names)
 

@@ -54,14 +54,14 @@ sm AS (SELECT *, sum(w) OVER u AS sw, sum(w * (p - p0)) OVER u AS s1, sum(w * (p
 sv AS (SELECT *, CASE WHEN sw > 0 THEN p0 + s1 / sw END AS vwap, CASE WHEN sw > 0 THEN CASE WHEN s2 / sw - (s1 / sw) * (s1 / sw) > 1e-12 THEN sqrt(s2 / sw - (s1 / sw) * (s1 / sw)) ELSE 0.0 END END AS sd FROM sm)"""
 
 
-@register("session_vwap", f"WITH {SESSION_VWAP} SELECT instrument, t, {r6_sql('vwap', 'vwap')}, {r6_sql('sd', 'sd')} FROM sv")
+@register("session_vwap", f"WITH {SESSION_VWAP} SELECT instrument, t, {r6_sql('vwap', 'vwap', 9)}, {r6_sql('sd', 'sd', 9)} FROM sv")
 def session_vwap(spark, sf_dir):
-    return r6_all(M.session_vwap(I.bars(spark, sf_dir)).select("instrument", "t", "vwap", "sd"), "vwap", "sd")
+    return r6_all(M.session_vwap(I.bars(spark, sf_dir)).select("instrument", "t", "vwap", "sd"), "vwap", "sd", digits=9)
 
 
-@register("day_vwap", f"WITH {BARS} SELECT instrument, session, {r6_sql('coalesce(CASE WHEN sum(v) > 0 THEN sum((o + h + l + c) / 4 * v) / sum(v) END, avg(c))', 'vwap')} FROM bars GROUP BY 1, 2")
+@register("day_vwap", f"WITH {BARS} SELECT instrument, session, {r6_sql('coalesce(CASE WHEN sum(v) > 0 THEN sum((o + h + l + c) / 4 * v) / sum(v) END, avg(c))', 'vwap', 9)} FROM bars GROUP BY 1, 2")
 def day_vwap(spark, sf_dir):
-    return r6_all(M.day_vwap(I.bars(spark, sf_dir)), "vwap")
+    return r6_all(M.day_vwap(I.bars(spark, sf_dir)), "vwap", digits=9)
 
 
 @register(

@@ -222,6 +222,14 @@ def fifo_match(spark, sf_dir):
     return J.fifo(fills, ["book"], ["l_shipdate", "l_orderkey", "l_partkey", "l_linenumber", "price"], "side", "qty", "price")
 
 
+@register("fifo_flips")
+def fifo_flips(spark, sf_dir):
+    """Round trips of books that may go short; the open side changes along the path, so tests hold it to a plain loop."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    fills = li.select(F.col("l_suppkey").alias("book"), F.when(F.col("l_linestatus") == "O", "B").otherwise("S").alias("side"), F.round("l_quantity").cast("long").alias("qty"), F.col("l_extendedprice").cast("double").alias("price"), "l_orderkey", "l_partkey", "l_linenumber")
+    return J.fifo_flips(fills, "book", ["l_orderkey", "l_partkey", "l_linenumber", "price"], "side", "qty", "price")
+
+
 @register("except_hashes", "SELECT DISTINCT l_partkey % 997 AS h FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey % 997 FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1 AND l_quantity < 3")
 def except_hashes(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("h", F.col("l_partkey") % 997)

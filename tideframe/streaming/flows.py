@@ -62,7 +62,8 @@ def stream_average(bars: DataFrame, n: int) -> DataFrame:
 
 
 def upsert_batches(changes: DataFrame, path: str, checkpoint: str, key: str, version: str):
-    """Keep the last version of each document in a table that each micro-batch rewrites beside the old one."""
+    """Keep the last version of each document in a table that each micro-batch writes beside the one before; the table before
+    that is deleted, so a reader of the last one is not disturbed and old versions do not pile up."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark, target = batch.sparkSession, f"{path}/v{epoch}"
@@ -71,5 +72,8 @@ def upsert_batches(changes: DataFrame, path: str, checkpoint: str, key: str, ver
             rows = spark.read.parquet(f"{path}/v{epoch - 1}").unionByName(batch)
         others = [c for c in batch.columns if c != key]
         rows.groupBy(key).agg(F.max_by(F.struct(*others), version).alias("d")).select(key, *[F.col(f"d.{c}") for c in others]).write.mode("overwrite").parquet(target)
+        if epoch > 1:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{epoch - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
