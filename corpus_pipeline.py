@@ -25,15 +25,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], outputs: tuple[str, ...], wanted: str) -> DataFrame:
+    """The rows of docs for which judge's outputs are as wanted; columns of docs with the name of an output keep their values."""
+    if not set(outputs) & {c.lower() for c in docs.columns}:
+        return judge(docs).where(wanted).select(docs.columns)
+    whole = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("_row_"))
+    return judge(whole).where(wanted).select("_row_.*")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the vote of labelled neighbours does not reject."""
+    """Documents that the vote of labelled neighbours does not reject. A null or empty text has the share of label 1 among the
+    labels as its score and stays where that reaches the threshold; repeated rows stay or go together, as equal texts score
+    alike; all columns keep their values."""
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, model).where("predicted = 1").select(docs.columns)
+    return _kept(docs, lambda rows: quality.score_documents(rows, model), ("score", "predicted"), "predicted = 1")
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with the calibrated certainty."""
-    return language.predict(docs, language.fit(docs)).where("accepted").select(docs.columns)
+    """Documents whose language is told with the calibrated certainty. Null texts and texts without letters have no language
+    and go; equal texts stay or go together. An empty table, or one without languages to learn from, leaves nothing."""
+    model = language.fit(docs)
+    return _kept(docs, lambda rows: language.predict(rows, model), ("lang_pred", "score", "accepted"), "accepted")
 
 
 def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +58,14 @@ def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. Null and empty texts hold none and stay; repeated rows stay or go
+    together; without a benchmark all stay."""
     return decontaminate.without_items(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences, neighbours on the curve together."""
+    """Pieces of training sequences, neighbours on the curve together. A null text is the end id alone; repeated rows are packed
+    each; no documents give no piece."""
     return curve_packing.pack_along_curve(docs)
 
 

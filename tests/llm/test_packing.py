@@ -107,6 +107,16 @@ def test_best_fit_rows(spark, whole, clash):
     assert set(pieces) == set(want)
 
 
+def test_padding_does_not_grow_with_tasks(spark):
+    """Short documents over many partitions take as few rows as in one, but for the last of each final task."""
+    rows = [(i, f"text {i} " * (1 + i % 9), None, None, None) for i in range(400)]
+    one, many = (fit_packing.pack_best_fit(docs(spark, rows).repartition(n), sequence=256) for n in (1, 40))
+    tokens = one.agg({"n_tokens": "sum"}).first()[0]
+    assert many.agg({"n_tokens": "sum"}).first()[0] == tokens
+    assert one.count() <= many.count() <= -(-tokens // 256) + 2
+    assert many.select("sequence_id").distinct().count() == many.count()
+
+
 def test_best_fit_chooses_the_least_room():
     rows = fit_packing.best_fit(np.array([6, 5, 4, 4, 3, 2]), 10)
     assert sorted(sum(rows, [])) == list(range(6))

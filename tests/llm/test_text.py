@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tideframe.llm import decontaminate, wrappers
@@ -257,6 +258,62 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, folder).count() > 0
 
 
+def test_stages_keep_columns_of_clashing_names(spark):
+    folder = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{folder}/documents.parquet").withColumns({"score": F.lit("mine"), "accepted": F.col("doc_id"), "component_id": F.lit(1), "size": F.lit(2)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, table, folder)
+        assert made.columns == table.columns, name
+        assert made.count() > 0 and made.where("score <> 'mine' or accepted <> doc_id or component_id <> 1").count() == 0, name
+
+
+def test_pipeline_against_its_parts(spark):
+    """The packed documents are those that plain versions of all stages keep."""
+    import re
+
+    import numpy as np
+
+    from tideframe.llm import language, quality
+
+    folder = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in table.collect()}
+    model = quality.fit(table, spark.read.parquet(f"{folder}/labels.parquet"))
+    kept = {r["doc_id"] for r in quality.score_documents(table, model).where("score >= 0.7").collect()}
+    assert kept == {r["doc_id"] for r in corpus_pipeline.keep_quality(spark, table, folder).collect()} and len(kept) > 100
+    docs_ = table.where(F.col("doc_id").isin(list(kept)))
+    known = language.fit(docs_)
+    kept = {r["doc_id"] for r in language.predict(docs_, known).collect() if r["lang_pred"] != "und" and r["score"] >= known.least}
+    lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+    sets = {}
+    for i in sorted(kept):
+        w = re.findall(r"[^\x20\x09-\x0D]+", texts[i].translate(lower))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    first = {i: i for i in sets}
+
+    def top(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                first[max(x, y)] = min(x, y)
+    kept = {i for i in ids if top(i) == i}
+    assert len(kept) < len(ids)
+    items = [t for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if (t := decontaminate.normal(r["text"]))]
+    exact = {i for i in kept if any(t in decontaminate.normal(texts[i]) for t in items)}
+    packed = corpus_pipeline.run(spark, folder).select("doc_id", "length").toPandas()
+    got = set(packed.doc_id)
+    assert exact and not exact & got and got <= kept
+    near = {r["doc_id"] for r in decontaminate.find_items(table, spark.read.parquet(f"{folder}/benchmark.parquet")).collect()}
+    assert kept - got == kept & near
+    assert np.isfinite(packed.length).all()
+
+
 def test_duplicate_stage_keeps_one(spark):
     rng = random.Random(9)
     base = words(rng, 80)

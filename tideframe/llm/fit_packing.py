@@ -1,7 +1,9 @@
 """Best-fit-decreasing packing of token ids into fixed-length rows.
 
-Every task packs its own documents, so nothing is shuffled. Overlong documents are cut into whole rows and a rest; rests
-go, longest first, into the row with the least room that holds them, found in a segment tree over room sizes.
+Every task packs its own documents, so nothing is shuffled but what tasks leave over. Overlong documents are cut into whole
+rows and a rest; rests go, longest first, into the row with the least room that holds them, found in a segment tree over
+room sizes. Rows that a task leaves too empty are taken apart and their rests packed once more, from all tasks together, so
+padding does not grow with the number of tasks.
 """
 
 from __future__ import annotations
@@ -15,12 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import text_slices, tidy
+from .scratch import Scratch
 from .tokens import END_ID, default_path, encoder
 
 SEQUENCE = 2048
 PAD_ID = 0
 #: Tokens of rests that a task holds before it packs them.
 HELD_TOKENS = 4 << 20
+#: A row filled less than this is packed again with the rests of other tasks.
+FULL = 0.98
 
 
 class RoomTree:
@@ -70,41 +75,55 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
 
 
 ROWS = "sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, starts array<long>, lengths array<long>"
-
-
-def _rows(rows: list[list[tuple]], number: int, size: int) -> pa.RecordBatch:
-    out = {x.split()[0]: [] for x in ROWS.split(", ")}
-    for pieces in rows:
-        ids, place, bounds = np.full(size, PAD_ID, "<u4"), np.zeros(size, "<u4"), [0]
-        for _, _, body in pieces:
-            at = bounds[-1]
-            ids[at : at + len(body)] = body
-            place[at : at + len(body)] = np.arange(len(body))
-            bounds.append(at + len(body))
-        for name, value in zip(out, (number, bounds[-1], ids.tobytes(), bounds, place.tobytes(), [p[0] for p in pieces], [p[1] for p in pieces], [len(p[2]) for p in pieces]), strict=True):
-            out[name].append(value)
-        number += 1
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), *[pa.list_(pa.int64())] * 3]
-    return pa.record_batch([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+#: A row before it is padded: whether it is settled, and its segments.
+LAID = "settled boolean, sequence_id long, doc_ids array<long>, starts array<long>, lengths array<long>, ids binary"
+
+
+def _laid(rows: list[tuple[bool, list[tuple]]], number: int) -> pa.RecordBatch:
+    """Rows of segments (document, start, ids)."""
+    lists = lambda f, kind: pa.array([[f(p) for p in pieces] for _, pieces in rows], pa.list_(kind))
+    return pa.record_batch(
+        [
+            pa.array([done for done, _ in rows], pa.bool_()),
+            pa.array(range(number, number + len(rows)), pa.int64()),
+            lists(lambda p: p[0], pa.int64()),
+            lists(lambda p: p[1], pa.int64()),
+            lists(lambda p: len(p[2]), pa.int64()),
+            pa.array([b"".join(p[2].tobytes() for p in pieces) for _, pieces in rows], pa.binary()),
+        ],
+        names=[x.split()[0] for x in LAID.split(", ")],
+    )
+
+
+class _Packer:
+    """Packs rests of documents, in runs of about `held` tokens, and numbers the rows of a task."""
+
+    def __init__(self, size: int, held: int, number: int, last: bool):
+        self.size, self.most, self.number, self.last, self.rests, self.tokens = size, held, number, last, [], 0
+
+    def emit(self, rows: list[tuple[bool, list[tuple]]]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(rows), 256):
+            yield _laid(rows[at : at + 256], self.number)
+            self.number += len(rows[at : at + 256])
+
+    def add(self, doc: int | None, start: int, ids: np.ndarray) -> None:
+        self.rests.append((doc, start, ids))
+        self.tokens += len(ids)
+
+    def settle(self, force: bool = False) -> Iterator[pa.RecordBatch]:
+        if self.tokens < self.most and not force:
+            return
+        lengths = np.array([len(x[2]) for x in self.rests], np.int64)
+        rows = [[self.rests[i] for i in row] for row in best_fit(lengths, self.size)]
+        yield from self.emit([(self.last or sum(len(p[2]) for p in row) >= FULL * self.size, row) for row in rows])
+        self.rests, self.tokens = [], 0
 
 
 def _pack(path: str, size: int, held_tokens: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, number = encoder(path).encode, TaskContext.get().partitionId() << 32
-        rests, held = [], 0
-
-        def emit(rows: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
-            nonlocal number
-            for at in range(0, len(rows), 256):
-                yield _rows(rows[at : at + 256], number, size)
-                number += len(rows[at : at + 256])
-
-        def settle() -> Iterator[pa.RecordBatch]:
-            nonlocal rests, held
-            lengths = np.array([len(x[2]) for x in rests], np.int64)
-            yield from emit([[rests[i] for i in row] for row in best_fit(lengths, size)])
-            rests, held = [], 0
+    """Rows of each task's own documents."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, packer = encoder(path).encode, _Packer(size, held_tokens, TaskContext.get().partitionId() << 32, False)
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             for lo, hi, data, offsets in text_slices(batch.column("text")):
@@ -114,14 +133,55 @@ def _pack(path: str, size: int, held_tokens: int):
                     body = np.append(ids[at : at + n], END_ID).astype("<u4")
                     at += n
                     cut = len(body) // size * size
-                    whole += [[(doc, k, body[k : k + size])] for k in range(0, cut, size)]
+                    whole += [(True, [(doc, k, body[k : k + size])]) for k in range(0, cut, size)]
                     if cut < len(body):
-                        rests.append((doc, cut, body[cut:]))
-                        held += len(body) - cut
-                yield from emit(whole)
-                if held >= held_tokens:
-                    yield from settle()
-        yield from settle()
+                        packer.add(doc, cut, body[cut:])
+                yield from packer.emit(whole)
+                yield from packer.settle()
+        yield from packer.settle(force=True)
+
+    return run
+
+
+def _repack(size: int, held_tokens: int):
+    """Rows of the rests that tasks left over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = _Packer(size, held_tokens, 1 << 62 | TaskContext.get().partitionId() << 32, True)
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, at = np.frombuffer(row["ids"], "<u4"), 0
+                for doc, start, n in zip(row["doc_ids"], row["starts"], row["lengths"], strict=True):
+                    packer.add(doc, start, ids[at : at + n])
+                    at += n
+            yield from packer.settle()
+        yield from packer.settle(force=True)
+
+    return run
+
+
+def _pad(size: int):
+    """Laid rows as id matrices, with cumulative lengths and positions that begin anew in each segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                lengths, bodies = part.column("lengths").to_pylist(), part.column("ids").to_pylist()
+                ids, place = np.full((part.num_rows, size), PAD_ID, "<u4"), np.zeros((part.num_rows, size), "<u4")
+                bounds = [np.concatenate([[0], np.cumsum(x)]).astype(int) for x in lengths]
+                for i, (body, cuts) in enumerate(zip(bodies, bounds, strict=True)):
+                    ids[i, : cuts[-1]] = np.frombuffer(body, "<u4")
+                    place[i, : cuts[-1]] = np.arange(cuts[-1]) - np.repeat(cuts[:-1], np.diff(cuts))
+                columns = [
+                    part.column("sequence_id"),
+                    pa.array([x[-1] for x in bounds], pa.int32()),
+                    pa.array([x.tobytes() for x in ids], pa.binary()),
+                    pa.array([x.tolist() for x in bounds], pa.list_(pa.int32())),
+                    pa.array([x.tobytes() for x in place], pa.binary()),
+                    *[part.column(c) for c in ("doc_ids", "starts", "lengths")],
+                ]
+                yield pa.record_batch(columns, names=[x.split()[0] for x in ROWS.split(", ")])
 
     return run
 
@@ -133,8 +193,16 @@ def pack_best_fit(docs: DataFrame, tokenizer: str | None = None, sequence: int =
     Each document is its ids and the end id 1; a null text is empty. Equal rows are packed like different ones; a null
     doc_id stays null. Other columns are ignored; an empty table gives no row.
     """
+    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(tidy(_pack(tokenizer or default_path(), sequence, held_tokens)), ROWS)
+    laid = scratch.cut(rows.mapInArrow(tidy(_pack(tokenizer or default_path(), sequence, held_tokens)), LAID))
+    loose = laid.where("not settled")
+    tokens = loose.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    pad = lambda df: df.mapInArrow(tidy(_pad(sequence)), ROWS)
+    if not tokens:
+        return pad(laid)
+    again = loose.repartition(int(tokens // held_tokens) + 1, F.xxhash64("sequence_id")).sortWithinPartitions("sequence_id").mapInArrow(tidy(_repack(sequence, held_tokens)), LAID)
+    return pad(laid.where("settled")).unionByName(pad(again))
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
