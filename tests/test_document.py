@@ -42,3 +42,12 @@ def test_mirror_is_its_own_inverse():
         assert canonical(mirror(twice)) == canonical(mirror(c))
     with pytest.raises(DocumentError):
         mirror({"cmp": ">", "a": "close", "b": 100})
+
+
+def test_described():
+    from tideframe.plans.document import TEMPLATES, describe
+
+    assert describe({"all": [{"cmp": ">", "a": "close", "b": {"ind": "sma", "n": 12}}, {"not": {"bar": "up"}}]}) == "(close > sma(n 12) and not bar goes upwards)"
+    assert describe({"cross": "up", "a": {"ind": "close", "lag": 3}, "b": {"op": "-", "a": "high", "b": 2.5}}) == "close 3 bars ago crosses (high - 2.5) upwards"
+    assert describe({"for": 3, "cond": {"reject": "below", "level": {"ind": "vwap", "k": -2}}}) == "price rejects vwap(k -2) from below for 3 bars"
+    assert all(describe(t["trigger"]) for t in TEMPLATES.values())

@@ -94,3 +94,37 @@ def test_bracket_on_driftless_walk(spark):
     assert runs[0] <= runs[1]
     again = execute(frame, [s]).agg({"r": "avg"}).first()[0]
     assert again == pytest.approx(runs[0])
+
+
+def test_known_order_inside_a_bar():
+    bars = session({4: (100, 103, 97, 101)})
+    bars["low_first"] = np.ones(10, bool)
+    assert replay(bars, replace(BASE, fill="known"))[0][0]["reason"] == "stop"
+    bars["low_first"][4] = False
+    assert replay(bars, replace(BASE, fill="known"))[0][0]["reason"] == "target"
+    short = {**bars, "long": bars["short"], "short": bars["long"]}
+    assert replay(short, replace(BASE, fill="known"))[0][0]["reason"] == "stop"
+
+
+def test_known_order_lies_between_the_brackets(spark):
+    bars = driftless_walk(spark, 12, 120)
+    frame = features(Compiler(bars), {"trigger": {"bar": "up"}, "mirror": False})
+    s = replace(BASE, stop_x=2.0, target_x=1.0, cooldown=5)
+    runs = {r["config"]: r["avg(r)"] for r in execute(frame, [replace(s, fill=f) for f in ("pessimistic", "known", "optimistic")]).groupBy("config").agg({"r": "avg"}).collect()}
+    assert runs[0] <= runs[1] <= runs[2]
+
+
+def test_orders_wait_until_a_bar():
+    s = replace(BASE, entry="limit", entry_offset=1.0, valid=5)
+    assert only({4: (100, 100, 99, 100)}, s)["entry_t"] == 4
+    _, counts = replay(session({4: (100, 100, 99, 100)}), replace(s, valid_until=4))
+    assert counts["expired"] == 1
+
+
+def test_target_follows_its_level():
+    bars = session({6: (100, 102, 100, 101)})
+    bars["goal"] = np.array([103.0] * 5 + [101.5] * 5)
+    s = replace(BASE, target_kind="level", stop_x=5.0)
+    assert replay(bars, s)[0][0]["reason"] == "end"
+    x = replay(bars, replace(s, follow=True))[0][0]
+    assert (x["reason"], x["exit"], x["exit_t"]) == ("target", 101.5, 6)

@@ -259,6 +259,23 @@ def ultima(spot: Column, strike: Column, sigma: Column, time: Column) -> Column:
     return -vega(spot, strike, sigma, time) / (sigma * sigma) * (a * b * (1 - a * b) + a * a + b * b)
 
 
+def rho(spot: Column, strike: Column, sigma: Column, time: Column, call: Column) -> Column:
+    """Change of value for a rate of one, at a rate of nought."""
+    b = d1(spot, strike, sigma, time) - sigma * F.sqrt(time)
+    return strike * time * F.when(call, normal.cdf(b)).otherwise(-normal.cdf(-b))
+
+
+def veta(spot: Column, strike: Column, sigma: Column, time: Column) -> Column:
+    """Decay of vega as time to expiry shrinks."""
+    a = d1(spot, strike, sigma, time)
+    return -vega(spot, strike, sigma, time) * (1 + a * (a - sigma * F.sqrt(time))) / (2 * time)
+
+
+def minimum_backtest(trials: Column, sharpe: Column) -> Column:
+    """Years of data below which the best of so many trials without skill is expected to reach a yearly Sharpe ratio."""
+    return F.pow(expected_best_sharpe(trials, F.lit(1.0)) / sharpe, 2)
+
+
 def implied_volatility(value: Column, spot: Column, strike: Column, time: Column, call: Column, rounds: int = 60) -> Column:
     """Bisection on [1e-8, 10] inside one expression; null if the value is outside what volatilities give."""
     start = F.struct(F.lit(1e-8).alias("lo"), F.lit(10.0).alias("hi"))

@@ -37,15 +37,17 @@ class Settings:
     point_value: float = 2.0
     commission: float = 0.0
     slip: float = 0.0
-    fill: str = "pessimistic"  # or optimistic, path
+    fill: str = "pessimistic"  # or optimistic, path (the bar's direction tells), known (the frame's low_first tells)
     entry: str = "market"  # or limit, stop
     entry_offset: float = 0.0
     valid: int = 1
+    valid_until: int = 1 << 30  # bar of the session before which a waiting order must fill
     stop_kind: str = "points"  # or atr, swing, level
     stop_x: float = 10.0
     stop_n: int = 5
     min_stop_ticks: float = 1.0
     target_kind: str = "r"  # or points, atr, level, none
+    follow: bool = False  # a level target moves with its level, known on the bar before
     target_x: float = 2.0
     contracts: int = 1
     risk_money: float = 0.0
@@ -73,7 +75,7 @@ def replay(bars: dict[str, np.ndarray], s: Settings) -> tuple[list[dict[str, Any
     t, minute, o, h, l, c, status = (bars.get("lists") or as_lists(bars)).values()
     n, out, counts = len(t), [], dict.fromkeys(COUNTS, 0)
     profit, losses, free = 0.0, 0, 0
-    still = math.isinf(s.trail) and math.isinf(s.break_even_r)
+    still = math.isinf(s.trail) and math.isinf(s.break_even_r) and not (s.follow and s.target_kind == "level")
     timed = s.flat <= minute[-1] if n else False
 
     def grid(p: float, up: bool) -> float:
@@ -101,6 +103,8 @@ def replay(bars: dict[str, np.ndarray], s: Settings) -> tuple[list[dict[str, Any
         else:
             order = grid(c[i] - way * s.entry_offset, way < 0) if s.entry == "limit" else grid(c[i] + way * s.entry_offset, way > 0)
             for e in range(i + 1, min(n, i + 1 + s.valid)):
+                if minute[e] >= s.valid_until:
+                    break
                 if s.entry == "limit":
                     if way * (o[e] - order) <= 0:
                         price = o[e]
@@ -166,6 +170,8 @@ def replay(bars: dict[str, np.ndarray], s: Settings) -> tuple[list[dict[str, Any
                 top, bottom = max(h[e:k]), min(l[e:k])
                 mae, mfe = (min(0.0, bottom - price), max(0.0, top - price)) if way > 0 else (min(0.0, price - top), max(0.0, price - bottom))
         while done is None:
+            if s.follow and s.target_kind == "level" and k > e and math.isfinite(goal := float(bars["goal"][k - 1])):
+                target = grid(goal, way > 0)
             adverse, better = (l[k], h[k]) if way > 0 else (h[k], l[k])
             hit_stop, hit_target = way * (adverse - now) <= 0, aimed and way * (better - target) >= s.through * s.tick
             opened = k > e or s.entry == "market"
@@ -176,7 +182,7 @@ def replay(bars: dict[str, np.ndarray], s: Settings) -> tuple[list[dict[str, Any
             elif opened and aimed and k > e and way * (o[k] - target) >= 0:
                 done, why = o[k], "target"
             elif hit_stop or hit_target:
-                stop_first = hit_stop and (not hit_target or s.fill == "pessimistic" or (s.fill == "path" and way * (c[k] - o[k]) >= 0))
+                stop_first = hit_stop and (not hit_target or s.fill == "pessimistic" or (s.fill == "path" and way * (c[k] - o[k]) >= 0) or (s.fill == "known" and bool(bars["low_first"][k]) == (way > 0)))
                 done, why = (now, "stop") if stop_first else (target, "target")
             elif k - e + 1 >= s.max_bars:
                 done, why = c[k], "time"
@@ -235,7 +241,8 @@ def compiled(compiler: Compiler, document: dict[str, Any], params: dict[str, flo
 def features(compiler: Compiler, document: dict[str, Any], params: dict[str, float] | None = None, average_range: bool = True) -> DataFrame:
     """Bars with what replay needs of a document."""
     made = compiled(compiler, document, params, average_range)
-    return compiler.frame.select(*COLUMNS, *[c.alias(k) for k, c in made.items()])
+    known = ["low_first"] if "low_first" in compiler.bars.columns else []  # which extreme of a bar came first, where that is told
+    return compiler.frame.select(*COLUMNS, *known, *[c.alias(k) for k, c in made.items()])
 
 
 def session_arrays(part: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -243,6 +250,8 @@ def session_arrays(part: pd.DataFrame) -> dict[str, np.ndarray]:
     part = part.sort_values("t")
     bars = {k: part[k].to_numpy() for k in ("t", "sessmin", "o", "h", "l", "c", "status")}
     bars |= {k: part[k].fillna(False).to_numpy(bool) for k in ("long", "short") if k in part} | {k: part[k].to_numpy(float) for k in ("atr", "level", "goal")}
+    if "low_first" in part:
+        bars["low_first"] = part["low_first"].to_numpy(bool)
     return bars | {"lists": as_lists(bars)}
 
 

@@ -170,6 +170,44 @@ def document_hash(document: dict[str, Any]) -> str:
     return fnv1a(canonical({k: v for k, v in document.items() if k not in ("id", "name", "status", "note", "hash", "version")}))
 
 
+_SIGNS = {"above": "from above", "below": "from below", "up": "upwards", "down": "downwards"}
+
+
+def describe(x: Any) -> str:
+    """An operand or condition in words."""
+    if isinstance(x, (int, float)):
+        return f"{x:g}"
+    if isinstance(x, str):
+        return x
+    if "op" in x:
+        return f"({describe(x['a'])} {x['op']} {describe(x['b'])})"
+    if "ind" in x:
+        told = ", ".join(f"{k} {describe(v)}" for k, v in x.items() if k not in ("ind", "lag"))
+        return x["ind"] + (f"({told})" if told else "") + (f" {x['lag']} bars ago" if x.get("lag") else "")
+    for key, word in (("all", " and "), ("any", " or ")):
+        if key in x:
+            return "(" + word.join(describe(c) for c in x[key]) + ")"
+    if "not" in x:
+        return f"not {describe(x['not'])}"
+    if "cmp" in x:
+        return f"{describe(x['a'])} {x['cmp']} {describe(x['b'])}"
+    if "cross" in x:
+        return f"{describe(x['a'])} crosses {describe(x['b'])} {_SIGNS[x['cross']]}"
+    for key, word in (("touch", "touches"), ("reject", "rejects"), ("break", "breaks")):
+        if key in x:
+            return f"price {word} {describe(x['level'])} {_SIGNS[x[key]]}"
+    if "bar" in x:
+        return f"bar goes {_SIGNS[x['bar']]}"
+    if "time" in x:
+        return f"time from {describe(x['time'][0])} to {describe(x['time'][1])}"
+    if "news" in x:
+        return f"no news of impact {describe(x['news'])} from {describe(x.get('before', 0))} bars before to {describe(x.get('after', 0))} after"
+    for key, word in (("for", "for"), ("within", "within")):
+        if key in x:
+            return f"{describe(x['cond'])} {word} {describe(x[key])} bars"
+    raise DocumentError(f"no condition {canonical(x)}")
+
+
 def grid(params: dict[str, list[float]], most: int = 400) -> list[dict[str, float]]:
     """All combinations of one or two parameter lists, in order."""
     out: list[dict[str, float]] = [{}]

@@ -111,3 +111,24 @@ def multiple_tests(spark, sf_dir):
     t = t.withColumns({"rank": F.row_number().over(w).cast("long"), "n": F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))})
     failed = F.max((F.col("p") > 0.05 / (F.col("n") - F.col("rank") + 1)).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))
     return t.select("id", "p", "rank", (F.col("p") <= 0.05 / F.col("n")).alias("bonferroni"), (failed == 0).alias("holm"))
+
+
+@register(
+    "false_discovery",
+    """WITH t AS (SELECT n_nationkey AS id, (n_nationkey * 7 % 25 + 1) / 500.0::DOUBLE AS p FROM nation), r AS (SELECT *, row_number() OVER (ORDER BY p, id) AS rank, count(*) OVER () AS n FROM t), c AS (SELECT sum(1.0::DOUBLE / i) AS c FROM (SELECT unnest(range(1, (SELECT count(*) FROM t) + 1)) AS i)),
+k AS (SELECT coalesce(max(rank) FILTER (p <= rank * 0.05 / (n * c)), 0) AS last FROM r, c) SELECT id, p, rank, rank <= last AS rejected FROM r, k""",
+)
+def false_discovery(spark, sf_dir):
+    """Benjamini, Hochberg and Yekutieli's rule over one family of tests, a small table by nature: every test up to the last
+    rank whose p is small enough."""
+    from pyspark.sql import Window as W
+
+    t = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("id"), ((F.col("n_nationkey") * 7 % 25 + 1) / 500.0).alias("p"))
+    every = W.partitionBy(F.lit(1))
+    t = t.withColumns({"rank": F.row_number().over(every.orderBy("p", "id")).cast("long"), "n": F.count(F.lit(1)).over(every)})
+    harmonic = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.lit(0.0), lambda a, i: a + 1.0 / i)
+    last = F.coalesce(F.max(F.when(F.col("p") <= F.col("rank") * 0.05 / (F.col("n") * harmonic), F.col("rank"))).over(every), F.lit(0))
+    return t.select("id", "p", "rank", (F.col("rank") <= last).alias("rejected"))
+
+
+forms("backtest_length", {"years": (lambda q, k, p: cf.minimum_backtest(q, k / 4), f"pow((CASE WHEN q < 2 THEN 0.0 ELSE (1 - {cf.EULER}) * {PPF('(1 - 1 / q)')} + {cf.EULER} * {PPF(f'(1 - 1 / (q * {math.e!r}))')} END) / (k / 4), 2)")})

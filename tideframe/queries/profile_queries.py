@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import closed_forms as cf
+from ..functions import normal
 from ..operators import inputs as I
 from ..operators import profiles as P
 from ..registry import register
@@ -115,3 +116,14 @@ def option_greeks(spark, sf_dir):
     c, a = chain(spark, sf_dir), ("spot", "strike", "iv", "time")
     cols = [F.col(x) for x in a]
     return c.select("root", "strike", "kind", "iv", r6(cf.gamma(*cols), "gamma", 9), r6(cf.vega(*cols), "vega"), r6(cf.theta(*cols), "theta"), r6(cf.vanna(*cols), "vanna"), r6(cf.volga(*cols), "volga"), r6(cf.charm(*cols), "charm"), r6(cf.speed(*cols), "speed", 9), r6(cf.zomma(*cols), "zomma", 9), "open_interest")
+
+
+N2 = normal.cdf_sql("(d1 - iv * sqrt(time))")
+
+
+@register("option_greeks_more", f"WITH {CHAIN}, g AS (SELECT *, spot * exp(-d1 * d1 / 2) / sqrt(2 * pi()) * sqrt(time) AS vega, d1 - iv * sqrt(time) AS d2 FROM gx) SELECT root, strike, kind, iv, {r6_sql('gamma / (2 * time) * (1 - d1 * d2)', 'color', 9)}, {r6_sql('-vega / (iv * iv) * (d1 * d2 * (1 - d1 * d2) + d1 * d1 + d2 * d2)', 'ultima', 4)}, {r6_sql('-vega * (1 + d1 * d2) / (2 * time)', 'veta', 5)}, {r6_sql(f'strike * time * (CASE WHEN kind = ' + repr('call') + f' THEN {N2} ELSE {N2} - 1 END)', 'rho', 5)}, open_interest FROM g")
+def option_greeks_more(spark, sf_dir):
+    c = chain(spark, sf_dir)
+    cols = [F.col(x) for x in ("spot", "strike", "iv", "time")]
+    call = F.col("kind") == "call"
+    return c.select("root", "strike", "kind", "iv", r6(cf.color(*cols), "color", 9), r6(cf.ultima(*cols), "ultima", 4), r6(cf.veta(*cols), "veta", 5), r6(cf.rho(*cols, call), "rho", 5), "open_interest")
