@@ -324,6 +324,27 @@ def test_hidden_states_find_two_regimes(spark):
     assert shares and all(r["s"] == pytest.approx(1) for r in shares)
 
 
+def test_state_path_against_all_paths(spark):
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        x = np.concatenate([rng.normal(0, 1, 5), rng.normal(2, 1, 5)])
+        model = X.fit_states(x, 2, 5)
+        dense = model.density(x)
+
+        def chance(path, dense=dense, model=model):
+            p = model.start[path[0]] * dense[0, path[0]]
+            for t in range(1, len(path)):
+                p *= model.move[path[t - 1], path[t]] * dense[t, path[t]]
+            return p
+
+        assert chance(tuple(model.path(x))) == pytest.approx(max(map(chance, product(range(2), repeat=10))))
+    paths = run(spark, "hmm_paths")
+    bars = I.bars(spark, SMALL, 600).groupBy("instrument", "session").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    assert paths.groupBy("instrument", "session").agg(F.sum("bars").alias("n")).exceptAll(bars).count() == 0
+
+
 def test_noise_trades_against_a_plain_walk(spark):
     bars = I.bars(spark, SMALL)
     days = {(r["instrument"], r["session"]): r["dispersion"] for r in M.rolling_dispersion(B.sessions(bars, 24), 5).collect()}

@@ -70,6 +70,26 @@ def market_profile_summary(bars: DataFrame, keys: list[str], period: str, tick:
     return ends.drop("most").join(poc, keys).join(balance, keys).withColumn("extended", (F.col("low") < F.col("balance_low")) | (F.col("high") > F.col("balance_high")))
 
 
+def poor_ends(profile: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether a session's highest and lowest levels were met by two periods or more, so that no single print ends them."""
+    last = lambda f: f("periods", "level")
+    return profile.groupBy(*keys).agg((last(F.max_by) >= 2).alias("poor_high"), (last(F.min_by) >= 2).alias("poor_low"))
+
+
+def absorption(cells: DataFrame, bars: DataFrame, keys: list[str], series: list[str], order: str) -> DataFrame:
+    """Of each bar: volume for a unit of range against the series so far (`z`, null before two bars or without spread), and
+    whether the traded delta goes against the bar's move (`absorbed`).
+
+    cells: bid and ask volume of each level of a bar; bars: keys, o, h, l, c.
+    """
+    sums = cells.groupBy(*keys).agg(F.sum(F.col("bid") + F.col("ask")).alias("volume"), F.sum(F.col("ask") - F.col("bid")).alias("delta"))
+    rows = bars.join(sums, keys).withColumn("effort", F.col("volume") / (F.col("h") - F.col("l") + 1))
+    past = W.partitionBy(*series).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    z = F.try_divide(F.col("effort") - F.avg("effort").over(past), F.stddev_samp("effort").over(past))
+    move = F.col("c") - F.col("o")
+    return rows.select(*keys, "volume", "delta", z.alias("z"), F.when(move != 0, F.signum("delta") == -F.signum(move)).otherwise(F.lit(False)).alias("absorbed"))
+
+
 def footprint(cells: DataFrame, keys: list[str], ratio: float = 3.0, least: float = 10.0) -> DataFrame:
     """Volume, delta, level of most volume, and diagonal imbalances of a ladder of bid and ask volumes."""
     w = W.partitionBy(*keys).orderBy("level")

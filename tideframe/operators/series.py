@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import factorial, log2
 
 import numpy as np
@@ -130,6 +131,60 @@ def shapley(trades: DataFrame, levers: list[str], value: str) -> DataFrame:
     return means.select(F.explode(F.array(*out)).alias("x")).select("x.lever", "x.share")
 
 
+@dataclass
+class GaussianStates:
+    """A fitted hidden Markov model of one series; states in the order of their means."""
+
+    mean: np.ndarray
+    sd: np.ndarray
+    start: np.ndarray
+    move: np.ndarray
+    share: np.ndarray
+    log_likelihood: float
+
+    def density(self, x: np.ndarray) -> np.ndarray:
+        return np.exp(-0.5 * ((x[:, None] - self.mean) / self.sd) ** 2) / (self.sd * np.sqrt(2 * np.pi)) + 1e-300
+
+    def path(self, x: np.ndarray) -> np.ndarray:
+        """The most likely states, by Viterbi's recursion in logs; the lower state on a tie."""
+        emit, move = np.log(self.density(x)), np.log(self.move)
+        best, came = np.log(self.start + 1e-300) + emit[0], np.zeros((len(x), len(self.mean)), int)
+        for t in range(1, len(x)):
+            options = best[:, None] + move
+            came[t] = options.argmax(axis=0)
+            best = options.max(axis=0) + emit[t]
+        out = [int(best.argmax())]
+        for t in range(len(x) - 1, 0, -1):
+            out.append(int(came[t][out[-1]]))
+        return np.array(out[::-1])
+
+
+def fit_states(x: np.ndarray, states: int, rounds: int) -> GaussianStates | None:
+    """Baum-Welch from quantiles of x; none for series shorter than two values a state."""
+    if len(x) < 2 * states:
+        return None
+    model = GaussianStates(np.quantile(x, (np.arange(states) + 0.5) / states), np.full(states, max(x.std(), 1e-9)), np.full(states, 1 / states), np.full((states, states), 0.1 / max(1, states - 1)), np.zeros(states), 0.0)
+    np.fill_diagonal(model.move, 0.9)
+    for _ in range(rounds):
+        b = model.density(x)
+        a, c = np.empty_like(b), np.empty(len(x))
+        for t in range(len(x)):
+            a[t] = (model.start if t == 0 else a[t - 1] @ model.move) * b[t]
+            c[t] = a[t].sum()
+            a[t] /= c[t]
+        beta = np.ones_like(b)
+        for t in range(len(x) - 2, -1, -1):
+            beta[t] = model.move @ (b[t + 1] * beta[t + 1]) / c[t + 1]
+        gamma = a * beta
+        gamma /= gamma.sum(axis=1, keepdims=True)
+        xi = model.move * (a[:-1].T @ (b[1:] * beta[1:] / c[1:, None])) + 1e-12
+        mean = (gamma * x[:, None]).sum(axis=0) / gamma.sum(axis=0)
+        sd = np.sqrt(np.maximum(1e-18, (gamma * (x[:, None] - mean) ** 2).sum(axis=0) / gamma.sum(axis=0)))
+        model = GaussianStates(mean, sd, gamma[0], xi / xi.sum(axis=1, keepdims=True), gamma.mean(axis=0), float(np.log(c).sum()))
+    order = np.argsort(model.mean, kind="stable")
+    return GaussianStates(model.mean[order], model.sd[order], model.start[order], model.move[np.ix_(order, order)], model.share[order], model.log_likelihood)
+
+
 def hidden_states(rows: DataFrame, series: list[str], order: str, value: str, states: int = 2, rounds: int = 20) -> DataFrame:
     """Gaussian hidden Markov fit of each series: mean, deviation and share of each state, log-likelihood and criteria.
 
@@ -139,37 +194,31 @@ def hidden_states(rows: DataFrame, series: list[str], order: str, value: str, st
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(order)[value].dropna().to_numpy(float)
-        keys = [pdf[k].iloc[0] for k in series]
-        columns = [*series, "state", "mean", "sd", "share", "log_likelihood", "aic", "bic"]
-        if len(x) < 2 * states:
+        columns, model, p = [*series, "state", "mean", "sd", "share", "log_likelihood", "aic", "bic"], fit_states(x, states, rounds), states * states + 2 * states - 1
+        if model is None:
             return pd.DataFrame([], columns=columns)
-        mean = np.quantile(x, (np.arange(states) + 0.5) / states)
-        sd = np.full(states, max(x.std(), 1e-9))
-        move = np.full((states, states), 0.1 / max(1, states - 1))
-        np.fill_diagonal(move, 0.9)
-        start = np.full(states, 1 / states)
-        for _ in range(rounds):
-            b = np.exp(-0.5 * ((x[:, None] - mean) / sd) ** 2) / (sd * np.sqrt(2 * np.pi)) + 1e-300
-            a, c = np.empty_like(b), np.empty(len(x))
-            for t in range(len(x)):
-                a[t] = (start if t == 0 else a[t - 1] @ move) * b[t]
-                c[t] = a[t].sum()
-                a[t] /= c[t]
-            beta = np.ones_like(b)
-            for t in range(len(x) - 2, -1, -1):
-                beta[t] = move @ (b[t + 1] * beta[t + 1]) / c[t + 1]
-            gamma = a * beta
-            gamma /= gamma.sum(axis=1, keepdims=True)
-            xi = move * (a[:-1].T @ (b[1:] * beta[1:] / c[1:, None]))
-            start, move = gamma[0], (xi + 1e-12) / (xi + 1e-12).sum(axis=1, keepdims=True)
-            mean = (gamma * x[:, None]).sum(axis=0) / gamma.sum(axis=0)
-            sd = np.sqrt(np.maximum(1e-18, (gamma * (x[:, None] - mean) ** 2).sum(axis=0) / gamma.sum(axis=0)))
-        ll, p = float(np.log(c).sum()), states * states + 2 * states - 1
-        return pd.DataFrame([[*keys, s, mean[s], sd[s], gamma[:, s].mean(), ll, 2 * p - 2 * ll, p * np.log(len(x)) - 2 * ll] for s in np.argsort(mean)], columns=columns)
+        keys, ll = [pdf[k].iloc[0] for k in series], model.log_likelihood
+        return pd.DataFrame([[*keys, s, model.mean[s], model.sd[s], model.share[s], ll, 2 * p - 2 * ll, p * np.log(len(x)) - 2 * ll] for s in range(states)], columns=columns)
 
     return rows.groupBy(*series).applyInPandas(fit, schema)
 
 
+def state_paths(rows: DataFrame, series: list[str], order: str, value: str, states: int = 2, rounds: int = 20) -> DataFrame:
+    """Each row's state on the most likely path of its series' fitted model; rows without a value, and series too short to fit,
+    give none."""
+    schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in [*series, order]) + ", state int"
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=[value]).sort_values(order)
+        x = pdf[value].to_numpy(float)
+        model = fit_states(x, states, rounds)
+        if model is None:
+            return pd.DataFrame([], columns=[*series, order, "state"])
+        return pdf[[*series, order]].assign(state=model.path(x))
+
+    return rows.select(*series, order, value).groupBy(*series).applyInPandas(walk, schema)
+
+
 def correlation_spectrum(rows: DataFrame, vector: str) -> DataFrame:
     """Eigenvalues of the correlations of an array column's coordinates, and the edges that pure noise would have.
 

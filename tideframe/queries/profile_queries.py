@@ -81,6 +81,25 @@ def footprint_imbalance(spark, sf_dir):
     return P.footprint(cells, ["instrument", "bar"])
 
 
+@register("tpo_poor_ends", f"WITH {MP} SELECT instrument, session, arg_max(periods, level) >= 2 AS poor_high, arg_min(periods, level) >= 2 AS poor_low FROM mp GROUP BY 1, 2")
+def tpo_poor_ends(spark, sf_dir):
+    return P.poor_ends(P.market_profile(I.bars(spark, sf_dir), ["instrument", "session"], "sessmin", 10.0), ["instrument", "session"])
+
+
+@register(
+    "absorption",
+    f"""WITH {FP}, s AS (SELECT instrument, bar, sum(bid + ask) AS volume, sum(ask - bid) AS delta FROM fp GROUP BY 1, 2), b AS (SELECT instrument, CAST(floor(sec / 14400.0) AS BIGINT) AS bar, arg_min(price, ts) AS o, max(price) AS h, min(price) AS l, arg_max(price, ts) AS c FROM ticks GROUP BY 1, 2),
+e AS (SELECT *, volume / (h - l + 1) AS effort FROM b JOIN s USING (instrument, bar)) SELECT instrument, bar, volume, delta, {r6_sql('(effort - avg(effort) OVER p) / nullif(stddev_samp(effort) OVER p, 0)', 'z')}, CASE WHEN c <> o THEN sign(delta) = -sign(c - o) ELSE false END AS absorbed FROM e WINDOW p AS (PARTITION BY instrument ORDER BY bar ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+)
+def absorption(spark, sf_dir):
+    """Effort and result of bars of four hours, by the ladder of their ticks."""
+    ticks = I.ticks(spark, sf_dir)
+    part = lambda k: F.sum(F.when(F.col("event_id") % 2 == k, F.col("size")).otherwise(0.0))
+    cells = ticks.groupBy("instrument", F.floor(F.col("sec") / 14_400).alias("bar"), F.floor(F.col("price") / 10.0).alias("level")).agg(part(0).alias("bid"), part(1).alias("ask"))
+    bars = I.bars(spark, sf_dir, 14_400).select("instrument", F.col("t").alias("bar"), "o", "h", "l", "c")
+    return r6_all(P.absorption(cells, bars, ["instrument", "bar"], ["instrument"], "bar"), "z")
+
+
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An option chain made of parts: a chain a brand, spot 1500, strikes by price, volatility and interest by size."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")

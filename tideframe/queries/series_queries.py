@@ -159,6 +159,13 @@ def hmm_fit(spark, sf_dir):
     return X.hidden_states(I.bars(spark, sf_dir, 600), ["instrument", "session"], "t", "c")
 
 
+@register("hmm_paths")
+def hmm_paths(spark, sf_dir):
+    """Bars of each session in each state of its most likely path; tests hold the path against all paths."""
+    paths = X.state_paths(I.bars(spark, sf_dir, 600), ["instrument", "session"], "t", "c")
+    return paths.groupBy("instrument", "session", "state").agg(F.count(F.lit(1)).alias("bars"))
+
+
 @register("correlation_spectrum")
 def correlation_spectrum(spark, sf_dir):
     """Spectrum of all coordinates of the embeddings; eigenvalues have no SQL twin, tests hold them against numpy."""
