@@ -255,9 +255,11 @@ def session_arrays(part: pd.DataFrame) -> dict[str, np.ndarray]:
     return bars | {"lists": as_lists(bars)}
 
 
-def firing(frame: DataFrame, keys: list[str], fired: Column) -> DataFrame:
-    """Rows of the groups in which something fires; the others never leave the JVM. The window and the grouping after it
-    have the same keys, so they share one shuffle."""
+def firing(frame: DataFrame, keys: list[str], fired: Column, dealt: bool = False) -> DataFrame:
+    """Rows of the groups in which something fires; the others never leave the JVM. Series windows leave an instrument's bars
+    in one partition, which would do for its sessions too, so they are dealt out anew (unless they are dealt by keys); the
+    window and the grouping after it have the same keys and share that shuffle."""
+    frame = frame if dealt else frame.repartition(*keys)
     return frame.withColumn("_fired", F.max(fired.cast("int")).over(W.partitionBy(*keys))).where("_fired = 1").drop("_fired")
 
 
@@ -290,7 +292,7 @@ def execute(frame: DataFrame, settings: list[Settings], by: str | None = None, c
     keys = ["instrument", "session"] + ([by] if by else [])
     any_of = lambda c: F.exists(c, lambda x: x)
     fired = any_of("longs") | any_of("shorts") if cells else F.col("long") | F.col("short")
-    return firing(frame, keys, fired).groupBy("instrument", "session").applyInPandas(run, TRADES)
+    return firing(frame, keys, fired, cells).groupBy("instrument", "session").applyInPandas(run, TRADES)
 
 
 def refusals(frame: DataFrame, settings: list[Settings]) -> DataFrame:
@@ -324,7 +326,7 @@ def cell_records(rows: DataFrame, settings: list[Settings]) -> DataFrame:
         return pd.DataFrame(out, columns=[x.split()[0] for x in RECORDS.split(", ")])
 
     some = lambda c: F.exists(c, lambda x: x)
-    return firing(rows, ["instrument", "session"], some("longs") | some("shorts")).groupBy("instrument", "session").applyInPandas(run, RECORDS)
+    return firing(rows, ["instrument", "session"], some("longs") | some("shorts"), True).groupBy("instrument", "session").applyInPandas(run, RECORDS)
 
 
 def session_grid(sessions: DataFrame, configs: int) -> DataFrame:
