@@ -75,10 +75,19 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
 
 
 ROWS = "sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, starts array<long>, lengths array<long>"
-#: A row before it is padded: whether it is settled, and its segments.
+#: A row before it is padded: whether it is settled, and its segments (ids of two bytes each where all of the row fit).
 LAID = "settled boolean, sequence_id long, doc_ids array<long>, starts array<long>, lengths array<long>, ids binary"
 
 
+def narrow(ids: np.ndarray) -> bytes:
+    return ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes()
+
+
+def wide(body: bytes, tokens: int) -> np.ndarray:
+    """The ids of a row of so many tokens."""
+    return np.frombuffer(body, "<u2" if len(body) == 2 * tokens else "<u4")
+
+
 def _laid(rows: list[tuple[bool, list[tuple]]], number: int) -> pa.RecordBatch:
     """Rows of segments (document, start, ids)."""
     lists = lambda f, kind: pa.array([[f(p) for p in pieces] for _, pieces in rows], pa.list_(kind))
@@ -89,7 +98,7 @@ def _laid(rows: list[tuple[bool, list[tuple]]], number: int) -> pa.RecordBatch:
             lists(lambda p: p[0], pa.int64()),
             lists(lambda p: p[1], pa.int64()),
             lists(lambda p: len(p[2]), pa.int64()),
-            pa.array([b"".join(p[2].tobytes() for p in pieces) for _, pieces in rows], pa.binary()),
+            pa.array([narrow(np.concatenate([p[2] for p in pieces])) for _, pieces in rows], pa.binary()),
         ],
         names=[x.split()[0] for x in LAID.split(", ")],
     )
@@ -150,7 +159,7 @@ def _repack(size: int, held_tokens: int):
         packer = _Packer(size, held_tokens, 1 << 62 | TaskContext.get().partitionId() << 32, True)
         for batch in batches:
             for row in batch.to_pylist():
-                ids, at = np.frombuffer(row["ids"], "<u4"), 0
+                ids, at = wide(row["ids"], sum(row["lengths"])).astype("<u4"), 0
                 for doc, start, n in zip(row["doc_ids"], row["starts"], row["lengths"], strict=True):
                     packer.add(doc, start, ids[at : at + n])
                     at += n
@@ -171,7 +180,7 @@ def _pad(size: int):
                 ids, place = np.full((part.num_rows, size), PAD_ID, "<u4"), np.zeros((part.num_rows, size), "<u4")
                 bounds = [np.concatenate([[0], np.cumsum(x)]).astype(int) for x in lengths]
                 for i, (body, cuts) in enumerate(zip(bodies, bounds, strict=True)):
-                    ids[i, : cuts[-1]] = np.frombuffer(body, "<u4")
+                    ids[i, : cuts[-1]] = wide(body, cuts[-1])
                     place[i, : cuts[-1]] = np.arange(cuts[-1]) - np.repeat(cuts[:-1], np.diff(cuts))
                 columns = [
                     part.column("sequence_id"),
