@@ -153,9 +153,9 @@ def _pack(path: str, size: int, held_tokens: int):
 
 
 def _repack(size: int, held_tokens: int):
-    """Rows of the rests that tasks left over."""
+    """Rows of the rests that tasks left over, padded by the same worker."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(size, held_tokens, 1 << 62 | TaskContext.get().partitionId() << 32, True)
         for batch in batches:
             for row in batch.to_pylist():
@@ -166,7 +166,8 @@ def _repack(size: int, held_tokens: int):
             yield from packer.settle()
         yield from packer.settle(force=True)
 
-    return run
+    pad = _pad(size)
+    return lambda batches: pad(laid(batches))
 
 
 def _pad(size: int):
@@ -210,8 +211,8 @@ def pack_best_fit(docs: DataFrame, tokenizer: str | None = None, sequence: int =
     pad = lambda df: df.mapInArrow(tidy(_pad(sequence)), ROWS)
     if not tokens:
         return pad(laid)
-    again = loose.repartition(int(tokens // held_tokens) + 1, F.xxhash64("sequence_id")).sortWithinPartitions("sequence_id").mapInArrow(tidy(_repack(sequence, held_tokens)), LAID)
-    return pad(laid.where("settled")).unionByName(pad(again))
+    again = loose.repartition(int(tokens // held_tokens) + 1, F.xxhash64("sequence_id")).sortWithinPartitions("sequence_id").mapInArrow(tidy(_repack(sequence, held_tokens)), ROWS)
+    return pad(laid.where("settled")).unionByName(again)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
