@@ -138,7 +138,7 @@ class _Filler:
 def _fill(sequence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filler, now = _Filler(sequence), None
-        for batch in batches:
+        for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
             part, doc, n, ids = (batch.column(c).to_pylist() for c in ("part", "doc_id", "n", "ids"))
             for p, d, tokens, body in zip(part, doc, n, ids, strict=True):
                 if p != now:
