@@ -83,11 +83,11 @@ def text_slices(column: pa.Array, limit: int = 1 << 19, rows: int = 1 << 30) ->
 
 
 class Words:
-    """The words of a run of texts: document, place and hash of each, in order."""
+    """The words of a run of texts: document, place and hash of each, in order. gaps: which bytes part words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SEPARATOR):
         n = len(data)
-        gap = SEPARATOR[data]
+        gap = gaps[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before, after = np.ones(n, bool), np.ones(n, bool)
@@ -104,7 +104,11 @@ class Words:
 
     @property
     def hashes(self) -> np.ndarray:
-        return span_hashes(BYTE_CODE[LOWER[self.data]], self.start, self.end)
+        return self.hashed(BYTE_CODE)
+
+    def hashed(self, byte_code: np.ndarray) -> np.ndarray:
+        """The words' hashes by other random values of the bytes."""
+        return span_hashes(byte_code[LOWER[self.data]], self.start, self.end)
 
 
 def trim() -> None:

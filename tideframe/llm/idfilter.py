@@ -14,9 +14,9 @@ MOST_BITS = 1 << 28
 WORD = 63
 
 
-def _places(ids: pd.Series, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _places(ids: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word and two bits of each id."""
-    h = mix(ids.to_numpy(np.int64).view(U))
+    h = mix(ids.view(U))
     return (h % U(words)).astype(np.int64), (h >> U(40)) % U(WORD), (h >> U(52)) % U(WORD)
 
 
@@ -27,7 +27,7 @@ def id_filter(ids: DataFrame, column: str) -> "IdFilter":
 
     @F.pandas_udf("struct<w: long, b: long>")
     def place(x: pd.Series) -> pd.DataFrame:
-        word, one, two = _places(x, words)
+        word, one, two = _places(x.to_numpy(np.int64), words)
         return pd.DataFrame({"w": word, "b": ((U(1) << one) | (U(1) << two)).view(np.int64)})
 
     found = ids.select(place(F.col(column)).alias("p")).groupBy("p.w").agg(F.bit_or("p.b").alias("b")).toPandas()
@@ -36,6 +36,13 @@ def id_filter(ids: DataFrame, column: str) -> "IdFilter":
     return IdFilter(table, ids)
 
 
+def may_hold(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of each id: whether the filter's table may hold it."""
+    word, one, two = _places(ids, len(table))
+    bits = (U(1) << one) | (U(1) << two)
+    return (table[word] & bits) == bits
+
+
 class IdFilter:
     def __init__(self, table: np.ndarray, ids: DataFrame):
         self.shared = ids.sparkSession.sparkContext.broadcast(table)
@@ -46,8 +53,6 @@ class IdFilter:
 
         @F.pandas_udf("boolean")
         def test(x: pd.Series) -> pd.Series:
-            word, one, two = _places(x.fillna(0), len(shared.value))
-            bits = (U(1) << one) | (U(1) << two)
-            return pd.Series((shared.value[word] & bits) == bits) & x.notna().to_numpy()
+            return pd.Series(may_hold(shared.value, x.fillna(0).to_numpy(np.int64))) & x.notna().to_numpy()
 
         return test(F.col(column))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import curve_packing, decontaminate, fit_packing, language, markov, minhash_join, near_vectors, quality, sharding, wrappers
+from . import collocations, curve_packing, decontaminate, fit_packing, language, markov, minhash_join, near_vectors, quality, sharding, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,10 @@ def op10_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quantised_links": op1_quantised_links,
@@ -74,9 +78,10 @@ def queries() -> dict[str, Query]:
         "op8_wrapper_text": op8_wrapper_text,
         "op9_minhash_links": op9_minhash_links,
         "op10_edit_matching": op10_edit_matching,
+        "op11_phrases": op11_phrases,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {"op11_phrases": collocations.ORACLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
