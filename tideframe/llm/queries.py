@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import collocations, curve_packing, decontaminate, fit_packing, language, markov, minhash_join, near_vectors, quality, sharding, wrappers
+from . import chat, collocations, curve_packing, decontaminate, fit_packing, language, markov, minhash_join, near_vectors, quality, sharding, whitening, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +67,16 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine_phrases(_read(spark, sf_dir, "documents"))
 
 
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.createDataFrame([(chat.PROBE_ID, json.dumps({"prompt": chat.PROBE_TEXT, "response": chat.PROBE_TEXT}))], "conv_id long, record string")
+    turns = chat.turns_of_table(_read(spark, sf_dir, "conversations")).unionByName(chat.turns_of_json(probe, "record"))
+    return chat.digest(chat.format_turns(turns))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quantised_links": op1_quantised_links,
@@ -79,9 +90,11 @@ def queries() -> dict[str, Query]:
         "op9_minhash_links": op9_minhash_links,
         "op10_edit_matching": op10_edit_matching,
         "op11_phrases": op11_phrases,
+        "op12_chat": op12_chat,
+        "op13_whitening": op13_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_phrases": collocations.ORACLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op11_phrases": collocations.ORACLE_SQL, "op12_chat": chat.ORACLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
