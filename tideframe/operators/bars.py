@@ -14,9 +14,10 @@ def bars_of_ticks(ticks: DataFrame, seconds: int) -> DataFrame:
     )
 
 
-def resample(bars: DataFrame, m: int) -> DataFrame:
-    """Bars of m bars, aligned to the session's start: first open, extremes, last close, sum of positive volumes."""
-    return bars.groupBy("instrument", "session", F.floor(F.col("sessmin") / m).cast("int").alias("bucket")).agg(
+def resample(bars: DataFrame, m: int, more: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Bars of m bars, aligned to the session's start: first open, extremes, last close, sum of positive volumes. more: columns
+    that do not change inside a session, to be kept."""
+    return bars.groupBy("instrument", "session", *more, F.floor(F.col("sessmin") / m).cast("int").alias("bucket")).agg(
         F.min_by("o", "t").alias("o"), F.max("h").alias("h"), F.min("l").alias("l"), F.max_by("c", "t").alias("c"), F.sum(F.when(F.col("v") > 0, F.col("v")).otherwise(0.0)).alias("v"), F.count(F.lit(1)).alias("n")
     )
 

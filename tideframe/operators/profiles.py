@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import closed_forms as cf
+from .blocks import running_sums
 
 
 def volume_by_price(ticks: DataFrame, keys: list[str], price: str, size: str, step: float) -> DataFrame:
@@ -53,6 +55,88 @@ def nodes(profile: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("node", kind).where("node is not null").drop("below", "above")
 
 
+def with_empty_bins(profile: DataFrame, keys: list[str]) -> DataFrame:
+    """profile with the first and the last empty bin of each gap inside it, of no volume. What lies between them is level."""
+    after = F.lead("bin").over(W.partitionBy(*keys).orderBy("bin"))
+    rows = profile.select(*keys, "bin", F.col("volume").cast("double").alias("volume"), after.alias("_next"))
+    ends = F.when(F.col("_next") - F.col("bin") > 1, F.array_distinct(F.array(F.col("bin") + 1, F.col("_next") - 1)))
+    empty = rows.select(*keys, F.explode(ends).alias("bin"), F.lit(0.0).alias("volume"))
+    return rows.drop("_next").unionByName(empty)
+
+
+def saddles(x: np.ndarray) -> np.ndarray:
+    """Of each value: the least that lies before it back to the nearest strictly greater one, or to the end of the row.
+
+    A falling stack holds the values that no later one has passed, each with the least value since the one below it; every
+    value enters and leaves it once.
+    """
+    out, stack = np.empty(len(x)), []
+    for i, v in enumerate(x.tolist()):
+        least = v
+        while stack and stack[-1][0] <= v:
+            least = min(least, stack.pop()[1])
+        out[i] = least
+        stack.append((v, least))
+    return out
+
+
+def prominences(x: np.ndarray) -> np.ndarray:
+    """How far each value stands above the higher of the two saddles that part it from greater ones."""
+    return x - np.maximum(saddles(x), saddles(x[::-1])[::-1])
+
+
+def prominent_nodes(profile: DataFrame, keys: list[str], least: float = 0.05) -> DataFrame:
+    """Peaks (`high`) and valleys (`low`) of volume inside each profile whose prominence is at least a part of its greatest
+    volume: keys, bin, node, volume, prominence.
+
+    A peak is not below its neighbours and above one of them; its prominence is its height over the higher of the two saddles
+    to greater volumes on either side (or to the profile's end). Valleys are the same upside down. Empty bins count as such;
+    of a gap its first and last. A profile has as many rows as prices have bins in a session, so it is one group.
+    """
+    schema = ", ".join(f"{k} {dict(profile.dtypes)[k]}" for k in keys) + ", bin long, node string, volume double, prominence double"
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin")
+        x, parts = pdf["volume"].to_numpy(float), []
+        most = x.max()
+        for name, y in (("high", x), ("low", -x)):
+            node = np.zeros(len(y), bool)
+            node[1:-1] = (y[1:-1] >= y[:-2]) & (y[1:-1] >= y[2:]) & ((y[1:-1] > y[:-2]) | (y[1:-1] > y[2:]))
+            p = prominences(y)
+            node &= (most > 0) & (p >= least * most)
+            parts.append(pdf[node][[*keys, "bin"]].assign(node=name, volume=x[node], prominence=p[node]))
+        return pd.concat(parts)
+
+    return with_empty_bins(profile, keys).groupBy(*keys).applyInPandas(find, schema)
+
+
+#: The greatest local deviation, in parts of the reference.
+MOST_SIGMA = 4.0
+
+
+def local_sigma(volume: Column, mean: Column) -> Column:
+    """Local deviation over that of the whole profile: time spent at a price goes with one over the variance there."""
+    return F.when(volume > 0, F.least(F.sqrt(mean / volume), F.lit(MOST_SIGMA))).otherwise(F.lit(MOST_SIGMA))
+
+
+def profile_means(profile: DataFrame, keys: list[str]) -> DataFrame:
+    """Each profile's lowest and highest bin and its mean volume a bin, empty ones included."""
+    return profile.groupBy(*keys).agg(F.min("bin").alias("low"), F.max("bin").alias("high"), (F.sum("volume") / (F.max("bin") - F.min("bin") + 1)).alias("mean_volume"))
+
+
+def traversal_times(profile: DataFrame, spans: DataFrame, keys: list[str], step: float, sigma: float) -> DataFrame:
+    """spans (keys, start, stop: bins) with the mean time to cross them from end to end: the sum of (step / local sigma) ** 2
+    over their bins, in units of sigma's time. Bins outside the profile do not count."""
+    means = profile_means(profile, keys)
+    told = spans.join(means, keys).withColumns({"_from": F.greatest(F.least("start", "stop"), "low"), "_to": F.least(F.greatest("start", "stop"), "high")})
+    bins = profile.join(told, keys).where(F.col("bin").between(F.col("_from"), F.col("_to")))
+    slow = F.pow(F.lit(step / sigma) / local_sigma(F.col("volume"), F.col("mean_volume")), 2)
+    found = bins.groupBy(*keys, "start", "stop").agg(F.sum(slow).alias("_slow"), F.count(F.lit(1)).alias("_met"))
+    empty = F.greatest(F.col("_to") - F.col("_from") + 1, F.lit(0)) - F.coalesce("_met", F.lit(0))
+    out = told.join(found, [*keys, "start", "stop"], "left")
+    return out.select(*keys, "start", "stop", (F.coalesce("_slow", F.lit(0.0)) + empty * (step / sigma / MOST_SIGMA) ** 2).alias("minutes"))
+
+
 def market_profile(bars: DataFrame, keys: list[str], period: str, tick: float) -> DataFrame:
     """Time periods that touched each price level."""
     level = F.explode(F.sequence(F.floor(F.col("l") / tick), F.floor(F.col("h") / tick))).alias("level")
@@ -84,8 +168,13 @@ def absorption(cells: DataFrame, bars: DataFrame, keys: list[str], series: list[
     """
     sums = cells.groupBy(*keys).agg(F.sum(F.col("bid") + F.col("ask")).alias("volume"), F.sum(F.col("ask") - F.col("bid")).alias("delta"))
     rows = bars.join(sums, keys).withColumn("effort", F.col("volume") / (F.col("h") - F.col("l") + 1))
-    past = W.partitionBy(*series).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    z = F.try_divide(F.col("effort") - F.avg("effort").over(past), F.stddev_samp("effort").over(past))
+    # sums about the series' mean keep the digits of its variance
+    rows = rows.join(rows.groupBy(*series).agg(F.avg("effort").alias("_mean")), series)
+    gap = F.col("effort") - F.col("_mean")
+    rows = running_sums(rows.withColumn("_gap", gap), series, order, {"_n": F.lit(1), "_s": F.col("_gap"), "_s2": gap * gap}, inclusive=False)
+    variance = (F.col("_s2") - F.col("_s") * F.col("_s") / F.col("_n")) / (F.col("_n") - 1)
+    spread = F.when((F.col("_n") >= 2) & (variance > 1e-15 * F.col("_mean") * F.col("_mean")), F.sqrt(variance))
+    z = (F.col("_gap") - F.col("_s") / F.col("_n")) / spread
     move = F.col("c") - F.col("o")
     return rows.select(*keys, "volume", "delta", z.alias("z"), F.when(move != 0, F.signum("delta") == -F.signum(move)).otherwise(F.lit(False)).alias("absorbed"))
 

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def decay_length(keep: float) -> int:
+    """Steps after which a power of `keep` lies below a double's last digit."""
+    return max(1, math.ceil(17 / -math.log10(keep))) if 0 < keep < 1 else 1
+
+
 def decaying_sum(place: Column, term: Column, keep: float, keys: list[str]) -> tuple[dict[str, Column], Column, Column]:
     """Parts of y[p] = keep * y[p - 1] + term[p], p = 0, 1, ... along each run of rows (keys), by window sums alone.
 
@@ -18,7 +23,7 @@ def decaying_sum(place: Column, term: Column, keep: float, keys: list[str]) -> t
     digit, and inside a block sums scaled by powers of keep are exact to rounding. Gives helper columns (to be added first),
     the sum within the block, and the carry of the block before, both read where place is not null.
     """
-    length = max(1, math.ceil(17 / -math.log10(keep))) if 0 < keep < 1 else 1
+    length = decay_length(keep)
     block, offset = F.floor(place / length), F.pmod(place, F.lit(length))
     helpers = {"_block": block, "_offset": offset, "_scaled": term * F.pow(F.lit(float(keep)), -offset)}
     inside = W.partitionBy(*keys, "_block").orderBy("_offset").rowsBetween(W.unboundedPreceding, 0)

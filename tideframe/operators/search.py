@@ -15,14 +15,12 @@ from .execution import COLUMNS, Settings, cell_records, compiled, execute, featu
 
 
 def cells(compiler: Compiler, document: dict, points: list[dict[str, float]], settings: Settings) -> DataFrame:
-    """One row a bar with the signals of all settings as arrays (longs, shorts), dealt by session.
+    """One row a bar with the signals of all settings as arrays (longs, shorts).
 
     All settings are compiled on one frame, so operands that they share are computed once and those of one kind share a
-    window. The first setting brings the columns along the series; what the others only compute from a bar's own columns is
-    then done session by session.
+    window.
     """
     made = [compiled(compiler, document, points[0], wants_range([settings]))]
-    compiler.frame = compiler.frame.repartition("instrument", "session")
     for point in points[1:]:
         told = resolve({k: v for k, v in document.items() if k != "params"}, {**document.get("params", {}), **point})
         rule = [*told.get("setup", []), told["trigger"]]

@@ -9,24 +9,32 @@ from math import factorial, log2
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .blocks import in_order_blocks, own, running_sums
+
 
 def log_returns(bars: DataFrame, series: list[str], order: str, price: str = "c") -> DataFrame:
     """Log returns between consecutive bars; a gap gives none and begins a new segment."""
-    w = W.partitionBy(*series).orderBy(order)
-    rows = bars.withColumn("joined", F.coalesce(F.col(order) - F.lag(order).over(w) == 1, F.lit(False)))
-    rows = rows.withColumns({"ret": F.when(F.col("joined"), F.log(F.col(price) / F.lag(price).over(w))), "segment": F.sum((~F.col("joined")).cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0))})
-    return rows.where("ret is not null")
+    rows = in_order_blocks(bars, order, 1)
+    w = W.partitionBy(*series, "_block").orderBy(order)
+    rows = rows.withColumn("joined", F.coalesce(F.col(order) - F.lag(order).over(w) == 1, F.lit(False)))
+    rows = own(rows.withColumn("ret", F.when(F.col("joined"), F.log(F.col(price) / F.lag(price).over(w)))))
+    return running_sums(rows, series, order, {"segment": (~F.col("joined")).cast("long")}).where("ret is not null")
+
+
+def _of_series(rows: DataFrame, keys: list[str], **made: Column) -> DataFrame:
+    """rows with aggregates of their series, summed on the way to it."""
+    return rows.join(rows.groupBy(*keys).agg(*[c.alias(k) for k, c in made.items()]), keys)
 
 
 def variance_ratio(returns: DataFrame, series: list[str], q: int, order: str = "t") -> DataFrame:
     """Variance of overlapping q-step returns over q times that of single ones (mean known to be that of all)."""
-    mean = F.avg("ret").over(W.partitionBy(*series))
-    seg = W.partitionBy(*series, "segment").orderBy(order)
-    rows = returns.withColumns({"m": mean, "sum_q": F.when(F.count("ret").over(seg.rowsBetween(1 - q, 0)) == q, F.sum("ret").over(seg.rowsBetween(1 - q, 0)))})
+    rows = in_order_blocks(_of_series(returns, series, m=F.avg("ret")), order, q)
+    last = W.partitionBy(*series, "segment", "_block").orderBy(order).rowsBetween(1 - q, 0)
+    rows = own(rows.withColumn("sum_q", F.when(F.count("ret").over(last) == q, F.sum("ret").over(last))))
     made = rows.groupBy(*series).agg(F.avg(F.pow(F.col("ret") - F.col("m"), 2)).alias("one"), F.avg(F.pow(F.col("sum_q") - q * F.col("m"), 2)).alias("many"), F.count("sum_q").alias("n"))
     return made.select(*series, F.lit(q).alias("q"), "n", F.try_divide(F.col("many"), q * F.col("one")).alias("vr"))
 
@@ -257,16 +265,16 @@ def correlation_spectrum(rows: DataFrame, vector: str) -> DataFrame:
 def robust_ratio(returns: DataFrame, series: list[str], q: int, order: str = "t") -> DataFrame:
     """Variance ratio of q steps with the factor for finite segments, summed over segments longer than q, and its z under
     changing variance (Lo and MacKinlay). Null z where products of squares are nought; no row without variance."""
-    seg, every = W.partitionBy(*series, "segment"), W.partitionBy(*series)
-    last = seg.orderBy(order).rowsBetween(1 - q, 0)
-    rows = returns.withColumns({"m": F.avg("ret").over(every), "len": F.count("ret").over(seg), "wide": F.when(F.count("ret").over(last) == q, F.sum("ret").over(last))})
-    rows = rows.withColumn("d", F.pow(F.col("ret") - F.col("m"), 2))
-    long = F.col("len") > q
-    first = F.row_number().over(seg.orderBy(order)) == 1
-    rows = rows.withColumns({"weight": F.when(long & first, q * (F.col("len") - q + 1) * (1 - q / F.col("len"))), **{f"p{j}": F.col("d") * F.lag("d", j).over(seg.orderBy(order)) for j in range(1, q)}})
+    lengths = returns.groupBy(*series, "segment").agg(F.count("ret").alias("len"))
+    rows = in_order_blocks(_of_series(returns, series, m=F.avg("ret")).join(lengths, [*series, "segment"]), order, q)
+    seg = W.partitionBy(*series, "segment", "_block").orderBy(order)
+    last = seg.rowsBetween(1 - q, 0)
+    rows = rows.withColumns({"wide": F.when(F.count("ret").over(last) == q, F.sum("ret").over(last)), "d": F.pow(F.col("ret") - F.col("m"), 2)})
+    rows = own(rows.withColumns({f"p{j}": F.col("d") * F.lag("d", j).over(seg) for j in range(1, q)}))
+    weights = lengths.where(F.col("len") > q).groupBy(*series).agg(F.sum(q * (F.col("len") - q + 1) * (1 - q / F.col("len"))).alias("weight"))
     sums = rows.groupBy(*series).agg(
-        F.var_samp("ret").alias("one"), F.sum(F.when(long, F.pow(F.col("wide") - q * F.col("m"), 2))).alias("many"), F.sum("weight").alias("weight"), F.sum("d").alias("total"), *[F.coalesce(F.sum(f"p{j}"), F.lit(0.0)).alias(f"p{j}") for j in range(1, q)]
-    )
+        F.var_samp("ret").alias("one"), F.sum(F.when(F.col("len") > q, F.pow(F.col("wide") - q * F.col("m"), 2))).alias("many"), F.sum("d").alias("total"), *[F.coalesce(F.sum(f"p{j}"), F.lit(0.0)).alias(f"p{j}") for j in range(1, q)]
+    ).join(weights, series, "left")
     psi = sum(((2 * (q - j) / q) ** 2 * F.col(f"p{j}") for j in range(2, q)), (2 * (q - 1) / q) ** 2 * F.col("p1")) / (F.col("total") * F.col("total"))
     return sums.where("one > 0 and weight is not null").withColumn("vr", F.try_divide(F.col("many"), F.col("weight")) / F.col("one")).withColumn("psi", psi).select(*series, "vr", F.when(F.col("psi") > 0, (F.col("vr") - 1) / F.sqrt("psi")).alias("z"))
 

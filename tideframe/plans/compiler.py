@@ -4,6 +4,10 @@ The frame has instrument, t (strictly rising inside an instrument), session, ses
 number that changes where prices jump (operators.bars.segments). Each distinct operand becomes one column, found again by its
 canonical text. Series windows run across sessions of an instrument, but never from one segment into the next; anchored ones
 restart with the session. An undefined operand is null, and conditions follow SQL's three-valued logic.
+
+An instrument's bars are not one group: they lie in ranges of whole sessions, each with the bars before it that its operands
+reach back to (operators.blocks). How far an operand reaches is known from its document; a recursion reaches as far as its
+weights count in a double's digits.
 """
 
 from __future__ import annotations
@@ -14,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.recursions import decaying_sum
+from ..operators.blocks import in_ranges, running_sums, session_places
+from ..operators.recursions import decay_length, decaying_sum
 from .document import Condition, DocumentError, Operand, canonical, comparable
 
 FIELDS = {
@@ -23,46 +28,114 @@ FIELDS = {
 }
 
 
+#: Rows of a range at least, how many times the reach, and the reach that a frame starts with.
+RANGE_ROWS, RANGE_REACHES, FIRST_REACH = 1 << 14, 4, 512
+
+
+def reach(x) -> int:
+    """How many bars before a bar an operand or condition, or a list of them, reads along the series."""
+    if isinstance(x, (list, tuple)):
+        return max(map(reach, x), default=0)
+    if not isinstance(x, dict):
+        return 0
+    inner = max((reach(v) for v in x.values()), default=0)
+    if any(k in x for k in ("cross", "touch", "reject", "break")):
+        return inner + 1
+    if "for" in x or "within" in x:
+        return inner + int(x["for"] if "for" in x else x["within"])
+    kind, n = x.get("ind"), x.get("n")
+    own = {"sma": lambda: n, "sd": lambda: n, "hh": lambda: n, "ll": lambda: n, "ema": lambda: n + decay_length(1 - 2 / (n + 1)), "tf": lambda: 1}
+    own |= {k: lambda: n + 1 + decay_length((n - 1) / n) for k in ("atr", "rsi")}
+    if kind == "dist":
+        return inner + (reach({"ind": "atr", "n": x.get("n", 14)}) if x.get("unit") == "atr" else 0)
+    if kind == "tf":  # its operand reaches along bars of its own frame
+        return 1 + int(x.get("lag") or 0)
+    return inner + int(own[kind]() if kind in own else 0) + int(x.get("lag") or 0)
+
+
+def volume_sessions(x) -> set[int]:
+    """The numbers of sessions over which an operand or condition, or a list of them, asks for relative volume."""
+    if isinstance(x, (list, tuple)):
+        return set().union(*map(volume_sessions, x))
+    if not isinstance(x, dict):
+        return set()
+    return volume_sessions(list(x.values())) | ({int(x["n"])} if x.get("ind") == "rvol" else set())
+
+
 class Compiler:
     """Adds columns to a bar frame.
 
     anchor: first and last bar of a session that count as anchored. expected: bars of a full session. levels: (session,
-    name, price) to join. news: (t, impact). tick: the least price step.
+    name, price) to join. news: (t, impact). tick: the least price step. rows: of a range, at least; first_reach: how many
+    bars before a range it is given at first. An operand that reaches farther has the frame built anew.
     """
 
-    def __init__(self, bars: DataFrame, anchor: tuple[int, int] = (0, 1 << 30), expected: int = 24, levels: DataFrame | None = None, news: DataFrame | None = None, tick: float = 0.01):
-        self.anchor, self.expected, self.levels, self.news, self.tick = anchor, expected, levels, news, tick
-        self.bars, self.pending = bars, {}
-        self.keys = ["instrument", *(["segment"] if "segment" in bars.columns else [])]
-        self.frame = bars.withColumn("anchored", F.col("sessmin").between(*anchor))
-        first = F.row_number().over(W.partitionBy("instrument", "session", "anchored").orderBy("t")) == 1
-        self.frame = self.frame.withColumn("edge", (first & F.col("anchored")) | F.lag("t").over(self.series()).isNull())
-        self.names: dict[str, str] = {}
+    def __init__(
+        self, bars: DataFrame, anchor: tuple[int, int] = (0, 1 << 30), expected: int = 24, levels: DataFrame | None = None, news: DataFrame | None = None, tick: float = 0.01, rows: int = RANGE_ROWS, first_reach: int = FIRST_REACH
+    ):
+        self.anchor, self.expected, self.levels, self.news, self.tick, self.rows = anchor, expected, levels, news, tick, rows
+        self.bars, self.calls, self.volumes, self.inner = bars, [], [], False
+        self.keys = ["instrument", "_range", *(["segment"] if "segment" in bars.columns else [])]
+        self._start(max(1, first_reach))
+
+    def _start(self, bars_before: int) -> None:
+        """The frame without operands, in ranges with so many bars before each."""
+        self.reach, self.names, self.pending = bars_before, {}, {}
+        placed = self.bars.join(session_places(self.bars), ["instrument", "session"])
+        for n in self.volumes:
+            past = W.partitionBy("instrument", "sessmin").orderBy("place").rangeBetween(-n, -1)
+            placed = placed.withColumn(f"_volume{n}", F.when(F.sum("v").over(past) > 0, F.try_divide(F.col("v"), F.avg("v").over(past))))
+        ranged = in_ranges(placed, bars_before, max(self.rows, RANGE_REACHES * bars_before)).drop("n_rows", "before", "place")
+        self._frame = ranged.repartition("instrument", "_range").withColumn("anchored", F.col("sessmin").between(*self.anchor))
+        first = F.row_number().over(self.inside()) == 1
+        self._frame = self._frame.withColumn("edge", (first & F.col("anchored")) | F.lag("t").over(self.series()).isNull())
+
+    def _again(self, bars_before: int) -> None:
+        """The same operands and conditions on a frame that reaches so far; columns keep their names."""
+        calls, self.calls = self.calls, []
+        self._start(bars_before)
+        for made, x in calls:
+            made(x)
+
+    def _told(self, make, made, x):
+        """The column of what was asked for from outside, on a frame that reaches far enough."""
+        if self.inner:
+            return make(x)
+        more = volume_sessions(x).difference(self.volumes)
+        if more or reach(x) + 1 > self.reach:
+            self.volumes += sorted(more)
+            self._again(max(self.reach, 2 * reach(x) + 1 if reach(x) >= self.reach else 0))
+        self.calls.append((made, x))
+        self.inner = True
+        try:
+            return make(x)
+        finally:
+            self.inner = False
 
     def series(self) -> W:
         return W.partitionBy(*self.keys).orderBy("t")
 
     @staticmethod
     def inside() -> W:
-        return W.partitionBy("instrument", "session", "anchored").orderBy("t")
+        return W.partitionBy("instrument", "_range", "session", "anchored").orderBy("t")
 
     @property
     def frame(self) -> DataFrame:
-        """The bars with all columns added so far. Columns that do not read each other are added together, so that many
-        operands of one kind share a window."""
+        """The bars, each once, with all columns added so far."""
+        return self._whole().where("_own").drop("_own", "_range", *[f"_volume{n}" for n in self.volumes])
+
+    def _whole(self) -> DataFrame:
+        """The ranges with their copies. Columns that do not read each other are added together, so that many operands of one
+        kind share a window."""
         if self.pending:
             self._frame, self.pending = self._frame.withColumns(self.pending), {}
         return self._frame
 
-    @frame.setter
-    def frame(self, frame: DataFrame) -> None:
-        self._frame = frame
-
     def add(self, key: str, column: Column) -> str:
         if key not in self.names:
             self.names[key] = f"x{len(self.names)}"
             if not self.pending.keys().isdisjoint(re.findall(r"\bx\d+\b", str(column))):
-                self._frame = self.frame
+                self._whole()
             self.pending[self.names[key]] = column
         return self.names[key]
 
@@ -81,8 +154,9 @@ class Compiler:
         """The column of an operand."""
         if isinstance(x, (int, float)):
             return F.lit(float(x))
-        if isinstance(x, str):
-            x = {"ind": x}
+        return self._told(self._named_operand, self.operand, {"ind": x} if isinstance(x, str) else x)
+
+    def _named_operand(self, x: dict) -> Column:
         key = canonical(x)
         if key not in self.names:
             self.add(key, self._operand(x))
@@ -140,9 +214,9 @@ class Compiler:
         rank = F.when(F.col(place) >= n, F.col(place) - n)
         term = F.when(F.col(place) > n, F.col(name) * weight).when(F.col(place) == n, F.col(seed))
         helpers, local, carry = decaying_sum(rank, term, keep, [*self.keys, run])
-        self.frame = self.frame.withColumns(helpers).withColumn("_local", local)
+        self._frame = self._whole().withColumns(helpers).withColumn("_local", local)
         out = self.add(key + "#out", F.when(F.col(place) >= n, F.col("_local") + F.coalesce(carry, F.lit(0.0))))
-        self.frame = self.frame.drop(*helpers, "_local")
+        self._frame = self._whole().drop(*helpers, "_local")
         return F.col(out)
 
     def _ema(self, x: dict) -> Column:
@@ -193,10 +267,9 @@ class Compiler:
         return F.col(self.names[key] if key in self.names else self.add(key, F.lag(name).over(self.series())))
 
     def _rvol(self, x: dict) -> Column:
-        """Volume over its mean at the same bar of the n sessions before, as sessions of the instrument follow each other."""
-        place = self.add("session#", F.dense_rank().over(W.partitionBy("instrument").orderBy("session")))
-        before = W.partitionBy("instrument", "sessmin").orderBy(place).rangeBetween(-int(x["n"]), -1)
-        return F.when(F.sum("v").over(before) > 0, F.try_divide(F.col("v"), F.avg("v").over(before)))
+        """Volume over its mean at the same bar of the n sessions before, as sessions of the instrument follow each other. It is
+        made before bars are copied into ranges."""
+        return F.col(f"_volume{int(x['n'])}")
 
     def _sess(self, x: dict) -> Column:
         before = self.inside().rowsBetween(W.unboundedPreceding, -1)
@@ -204,7 +277,7 @@ class Compiler:
         return F.when(F.col("anchored"), made[x["field"]])
 
     def _day(self) -> W:
-        return W.partitionBy("instrument", "session")
+        return W.partitionBy("instrument", "_range", "session")
 
     def _or(self, x: dict) -> Column:
         lo, hi, day = int(x["from"]), int(x["to"]), self._day()
@@ -228,28 +301,36 @@ class Compiler:
             self.names[key] = f"x{len(self.names)}"
             from ..operators.bars import sessions
 
-            days = sessions(self.frame.select("instrument", "session", "sessmin", "t", "o", "h", "l", "c"), self.expected)
-            past = W.partitionBy("instrument").orderBy("session").rowsBetween(W.unboundedPreceding, -1)
-            rank = F.sum(F.col("complete").cast("int")).over(past)
-            ranked = days.withColumns({"_before": F.coalesce(rank, F.lit(0)), "_value": F.col(field)}).withColumn("_own", F.when(F.col("complete"), F.col("_before") + 1))
-            kept = ranked.where("complete").select("instrument", F.col("_own").alias("_want"), F.col("_value").alias(self.names[key]))
+            days = sessions(self.bars, self.expected).withColumn("_value", F.col(field))
+            ranked = running_sums(days, ["instrument"], "session", {"_before": F.col("complete").cast("int")}, inclusive=False)
+            kept = ranked.where("complete").select("instrument", (F.col("_before") + 1).alias("_want"), F.col("_value").alias(self.names[key]))
             found = ranked.select("instrument", "session", (F.col("_before") - (n - 1)).alias("_want")).join(kept, ["instrument", "_want"], "left").drop("_want")
-            self.frame = self.frame.join(found, ["instrument", "session"], "left")
+            self._frame = self._whole().join(found, ["instrument", "session"], "left")
         return F.col(self.names[key])
 
     def _tf(self, x: dict) -> Column:
-        """A field of the last closed bar of m bars: closed with its last bar's minute."""
-        m, field = int(x["m"]), x.get("of", "close")
-        bucket = F.floor(F.col("sessmin") / m)
-        key = f"tf#{m}#{field}"
+        """An operand of bars of m bars, as of the last one closed: closed with its last bar's minute, and read until the next
+        one closes. It is compiled on its own frame of the wide bars."""
+        m, of = int(x["m"]), x.get("of", "close")
+        if "'tf'" in str(of):
+            raise DocumentError("tf inside tf")
+        key = f"tf#{m}#{canonical(of)}"
         if key not in self.names:
-            self.names[key] = f"x{len(self.names)}"
             from ..operators.bars import resample
 
-            wide = resample(self.frame, m).select("instrument", "session", F.col("bucket").alias("_b"), F.expr(FIELDS[field]).alias(self.names[key]))
-            # the bucket is read from its closing bar on
-            closed = bucket - F.when(F.col("sessmin") % m == m - 1, 0).otherwise(1)
-            self.frame = self.frame.withColumn("_b", closed.cast("int")).join(wide, ["instrument", "session", "_b"], "left").drop("_b")
+            wide = resample(self.bars, m, [c for c in ("segment",) if c in self.bars.columns])
+            # wide bars are numbered by session and place, which rise with time
+            wide = wide.withColumns({"t": F.shiftleft(F.col("session").cast("long"), 20) + F.col("bucket"), "sessmin": F.col("bucket")})
+            lo, hi = self.anchor
+            within = Compiler(wide, (-(-lo // m), hi // m), -(-self.expected // m), self.levels, None, self.tick, self.rows)
+            value = within.operand(of)
+            made = within.frame.select("instrument", "session", F.col("bucket").alias("_b"), value.alias("_wide"))
+            bucket = F.floor(F.col("sessmin") / m).cast("int")
+            self._frame = self._whole().withColumn("_b", bucket).join(made, ["instrument", "session", "_b"], "left").withColumn("_last", F.lag("_wide").over(self.series()))
+            of_bucket = W.partitionBy(*self.keys, "session", "_b").orderBy("t")
+            name = self.add(key, F.when(F.col("sessmin") % m == m - 1, F.col("_wide")).otherwise(F.first("_last").over(of_bucket)))
+            self._frame = self._whole().drop("_b", "_wide", "_last")
+            return F.col(name)
         return F.col(self.names[key])
 
     def _levels(self) -> Column:
@@ -259,7 +340,7 @@ class Compiler:
         if "levels#" not in self.names:
             self.names["levels#"] = "_levels"
             days = self.levels.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("price", "name"))).alias("_levels"))
-            self.frame = self.frame.join(days, "session", "left")
+            self._frame = self._whole().join(days, "session", "left")
         return F.col("_levels")
 
     def _level(self, x: dict) -> Column:
@@ -296,6 +377,9 @@ class Compiler:
 
     def condition(self, x: Condition) -> Column:
         """The nullable boolean column of a condition."""
+        return self._told(self._named_condition, self.condition, x)
+
+    def _named_condition(self, x: Condition) -> Column:
         key = "?" + canonical(x)
         if key not in self.names:
             self.add(key, self._condition(x))
@@ -373,7 +457,7 @@ class Compiler:
         if key not in self.names:
             self.names[key] = f"x{len(self.names)}"
             hit = self.news.where(F.col("impact") >= impact).select(F.explode(F.sequence(F.col("t") - 1 - after, F.col("t") - 1 + before)).alias("t")).distinct().withColumn(self.names[key], F.lit(True))
-            self.frame = self.frame.join(hit, "t", "left")
+            self._frame = self._whole().join(hit, "t", "left")
         return F.coalesce(F.col(self.names[key]), F.lit(False))
 
     # signals and domain

@@ -175,11 +175,34 @@ operand(
     f"""WITH {FRAME}, {SESSIONS}, rk AS (SELECT *, coalesce(sum(CAST(complete AS INTEGER)) OVER (PARTITION BY instrument ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM days)
 SELECT fx.instrument, fx.t, k.close AS value FROM fx JOIN rk ON fx.instrument = rk.instrument AND fx.session = rk.session LEFT JOIN (SELECT instrument, before + 1 AS own, close FROM rk WHERE complete) k ON k.instrument = fx.instrument AND k.own = rk.before - 1""",
 )
+def wide_as_of(wide: str) -> str:
+    """SQL of what each bar reads of a table `wide` (instrument, session, b, g) of four-bar buckets: its own bucket's g with
+    the bucket's last minute, before that the g of the last bucket that has bars."""
+    return f"""{wide}, wj AS (SELECT fx.instrument, fx.session, fx.t, fx.sessmin, CAST(floor(fx.sessmin / 4.0) AS INTEGER) AS b, wide.g FROM fx LEFT JOIN wide ON wide.instrument = fx.instrument AND wide.session = fx.session AND wide.b = CAST(floor(fx.sessmin / 4.0) AS INTEGER)),
+wl AS (SELECT *, lag(g) OVER (PARTITION BY instrument ORDER BY t) AS before FROM wj)
+SELECT instrument, t, CASE WHEN sessmin % 4 = 3 THEN g ELSE first_value(before) OVER (PARTITION BY instrument, session, b ORDER BY t) END AS value FROM wl"""
+
+
+WIDE_BARS = "wb AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY session, b) AS i FROM (SELECT instrument, session, CAST(floor(sessmin / 4.0) AS INTEGER) AS b, arg_max(c, t) AS c, max(h) AS h FROM bars GROUP BY 1, 2, 3))"
+operand("tf_asof", {"ind": "tf", "m": 4, "of": "close"}, f"WITH {FRAME}, {WIDE_BARS}, {wide_as_of('wide AS (SELECT instrument, session, b, c AS g FROM wb)')}")
+operand(
+    "tf_ema",
+    {"ind": "tf", "m": 4, "of": {"ind": "ema", "n": 5}},
+    f"""WITH RECURSIVE {FRAME}, {WIDE_BARS}, e(instrument, i, value) AS (SELECT instrument, CAST(5 AS BIGINT), avg(c) FROM wb WHERE i <= 5 GROUP BY 1 HAVING count(*) = 5
+UNION ALL SELECT wb.instrument, wb.i, (1 - 2.0 / 6) * e.value + 2.0 / 6 * wb.c FROM e JOIN wb ON wb.instrument = e.instrument AND wb.i = e.i + 1),
+{wide_as_of('wide AS (SELECT wb.instrument, session, b, e.value AS g FROM wb LEFT JOIN e ON e.instrument = wb.instrument AND e.i = wb.i)')}""",
+)
+operand(
+    "tf_rsi",
+    {"ind": "tf", "m": 4, "of": {"ind": "rsi", "n": 6}},
+    f"""WITH RECURSIVE {FRAME}, {WIDE_BARS}, ws AS (SELECT *, c - lag(c) OVER (PARTITION BY instrument ORDER BY i) AS d FROM wb), e(instrument, i, u, d) AS (SELECT instrument, CAST(7 AS BIGINT), avg(greatest(d, 0)), avg(greatest(-d, 0)) FROM ws WHERE i BETWEEN 2 AND 7 GROUP BY 1 HAVING count(*) = 6
+UNION ALL SELECT ws.instrument, ws.i, (e.u * 5 + greatest(ws.d, 0)) / 6, (e.d * 5 + greatest(-ws.d, 0)) / 6 FROM e JOIN ws ON ws.instrument = e.instrument AND ws.i = e.i + 1),
+{wide_as_of('wide AS (SELECT ws.instrument, session, b, CASE WHEN e.u = 0 AND e.d = 0 THEN 50.0 WHEN e.d = 0 THEN 100.0 ELSE 100 - 100 / (1 + e.u / e.d) END AS g FROM ws LEFT JOIN e ON e.instrument = ws.instrument AND e.i = ws.i)')}""",
+)
 operand(
-    "tf_asof",
-    {"ind": "tf", "m": 4, "of": "close"},
-    f"""WITH {FRAME}, wide AS (SELECT instrument, session, CAST(floor(sessmin / 4.0) AS INTEGER) AS b, arg_max(c, t) AS c FROM bars GROUP BY 1, 2, 3)
-SELECT fx.instrument, fx.t, wide.c AS value FROM fx LEFT JOIN wide ON wide.instrument = fx.instrument AND wide.session = fx.session AND wide.b = CAST(floor(fx.sessmin / 4.0) AS INTEGER) - CASE WHEN fx.sessmin % 4 = 3 THEN 0 ELSE 1 END""",
+    "tf_highest_lagged",
+    {"ind": "tf", "m": 4, "of": {"ind": "hh", "n": 3, "lag": 1}},
+    f"WITH {FRAME}, {WIDE_BARS}, {wide_as_of('wide AS (SELECT instrument, session, b, lag(CASE WHEN i > 3 THEN m END) OVER (PARTITION BY instrument ORDER BY i) AS g FROM (SELECT *, max(h) OVER (PARTITION BY instrument ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS m FROM wb))')}",
 )
 operand("level_join", {"ind": "level", "name": "R1"}, f"WITH {FRAME}, {LEVELS} SELECT fx.instrument, fx.t, levels.price AS value FROM fx LEFT JOIN levels ON levels.session = fx.session AND levels.name = 'R1'", levels=levels)
 operand(

@@ -41,6 +41,50 @@ def profile_nodes(spark, sf_dir):
     return P.nodes(profile(spark, sf_dir), ["instrument", "session"])
 
 
+FINE = 2.0
+VF = f"{TK}, vp AS (SELECT instrument, session, CAST(floor(price / {FINE}) AS BIGINT) AS bin, sum(size) AS volume FROM tk GROUP BY 1, 2, 3), en AS (SELECT instrument, session, min(bin) AS low, max(bin) AS high, max(volume) AS most, sum(volume) / (max(bin) - min(bin) + 1) AS mean FROM vp GROUP BY 1, 2)"
+#: Every bin between a profile's ends.
+DENSE = f"{VF}, gr AS (SELECT *, unnest(range(low, high + 1)) AS bin FROM en), pr AS (SELECT gr.*, coalesce(volume, 0.0) AS volume FROM gr LEFT JOIN vp USING (instrument, session, bin))"
+
+
+def fine_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ticks = I.ticks(spark, sf_dir).withColumn("session", F.floor(F.col("sec") / 86_400))
+    return P.volume_by_price(ticks, ["instrument", "session"], "price", "size", FINE)
+
+
+def _prominent_sql(node: str, sign: str) -> str:
+    """Peaks of sign * volume: the nearest greater bins by a join with the profile, then the saddles up to them."""
+    return f"""ca AS (SELECT * FROM (SELECT *, {sign}volume AS x, {sign}lag(volume) OVER w AS b, {sign}lead(volume) OVER w AS a FROM pr WINDOW w AS (PARTITION BY instrument, session ORDER BY bin)) WHERE x >= b AND x >= a AND (x > b OR x > a)),
+ne AS (SELECT c.instrument, c.session, c.bin, any_value(c.x) AS x, any_value(c.most) AS most, any_value(c.mean) AS mean, coalesce(max(p.bin) FILTER (p.bin < c.bin AND {sign}p.volume > c.x), any_value(c.low) - 1) AS l, coalesce(min(p.bin) FILTER (p.bin > c.bin AND {sign}p.volume > c.x), any_value(c.high) + 1) AS r FROM ca c JOIN pr p USING (instrument, session) GROUP BY 1, 2, 3),
+sa AS (SELECT n.instrument, n.session, n.bin, any_value(n.x) AS x, any_value(most) AS most, any_value(mean) AS mean, min({sign}p.volume) FILTER (p.bin > l AND p.bin <= n.bin) AS sl, min({sign}p.volume) FILTER (p.bin < r AND p.bin >= n.bin) AS sr FROM ne n JOIN (SELECT instrument, session, bin, volume FROM pr) p USING (instrument, session) GROUP BY 1, 2, 3)
+SELECT instrument, session, bin, '{node}' AS node, {sign}x AS volume, x - greatest(sl, sr) AS prominence, mean FROM sa WHERE x - greatest(sl, sr) >= 0.05 * most"""
+
+
+@register(
+    "profile_prominence",
+    f"WITH {DENSE}, hi AS (WITH {_prominent_sql('high', '')}), lo AS (WITH {_prominent_sql('low', '-')}) SELECT instrument, session, bin, node, volume, {r6_sql('prominence', 'prominence')}, {r6_sql('CASE WHEN volume > 0 THEN least(sqrt(mean / volume), 4.0) ELSE 4.0 END', 'sigma')} FROM (SELECT * FROM hi UNION ALL SELECT * FROM lo)",
+)
+def profile_prominence(spark, sf_dir):
+    """Nodes of each session's profile by prominence, with the local deviation there."""
+    profile, keys = fine_profile(spark, sf_dir), ["instrument", "session"]
+    nodes = P.prominent_nodes(profile, keys).join(P.profile_means(profile, keys), keys)
+    return nodes.select(*keys, "bin", "node", "volume", r6(F.col("prominence"), "prominence"), r6(P.local_sigma(F.col("volume"), F.col("mean_volume")), "sigma"))
+
+
+@register(
+    "profile_traversal",
+    f"""WITH {DENSE}, pc AS (SELECT instrument, session, min(bin) FILTER (volume = m) AS poc FROM (SELECT *, max(volume) OVER (PARTITION BY instrument, session) AS m FROM vp) GROUP BY 1, 2),
+sp AS (SELECT instrument, session, low AS start, poc AS stop FROM en JOIN pc USING (instrument, session) UNION ALL SELECT instrument, session, high, poc FROM en JOIN pc USING (instrument, session))
+SELECT instrument, session, start, stop, {r6_sql(f'sum(power({FINE} / 0.5 / CASE WHEN volume > 0 THEN least(sqrt(mean / volume), 4.0) ELSE 4.0 END, 2))', 'minutes')} FROM (SELECT DISTINCT * FROM sp) sp JOIN pr USING (instrument, session) WHERE bin BETWEEN least(start, stop) AND greatest(start, stop) GROUP BY 1, 2, 3, 4""",
+)
+def profile_traversal(spark, sf_dir):
+    """Mean times from either end of a session's profile to its point of control."""
+    profile, keys = fine_profile(spark, sf_dir), ["instrument", "session"]
+    ends = P.profile_means(profile, keys).join(P.point_of_control(profile, keys), keys)
+    spans = ends.select(*keys, F.explode(F.array("low", "high")).alias("start"), F.col("poc").alias("stop")).distinct()
+    return r6_all(P.traversal_times(profile, spans, keys, FINE, 0.5), "minutes")
+
+
 @register("value_area")
 def value_area(spark, sf_dir):
     """Value areas; the growth from the point of control is a path, so tests hold it against a plain loop."""
