@@ -74,6 +74,12 @@ def test_odd_rows(spark):
     assert made(spark, [(1, "ha " * 3000, "en", None, None)], least=2) == plain([(1, "ha " * 3000, "en")], 2)
 
 
+def test_dictionaries_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "BROADCAST_WORDS", 3)
+    rows = random_rows()
+    assert made(spark, rows, least=3) == plain(rows, 3)
+
+
 def test_blocks_do_not_cut_phrases(spark, monkeypatch):
     rows = random_rows()
     whole = made(spark, rows, least=3)
@@ -103,10 +109,10 @@ def test_codes_that_clash_take_another_seed(spark, monkeypatch):
 def test_equal_mixed_values_are_told_apart():
     import pyarrow as pa
 
-    rows = pa.record_batch({"h": pa.array([1, 1, 1, 2, 2], pa.int64()), "key": pa.array([b"a", b"b", b"a", b"c", b"c"]), "a": pa.array([1, 2, 3, 4, 5], pa.int64())})
+    rows = pa.record_batch({"h": pa.array([1, 1, 1, 2, 2], pa.int64()), "key": pa.array([b"aaaa", b"bbbb", b"aaaa", b"cccccccc", b"cccccccc"]), "a": pa.array([1, 2, 3, 4, 5], pa.int64())})
     for cut in range(6):
-        got = [r for b in collocations._run_lengths(1)(iter([rows.slice(0, cut), rows.slice(cut)])) for r in b.to_pylist()]
-        assert sorted((r["key"], r["a"]) for r in got) == [(b"a", 4), (b"b", 2), (b"c", 9)]
+        got = [r for b in collocations._run_lengths(1, 4)(iter([rows.slice(0, cut), rows.slice(cut)])) for r in b.to_pylist()]
+        assert sorted((r["key"], r["a"]) for r in got) == [(b"aaaa", 4), (b"bbbb", 2), (b"cccccccc", 9)]
 
 
 def test_table_against_sql(spark):

@@ -1,23 +1,28 @@
 """Phrase collocations of each language, counted exactly.
 
-A dictionary gives each frequent word of a language a 64-bit code, checked to be one to one over all words of the corpus.
-Pieces of text are broken at all other words, and runs of codes are packed into binary keys of one width for each phrase
-length. Each task sorts and counts the keys of a block of text; the partial counts are range-partitioned by the keys' mixed
-values, radix-sorted and counted by run length. A longer phrase is packed only where all phrases inside it that were counted
-before are frequent, which loses none: a phrase is never more frequent than its parts. The broadcast filters that tell
-frequent words and phrases are of a bounded size (idfilter.MOST_BITS); what they let pass too much is counted and found rare.
-
-Nothing is broadcast, collected or held by one task that grows with the corpus: dictionary, counts and candidates are tables.
+A dictionary gives each frequent word of a language an id. Pieces of text are broken at all other words, and runs of ids are
+packed into binary keys of one width for each phrase length. Each task sorts and counts the keys of a block of text; the
+partial counts are range-partitioned by the keys' mixed values, radix-sorted and counted by run length. A longer phrase is
+packed only where all phrases inside it that were counted before are frequent, which loses none: a phrase is never more
+frequent than its parts. The broadcast filter that tells frequent phrases is of a bounded size (idfilter.MOST_BITS); what it
+lets pass too much is counted and found rare.
+
+Tasks tell words by 64-bit codes, checked to be one to one over all words of the corpus. Up to BROADCAST_WORDS frequent words
+travel as a sorted row of codes, and a word's id of four bytes is its place there. A larger dictionary stays a table: a filter
+of bounded size tells frequent words, and the code of eight bytes is the id. Counts and candidates are tables in any case.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,10 +38,11 @@ PIECE_END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 WORD_END = PIECE_END.copy()
 WORD_END[[0x20, 0x09]] = True
 #: Text bytes that are split into words at once, and words whose phrases are sorted and counted at once.
-SLICE_BYTES, BLOCK_WORDS = 2 << 20, 3 << 20
+SLICE_BYTES, BLOCK_WORDS = 1 << 20, 1 << 20
 #: Distinct words a task holds before it passes their counts on.
-HELD_WORDS = 1 << 18
-CODE_BYTES = 8
+HELD_WORDS = 1 << 17
+#: Frequent words that are broadcast as codes at most (32 MB), and bytes of an id up to and beyond that.
+BROADCAST_WORDS, SHORT, LONG = 1 << 22, 4, 8
 
 
 def _language_code(lang: str | None, seed: int) -> int:
@@ -108,23 +114,55 @@ def _mixed(codes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-GRAM_ROWS = "h long, key binary, a long"
+@dataclass
+class Ids:
+    """How a task tells frequent words: by their sorted codes, whose places are the ids, or by a filter of the codes that are
+    the ids themselves."""
 
+    bytes: int
+    shared: Broadcast
 
-def _keys(codes: np.ndarray, starts: np.ndarray, size: int) -> pa.Array:
-    """Runs of codes as binary keys, big end first."""
-    wide = np.empty((len(starts), size), ">u8")
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each code's id, and whether its word may be frequent (with a sorted row: whether it is)."""
+        table = self.shared.value
+        if self.bytes == LONG:
+            return codes, may_hold(table, codes.view(np.int64))
+        at = np.minimum(np.searchsorted(table, codes), max(0, len(table) - 1))
+        return at.astype(U), table[at] == codes if len(table) else np.zeros(len(codes), bool)
+
+
+def numbered(known: DataFrame) -> tuple[DataFrame, Ids]:
+    """The dictionary (code, ...) with key, the id's bytes, big end first; and what tasks need to give words their ids."""
+    size = known.count()
+    if size > BROADCAST_WORDS:
+        return known.withColumn("key", F.unhex(F.lpad(F.hex("code"), 2 * LONG, "0"))), Ids(LONG, id_filter(known, "code").shared)
+    codes = known.select("code").toPandas()["code"].to_numpy(np.int64).view(U)
+    ids = Ids(SHORT, known.sparkSession.sparkContext.broadcast(np.sort(codes)))
+
+    @F.pandas_udf("long")
+    def place(code: pd.Series) -> pd.Series:
+        return pd.Series(ids.of(code.to_numpy(np.int64).view(U))[0].view(np.int64))
+
+    return known.withColumn("key", F.unhex(F.lpad(F.hex(place("code")), 2 * SHORT, "0"))), ids
+
+
+def _keys(codes: np.ndarray, starts: np.ndarray, size: int, width: int) -> pa.Array:
+    """Runs of ids as binary keys, big end first."""
+    wide = np.empty((len(starts), size), f">u{width}")
     for j in range(size):
         wide[:, j] = codes[starts + j]
-    offsets = np.arange(len(starts) + 1, dtype=np.int32) * np.int32(size * CODE_BYTES)
+    offsets = np.arange(len(starts) + 1, dtype=np.int32) * np.int32(size * width)
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(wide.tobytes())])
 
 
-def _gram_counts(sizes: list[int], words_shared, part: int, part_shared, seed: int):
+PARTIAL_ROWS, GRAM_ROWS = "key binary, a int", "h long, key binary, a long"
+
+
+def _gram_counts(sizes: list[int], ids: Ids, part: int, part_shared, seed: int):
     """Counts of phrases of some sizes in blocks of text. Where part > 1, all phrases of that size inside must be in a filter."""
 
     def count(codes: np.ndarray, pieces: np.ndarray) -> Iterator[pa.RecordBatch]:
-        frequent = may_hold(words_shared.value, codes.view(np.int64))
+        codes, frequent = ids.of(codes)
         # joined[i]: words i to i + part - 1 are frequent, of one piece, and in the filter
         joined = frequent[: max(0, len(codes) - part + 1)].copy()
         for j in range(1, part):
@@ -142,7 +180,7 @@ def _gram_counts(sizes: list[int], words_shared, part: int, part_shared, seed: i
             first, n = _runs(np.argsort(h), [h, *[codes[starts + j] for j in range(size)]])
             for a in range(0, len(first), 1 << 17):
                 some = first[a : a + (1 << 17)]
-                yield pa.record_batch({"h": h[some].view(np.int64), "key": _keys(codes, starts[some], size), "a": n[a : a + (1 << 17)].astype(np.int64)})
+                yield pa.record_batch({"key": _keys(codes, starts[some], size, ids.bytes), "a": n[a : a + (1 << 17)].astype(np.int32)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, pieces, held, last = [], [], 0, 0
@@ -151,19 +189,31 @@ def _gram_counts(sizes: list[int], words_shared, part: int, part_shared, seed: i
                 if not len(code):
                     continue
                 codes.append(code)
-                pieces.append(piece + (last + 1))
+                pieces.append((piece + (last + 1)).astype(np.int32))
                 held, last = held + len(code), int(pieces[-1][-1])
                 if held >= BLOCK_WORDS:
                     yield from count(np.concatenate(codes), np.concatenate(pieces))
-                    codes, pieces, held = [], [], 0
+                    codes, pieces, held, last = [], [], 0, 0
         if held:
             yield from count(np.concatenate(codes), np.concatenate(pieces))
 
     return run
 
 
-def _run_lengths(least: int):
-    """Totals of the keys of a partition sorted by h, at least `least`. Keys that share an h are told apart."""
+def _mixed_keys(keys: pa.ChunkedArray, width: int) -> np.ndarray:
+    """_mixed of binary keys of any lengths."""
+    out = np.zeros(len(keys), U)
+    sizes = pc.binary_length(keys).to_numpy() // width
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        codes = np.frombuffer(b"".join(keys.take(pa.array(at)).to_pylist()), f">u{width}").astype(U)
+        out[at] = _mixed(codes, np.arange(len(at)) * size, size)
+    return out
+
+
+def _run_lengths(least: int, width: int):
+    """Totals of the keys of a partition sorted by h, at least `least`, with their mixed values as h. Keys that share an h are
+    told apart."""
 
     def totals(table: pa.Table) -> pa.RecordBatch:
         h, key, a = (table.column(x).combine_chunks() for x in ("h", "key", "a"))
@@ -172,11 +222,12 @@ def _run_lengths(least: int):
         change[:1] = True
         change[1:] = (values[1:] != values[:-1]) | pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
         at = np.flatnonzero(change)
-        out = pa.table({"h": h.take(pa.array(at)), "key": key.take(pa.array(at)), "a": np.add.reduceat(a.to_numpy(), at)})
+        out = pa.table({"h": h.take(pa.array(at)), "key": key.take(pa.array(at)), "a": np.add.reduceat(a.to_numpy().astype(np.int64), at)})
         starts = values[at]
         if (starts[1:] == starts[:-1]).any():  # two keys of one h may alternate
             out = out.group_by(["h", "key"]).aggregate([("a", "sum")]).rename_columns(["h", "key", "a"])
-        return out.filter(pc.greater_equal(out["a"], least)).combine_chunks()
+        out = out.filter(pc.greater_equal(out["a"], least)).combine_chunks()
+        return out.set_column(0, "h", pa.array(_mixed_keys(out["key"], width).view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -196,14 +247,15 @@ def _run_lengths(least: int):
     return run
 
 
-def _counted(scratch: Scratch, docs: DataFrame, sizes: list[int], words_shared, part: int, part_shared, least: int, seed: int) -> DataFrame:
+def _counted(scratch: Scratch, docs: DataFrame, sizes: list[int], ids: Ids, part: int, part_shared, least: int, seed: int) -> DataFrame:
     """The phrases of some sizes that occur at least `least` times: h, key, a."""
-    rows = docs.mapInArrow(tidy(_gram_counts(sizes, words_shared, part, part_shared, seed)), GRAM_ROWS)
+    rows = docs.mapInArrow(tidy(_gram_counts(sizes, ids, part, part_shared, seed)), PARTIAL_ROWS)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # h is mixed, so equal ranges of it hold about equal numbers of keys, whatever the words; the sort by one long is a radix sort
-    share = F.shiftrightunsigned("h", 40) * parts
-    ranged = rows.repartitionById(parts, F.shiftrightunsigned(share, 24).cast("int")).sortWithinPartitions("h")
-    return scratch.cut(ranged.mapInArrow(tidy(_run_lengths(least)), GRAM_ROWS))
+    # equal ranges of a hash hold about equal numbers of keys, whatever the words; the sort by one long is a radix sort
+    share = F.shiftrightunsigned(F.xxhash64("key"), 40) * parts
+    ranged = rows.repartitionById(parts, F.shiftrightunsigned(share, 24).cast("int"))
+    ordered = ranged.select(F.xxhash64("key").alias("h"), "key", "a").sortWithinPartitions("h")
+    return scratch.cut(ordered.mapInArrow(tidy(_run_lengths(least, ids.bytes)), GRAM_ROWS))
 
 
 def dictionary(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, int]:
@@ -223,11 +275,11 @@ def _looked_up(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataF
     return join_by_key(rows, table.join(uses, key), [key], "uses", total).drop("uses")
 
 
-def _part(key: str, first: Column | int, words: Column | int | None = None) -> Column:
-    """Words of a key from the first (0 on)."""
+def _part(width: int, first: Column | int, words: Column | int | None = None) -> Column:
+    """Words of the column key from the first (0 on), with ids of a width."""
     at = F.lit(first) if isinstance(first, int) else first
     many = F.lit(1 << 20) if words is None else (F.lit(words) if isinstance(words, int) else words)
-    return F.substring(F.col(key), at * CODE_BYTES + 1, many * CODE_BYTES)
+    return F.substring(F.col("key"), at * width + 1, many * width)
 
 
 def mine_phrases(docs: DataFrame, least: int = 100, top: int = 2000, longest: int = 5, inside: int = 100) -> DataFrame:
@@ -248,26 +300,26 @@ def mine_phrases(docs: DataFrame, least: int = 100, top: int = 2000, longest: in
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
     words, seed = dictionary(scratch, docs)
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
-    # a code's bytes, big end first, are a phrase of one word
-    known = scratch.cut(words.where(F.col("a") >= least).join(totals, "lang").withColumn("key", F.unhex(F.lpad(F.hex("code"), 16, "0"))))
-    word_filter = id_filter(known, "code").shared
+    # an id's bytes are a phrase of one word
+    known, ids = numbered(scratch.cut(words.where(F.col("a") >= least).join(totals, "lang")))
+    known, size = scratch.cut(known), (F.length("key") / ids.bytes).cast("int")
     counted, part, part_filter = [], 1, None
     for sizes in [s for s in ([2], [3], [*range(4, longest + 1)]) if s and s[-1] <= longest]:
-        found = _counted(scratch, docs, sizes, word_filter, part, part_filter, least, seed)
+        found = _counted(scratch, docs, sizes, ids, part, part_filter, least, seed)
         counted.append(found)
         if sizes[-1] < longest:
             part, part_filter = sizes[-1], id_filter(found, "h").shared
     candidates = counted[0]
     for found in counted[1:]:
         candidates = candidates.unionByName(found)
-    candidates = candidates.select("key", "a", (F.length("key") / CODE_BYTES).cast("int").alias("size"))
+    candidates = candidates.select("key", "a", size.alias("size"))
 
     # the most frequent longer phrase around each candidate has one word more
-    around = candidates.where("size > 2").select(F.explode(F.array(_part("key", 0, F.col("size") - 1), _part("key", 1))).alias("key"), F.lit(None).cast("long").alias("a"), F.col("a").alias("longer"))
+    around = candidates.where("size > 2").select(F.explode(F.array(_part(ids.bytes, 0, F.col("size") - 1), _part(ids.bytes, 1))).alias("key"), F.lit(None).cast("long").alias("a"), F.col("a").alias("longer"))
     kept = candidates.select("key", "a", F.lit(None).cast("long").alias("longer")).unionByName(around).groupBy("key").agg(F.max("a").alias("a"), F.max("longer").alias("longer"))
-    kept = scratch.cut(kept.where(F.coalesce(100 * F.col("longer") < inside * F.col("a"), F.lit(True))).select("key", "a", (F.length("key") / CODE_BYTES).cast("int").alias("size")))
+    kept = scratch.cut(kept.where(F.coalesce(100 * F.col("longer") < inside * F.col("a"), F.lit(True))).select("key", "a", size.alias("size")))
 
-    cuts = kept.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1))).select("key", "a", "k", _part("key", 0, F.col("k")).alias("left"), _part("key", F.col("k")).alias("right"))
+    cuts = kept.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1))).select("key", "a", "k", _part(ids.bytes, 0, F.col("k")).alias("left"), _part(ids.bytes, F.col("k")).alias("right"))
     total = kept.agg(F.sum(F.col("size") - 1)).first()[0] or 0
     none = lambda kind: F.lit(None).cast(kind)
     table = known.select("key", "a", "lang", "n").unionByName(candidates.select("key", "a", none("string").alias("lang"), none("long").alias("n")))
@@ -281,7 +333,7 @@ def mine_phrases(docs: DataFrame, least: int = 100, top: int = 2000, longest: in
     order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
     best = scratch.cut(best.withColumn("place", F.rank().over(order)).where(F.col("place") <= top))  # ties stay until they are spelled
 
-    letters = best.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("key") / CODE_BYTES).cast("int") - 1), lambda i: F.substring(F.col("key"), i * CODE_BYTES + 1, F.lit(CODE_BYTES)))).alias("i", "letter"))
+    letters = best.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), size - 1), lambda i: _part(ids.bytes, i, 1))).alias("i", "letter"))
     spelled = letters.join(known.select(F.col("key").alias("letter"), "word"), "letter").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "word"))).alias("words"))
     phrases = best.join(spelled.select("key", F.array_join(F.transform("words", lambda w: w["word"]), " ").alias("phrase")), "key")
     ranked = phrases.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))).where(F.col("rank") <= top)
