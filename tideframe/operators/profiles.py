@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import closed_forms as cf
+from ..functions import discrete
 from .blocks import running_sums
 
 
@@ -191,6 +192,31 @@ def footprint(cells: DataFrame, keys: list[str], ratio: float = 3.0, least: floa
     )
 
 
+def footprint_null(cells: DataFrame, bars: DataFrame, keys: list[str], ratio: float = 3.0, least: float = 10.0, clump: float = 1.0, impact: float = 1.0) -> DataFrame:
+    """What each bar's ladder shows against chance: imbalances seen and those expected with volumes of levels as they are and
+    sides drawn evenly, clump by clump; the share of the extreme levels' volume in the median level's (`exhaustion_high`,
+    `exhaustion_low`); the move over its volume's (`impact_z`) and the chance of so small a one (`absorption_p`).
+
+    cells: keys, level, bid, ask; bars: keys, o, c. Neighbours are levels that traded one after the other. A quiet neighbour
+    counts as one.
+    """
+    w = W.partitionBy(*keys).orderBy("level")
+    rows = cells.withColumns({"_v": F.col("bid") + F.col("ask"), "_top": F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("level"))), "_bottom": F.row_number().over(w)})
+    rows = rows.withColumns({"_bid_below": F.lag("bid").over(w), "_ask_above": F.lead("ask").over(w), "_v_below": F.lag("_v").over(w), "_v_above": F.lead("_v").over(w)})
+    one = lambda c: F.greatest(F.col(c), F.lit(1.0))
+    buy = (F.col("ask") >= least) & (F.col("ask") >= ratio * one("_bid_below"))
+    sell = (F.col("bid") >= least) & (F.col("bid") >= ratio * one("_ask_above"))
+    chance = lambda c: F.when(F.col(c).isNotNull(), discrete.imbalance_chance(F.col("_v"), F.col(c), ratio, least, clump)).otherwise(0.0)
+    middle = F.percentile("_v", F.lit(0.5))
+    made = rows.groupBy(*keys).agg(
+        (F.count_if(buy) + F.count_if(sell)).alias("imbalances"), F.sum(chance("_v_below") + chance("_v_above")).alias("expected"),
+        F.try_divide(F.max(F.when(F.col("_top") == 1, F.col("_v"))), middle).alias("exhaustion_high"), F.try_divide(F.max(F.when(F.col("_bottom") == 1, F.col("_v"))), middle).alias("exhaustion_low"), F.sum("_v").alias("_all"),
+    )
+    z = discrete.impact_z(F.col("c") - F.col("o"), F.col("_all"), impact)
+    out = made.join(bars.select(*keys, "o", "c"), keys).withColumn("impact_z", z)
+    return out.select(*keys, "imbalances", "expected", "exhaustion_high", "exhaustion_low", "impact_z", discrete.central_chance(F.col("impact_z")).alias("absorption_p"))
+
+
 def gamma_exposure(chain: DataFrame, keys: list[str], multiplier: float = 100.0) -> DataFrame:
     """Dealer gamma of each strike for a one per cent move: calls add, puts take."""
     g = cf.gamma(F.col("spot"), F.col("strike"), F.col("iv"), F.col("time")) * F.col("open_interest") * multiplier * F.col("spot") * F.col("spot") * 0.01

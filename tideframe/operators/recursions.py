@@ -33,12 +33,14 @@ def decaying_sum(place: Column, term: Column, keep: float, keys: list[str]) -> t
     return helpers, local, carry
 
 
-def zigzag(rows: DataFrame, series: list[str], order: str, value: str, threshold: float) -> DataFrame:
-    """Swings of each series: pivots (order, value, is_high) confirmed by a reversal of at least `threshold`.
+def zigzag(rows: DataFrame, series: list[str], order: str, value: str, threshold: float, told: str | None = None) -> DataFrame:
+    """Swings of each series: pivots (order, value, is_high) confirmed by a reversal of at least `threshold`; in a column
+    `told`, if named, where along the order each was.
 
     A pivot depends on the path, so a series (a session: bounded) is one group.
     """
-    schema = T.StructType([rows.schema[k] for k in series] + [rows.schema[order], T.StructField("price", T.DoubleType()), T.StructField("is_high", T.BooleanType())])
+    schema = T.StructType([rows.schema[k] for k in series] + [rows.schema[order], T.StructField("price", T.DoubleType()), T.StructField("is_high", T.BooleanType()), *([T.StructField(told, rows.schema[order].dataType)] if told else [])])
+    names = [order, "price", "is_high", *([told] if told else [])]
 
     def swings(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
@@ -52,14 +54,14 @@ def zigzag(rows: DataFrame, series: list[str], order: str, value: str, threshold
             if way <= 0 and x[i] < x[lo]:
                 lo = i
             if way >= 0 and x[hi] - x[i] >= threshold:
-                out.append((at[hi], x[hi], True))
+                out.append((at[hi], x[hi], True, at[i])[: len(names)])
                 way, lo = -1, i
             elif way <= 0 and x[i] - x[lo] >= threshold:
-                out.append((at[lo], x[lo], False))
+                out.append((at[lo], x[lo], False, at[i])[: len(names)])
                 way, hi = 1, i
-        made = pd.DataFrame(out, columns=[order, "price", "is_high"])
+        made = pd.DataFrame(out, columns=names)
         for k in series:
             made.insert(0, k, pdf[k].iloc[0])
-        return made[[*series, order, "price", "is_high"]]
+        return made[[*series, *names]]
 
     return rows.select(*series, order, value).groupBy(*series).applyInPandas(swings, schema)

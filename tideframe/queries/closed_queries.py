@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import closed_forms as cf
+from ..functions import horizon as hz
 from ..functions import normal
 from ..registry import register
 from .common import r6, r6_sql
@@ -132,3 +133,88 @@ def false_discovery(spark, sf_dir):
 
 
 forms("backtest_length", {"years": (lambda q, k, p: cf.minimum_backtest(q, k / 4), f"pow((CASE WHEN q < 2 THEN 0.0 ELSE (1 - {cf.EULER}) * {PPF('(1 - 1 / q)')} + {cf.EULER} * {PPF(f'(1 - 1 / (q * {math.e!r}))')} END) / (k / 4), 2)")})
+
+
+# walks between two barriers under a deadline, over the parts
+
+
+def walls(spark, sf_dir):
+    """A stop a, a target b, a deadline t, a drift m and an exponent h of each part, a unit deviation."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    key = F.col("p_partkey")
+    return p.select(
+        "p_partkey", (1.0 + F.col("p_size") % 9).alias("a"), (1.0 + key % 13).alias("b"), (F.pow(F.col("p_retailprice") % 50 + 1, 2) / 20).alias("t"), ((key % 7 - 3) / 50).alias("m"), (0.35 + key % 4 / 10).alias("h")
+    )
+
+
+WALLS = "w AS (SELECT p_partkey, 1.0::DOUBLE + p_size % 9 AS a, 1.0::DOUBLE + p_partkey % 13 AS b, pow(p_retailprice % 50 + 1, 2) / 20 AS t, (p_partkey % 7 - 3) / 50.0::DOUBLE AS m, 0.35::DOUBLE + p_partkey % 4 / 10.0::DOUBLE AS h FROM part)"
+#: Enough modes for the shortest of these deadlines.
+MODES = "range(1, 601)"
+
+
+def _first_sql(near: str, far: str, drift: str) -> str:
+    return f"CASE WHEN m = 0 THEN {far} / ({near} + {far}) ELSE (1 - exp(-2 * ({drift}) * {far})) / (1 - exp(-2 * ({drift}) * ({near} + {far}))) END"
+
+
+def _met_sql(near: str, far: str, drift: str) -> str:
+    """Chance to meet the nearer barrier by the deadline first, by modes alone."""
+    rate = f"(n * n * pi() * pi() / (2 * pow({near} + {far}, 2)) + m * m / 2)"
+    return f"greatest(0, least(1, {_first_sql(near, far, drift)} - pi() / pow({near} + {far}, 2) * list_sum(list_transform({MODES}, lambda n: n * sin(n * pi() * {near} / ({near} + {far})) * exp(({drift}) * {near} - {rate} * t) / {rate}))))"
+
+
+def _odd_sql(t: str, term: str) -> str:
+    """Sum over odd modes of the survival series' terms, each times `term`."""
+    return f"list_sum(list_transform(range(1, 602, 2), lambda n: 4 / (n * pi()) * sin(n * pi() * a / (a + b)) * exp(-n * n * pi() * pi() * {t} / (2 * pow(a + b, 2))) * {term}))"
+
+
+TIME = f"(a * b - {_odd_sql('t', '2 * pow(a + b, 2) / (n * n * pi() * pi())')})"
+
+
+@register(
+    "double_barrier",
+    f"WITH {WALLS}, p AS (SELECT *, {_met_sql('b', 'a', 'm')} AS up, {_met_sql('a', 'b', '-m')} AS down FROM w) SELECT p_partkey, {r6_sql('up', 'target')}, {r6_sql('down', 'stop')}, {r6_sql('greatest(0, 1 - up - down)', 'open')} FROM p",
+)
+def double_barrier(spark, sf_dir):
+    """Chances of target, stop and neither by the deadline, with drift."""
+    a, b, t, m = (F.col(x) for x in "abtm")
+    rows = walls(spark, sf_dir).withColumn("p", hz.barrier_chances(a, b, t, m, F.lit(1.0)))
+    return rows.select("p_partkey", *[r6(F.col(f"p.{x}"), x) for x in ("target", "stop", "open")])
+
+
+@register(
+    "horizon_outcome",
+    f"WITH {WALLS}, z AS (SELECT *, 0.0::DOUBLE AS m0 FROM w), p AS (SELECT p_partkey, a, b, t, {_met_sql('b', 'a', '0.0').replace('m = 0', 'm0 = 0').replace('m * m / 2', '0.0')} AS up, {_met_sql('a', 'b', '0.0').replace('m = 0', 'm0 = 0').replace('m * m / 2', '0.0')} AS down, {TIME} AS tau FROM z) SELECT p_partkey, {r6_sql('up', 'target')}, {r6_sql('down', 'stop')}, {r6_sql('down * a - up * b', 'mean_open')}, {r6_sql('tau', 'time')}, {r6_sql('sqrt(tau)', 'deviation')} FROM p",
+)
+def horizon_outcome(spark, sf_dir):
+    """Driftless trades under a deadline: chances, what open ones are worth, mean time and deviation."""
+    a, b, t = (F.col(x) for x in "abt")
+    rows = walls(spark, sf_dir).withColumn("p", hz.outcome(a, b, t, F.lit(1.0)))
+    return rows.select("p_partkey", *[r6(F.col(f"p.{x}"), x) for x in ("target", "stop", "mean_open", "time", "deviation")])
+
+
+@register(
+    "horizon_scaled",
+    f"""WITH {WALLS}, s AS (SELECT p_partkey, a, b, t, h, i, CASE WHEN pow(i * t / 128, 2 * h) < 0.02 THEN 1.0 ELSE greatest(0, least(1, {_odd_sql('pow(i * t / 128, 2 * h)', '1.0')})) END AS s FROM w, range(0, 129) AS r(i))
+SELECT p_partkey, {r6_sql('sum(s * CASE WHEN i IN (0, 128) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * any_value(t) / 128 / 3', 'time', 5)} FROM s GROUP BY 1""",
+)
+def horizon_scaled(spark, sf_dir):
+    """Mean times where deviations grow with another power of time. (Both barriers are seven deviations away at a variance of
+    0.02, so the twin, which has modes alone, takes survival as sure before that.)"""
+    a, b, t, h = (F.col(x) for x in "abth")
+    return walls(spark, sf_dir).select("p_partkey", r6(hz.scaled_outcome(a, b, t, F.lit(1.0), h)["time"], "time", 5))
+
+
+@register(
+    "managed_stops",
+    f"""WITH {WALLS}, g AS (SELECT *, b * 0.4 AS g, m + 0.02 AS k FROM w), first AS (SELECT p_partkey, a, b, g, m, k, {_first_sql('g', 'a', 'm')} AS p1, CASE WHEN k = 0 THEN g / b ELSE (1 - exp(-2 * k * g)) / (1 - exp(-2 * k * b)) END AS p2, CASE WHEN k = 0 THEN (g + a) / (a + b) ELSE (1 - exp(-2 * k * (g + a))) / (1 - exp(-2 * k * (a + b))) END AS p3 FROM g),
+o AS (SELECT *, (b - 0.2) / a AS v1, -0.2 / a AS v2, -(a + 0.2) / a AS v3 FROM first), e AS (SELECT *, p1 * p2 * v1 + p1 * (1 - p2) * v2 + (1 - p1) * v3 AS mean, p1 * p3 * v1 + (1 - p1 * p3) * v3 AS plain FROM o),
+d AS (SELECT *, sqrt(p1 * p2 * pow(v1 - mean, 2) + p1 * (1 - p2) * pow(v2 - mean, 2) + (1 - p1) * pow(v3 - mean, 2)) AS sd FROM e)
+SELECT p_partkey, {r6_sql('p1 * p2', 'target')}, {r6_sql('p1 * (1 - p2)', 'even')}, {r6_sql('1 - p1', 'stop')}, {r6_sql('mean', 'mean')}, {r6_sql('sd', 'deviation')}, {r6_sql('plain - mean', 'moving_cost')}, {r6_sql('0.2 / (a + b)', 'lift')} FROM d""",
+)
+def managed_stops(spark, sf_dir):
+    """Trades whose stop moves to the entry at four tenths of the way, with a little more drift from there on."""
+    a, b, m, one = F.col("a"), F.col("b"), F.col("m"), F.lit(1.0)
+    g, k, cost = b * 0.4, m + 0.02, F.lit(0.2)
+    rows = walls(spark, sf_dir).withColumn("p", hz.managed_chances(a, b, g, m, k, one))
+    rows = rows.withColumn("q", hz.trade_moments(F.col("p"), a, b, cost))
+    return rows.select("p_partkey", *[r6(F.col(f"p.{x}"), x) for x in ("target", "even", "stop")], r6(F.col("q.mean"), "mean"), r6(F.col("q.deviation"), "deviation"), r6(hz.moving_cost(a, b, g, m, k, one, cost), "moving_cost"), r6(hz.required_lift(a, b, cost), "lift"))

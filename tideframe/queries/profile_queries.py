@@ -144,6 +144,32 @@ def absorption(spark, sf_dir):
     return r6_all(P.absorption(cells, bars, ["instrument", "bar"], ["instrument"], "bar"), "z")
 
 
+def _chance_sql(low: str) -> str:
+    """The null chance of an imbalance in clumps of five, as a double sum over binomials."""
+    n, m = "CAST(round_even(v / 5, 0) AS BIGINT)", f"CAST(round_even({low} / 5, 0) AS BIGINT)"
+    binomial = lambda n, k: f"exp(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1) - {n} * ln(2))"
+    inner = f"list_sum(list_transform(range(0, CAST(least({m}, floor(a / 3.0)) AS BIGINT) + 1), lambda b: {binomial(m, 'b')}))"
+    return f"CASE WHEN {low} IS NULL THEN 0.0 ELSE coalesce(list_sum(list_transform(list_filter(range(0, {n} + 1), lambda a: a * 5 >= 10 AND a >= 3), lambda a: {binomial(n, 'a')} * {inner})), 0.0) END"
+
+
+@register(
+    "footprint_null",
+    f"""WITH {FP}, b AS (SELECT instrument, CAST(floor(sec / 14400.0) AS BIGINT) AS bar, arg_min(price, ts) AS o, arg_max(price, ts) AS c FROM ticks GROUP BY 1, 2),
+n AS (SELECT *, bid + ask AS v, lag(bid) OVER w AS bb, lead(ask) OVER w AS aa, lag(bid + ask) OVER w AS vb, lead(bid + ask) OVER w AS va FROM fp WINDOW w AS (PARTITION BY instrument, bar ORDER BY level)),
+e AS (SELECT *, {_chance_sql('vb')} AS p, {_chance_sql('va')} AS q FROM n),
+g AS (SELECT instrument, bar, count(*) FILTER (ask >= 10 AND ask >= 3 * greatest(bb, 1)) + count(*) FILTER (bid >= 10 AND bid >= 3 * greatest(aa, 1)) AS imbalances, sum(p + q) AS expected, arg_max(v, level) / nullif(quantile_cont(v, 0.5), 0) AS eh, arg_min(v, level) / nullif(quantile_cont(v, 0.5), 0) AS el, sum(v) AS s FROM e GROUP BY 1, 2),
+z AS (SELECT *, (c - o) / (2.0 * sqrt(greatest(s, 1))) AS z FROM g JOIN b USING (instrument, bar))
+SELECT instrument, bar, imbalances, {r6_sql('expected', 'expected')}, {r6_sql('eh', 'exhaustion_high')}, {r6_sql('el', 'exhaustion_low')}, {r6_sql('z', 'impact_z')}, {r6_sql('2 * ' + normal.cdf_sql('abs(z)') + ' - 1', 'absorption_p')} FROM z""",
+)
+def footprint_null(spark, sf_dir):
+    """Imbalances of four-hour ladders against chance, exhausted ends and absorbed moves."""
+    ticks = I.ticks(spark, sf_dir)
+    part = lambda k: F.sum(F.when(F.col("event_id") % 2 == k, F.col("size")).otherwise(0.0))
+    cells = ticks.groupBy("instrument", F.floor(F.col("sec") / 14_400).alias("bar"), F.floor(F.col("price") / 10.0).alias("level")).agg(part(0).alias("bid"), part(1).alias("ask"))
+    bars = I.bars(spark, sf_dir, 14_400).select("instrument", F.col("t").alias("bar"), "o", "c")
+    return r6_all(P.footprint_null(cells, bars, ["instrument", "bar"], clump=5.0, impact=2.0), "expected", "exhaustion_high", "exhaustion_low", "impact_z", "absorption_p")
+
+
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An option chain made of parts: a chain a brand, spot 1500, strikes by price, volatility and interest by size."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")

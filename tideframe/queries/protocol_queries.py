@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import execution as E
 from ..operators import inputs as I
 from ..operators import protocols as P
+from ..operators import sequential as S
 from ..registry import register
 from . import engine_queries as Q
 from .common import r6, r6_all, r6_sql
@@ -17,8 +18,19 @@ BOUNDS = [4.877, 3.357, 2.680, 2.290, 2.031]
 
 @register("sequential_bounds")
 def sequential_bounds(spark, sf_dir):
-    """Bounds of five looks; simulated, and held by tests to the published ones."""
-    return r6_all(P.sequential_bounds(spark, [0.2, 0.4, 0.6, 0.8, 1.0], paths=200_000), "spent", "bound", "stopped_null", "stopped_drift")
+    """Plans of five looks of each setup, at the information its trades had by then; tests hold bounds to published ones."""
+    plans = S.information(I.trades(spark, sf_dir), ["setup"], "day", 5)
+    return r6_all(S.boundaries(plans, ["setup"]), *[x.split()[0] for x in S.LOOK.split(", ")[1:]])
+
+
+FRACTIONS = f"WITH {T}, e AS (SELECT account, min(day) AS f, max(day) - min(day) + 1 AS d, count(*) AS n FROM trades GROUP BY 1), l AS (SELECT account, CAST(floor((day - f) * 5 / d) AS BIGINT) AS look, count(*) AS k, any_value(n) AS n FROM trades JOIN e USING (account) GROUP BY 1, 2)"
+
+
+@register("information_fractions", f"{FRACTIONS} SELECT account, {r6_sql('sum(k) OVER (PARTITION BY account ORDER BY look) / n', 'fraction')} FROM l")
+def information_fractions(spark, sf_dir):
+    """What part of each account's trades was made by the end of each fifth of its days."""
+    found = S.information(I.trades(spark, sf_dir), ["account"], "day", 5)
+    return found.select("account", F.explode("fractions").alias("fraction")).select("account", r6(F.col("fraction"), "fraction"))
 
 
 @register(

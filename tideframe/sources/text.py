@@ -30,6 +30,10 @@ TRADE_ALIASES = {
     "exit_time": ["exittime", "closetime"],
     "entry_price": ["entryprice", "openprice"],
     "exit_price": ["exitprice", "closeprice"],
+    "buy_price": ["buyprice", "boughtprice", "avgbuyprice"],
+    "sell_price": ["sellprice", "soldprice", "avgsellprice"],
+    "buy_time": ["buytime", "boughttimestamp", "boughttime", "buytimestamp"],
+    "sell_time": ["selltime", "soldtimestamp", "soldtime", "selltimestamp"],
     "pnl": ["pl", "pnl", "profit", "netprofit", "profitloss"],
 }
 DEAD_STATUS = "cancel|reject|expire|work|pend"

@@ -11,23 +11,29 @@ from .text import DEAD_STATUS, TRADE_ALIASES, columns_of, instant, number
 def read_trades(spark: SparkSession, path: str, sep: str = ",", month_first: bool = False) -> DataFrame:
     """Fills (symbol, root, side B or S, qty, price, ts, commission) of an execution export; dead orders are left out.
 
-    A negative quantity sells. A file of round trips (entry and exit columns) gives two fills a line.
+    A negative quantity sells. A file of round trips (entry and exit columns, or buy and sell ones) gives two fills a line; of
+    bought and sold ones each column says its side. A comma is a decimal sign where another sign parts the columns.
     """
     raw = spark.read.option("header", True).option("sep", sep).csv(path)
     at = columns_of(raw.columns, TRADE_ALIASES)
     pick = lambda k: F.col(f"`{raw.columns[at[k]]}`") if k in at else F.lit(None).cast("string")
     live = ~F.coalesce(F.lower(pick("status")).rlike(DEAD_STATUS), F.lit(False))
-    qty = number(pick("qty"))
+    figure = lambda k: number(pick(k), None if sep == "," else True)
+    qty = figure("qty")
     side = F.when(F.lower(pick("side")).rlike("^(b|buy|long|achat)"), "B").when(F.lower(pick("side")).rlike("^(s|sell|short|vente)"), "S").when(qty < 0, "S").when(qty > 0, "B")
     symbol = F.coalesce(pick("symbol"), F.lit(""))
     root = F.regexp_extract(F.upper(symbol), r"^/?([A-Z]{1,4}?)(?:[FGHJKMNQUVXZ]\d{1,2})?(?:[ .-].*)?$", 1)
-    common = [symbol.alias("symbol"), root.alias("root"), F.abs(qty).alias("qty"), F.coalesce(number(pick("commission")), F.lit(0.0)).alias("commission")]
+    common = [symbol.alias("symbol"), root.alias("root"), (F.abs(qty) if "qty" in at else F.lit(1.0)).alias("qty"), F.coalesce(figure("commission"), F.lit(0.0)).alias("commission")]
+    leg = lambda s, p, t: F.struct(s.alias("side"), figure(p).alias("price"), instant(pick(t), month_first).alias("ts"))
+    legs = None
     if "entry_price" in at and "exit_price" in at:
-        other = F.when(side == "B", "S").otherwise("B")
-        leg = lambda s, p, t: F.struct(s.alias("side"), number(pick(p)).alias("price"), instant(pick(t), month_first).alias("ts"))
-        both = raw.where(live).select(*common, F.explode(F.array(leg(side, "entry_price", "entry_time"), leg(other, "exit_price", "exit_time"))).alias("x"))
+        legs = leg(side, "entry_price", "entry_time"), leg(F.when(side == "B", "S").otherwise("B"), "exit_price", "exit_time")
+    elif "buy_price" in at and "sell_price" in at:
+        legs = leg(F.lit("B"), "buy_price", "buy_time"), leg(F.lit("S"), "sell_price", "sell_time")
+    if legs:
+        both = raw.where(live).select(*common, F.explode(F.array(*legs)).alias("x")).where("qty > 0 and x.side is not null and x.price is not null")
         return both.select("symbol", "root", "x.side", "qty", "x.price", "x.ts", (F.col("commission") / 2).alias("commission"))
-    rows = raw.where(live).select(*common, side.alias("side"), number(pick("price")).alias("price"), instant(pick("time"), month_first).alias("ts"))
+    rows = raw.where(live).select(*common, side.alias("side"), figure("price").alias("price"), instant(pick("time"), month_first).alias("ts"))
     return rows.where("qty > 0 and side is not null and price is not null").select("symbol", "root", "side", "qty", "price", "ts", "commission")
 
 
