@@ -60,6 +60,30 @@ def best_match(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best
 
 
+def match_start(masks: dict[str, int], m: int, text: str, end: int, edits: int) -> int:
+    """The last start from which text up to `end` is `edits` edits from a pattern, given the masks of the pattern read backward.
+
+    The same recursion runs back from the end; there the match has to begin, so the first row counts text that is left out.
+    """
+    every, high = (1 << m) - 1, 1 << (m - 1)
+    up, down, now = every, 0, m
+    if now == edits:
+        return end
+    for start in range(end - 1, max(-1, end - m - edits - 1), -1):
+        eq = masks.get(text[start], 0)
+        diagonal = ((((eq & up) + up) ^ up) | eq | down) & every
+        plus, minus = down | (~(diagonal | up) & every), up & diagonal
+        if plus & high:
+            now += 1
+        elif minus & high:
+            now -= 1
+        if now == edits:
+            return start
+        plus, minus = (plus << 1 | 1) & every, (minus << 1) & every
+        up, down = minus | (~(diagonal | plus) & every), plus & diagonal
+    return max(0, end - m - edits)
+
+
 class Matcher:
     """Finds the items of a block in texts."""
 
@@ -77,7 +101,7 @@ class Matcher:
         self.automaton.make_automaton()
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item id, edits, start bound, end) of the best place of each item within its budget, in the normalised text."""
+        """(item id, edits, start, end) of the best place of each item within its budget, in the normalised text."""
         text = normal(text)
         starts: dict[int, set[int]] = {}
         for end, (length, places) in self.automaton.iter(text):
@@ -94,9 +118,11 @@ class Matcher:
                 done = hi
                 edits, end = best_match(masks, len(pattern), text[lo:hi])
                 if edits <= budget and (best is None or edits < best[1]):
-                    best = (item, edits, lo, lo + end)
+                    best = (item, edits, lo + end)
             if best:
-                out.append(best)
+                item, edits, end = best
+                start = match_start(character_masks(pattern[::-1]), len(pattern), text, end, edits) if edits else end - len(pattern)
+                out.append((item, edits, start, end))
         return out
 
 
@@ -127,7 +153,8 @@ def item_blocks(benchmark: DataFrame, scratch: Scratch, block_bytes: int = BLOCK
 def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES, shortest: int = 1) -> DataFrame:
     """One row for each document row and item found in it: doc_id, item_id, edits, match_start, match_end.
 
-    The place is in the normalised text; the fewest edits count, then the earliest place. An item of fewer than
+    The place is in the normalised text, from match_start up to but not including match_end; the fewest edits count, then the
+    earliest end, then the latest start. Very long texts and items are searched whole. An item of fewer than
     1 / error_rate characters has no edits to spare and matches wherever it occurs exactly, so one of a letter or two
     matches nearly all texts: `shortest` leaves such items out. Null texts match nothing; equal rows are matched one by
     one; a null doc_id stays null. Items that share an id are matched as separate texts. Other columns are ignored. A
@@ -163,8 +190,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES, shortest: int = 1) -> DataFrame:
-    """The rows of docs, all columns, whose text holds no item. Null and empty texts hold none; repeated rows stay or go
-    together. With several blocks the rows left by one are written before the next."""
+    """The rows of docs, all columns (whatever their names), whose text holds no item. Null and empty texts hold none; very long
+    ones are searched whole; repeated rows stay or go together; an empty table, or benchmark, changes nothing. With several
+    blocks the rows left by one are written before the next."""
     scratch = Scratch(docs.sparkSession)
 
     def clean(docs: DataFrame, items: Items) -> DataFrame:
