@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,18 @@ def test_wrappers_without_names_of_elements(spark):
         assert wrappers.extract(rows[i][2], None) != got[i]
 
 
+def test_what_a_host_repeats_inside_its_articles_stays(spark):
+    """A common sentence, heading or list entry is part of the text, with article elements and without."""
+    rng = random.Random(8)
+    shared = "<h2>Background</h2><ul><li>Salt</li></ul><p>All of our stories end with these very words.</p>"
+    for tag in ("article", "div"):
+        rows = [(i, f"http://{tag}.example/{i}", f"<html><body><div>Our site</div><{tag}><p>{words(rng, 30)}</p><p>{words(rng, 20)}</p>{shared}</{tag}><div>Call us today</div></body></html>") for i in range(9)]
+        frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+        for r in wrappers.extract_pages(frame).collect():
+            want = " ".join(re.sub("<[^>]*>", " ", re.search(f"<{tag}>(<p>.*)</{tag}><div>", rows[r["page_id"]][2])[1]).split())
+            assert r["text"] == want
+
+
 def test_table_pages_by_alignment_alone(spark):
     """The article of every page of the table, found with its elements' names taken away."""
     import re
@@ -193,6 +206,35 @@ def test_bit_parallel_distance():
         assert decontaminate.best_match(decontaminate.character_masks(item), len(item), text)[0] == plain_distance(item, text)
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_match_places_hold_the_match():
+    """Slices of matches: the item itself where no edit was needed, else a text at that very distance from it."""
+    rng = random.Random(31)
+    seen = set()
+    for trial in range(300):
+        item = "".join(rng.choice("abc ") for _ in range(rng.randrange(20, 90)))
+        item = decontaminate.normal(item)
+        copy = list(item)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(copy) + 1)
+            rng.choice([lambda: copy.insert(at, "z"), lambda: copy and copy.pop(min(at, len(copy) - 1)), lambda: copy.__setitem__(min(at, len(copy) - 1), "y")])()
+        text = decontaminate.normal("".join(rng.choice("abc ") for _ in range(rng.randrange(60))) + "".join(copy) + "".join(rng.choice("abc ") for _ in range(rng.randrange(60))))
+        for _, edits, start, end in decontaminate.Matcher(((1, item),), 0.1).matches(text):
+            assert 0 <= start <= end <= len(text) and edit_distance(item, text[start:end]) == edits
+            assert edits or text[start:end] == item
+            assert all(edit_distance(item, text[s:end]) > edits for s in range(start + 1, end + 1))
+            seen.add(edits)
+    assert {0, 1, 2, 3} <= seen
+
+
 def test_items_against_brute_force(spark):
     rng = random.Random(6)
     items = [(i, words(rng, 12)) for i in range(8)] + [(20, None), (21, ""), (None, "no id here at all"), (0, "Another text of item nought, quite long enough")]

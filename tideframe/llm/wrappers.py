@@ -2,8 +2,9 @@
 
 Each host gives a bounded sample of different pages. They are parsed and each is aligned with a reference page by simple tree
 matching. A node whose text stays the same on most of them is template; slots whose text varies are content. The wrapper of
-a host is the path to the smallest element that holds most of the varying text, and the constant texts at or below it.
-Applied to a page, it gives the text of all elements at that path, less the constants.
+a host is the path to the smallest element that holds most of the varying text, and the constant labels at or below it.
+Applied to a page, it gives the text of all elements at that path, less those labels. What a host repeats inside its content
+stays, unless its form is that of a label: a few words without a sentence's end, in no heading, list or table ("Read more").
 
 Pages that repeat each other for the greater part count as one, so that a text which many copies share is no template for it.
 Elements that by their name, class, id or role are no article (menus, footers, adverts, forms, comments and so on) are
@@ -50,6 +51,9 @@ NO_CONTENT = frozenset("script style nav footer aside form noscript template ifr
 NO_CONTENT_HINT = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side-bar|footer|site-header|masthead|cookie|cookies|consent|notice|notices|alert|popup|modal|newsletter|subscribe|signup|comment|comments|discussion|replies|reply|related|recommended|share|sharing|social|search|pagination|pager|widget|toolbar|contentinfo|complementary)(?:$|[\s_-])"
 )
+#: Words of a label at most, what ends a sentence, and elements whose text is never a label.
+LABEL_WORDS, SENTENCE_END = 4, tuple(".!?:;…。！？")
+NO_LABEL = frozenset("h1 h2 h3 h4 h5 h6 li td th dt dd blockquote pre code figcaption".split())
 UNHINTED_TAGS = frozenset("html body main".split())
 COMMENT_HINTS = frozenset("comment comments reply replies related recommended ad ads advert sponsored promo".split())
 SMALL = frozenset("p h1 h2 h3 h4 h5 h6 li b a span em i strong td th tr tbody dt dd br".split())
@@ -70,6 +74,11 @@ def no_content(node: Node, in_article: bool) -> bool:
     return node.tag in NO_CONTENT or (node.tag == "header" and not in_article)
 
 
+def is_label(node: Node, text: str) -> bool:
+    """Whether a text has the form of a label, not of a part of an article."""
+    return node.tag not in NO_LABEL and len(text.split()) <= LABEL_WORDS and not text.rstrip().endswith(SENTENCE_END)
+
+
 def code(text: str, way: int = 0) -> int:
     """A short fixed number of a text, and of the way to it."""
     return zlib.crc32(text.encode("utf-8", "surrogatepass"), way)
@@ -113,7 +122,7 @@ def step_to(label: str, places: set[tuple[int, int]]) -> list:
 
 
 def induce(pages: list[str]) -> dict | None:
-    """The wrapper of a host from sampled pages: path to the content, and codes of constant texts by way. None if fewer than
+    """The wrapper of a host from sampled pages: path to the content, and codes of constant labels by way. None if fewer than
     two are different, or if no element holds most of what varies."""
     trees = [parse(p) for p in dict.fromkeys(pages) if p]
     nodes = [list(walk(tree)) for tree in trees]
@@ -149,7 +158,8 @@ def induce(pages: list[str]) -> dict | None:
             if at is not None and above is not None:
                 aligned.setdefault(id(at), []).append((node, above))
             if text and at is not None and id(at) in fixed and text == at.own_text():
-                constants.add((way, code(text)))
+                if is_label(node, text):
+                    constants.add((way, code(text)))
             elif text:
                 every[id(source)] += len(text)
                 clean[id(source)] += 0 if out else len(text)
