@@ -124,12 +124,59 @@ def test_samples_stay_bounded(spark, kind):
 
 
 def test_every_language_is_learned(spark):
-    """No language is left out for being rare, nor for there being many."""
+    """No language is left out for being rare, nor for there being many: each is told on a text of its own."""
     rows = [(i, f"lang{i % 300}word other{i % 300} " * 3, f"l{i % 300}", "s", 1) for i in range(3000)]
+    rows += [(10_000 + i, f"rare{i}thing single{i} " * 3, f"r{i}", "s", 1) for i in range(40) if zlib.crc32(str(10_000 + i).encode()) % 5]
+    wanted = {r[2] for r in rows}
+    for most in (160_000, 1700, 10):
+        model = language.fit(docs(spark, rows), most=most)
+        assert set(model.languages) == wanted
+    for n in (1, 4, 30):
+        sample = [(f"l{i * i % n}", i) for i in range(100)] + [("alone", 0)]
+        for turn in range(5):
+            learned, held = language.split(sample[turn:] + sample[:turn])
+            assert {r[0] for r in learned} == {r[0] for r in sample} and sorted(learned + held) == sorted(sample) and len(held) > 8
+
+
+def test_language_scores_against_a_plain_pass(spark):
+    """Scores are the softmax of the mean of embeddings of byte triples and words, text by text."""
+    rows = odd_rows()
     model = language.fit(docs(spark, rows))
-    assert len(model.languages) == 300
-    few = language.fit(docs(spark, rows), most=1500)
-    assert len(few.languages) > 280
+    got = {(r["doc_id"], r["text"]): r for r in language.predict(docs(spark, rows), model).collect()}
+    from tideframe.llm.features import subwords
+
+    for (_, text), r in got.items():
+        data = (text or "").encode()
+        if not any(c.isalpha() for c in text or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        share = subwords(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
+        mean = sum((share[i] * model.embedding[i].astype(float) for i in np.flatnonzero(share)), np.zeros(language.WIDTH))
+        logits = (mean @ model.output.astype(float) + model.bias) / model.temperature
+        p = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        assert r["score"] == pytest.approx(p.max(), abs=1e-4) and p[model.languages.index(r["lang_pred"])] == pytest.approx(p.max(), abs=1e-4)
+
+
+def test_votes_against_all_neighbours():
+    """The blocked vote is that of every vector in turn, ties by place."""
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(60, 5))
+    vectors[30:] = vectors[:30]  # every vector twice: ties everywhere
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    labels = rng.integers(0, 2, 60).astype(float)
+    model = quality.Model(np.ones(5, np.float32), np.eye(5), vectors, labels, 0.4)
+    model.weighted = lambda x: x
+    x = np.vstack([rng.normal(size=(700, 5)), np.zeros((1, 5)), -vectors.sum(axis=0)[None]])
+    got = model.score(x)
+    for row, score in zip(x, got, strict=True):
+        size = np.linalg.norm(row)
+        cosines = [float(row @ v) / size if size > 1e-9 else 0.0 for v in vectors]
+        # equal vectors may differ in a cosine's last digit, and so may their order
+        near = sorted(range(60), key=lambda i: (-round(cosines[i], 9), i))[: quality.NEIGHBOURS]
+        weight = [max(0.0, cosines[i]) ** quality.SHARPNESS for i in near]
+        assert score == pytest.approx(sum(w * labels[i] for w, i in zip(weight, near, strict=True)) / sum(weight) if sum(weight) > 1e-9 else 0.4, abs=1e-6)
+    tied = quality.nearest(np.array([[1.0, 0.5, 0.5, 0.5, 0.2]]), 2)
+    assert sorted(tied[0]) == [0, 1]
 
 
 def test_short_texts_take_bounded_memory():

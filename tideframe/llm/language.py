@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrays import tidy
@@ -19,10 +20,10 @@ from .features import LANGUAGE_BUCKETS, batched, has_letter, subwords
 from .streams import with_outputs
 
 #: Documents of each language in the sample, and of all languages together: with more languages than MOST / SAMPLED each
-#: has an equal part of MOST. No language is left out.
+#: has an equal part of MOST, one document at least. No language is left out.
 SAMPLED, MOST = 800, 160_000
-#: Languages up to which their rates are broadcast.
-BROADCAST_LANGUAGES = 100_000
+#: Rows (language, hash) of the sample up to which they are broadcast.
+BROADCAST_ROWS = 200_000
 WIDTH = 16
 EPOCHS = 12
 #: The part of right predictions that the rejection may cost.
@@ -68,8 +69,18 @@ def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"lang": batch.column("lang"), "doc_id": batch.column("doc_id"), "at": pa.array(at, pa.binary()), "share": pa.array(share, pa.binary())})
 
 
+def split(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """Rows to learn from, and every fifth to calibrate with, but none that is the first of its language."""
+    first: set[str] = set()
+    learned, held = [], []
+    for i, row in enumerate(rows):
+        (held if i % 5 == 0 and row[0] in first else learned).append(row)
+        first.add(row[0])
+    return learned, held
+
+
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
-    """A model of (language, buckets, shares) rows; every fifth row calibrates it."""
+    """A model of (language, buckets, shares) rows, of which split tells those that calibrate it."""
     languages = sorted({r[0] for r in rows})
     rng = np.random.default_rng(seed)
     rows = [rows[i] for i in rng.permutation(len(rows))]
@@ -82,8 +93,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
         return x, np.array([number[r[0]] for r in part], np.int64)
 
     number = {name: i for i, name in enumerate(languages)}
-    held, learned = rows[::5], [r for i, r in enumerate(rows) if i % 5]
-    held, learned = (held, learned) if len(learned) >= len(languages) else (rows, rows)
+    learned, held = split(rows)
+    held = held or learned
     model = Model(languages, rng.normal(0, 0.1, (size, WIDTH)).astype(np.float32), rng.normal(0, 0.1, (WIDTH, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32))
     for epoch in range(EPOCHS):
         rate = np.float32(4.0 * (1 - epoch / EPOCHS))
@@ -116,22 +127,22 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
 
 
 def fit(docs: DataFrame, sampled: int = SAMPLED, fold: int = 0, most: int = MOST) -> Model | None:
-    """A model of about `sampled` documents at most of each language, `most` of all, and none of the held-out fold; None if
-    no document has text and language.
+    """A model of at most `sampled` documents of each language, `most` of all (one a language at least), and none of the
+    held-out fold; None if no document has text and language.
 
-    A document is drawn by a hash of its id and text, and counts once in the sample however often its row repeats. So the
-    driver's sample is bounded by its expected count whatever ids repeat, and does not hang on how rows are dealt.
+    A language's documents of least hash are drawn, over all of them; the hash is of the id and text, so a document counts
+    once however often its row repeats, and the draw does not hang on how rows are dealt.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("lang is not null and length(text) > 0 and doc_id is not null").where(~held_out(fold))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    languages = counts.count()
+    known = known.withColumn("draw", F.xxhash64("doc_id", "text", F.lit(9)))
+    languages = known.select("lang").distinct().count()
     if not languages:
         return None
-    share = min(sampled, most / languages)
-    rates = counts.select("lang", (F.least(F.lit(1.0), F.lit(share) / F.col("n")) * (1 << 40)).cast("long").alias("rate"))
-    rates = F.broadcast(rates) if languages <= BROADCAST_LANGUAGES else rates
-    draw = F.xxhash64("doc_id", "text", F.lit(9))
-    drawn = known.withColumn("draw", draw).join(rates, "lang").where(F.pmod("draw", F.lit(1 << 40)) < F.col("rate")).dropDuplicates(["doc_id", "lang", "draw"])
+    each = max(1, min(sampled, most // languages))
+    # tasks keep a language's least hashes before any of them is shuffled
+    least = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
+    chosen = known.select("lang", "draw").distinct().withColumn("place", least).where(F.col("place") <= each).select("lang", "draw")
+    drawn = known.join(F.broadcast(chosen) if languages * each <= BROADCAST_ROWS else chosen, ["lang", "draw"]).dropDuplicates(["lang", "draw"])
     found = drawn.select("doc_id", "lang", "text").mapInArrow(tidy(_sparse_rows), "lang string, doc_id long, at binary, share binary").toPandas().sort_values(["doc_id", "lang", "at", "share"])
     if not len(found):
         return None
