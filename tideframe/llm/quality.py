@@ -31,6 +31,15 @@ SHARPNESS = 8
 OUTPUTS = "score double, predicted int"
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The k places of greatest cosine in each row; of equal ones the earlier places."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosine, near, 1).min(axis=1)
+    for row in np.flatnonzero((cosine >= least[:, None]).sum(axis=1) > k).tolist():
+        near[row] = np.argsort(-cosine[row], kind="stable")[:k]
+    return near
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -58,7 +67,7 @@ class Model:
         k = min(NEIGHBOURS, len(self.vectors))
         for lo in range(0, len(features), 512):
             cosine = self.vector(features[lo : lo + 512]) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            near = nearest(cosine, k)
             weight = np.maximum(0, np.take_along_axis(cosine, near, 1)).astype(np.float64) ** SHARPNESS
             total = weight.sum(axis=1)
             share = (weight * self.labels[near]).sum(axis=1) / np.maximum(1e-300, total)
@@ -114,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, fold: int
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score (0 to 1, higher: label 1 likelier) and predicted (1 at threshold or above).
 
-    The text alone decides; a null or empty one gets the share of label 1 among all labels. Equal texts score alike.
+    The text alone decides; a null or empty one gets the share of label 1 among all labels. Equal texts score alike; of
+    neighbours that are equally near those of lower ids vote. Very long texts are read whole; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
