@@ -355,6 +355,21 @@ def signals(spark, sf_dir):
 # joins
 
 
+@register(
+    "index_basis",
+    f"""WITH {BARS}, fb AS (SELECT instrument, t, c AS price FROM bars WHERE instrument <> 'view'), ix AS (SELECT t, c AS index FROM bars WHERE instrument = 'view'),
+j AS (SELECT fb.*, ix.t AS s, CASE WHEN fb.t - ix.t <= 2 THEN ix.index END AS index FROM fb ASOF LEFT JOIN ix ON fb.t >= ix.t),
+k AS (SELECT *, price - index AS raw, count(price - index) OVER (PARTITION BY instrument ORDER BY t) AS kept FROM j),
+m AS (SELECT instrument, kept, quantile_cont(raw, 0.5) OVER (PARTITION BY instrument ORDER BY kept ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS basis FROM k WHERE raw IS NOT NULL)
+SELECT k.instrument, k.t, {r6_sql('raw', 'raw')}, k.kept, {r6_sql('basis', 'basis')} FROM k LEFT JOIN m ON m.instrument = k.instrument AND m.kept = k.kept""",
+)
+def index_basis(spark, sf_dir):
+    """Each instrument's median distance from one of them, over the last thirty bars that had its price of two bars ago at most."""
+    bars = I.bars(spark, sf_dir)
+    found = J.aligned_basis(bars.where("instrument <> 'view'"), bars.where("instrument = 'view'"), ["instrument"], "t", "c", 2, 30)
+    return found.select("instrument", "t", r6(F.col("raw"), "raw"), "kept", r6(F.col("basis"), "basis"))
+
+
 @register(
     "asof_tolerance",
     """WITH l AS (SELECT event_type AS k, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events WHERE event_id % 2 = 0), r AS (SELECT event_type AS k, CAST(floor(epoch(ts)) AS BIGINT) AS sec, max(value) AS x FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2)
