@@ -291,3 +291,36 @@ def test_horizon_series_meet(spark):
     assert got == pytest.approx([0.5 * math.erfc(z / math.sqrt(2)) for z in tails], rel=1e-11)
     none = spark.range(1).select(horizon.barrier_chances(F.lit(-1.0), F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(1.0)).alias("p"), horizon.neutral_drift(F.lit(1.0), F.lit(2.0), F.lit(0.5), F.lit(1.0)).alias("d")).first()
     assert none["p"] is None and none["d"] == pytest.approx(0.0, abs=1e-9)
+
+
+def test_zero_gamma_by_halving(spark):
+    from tideframe.operators import profiles as P
+
+    rng = random.Random(5)
+    lines = [("a", 100.0, 70.0 + 2 * i, rng.uniform(0.1, 0.4), 0.2, kind, rng.uniform(1, 9) * (3 if (kind == "put") == (i < 15) else 1)) for i in range(30) for kind in ("call", "put")]
+    lines += [("b", 100.0, 100.0, 0.2, 0.2, "call", 1.0)]
+    table = spark.createDataFrame(lines, "k string, spot double, strike double, iv double, time double, kind string, open_interest double")
+    got = {r["k"]: r["zero_gamma"] for r in P.zero_gamma_exact(table, ["k"]).collect()}
+
+    def net(s):
+        def gamma(strike, iv, time):
+            d = (math.log(s / strike) + iv * iv * time / 2) / (iv * math.sqrt(time))
+            return math.exp(-d * d / 2) / math.sqrt(2 * math.pi) / (s * iv * math.sqrt(time))
+
+        return sum((1 if kind == "call" else -1) * gamma(strike, iv, time) * oi for k, _, strike, iv, time, kind, oi in lines if k == "a")
+
+    assert got["b"] is None
+    assert net(got["a"] - 1e-6) * net(got["a"] + 1e-6) < 0
+    assert not any(net(80 + 40 * (k - 1) / 40) * net(80 + 40 * k / 40) < 0 for k in range(1, 41) if 80 + k < got["a"])
+    pins = P.pin_strength(table, ["k"], there=False).where("k = 'a'").collect()
+    assert sum(r["pin"] for r in pins) == pytest.approx(1) and len(pins) == 30
+
+
+def test_corrected_exponent(spark):
+    from tideframe.operators import reports as R
+
+    rows = [("a", q, q**0.2 * 1.1) for q in (2, 4, 8)]
+    nulls = [("a", q, 1.1) for q in (2, 4, 8)]
+    make = lambda x: spark.createDataFrame(x, "instrument string, q int, vr double")
+    got = R.corrected_exponent(make(rows), make(nulls), ["instrument"]).first()
+    assert (got["exponent"], got["fit"], got["points"]) == (pytest.approx(0.6), pytest.approx(1.0), 4)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,6 +34,36 @@ def session_key(ts, zone: str = "America/New_York", shift_hours: int = 6):
     return F.to_date(F.from_utc_timestamp(ts, zone) + F.expr(f"INTERVAL {shift_hours} HOURS"))
 
 
+def third_friday(year: Column, month: Column) -> Column:
+    """The third Friday of a month, a date."""
+    first = F.make_date(year, month, F.lit(1))
+    return F.date_add(first, F.pmod(F.lit(4) - F.weekday(first), F.lit(7)) + 14)
+
+
+# The months of quarterly contracts and their letters.
+QUARTERS = ((3, "H"), (6, "M"), (9, "U"), (12, "Z"))
+
+
+def front_contract(day: Column) -> Column:
+    """(code, expiry, roll) of the quarterly contract whose third Friday has not passed on a day (that day still counts): the
+    letter with the year's last digit, the third Friday, and the day eight days before it."""
+    options = [F.struct(F.concat(F.lit(letter), (F.pmod(F.year(day) + ahead, F.lit(10))).cast("string")).alias("code"), third_friday(F.year(day) + ahead, F.lit(month)).alias("expiry")) for ahead in (0, 1) for month, letter in QUARTERS]
+    found = F.get(F.filter(F.array(*options), lambda x: x["expiry"] >= day), F.lit(0))
+    return F.struct(found["code"].alias("code"), found["expiry"].alias("expiry"), F.date_sub(found["expiry"], 8).alias("roll"))
+
+
+def market_state(ts: Column) -> Column:
+    """asia, europe, cash, after, pause or closed at a UTC timestamp, by the clocks of New York and London."""
+    ny, london = F.from_utc_timestamp(ts, "America/New_York"), F.from_utc_timestamp(ts, "Europe/London")
+    minute, day = F.hour(ny) * 60 + F.minute(ny), F.weekday(ny)  # Monday is 0
+    weekend = (day == 5) | ((day == 6) & (minute < 18 * 60)) | ((day == 4) & (minute >= 17 * 60))
+    opened, late = minute.between(570, 959), minute.between(960, 1019)
+    return (
+        F.when(weekend, "closed").when(minute.between(1020, 1079), "pause").when((day <= 4) & opened, "cash").when((day <= 4) & late, "after").when(minute >= 1080, "asia")
+        .when(F.hour(london) >= 8, "europe").otherwise("asia")
+    )
+
+
 def quality(bars: DataFrame, expected: int) -> DataFrame:
     """Per session: bars, missing bars between first and last, flat bars, bars out of shape, no-volume bars, short or not."""
     order = W.partitionBy("instrument", "session").orderBy("t")

@@ -238,3 +238,38 @@ def zero_gamma(chain: DataFrame, keys: list[str], steps: int = 41, width: float
     w = W.partitionBy(*keys).orderBy("_k")
     net = net.withColumns({"s0": F.lag("s").over(w), "n0": F.lag("net").over(w)}).where("n0 * net < 0")
     return net.groupBy(*keys).agg(F.min_by(F.col("s0") + (F.col("s") - F.col("s0")) * F.col("n0") / (F.col("n0") - F.col("net")), "_k").alias("zero_gamma"))
+
+
+def zero_gamma_exact(chain: DataFrame, keys: list[str], steps: int = 41, width: float = 0.2, rounds: int = 50) -> DataFrame:
+    """Spot at which net exposure changes sign first, upward from the spot less `width`: a grid brackets it, halving finds it.
+
+    A chain's lines are one array, as its strikes are few; null where no sign changes on the grid.
+    """
+    lines = chain.groupBy(*keys).agg(F.first("spot").alias("_spot"), F.collect_list(F.struct("strike", "iv", "time", "open_interest", F.when(F.col("kind") == "call", 1.0).otherwise(-1.0).alias("way"))).alias("_lines"))
+
+    def net(spot: Column) -> Column:
+        part = lambda total, x: total + x["way"] * cf.gamma(spot, x["strike"], x["iv"], x["time"]) * x["open_interest"]
+        return F.aggregate("_lines", F.lit(0.0), part)
+
+    at = lambda k: F.col("_spot") * (1 - width + 2 * width * k / (steps - 1))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.struct(at(k).alias("s"), net(at(k)).alias("g")))
+    rows = lines.withColumn("_grid", grid)
+    turn = F.array_min(F.filter(F.sequence(F.lit(1), F.lit(steps - 1)), lambda k: F.get("_grid", k - 1)["g"] * F.get("_grid", k)["g"] < 0))
+    rows = rows.withColumn("_turn", turn).withColumns({"_a": F.get("_grid", F.col("_turn") - 1), "_b": F.get("_grid", F.col("_turn"))}).drop("_grid")
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = (acc["lo"] + acc["hi"]) / 2
+        same = net(middle) * F.col("_a.g") > 0
+        return F.struct(F.when(same, middle).otherwise(acc["lo"]).alias("lo"), F.when(same, acc["hi"]).otherwise(middle).alias("hi"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.col("_a.s").alias("lo"), F.col("_b.s").alias("hi")), halve)
+    return rows.select(*keys, F.when(F.col("_turn").isNotNull(), (found["lo"] + found["hi"]) / 2).alias("zero_gamma"))
+
+
+def pin_strength(chain: DataFrame, keys: list[str], multiplier: float = 100.0, there: bool = True) -> DataFrame:
+    """keys, strike and the share of all unsigned gamma that it holds: of each strike as if the spot were there, or at the
+    spot."""
+    spot = F.col("strike") if there else F.col("spot")
+    g = cf.gamma(spot, F.col("strike"), F.col("iv"), F.col("time")) * F.col("open_interest") * multiplier * spot * spot * 0.01
+    held = chain.groupBy(*keys, "strike").agg(F.sum(g).alias("_g"))
+    return held.join(held.groupBy(*keys).agg(F.sum("_g").alias("_all")), keys).select(*keys, "strike", F.try_divide(F.col("_g"), F.col("_all")).alias("pin"))

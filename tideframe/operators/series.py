@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .blocks import in_order_blocks, own, running_sums
+from .quantiles import exact_quantiles
 
 
 def log_returns(bars: DataFrame, series: list[str], order: str, price: str = "c") -> DataFrame:
@@ -96,7 +97,7 @@ def hill(rows: DataFrame, series: list[str], value: str, k: int) -> DataFrame:
 
 def excess_law(rows: DataFrame, series: list[str], value: str, level: float) -> DataFrame:
     """Generalised Pareto law of what exceeds a quantile, by moments."""
-    u = rows.groupBy(*series).agg(F.percentile(value, F.lit(level)).alias("u"), F.count(F.lit(1)).alias("n"))
+    u = exact_quantiles(rows, series, value, [level]).select(*series, F.element_at("quantiles", 1).alias("u"))
     over = rows.join(u, series).where(F.col(value) > F.col("u")).withColumn("y", F.col(value) - F.col("u"))
     made = over.groupBy(*series).agg(F.first("u").alias("u"), F.count(F.lit(1)).alias("exceedances"), F.avg("y").alias("m"), F.var_samp("y").alias("v"))
     square = F.col("m") * F.col("m") / F.col("v")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
@@ -84,8 +86,9 @@ def risk_sheet(trades: DataFrame, keys: list[str], r: str = "r", target: float =
         F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("excess"),
         F.sqrt(F.avg(F.pow(F.least(x - target, F.lit(0.0)), 2))).alias("downside"), F.sum(F.greatest(x - target, F.lit(0.0))).alias("above"), F.sum(F.greatest(target - x, F.lit(0.0))).alias("below"),
         F.avg(F.when(x > 0, x)).alias("avg_win"), F.avg(F.when(x < 0, -x)).alias("avg_loss"), ratio(F.count_if(x > 0).cast("double"), F.count_if(x != 0)).alias("win_rate"),
-        F.percentile(x, F.lit(0.05)).alias("q05"), F.percentile(x, F.lit(0.95)).alias("q95"), F.percentile(x, F.lit(0.01)).alias("q01"),
     )
+    ends = exact_quantiles(trades, keys, r, [0.05, 0.95, 0.01]).select(*keys, *[F.element_at("quantiles", i).alias(q) for i, q in enumerate(("q05", "q95", "q01"), 1)])
+    levels = levels.join(ends, keys)
     tails = trades.join(levels.select(*keys, "q05"), keys).where(x <= F.col("q05")).groupBy(*keys).agg((-F.avg(x)).alias("shortfall95"))
     payoff = ratio(F.col("avg_win"), F.col("avg_loss"))
     z = -1.6448536269514722

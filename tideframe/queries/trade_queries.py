@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import inputs as I
 from ..operators import joins as J
 from ..operators import stats as S
+from ..operators.quantiles import exact_quantiles
 from ..registry import register
 from .common import r6, r6_all, r6_sql
 
@@ -111,7 +112,7 @@ LEVELS = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 def quantile_table(spark, sf_dir):
     """Quantiles of exact results in 1e-4: at levels of hundredths they have two digits, so they are rounded once, exactly."""
     levels = F.array(*[F.lit(q) for q in LEVELS])
-    made = I.trades(spark, sf_dir).groupBy("setup").agg(F.percentile("pnl4", levels).alias("q"))
+    made = exact_quantiles(I.trades(spark, sf_dir), ["setup"], "pnl4", LEVELS, "q")
     return made.select("setup", F.explode(F.arrays_zip(levels.alias("level"), F.col("q").alias("value"))).alias("x")).select("setup", F.col("x.level").alias("level"), (F.round("x.value", 2) / 1e6).alias("value"))
 
 
