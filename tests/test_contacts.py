@@ -324,3 +324,25 @@ def test_corrected_exponent(spark):
     make = lambda x: spark.createDataFrame(x, "instrument string, q int, vr double")
     got = R.corrected_exponent(make(rows), make(nulls), ["instrument"]).first()
     assert (got["exponent"], got["fit"], got["points"]) == (pytest.approx(0.6), pytest.approx(1.0), 4)
+
+
+def test_value_area_by_pairs(spark):
+    from tideframe.operators import profiles as P
+
+    rng, rows = random.Random(3), []
+    for k in range(12):
+        rows += [(k, level, rng.randrange(1, 6)) for level in sorted(rng.sample(range(40), rng.randrange(1, 30)))]
+    got = {r["k"]: (r["poc"], r["low"], r["high"]) for r in P.paired_value_area(spark.createDataFrame(rows, "k int, level long, periods long"), ["k"]).collect()}
+    for k in range(12):
+        p = [r[1] for r in rows if r[0] == k]
+        c = [r[2] for r in rows if r[0] == k]
+        i = min((j for j in range(len(p)) if c[j] == max(c)), key=lambda j: (abs(p[j] - (p[0] + p[-1]) / 2), j))
+        a = b = i
+        while sum(c[a : b + 1]) < 0.7 * sum(c) and (a > 0 or b < len(p) - 1):
+            down = c[a - 1] + (c[a - 2] if a > 1 else 0) if a > 0 else -1
+            up = c[b + 1] + (c[b + 2] if b < len(p) - 2 else 0) if b < len(p) - 1 else -1
+            if up >= down:
+                b = min(b + 2, len(p) - 1)
+            else:
+                a = max(a - 2, 0)
+        assert got[k] == (p[i], p[a], p[b])

@@ -155,6 +155,29 @@ def market_profile_summary(bars: DataFrame, keys: list[str], period: str, tick:
     return ends.drop("most").join(poc, keys).join(balance, keys).withColumn("extended", (F.col("low") < F.col("balance_low")) | (F.col("high") > F.col("balance_high")))
 
 
+def paired_value_area(profile: DataFrame, keys: list[str], share: float = 0.7) -> DataFrame:
+    """Levels around the one of most periods that hold a share of all prints, grown by pairs of levels on the fuller side (up
+    on a tie): keys, poc, low, high. The first of the greatest counts nearest to the middle, then the lowest, is the start.
+
+    Growth depends on the path; a profile has as many rows as its session's prices have levels, so it is one group.
+    """
+    schema = ", ".join(f"{k} {dict(profile.dtypes)[k]}" for k in keys) + ", poc long, low long, high long"
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("level")
+        level, count = pdf["level"].to_numpy(), pdf["periods"].to_numpy()
+        top, last = count.max(), len(count) - 1
+        start = min(np.flatnonzero(count == top).tolist(), key=lambda i: (abs(2 * level[i] - level[0] - level[-1]), i))
+        lo = hi = start
+        while count[lo : hi + 1].sum() < share * count.sum() and (lo > 0 or hi < last):
+            below = count[max(0, lo - 2) : lo].sum() if lo > 0 else -1
+            above = count[hi + 1 : hi + 3].sum() if hi < last else -1
+            lo, hi = (lo, min(hi + 2, last)) if above >= below else (max(lo - 2, 0), hi)
+        return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], level[start], level[lo], level[hi]]], columns=[*keys, "poc", "low", "high"])
+
+    return profile.groupBy(*keys).applyInPandas(grow, schema)
+
+
 def poor_ends(profile: DataFrame, keys: list[str]) -> DataFrame:
     """Whether a session's highest and lowest levels were met by two periods or more, so that no single print ends them."""
     last = lambda f: f("periods", "level")

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import normal
+from .blocks import running_sums
 from .stats import lag_correlation
 
 LAW = NormalDist()
@@ -141,3 +142,33 @@ def corrected_exponent(ratios: DataFrame, nulls: DataFrame, series: list[str]) -
     return made.agg((F.regr_slope("y", "x") / 2).alias("exponent"), F.regr_r2("y", "x").alias("fit"), F.count(F.lit(1)).alias("points"))
 
 
+
+
+def ratio_null(n: Column, q: Column) -> Column:
+    """What the variance ratio of q overlapping steps gives n independent returns whose mean is taken from themselves."""
+    return (1 - q / n) / (1 - 1 / n)
+
+
+def split(trades: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """n, mean, sd, Sharpe ratio and t of each part."""
+    made = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
+    sharpe = F.coalesce(F.try_divide(F.col("mean"), F.col("sd")), F.lit(0.0))
+    return made.withColumn("sharpe", sharpe).withColumn("t", F.col("sharpe") * F.sqrt("n"))
+
+
+def response(events: DataFrame, keys: list[str], second: str, windows: list[tuple[int, int]]) -> DataFrame:
+    """Events a second from `lo` (not included) to `hi` seconds after each event, over those events whose window ends by the
+    last one: keys, lo, hi, windows (how many), rate.
+
+    The number of events up to any second is a prefix sum, so a window costs two look-ups and no pair of events is formed.
+    """
+    ends = events.groupBy(*keys).agg(F.max(second).alias("_end"))
+    counts = events.groupBy(*keys, second).agg(F.count(F.lit(1)).alias("_n")).join(ends, keys)
+    spans = F.explode(F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in windows]))
+    asked = counts.select(*keys, F.col(second).alias("_from"), "_n", "_end", spans.alias("_w")).where(F.col("_from") + F.col("_w.hi") <= F.col("_end"))
+    probes = asked.select(*keys, F.explode(F.array(F.col("_from") + F.col("_w.lo"), F.col("_from") + F.col("_w.hi"))).alias(second), F.lit(0).alias("_n"))
+    upto = running_sums(counts.select(*keys, second, "_n").unionByName(probes).groupBy(*keys, second).agg(F.sum("_n").alias("_n")), keys, second, {"_upto": F.col("_n")})
+    at = lambda name: upto.select(*keys, F.col(second).alias(f"_{name}"), F.col("_upto").alias(name))
+    told = asked.withColumns({"_low": F.col("_from") + F.col("_w.lo"), "_high": F.col("_from") + F.col("_w.hi")}).join(at("low"), [*keys, "_low"]).join(at("high"), [*keys, "_high"])
+    made = told.groupBy(*keys, "_w.lo", "_w.hi").agg(F.sum("_n").alias("windows"), F.sum(F.col("_n") * (F.col("high") - F.col("low"))).alias("_met"))
+    return made.select(*keys, "lo", "hi", "windows", (F.col("_met") / (F.col("windows") * (F.col("hi") - F.col("lo")))).alias("rate"))

@@ -66,7 +66,8 @@ class Compiler:
     """Adds columns to a bar frame.
 
     anchor: first and last bar of a session that count as anchored. expected: bars of a full session. levels: (session,
-    name, price) to join. news: (t, impact). tick: the least price step. rows: of a range, at least; first_reach: how many
+    name, price) to join, and if they have them scale and base (a level of scale `index` is raised by its base, and left out
+    without one) and adj (added to every level). news: (t, impact). tick: the least price step. rows: of a range, at least; first_reach: how many
     bars before a range it is given at first. An operand that reaches farther has the frame built anew.
     """
 
@@ -339,7 +340,11 @@ class Compiler:
             raise DocumentError("no levels were given")
         if "levels#" not in self.names:
             self.names["levels#"] = "_levels"
-            days = self.levels.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("price", "name"))).alias("_levels"))
+            has = self.levels.columns
+            base = F.when(F.col("scale") == "index", F.col("base")).otherwise(0.0) if "scale" in has else F.lit(0.0)
+            price = F.col("price") + base + (F.coalesce("adj", F.lit(0.0)) if "adj" in has else F.lit(0.0))
+            told = self.levels.select("session", "name", price.alias("price")).where("price is not null")
+            days = told.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("price", "name"))).alias("_levels"))
             self._frame = self._whole().join(days, "session", "left")
         return F.col("_levels")
 

@@ -205,6 +205,20 @@ operand(
     f"WITH {FRAME}, {WIDE_BARS}, {wide_as_of('wide AS (SELECT instrument, session, b, lag(CASE WHEN i > 3 THEN m END) OVER (PARTITION BY instrument ORDER BY i) AS g FROM (SELECT *, max(h) OVER (PARTITION BY instrument ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS m FROM wb))')}",
 )
 operand("level_join", {"ind": "level", "name": "R1"}, f"WITH {FRAME}, {LEVELS} SELECT fx.instrument, fx.t, levels.price AS value FROM fx LEFT JOIN levels ON levels.session = fx.session AND levels.name = 'R1'", levels=levels)
+
+
+def scaled_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """levels with every other session's on the scale of an index whose base is known on two days of three, and adjusted."""
+    s = F.col("session")
+    return levels(spark, sf_dir).withColumns({"scale": F.when(s % 2 == 0, "index").otherwise("contract"), "base": F.when(s % 3 != 0, (s % 5).cast("double")), "adj": F.when(s % 4 == 0, 0.25)})
+
+
+operand(
+    "level_scaled",
+    {"ind": "level", "name": "S1"},
+    f"WITH {FRAME}, {LEVELS} SELECT fx.instrument, fx.t, levels.price + CASE WHEN fx.session % 2 = 0 THEN CASE WHEN fx.session % 3 <> 0 THEN fx.session % 5 END ELSE 0 END + CASE WHEN fx.session % 4 = 0 THEN 0.25 ELSE 0 END AS value FROM fx LEFT JOIN levels ON levels.session = fx.session AND levels.name = 'S1'",
+    levels=scaled_levels,
+)
 operand(
     "nearest_level",
     {"ind": "nearest", "side": "above"},

@@ -11,6 +11,7 @@ from ..operators import bars as B
 from ..operators import inputs as I
 from ..operators import profiles as P
 from ..operators import reports as R
+from ..operators import series as S
 from ..operators import stats
 from ..operators.quantiles import exact_quantiles
 from ..registry import register
@@ -169,3 +170,61 @@ def metrics_sheet(spark, sf_dir):
     )
     run = stats.runs_test(rows, ["setup"], SEQ, "pnl4").select("setup", "runs", r6(F.col("expected"), "runs_expected"), r6(F.col("z"), "runs_z"))
     return basic.join(run, "setup").join(found["risk_sheet"](spark, sf_dir), "setup").join(found["curve_sheet"](spark, sf_dir).drop("n"), "setup")
+
+
+@register("tpo_value_area")
+def tpo_value_area(spark, sf_dir):
+    """Value areas of market profiles by pairs of levels; a path, so tests hold it against a plain loop."""
+    return P.paired_value_area(P.market_profile(I.bars(spark, sf_dir), ["instrument", "session"], "sessmin", 10.0), ["instrument", "session"])
+
+
+@register(
+    "split_gamma_sign",
+    f"""WITH {T}, g AS (SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS day, sum(CAST(round(o_totalprice * 100) AS BIGINT) - 25000000) AS gamma FROM orders GROUP BY 1),
+s AS (SELECT CASE WHEN gamma < 0 THEN 'negative' WHEN gamma > 0 THEN 'positive' ELSE 'none' END AS gamma, r FROM trades LEFT JOIN g USING (day)), a AS (SELECT gamma, count(*) AS n, avg(r) AS m, coalesce(stddev_samp(r), 0) AS sd FROM s GROUP BY 1)
+SELECT gamma, n, {r6_sql('m', 'mean')}, {r6_sql('sd', 'sd')}, {r6_sql('coalesce(m / nullif(sd, 0), 0)', 'sharpe')}, {r6_sql('coalesce(m / nullif(sd, 0), 0) * sqrt(n)', 't')} FROM a""",
+)
+def split_gamma_sign(spark, sf_dir):
+    """Trades by the sign of their day's gamma (here: of what the day's orders stand above 250,000 each)."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).cast("long")
+    gamma = orders.groupBy(day.alias("day")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long") - 25_000_000).alias("g"))
+    sign = F.when(F.col("g") < 0, "negative").when(F.col("g") > 0, "positive").otherwise("none")
+    rows = I.trades(spark, sf_dir).join(gamma, "day", "left").withColumn("gamma", sign)
+    return r6_all(R.split(rows, ["gamma"], "r"), "mean", "sd", "sharpe", "t")
+
+
+WINDOWS = [(0, 600), (600, 1800), (1800, 7200)]
+
+
+@register(
+    "event_response",
+    f"""WITH {I.TICKS_SQL}, e AS (SELECT instrument, sec, count(*) AS n, max(sec) OVER (PARTITION BY instrument) AS last FROM ticks GROUP BY 1, 2), w AS (SELECT unnest([{', '.join(str(a) for a, _ in WINDOWS)}]) AS lo, unnest([{', '.join(str(b) for _, b in WINDOWS)}]) AS hi),
+p AS (SELECT e.instrument, e.sec, e.n, lo, hi FROM e, w WHERE e.sec + hi <= e.last), c AS (SELECT p.instrument, p.sec, p.n, p.lo, p.hi, coalesce(sum(f.n), 0) AS m FROM p LEFT JOIN e f ON f.instrument = p.instrument AND f.sec > p.sec + lo AND f.sec <= p.sec + hi GROUP BY ALL)
+SELECT instrument, lo, hi, CAST(sum(n) AS BIGINT) AS windows, {r6_sql('sum(n * m) / CAST(sum(n) * (hi - lo) AS DOUBLE)', 'rate', 9)} FROM c GROUP BY 1, 2, 3""",
+)
+def event_response(spark, sf_dir):
+    """How often events follow events, in three windows after each."""
+    return r6_all(R.response(I.ticks(spark, sf_dir), ["instrument"], "sec", WINDOWS), "rate", digits=9)
+
+
+@register(
+    "exponent_corrected",
+    f"""WITH {I.BARS_SQL}, j AS (SELECT *, t - lag(t) OVER w = 1 AS joined, ln(c / lag(c) OVER w) AS x FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY t)), s AS (SELECT instrument, t, CASE WHEN joined THEN x END AS ret, sum(CASE WHEN coalesce(joined, false) THEN 0 ELSE 1 END) OVER (PARTITION BY instrument ORDER BY t) AS seg FROM j),
+r AS (SELECT instrument, t, ret, seg, avg(ret) OVER (PARTITION BY instrument) AS m, count(*) OVER (PARTITION BY instrument) AS n FROM s WHERE ret IS NOT NULL),
+v AS (SELECT instrument, t, seg, ret, m, n, q, CASE WHEN count(*) OVER w2 = 2 THEN sum(ret) OVER w2 END AS s2, CASE WHEN count(*) OVER w4 = 4 THEN sum(ret) OVER w4 END AS s4, CASE WHEN count(*) OVER w8 = 8 THEN sum(ret) OVER w8 END AS s8 FROM r, (SELECT unnest([2, 4, 8]) AS q) qs
+ WINDOW w2 AS (PARTITION BY instrument, seg, q ORDER BY t ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), w4 AS (PARTITION BY instrument, seg, q ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), w8 AS (PARTITION BY instrument, seg, q ORDER BY t ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
+k AS (SELECT instrument, q, avg(pow(CASE q WHEN 2 THEN s2 WHEN 4 THEN s4 ELSE s8 END - q * m, 2)) / (q * avg(pow(ret - m, 2))) AS vr, any_value(n) AS n FROM v GROUP BY 1, 2),
+l AS (SELECT instrument, ln(q) AS x, ln(q * vr / ((1 - q / CAST(n AS DOUBLE)) / (1 - 1 / CAST(n AS DOUBLE)))) AS y FROM k UNION ALL SELECT DISTINCT instrument, 0.0, 0.0 FROM k)
+SELECT instrument, {r6_sql('regr_slope(y, x) / 2', 'exponent')}, {r6_sql('regr_r2(y, x)', 'fit')}, count(*) AS points FROM l GROUP BY 1""",
+)
+def exponent_corrected(spark, sf_dir):
+    """Scaling exponents of hourly bars with each variance ratio over what as many independent returns give it."""
+    returns = S.log_returns(I.bars(spark, sf_dir), ["instrument"], "t")
+    ratios = None
+    for q in (2, 4, 8):
+        one = S.variance_ratio(returns, ["instrument"], q)
+        ratios = one if ratios is None else ratios.unionByName(one)
+    sizes = returns.groupBy("instrument").agg(F.count(F.lit(1)).alias("all"))
+    nulls = ratios.join(sizes, "instrument").select("instrument", "q", R.ratio_null(F.col("all"), F.col("q")).alias("vr"))
+    return r6_all(R.corrected_exponent(ratios, nulls, ["instrument"]), "exponent", "fit")
