@@ -12,26 +12,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Bits of the order inside a block, and of block numbers inside the next level's: orders from -2**61 on, below 2**61.
-BLOCK_BITS, LEVEL_BITS, LEVELS = 14, 16, 3
+#: Bits of the order inside a block, and of block numbers inside the next level's. Three levels take orders from -2**61 on,
+#: below 2**61; one level, for numbers of sessions, from -2**29 on, below 2**29.
+BLOCK_BITS, LEVEL_BITS, LEVELS, SESSION_LEVELS = 14, 16, 3, 1
 
 
-def running_sums(rows: DataFrame, keys: list[str], order: str, sums: dict[str, Column], inclusive: bool = True) -> DataFrame:
+def running_sums(rows: DataFrame, keys: list[str], order: str, sums: dict[str, Column], inclusive: bool = True, levels: int | None = None) -> DataFrame:
     """rows with running sums along `order` (whole numbers, unique inside keys) of columns without a null's effect: over all
     rows before, and the row itself if inclusive.
 
     Two passes over the rows: block totals go up the levels and come back as what each block starts from.
     """
     inner = {f"_in_{k}": F.coalesce(v, F.lit(0)) for k, v in sums.items()}
-    names = list(sums)
-    middle = 1 << (BLOCK_BITS + LEVELS * LEVEL_BITS - 1)  # orders of either sign lie in one block of the last level
+    names, levels = list(sums), levels or LEVELS
+    middle = 1 << (BLOCK_BITS + levels * LEVEL_BITS - 1)  # orders of either sign lie in one block of the last level
     based = rows.withColumns({**inner, "_b0": F.shiftright(F.col(order).cast("long") + F.lit(middle), BLOCK_BITS)})
     totals = [based.groupBy(*keys, "_b0").agg(*[F.sum(f"_in_{k}").alias(f"_s_{k}") for k in names])]
-    for level in range(1, LEVELS):
+    for level in range(1, levels):
         up = totals[-1].groupBy(*keys, F.shiftright(f"_b{level - 1}", LEVEL_BITS).alias(f"_b{level}"))
         totals.append(up.agg(*[F.sum(f"_s_{k}").alias(f"_s_{k}") for k in names]))
     before = None
-    for level in reversed(range(LEVELS)):
+    for level in reversed(range(levels)):
         part = W.partitionBy(*keys, f"_b{level + 1}").orderBy(f"_b{level}").rowsBetween(W.unboundedPreceding, -1)
         made = totals[level].withColumn(f"_b{level + 1}", F.shiftright(f"_b{level}", LEVEL_BITS))
         made = made.withColumns({f"_p_{k}": F.coalesce(F.sum(f"_s_{k}").over(part), F.lit(0)) for k in names}).drop(*[f"_s_{k}" for k in names])
@@ -48,7 +49,7 @@ def running_sums(rows: DataFrame, keys: list[str], order: str, sums: dict[str, C
 def session_places(bars: DataFrame) -> DataFrame:
     """instrument, session, n_rows, before (rows of the instrument's sessions before it), place (number of the session, from 1)."""
     days = bars.groupBy("instrument", "session").agg(F.count(F.lit(1)).alias("n_rows"))
-    made = running_sums(days, ["instrument"], "session", {"upto": F.col("n_rows"), "place": F.lit(1)})
+    made = running_sums(days, ["instrument"], "session", {"upto": F.col("n_rows"), "place": F.lit(1)}, levels=SESSION_LEVELS)
     return made.select("instrument", "session", "n_rows", (F.col("upto") - F.col("n_rows")).alias("before"), "place")
 
 

@@ -30,6 +30,23 @@ def session_vwap(bars: DataFrame) -> DataFrame:
     return rows.withColumns({"vwap": F.col("_p0") + F.col("_m"), "sd": F.when(F.col("_v") > 1e-12, F.sqrt("_v")).when(F.col("_v").isNotNull(), 0.0)}).drop("_some", "_w", "_p0", "_x", "_m", "_v")
 
 
+def period_vwap(bars: DataFrame, period: str, epoch_day: str = "session") -> DataFrame:
+    """bars with the running volume-weighted mean price since their `week` (from Monday) or `month` began; null until it has
+    volume. A period's running sums start from totals of the sessions before, so one group is a session, not a period.
+
+    epoch_day: the session's day number since 1970.
+    """
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.col(epoch_day).cast("int"))
+    rows = bars.withColumns({"_period": F.trunc(day, period), "_x": (F.col("h") + F.col("l") + F.col("c")) / 3 * F.col("v")})
+    keys = ["instrument", "_period"]
+    days = rows.groupBy(*keys, "session").agg(F.sum("v").alias("_v"), F.sum("_x").alias("_px"))
+    before = W.partitionBy(*keys).orderBy("session").rowsBetween(W.unboundedPreceding, -1)  # the sessions of a period: few
+    days = days.select(*keys, "session", F.coalesce(F.sum("_v").over(before), F.lit(0.0)).alias("_v0"), F.coalesce(F.sum("_px").over(before), F.lit(0.0)).alias("_x0"))
+    upto = W.partitionBy(*keys, "session").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
+    made = rows.join(days, [*keys, "session"]).withColumns({"_w": F.sum("v").over(upto) + F.col("_v0"), "_s": F.sum("_x").over(upto) + F.col("_x0")})
+    return made.withColumn("vwap", F.when(F.col("_w") > 0, F.col("_s") / F.col("_w"))).drop("_period", "_x", "_v0", "_x0", "_w", "_s")
+
+
 def day_vwap(bars: DataFrame) -> DataFrame:
     """Mean price of each session: a quarter of open, high, low and close by volume; the mean close where there is none."""
     price = (F.col("o") + F.col("h") + F.col("l") + F.col("c")) / 4

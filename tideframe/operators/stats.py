@@ -127,6 +127,15 @@ def cusum(rows: DataFrame, keys: list[str], order: list[str], value: str, target
     return rows.withColumn("cusum", F.col("_c") - F.least(F.lit(0.0), F.min("_c").over(upto))).drop("_c")
 
 
+def false_alarm_run(slack: Column, limit: Column, deviation: Column) -> Column:
+    """Mean number of records before a one-sided cumulative sum with a slack reaches its limit though nothing changed, by
+    Siegmund's formula for normal records; null without deviation or limit."""
+    drift, height = -slack / deviation, limit / deviation + 1.166
+    x = -2 * drift * height
+    run = F.when(F.abs(drift) < 1e-9, height * height).otherwise((F.exp(x) - x - 1) / (2 * drift * drift))
+    return F.when((deviation > 0) & (limit > 0), run)
+
+
 def sequential_test(rows: DataFrame, keys: list[str], order: list[str], win: str, p0: float, p1: float, alpha: float = 0.05, beta: float = 0.1) -> DataFrame:
     """Wald's test of a win rate: the log-likelihood path and the first record at which a bound is met."""
     from math import log

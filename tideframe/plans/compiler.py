@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.blocks import in_ranges, running_sums, session_places
+from ..operators.blocks import SESSION_LEVELS, in_ranges, running_sums, session_places
 from ..operators.recursions import decay_length, decaying_sum
 from .document import Condition, DocumentError, Operand, canonical, comparable
 
@@ -303,7 +303,7 @@ class Compiler:
             from ..operators.bars import sessions
 
             days = sessions(self.bars, self.expected).withColumn("_value", F.col(field))
-            ranked = running_sums(days, ["instrument"], "session", {"_before": F.col("complete").cast("int")}, inclusive=False)
+            ranked = running_sums(days, ["instrument"], "session", {"_before": F.col("complete").cast("int")}, False, SESSION_LEVELS)
             kept = ranked.where("complete").select("instrument", (F.col("_before") + 1).alias("_want"), F.col("_value").alias(self.names[key]))
             found = ranked.select("instrument", "session", (F.col("_before") - (n - 1)).alias("_want")).join(kept, ["instrument", "_want"], "left").drop("_want")
             self._frame = self._whole().join(found, ["instrument", "session"], "left")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import normal
 from ..operators import bars as B
 from ..operators import inputs as I
+from ..operators import joins as J
+from ..operators import measures as M
 from ..operators import profiles as P
 from ..operators import reports as R
 from ..operators import series as S
@@ -228,3 +230,51 @@ def exponent_corrected(spark, sf_dir):
     sizes = returns.groupBy("instrument").agg(F.count(F.lit(1)).alias("all"))
     nulls = ratios.join(sizes, "instrument").select("instrument", "q", R.ratio_null(F.col("all"), F.col("q")).alias("vr"))
     return r6_all(R.corrected_exponent(ratios, nulls, ["instrument"]), "exponent", "fit")
+
+
+@register("cusum_false_alarms", f"WITH {T}, s AS (SELECT account, stddev_samp(r) AS sd FROM trades GROUP BY 1), x AS (SELECT account, sd, 0.25 / sd AS d, 4.0 * sd / sd + 1.166 AS b FROM s WHERE sd > 0) SELECT account, {r6_sql('(exp(2 * d * b) - 2 * d * b - 1) / (2 * d * d)', 'records', 3)} FROM x")
+def cusum_false_alarms(spark, sf_dir):
+    """Records between false alarms of each account's cumulative sum with a slack of 0.25 and a limit of four deviations."""
+    made = I.trades(spark, sf_dir).groupBy("account").agg(F.stddev_samp("r").alias("sd")).where("sd > 0")
+    return made.select("account", r6(stats.false_alarm_run(F.lit(0.25), 4 * F.col("sd"), F.col("sd")), "records", 3))
+
+
+def _period_sql(period: str) -> str:
+    p = f"CAST(date_trunc('{period}', DATE '1970-01-01' + CAST(session AS INTEGER)) AS DATE)"
+    return f"SELECT instrument, t, {r6_sql('sum((h + l + c) / 3 * v) OVER w / nullif(sum(v) OVER w, 0)', 'vwap')}, '{period}' AS period FROM bars WINDOW w AS (PARTITION BY instrument, {p} ORDER BY t)"
+
+
+@register("period_vwap", f"WITH {I.BARS_SQL} {_period_sql('week')} UNION ALL {_period_sql('month')}")
+def period_vwap(spark, sf_dir):
+    """Running mean prices since the week and since the month began."""
+    bars, out = I.bars(spark, sf_dir), None
+    for period in ("week", "month"):
+        made = M.period_vwap(bars, period).select("instrument", "t", r6(F.col("vwap"), "vwap"), F.lit(period).alias("period"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+@register(
+    "session_entropy",
+    f"""WITH {I.BARS_SQL}, p AS (SELECT instrument, session, lag(c, 2) OVER w AS a, lag(c) OVER w AS b, c FROM bars WINDOW w AS (PARTITION BY instrument, session ORDER BY t)), o AS (SELECT instrument, session, CAST(a <= b AS VARCHAR) || CAST(b <= c AS VARCHAR) || CAST(a <= c AS VARCHAR) AS k, count(*) AS n FROM p WHERE a IS NOT NULL GROUP BY 1, 2, 3),
+q AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY instrument, session) AS DOUBLE) AS p FROM o) SELECT instrument, session, CAST(sum(n) AS BIGINT) AS windows, count(*) AS patterns, {r6_sql('-sum(p * log2(p)) / log2(6)', 'entropy')} FROM q GROUP BY 1, 2""",
+)
+def session_entropy(spark, sf_dir):
+    """Entropy of the order of three closes in each session."""
+    return r6_all(S.permutation_entropy(I.bars(spark, sf_dir), ["instrument", "session"], "t", "c"), "entropy")
+
+
+@register(
+    "trials_out_of_sample",
+    """WITH a AS (SELECT o_orderkey AS id, o_custkey % 50 AS k, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS lo FROM orders WHERE o_orderstatus = 'P'),
+b AS (SELECT o_custkey % 50 AS k, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS lo FROM orders WHERE o_orderstatus = 'F')
+SELECT id FROM a WHERE EXISTS (SELECT 1 FROM b WHERE b.k = a.k AND a.lo <= b.lo + 1 AND b.lo <= a.lo + 2)""",
+)
+def trials_out_of_sample(spark, sf_dir):
+    """Pending orders whose three days meet two days of some finished order of their group."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).cast("long")
+    rows = orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("k"), day.alias("lo"), "o_orderstatus")
+    pending = rows.where("o_orderstatus = 'P'").select("id", "k", "lo", (F.col("lo") + 2).alias("hi"))
+    done = rows.where("o_orderstatus = 'F'").select("k", F.col("lo").alias("from"), (F.col("lo") + 1).alias("to"))
+    return J.overlapping(pending, done, ["k"], "lo", "hi", "from", "to", 7, "left_semi").select("id")
