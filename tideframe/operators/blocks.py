@@ -53,6 +53,21 @@ def session_places(bars: DataFrame) -> DataFrame:
     return made.select("instrument", "session", "n_rows", (F.col("upto") - F.col("n_rows")).alias("before"), "place")
 
 
+#: Estimated bytes of a table up to which what is one row a session of it is broadcast.
+SMALL = 64 << 20
+
+
+def with_places(bars: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """bars with their session's n_rows, before and place. places: session_places of these bars, if known more cheaply.
+
+    A table of places has no more bytes than the bars themselves, so it is broadcast where the plan's estimate of theirs is
+    small, and shuffled to them by session else.
+    """
+    size = int(bars._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    found = session_places(bars) if places is None else places
+    return bars.join(F.broadcast(found) if size <= SMALL else found, ["instrument", "session"])
+
+
 def in_ranges(bars: DataFrame, reach: int, rows: int) -> DataFrame:
     """bars (with n_rows and before of session_places) in ranges: `_range`, and `_own` false on copies that only serve a
     later range. Each row is its own in one range, and that range has the `reach` rows before it, as far as there are any.

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .blocks import session_places
 from .execution import Settings, firing, replay, session_arrays
 
 
@@ -87,6 +88,12 @@ def permuted_bars(bars: DataFrame, draws: int, bucket: int, seed: int = 1) -> Da
     return bars.select("instrument", "session", "t", "sessmin", "o", "h", "l", "c", "v", "n").groupBy("instrument", "session").applyInPandas(run, PERMUTED)
 
 
+def permuted_places(bars: DataFrame, draws: int) -> DataFrame:
+    """session_places of permuted_bars, from the bars themselves: each draw has their sessions."""
+    places = session_places(bars).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    return places.withColumn("instrument", F.concat("instrument", F.lit("#"), F.col("_draw").cast("string"))).drop("_draw")
+
+
 def stationary_bootstrap(spark: SparkSession, values: list[float], draws: int, block: float, seed: int = 1) -> DataFrame:
     """Mean, total and greatest drawdown of each resampled path: blocks of geometric length `block` of a session series.
 

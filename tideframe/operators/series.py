@@ -17,13 +17,13 @@ from .blocks import in_order_blocks, own, running_sums
 from .quantiles import exact_quantiles
 
 
-def log_returns(bars: DataFrame, series: list[str], order: str, price: str = "c") -> DataFrame:
-    """Log returns between consecutive bars; a gap gives none and begins a new segment."""
+def log_returns(bars: DataFrame, series: list[str], order: str, price: str = "c", segments: bool = True) -> DataFrame:
+    """Log returns between consecutive bars; a gap gives none and begins a new segment, numbered if asked for."""
     rows = in_order_blocks(bars, order, 1)
     w = W.partitionBy(*series, "_block").orderBy(order)
     rows = rows.withColumn("joined", F.coalesce(F.col(order) - F.lag(order).over(w) == 1, F.lit(False)))
     rows = own(rows.withColumn("ret", F.when(F.col("joined"), F.log(F.col(price) / F.lag(price).over(w)))))
-    return running_sums(rows, series, order, {"segment": (~F.col("joined")).cast("long")}).where("ret is not null")
+    return (running_sums(rows, series, order, {"segment": (~F.col("joined")).cast("long")}) if segments else rows).where("ret is not null")
 
 
 def _of_series(rows: DataFrame, keys: list[str], **made: Column) -> DataFrame:
@@ -33,11 +33,13 @@ def _of_series(rows: DataFrame, keys: list[str], **made: Column) -> DataFrame:
 
 def variance_ratio(returns: DataFrame, series: list[str], q: int, order: str = "t") -> DataFrame:
     """Variance of overlapping q-step returns over q times that of single ones (mean known to be that of all)."""
-    rows = in_order_blocks(_of_series(returns, series, m=F.avg("ret")), order, q)
-    last = W.partitionBy(*series, "segment", "_block").orderBy(order).rowsBetween(1 - q, 0)
+    rows = in_order_blocks(returns, order, q)
+    # returns follow each other without a gap where there are q of them in q steps
+    last = W.partitionBy(*series, "_block").orderBy(order).rangeBetween(1 - q, 0)
     rows = own(rows.withColumn("sum_q", F.when(F.count("ret").over(last) == q, F.sum("ret").over(last))))
-    made = rows.groupBy(*series).agg(F.avg(F.pow(F.col("ret") - F.col("m"), 2)).alias("one"), F.avg(F.pow(F.col("sum_q") - q * F.col("m"), 2)).alias("many"), F.count("sum_q").alias("n"))
-    return made.select(*series, F.lit(q).alias("q"), "n", F.try_divide(F.col("many"), q * F.col("one")).alias("vr"))
+    sums = rows.groupBy(*series).agg(F.avg("ret").alias("m"), F.avg(F.col("ret") * F.col("ret")).alias("a"), F.avg("sum_q").alias("b"), F.avg(F.col("sum_q") * F.col("sum_q")).alias("c"), F.count("sum_q").alias("n"))
+    one, many = F.col("a") - F.col("m") * F.col("m"), F.col("c") - 2 * q * F.col("m") * F.col("b") + q * q * F.col("m") * F.col("m")
+    return sums.select(*series, F.lit(q).alias("q"), "n", F.try_divide(many, q * one).alias("vr"))
 
 
 def hurst(ratios: DataFrame, series: list[str]) -> DataFrame:

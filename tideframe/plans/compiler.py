@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.blocks import SESSION_LEVELS, in_ranges, running_sums, session_places
+from ..operators.blocks import SESSION_LEVELS, in_ranges, running_sums, with_places
 from ..operators.recursions import decay_length, decaying_sum
 from .document import Condition, DocumentError, Operand, canonical, comparable
 
@@ -68,21 +68,23 @@ class Compiler:
     anchor: first and last bar of a session that count as anchored. expected: bars of a full session. levels: (session,
     name, price) to join, and if they have them scale and base (a level of scale `index` is raised by its base, and left out
     without one) and adj (added to every level). news: (t, impact). tick: the least price step. rows: of a range, at least; first_reach: how many
-    bars before a range it is given at first. An operand that reaches farther has the frame built anew.
+    bars before a range it is given at first; an operand that reaches farther has the frame built anew. places: the bars'
+    sessions (operators.blocks.session_places), where they are known more cheaply than from the bars.
     """
 
     def __init__(
-        self, bars: DataFrame, anchor: tuple[int, int] = (0, 1 << 30), expected: int = 24, levels: DataFrame | None = None, news: DataFrame | None = None, tick: float = 0.01, rows: int = RANGE_ROWS, first_reach: int = FIRST_REACH
-    ):
+        self, bars: DataFrame, anchor: tuple[int, int] = (0, 1 << 30), expected: int = 24, levels: DataFrame | None = None, news: DataFrame | None = None, tick: float = 0.01, rows: int = RANGE_ROWS, first_reach: int = FIRST_REACH,
+        places: DataFrame | None = None,
+    ):
         self.anchor, self.expected, self.levels, self.news, self.tick, self.rows = anchor, expected, levels, news, tick, rows
-        self.bars, self.calls, self.volumes, self.inner = bars, [], [], False
+        self.bars, self.places, self.calls, self.volumes, self.inner = bars, places, [], [], False
         self.keys = ["instrument", "_range", *(["segment"] if "segment" in bars.columns else [])]
         self._start(max(1, first_reach))
 
     def _start(self, bars_before: int) -> None:
         """The frame without operands, in ranges with so many bars before each."""
         self.reach, self.names, self.pending = bars_before, {}, {}
-        placed = self.bars.join(session_places(self.bars), ["instrument", "session"])
+        placed = with_places(self.bars, self.places)
         for n in self.volumes:
             past = W.partitionBy("instrument", "sessmin").orderBy("place").rangeBetween(-n, -1)
             placed = placed.withColumn(f"_volume{n}", F.when(F.sum("v").over(past) > 0, F.try_divide(F.col("v"), F.avg("v").over(past))))

@@ -77,8 +77,9 @@ def random_p_value(spark, sf_dir):
 @register("permute_null")
 def permute_null(spark, sf_dir):
     """Mean result of the document on ten sets of permuted bars."""
-    shuffled = R.permuted_bars(I.bars(spark, sf_dir), 10, 4)
-    trades = E.execute(E.features(Compiler(shuffled, anchor=ANCHOR), DOCUMENT, average_range=E.wants_range([BASE])), [BASE])
+    bars = I.bars(spark, sf_dir)
+    shuffled = Compiler(R.permuted_bars(bars, 10, 4), anchor=ANCHOR, places=R.permuted_places(bars, 10))
+    trades = E.execute(E.features(shuffled, DOCUMENT, average_range=E.wants_range([BASE])), [BASE])
     return trades.groupBy(F.substring_index("instrument", "#", -1).cast("int").alias("draw")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("r"), "mean_r"))
 
 

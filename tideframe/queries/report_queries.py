@@ -222,7 +222,7 @@ SELECT instrument, {r6_sql('regr_slope(y, x) / 2', 'exponent')}, {r6_sql('regr_r
 )
 def exponent_corrected(spark, sf_dir):
     """Scaling exponents of hourly bars with each variance ratio over what as many independent returns give it."""
-    returns = S.log_returns(I.bars(spark, sf_dir), ["instrument"], "t")
+    returns = S.log_returns(I.bars(spark, sf_dir), ["instrument"], "t", segments=False)
     ratios = None
     for q in (2, 4, 8):
         one = S.variance_ratio(returns, ["instrument"], q)

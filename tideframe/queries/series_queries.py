@@ -30,7 +30,7 @@ RATIOS = f"{RET}, vr AS ({' UNION ALL '.join(ratio_sql(q) for q in QS)})"
 
 
 def ratios(spark, sf_dir) -> DataFrame:
-    ret = X.log_returns(I.bars(spark, sf_dir), ["instrument"], "t")
+    ret = X.log_returns(I.bars(spark, sf_dir), ["instrument"], "t", segments=False)
     return reduce(DataFrame.unionByName, [X.variance_ratio(ret, ["instrument"], q) for q in QS])
 
 
