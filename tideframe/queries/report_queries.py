@@ -218,7 +218,7 @@ v AS (SELECT instrument, t, seg, ret, m, n, q, CASE WHEN count(*) OVER w2 = 2 TH
  WINDOW w2 AS (PARTITION BY instrument, seg, q ORDER BY t ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), w4 AS (PARTITION BY instrument, seg, q ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), w8 AS (PARTITION BY instrument, seg, q ORDER BY t ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
 k AS (SELECT instrument, q, avg(pow(CASE q WHEN 2 THEN s2 WHEN 4 THEN s4 ELSE s8 END - q * m, 2)) / (q * avg(pow(ret - m, 2))) AS vr, any_value(n) AS n FROM v GROUP BY 1, 2),
 l AS (SELECT instrument, ln(q) AS x, ln(q * vr / ((1 - q / CAST(n AS DOUBLE)) / (1 - 1 / CAST(n AS DOUBLE)))) AS y FROM k UNION ALL SELECT DISTINCT instrument, 0.0, 0.0 FROM k)
-SELECT instrument, {r6_sql('regr_slope(y, x) / 2', 'exponent')}, {r6_sql('regr_r2(y, x)', 'fit')}, count(*) AS points FROM l GROUP BY 1""",
+SELECT instrument, {r6_sql('regr_slope(y, x) / 2', 'exponent')}, {r6_sql('regr_r2(y, x)', 'fit')}, count(y) AS points FROM l GROUP BY 1""",
 )
 def exponent_corrected(spark, sf_dir):
     """Scaling exponents of hourly bars with each variance ratio over what as many independent returns give it."""
