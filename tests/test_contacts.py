@@ -268,6 +268,18 @@ def test_discrete_tails(spark):
         assert got == pytest.approx([plain(a, b, ratio, least, clump) if round(a / clump) else 0.0 for a, b in rows], abs=1e-12)
 
 
+def test_chances_of_large_volumes(spark):
+    """A level of very much volume takes as many terms as its root: equal levels are on either side with a half, a few points
+    less than half of the neighbour's with a normal law's chance."""
+    from statistics import NormalDist
+
+    rows = [(4e9, 4e9), (1e6, 1e6 + 2000), (4e9, None), (None, 9.0)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a double, b double").select(discrete.imbalance_chance(F.col("a"), F.col("b"), 1.0, 10.0, 1.0)).collect()]
+    assert got[0] == pytest.approx(0.5 + 0.5 / math.sqrt(math.pi * 4e9), abs=1e-9)
+    assert got[1] == pytest.approx(NormalDist(1000 - 0.5, math.sqrt((2e6 + 2000) / 4)).cdf(0), abs=1e-6)
+    assert got[2:] == [0.0, 0.0]
+
+
 def test_horizon_series_meet(spark):
     """Both series where either does, the far tail, and what a drift and a deadline without end give."""
     rng = np.random.default_rng(0)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,25 +37,78 @@ def even_binomial(n: Column, k: Column) -> Column:
     return F.when((k >= 0) & (k <= n), F.exp(log_choose(n, k) - n * math.log(2))).otherwise(0.0)
 
 
+#: exp(-80) lies far below a double's digits of a sum of chances.
+FAR = 80.0
+#: Terms of binomials held at once.
+TERMS = 1 << 18
+#: Log-factorials of the first whole numbers.
+FACTORIALS = np.array([math.lgamma(k + 1.0) for k in range(256)])
+
+
+def _even_chances(n: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Chances of k heads in n throws, for k in the binomial's body: by a table for few throws, else by Stirling's series about
+    the middle, which keeps its digits for any n."""
+    out, few = np.empty(len(n)), n < len(FACTORIALS)
+    i, j = n[few].astype(np.int64), k[few].astype(np.int64)
+    out[few] = FACTORIALS[i] - FACTORIALS[j] - FACTORIALS[i - j] - i * math.log(2)
+    n, k = n[~few], k[~few]
+    rest, lean = n - k, (2 * k - n) / n
+    series = lambda x: sum(c / x ** (2 * i + 1) for i, c in enumerate(STIRLING))
+    out[~few] = series(n) - series(k) - series(rest) + 0.5 * np.log(n / (2 * math.pi * k * rest)) - k * np.log1p(lean) - rest * np.log1p(-lean)
+    return np.exp(out)
+
+
+def _body(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last number of heads in n throws of an even coin beyond which chances add nothing in a double."""
+    reach = np.sqrt(FAR * n / 2) + 1
+    return np.floor(np.maximum(n / 2 - reach, 0)), np.ceil(np.minimum(n / 2 + reach, n))
+
+
+def _terms(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of binomials of even coins: where each begins, its numbers of heads in order, and their chances."""
+    first, last = _body(n)
+    size = (last - first + 1).astype(np.int64)
+    begin = np.cumsum(size) - size
+    k = (np.arange(size.sum()) - np.repeat(begin - first.astype(np.int64), size)).astype(float)
+    return begin, k, _even_chances(np.repeat(n, size), k)
+
+
+def _chances(n: np.ndarray, m: np.ndarray, ratio: float, least: float, clump: float) -> np.ndarray:
+    """imbalance_chance of levels of n clumps beside neighbours of m."""
+    begin, a, high = _terms(n)
+    other, _, low = _terms(m)
+    rows = np.repeat(np.arange(len(n)), np.diff(np.append(begin, len(a))))
+    first, last = _body(m)
+    # the neighbour's distribution function, each row's from its own start
+    upto = np.cumsum(low)
+    upto = upto - np.repeat(upto[other] - low[other], np.diff(np.append(other, len(low))))
+    bound = np.floor(a / ratio)
+    at = other[rows] + np.clip(bound - first[rows], 0, (last - first)[rows]).astype(np.int64)
+    below = np.where(bound < first[rows], 0.0, np.minimum(upto[at], 1.0))
+    counts = (a * clump >= least) & (a >= ratio)
+    return np.bincount(rows, np.where(counts, high * below, 0.0), len(n))
+
+
 def imbalance_chance(high: Column, low: Column, ratio: float = 3.0, least: float = 10.0, clump: float = 1.0) -> Column:
     """Chance that one side of a level (volume `high`) is `ratio` times the other side of its neighbour (volume `low`) and at
     least `least`, where each clump of either level is as likely on either side.
 
-    The sum runs over the first level's clumps and carries the neighbour's distribution function along: as the first grows by
-    one, the bound of the second grows by one at most. A side of nothing counts as one, as in the reading.
+    The sum runs over the first level's clumps and takes the neighbour's distribution function at each. Both binomials are
+    summed over their bodies alone, as many terms as the root of a volume; what lies outside is below a double's digits. A
+    side of nothing counts as one, as in the reading.
     """
-    n, m = F.rint(high / clump).cast("double"), F.rint(low / clump).cast("double")
-    start = F.struct(F.lit(0.0).alias("total"), even_binomial(m, F.lit(0.0)).alias("below"), F.lit(0.0).alias("upto"))
-
-    def step(acc: Column, i: Column) -> Column:
-        a = i.cast("double")
-        bound = F.floor(a / ratio).cast("double")
-        below = F.when(bound > acc["upto"], acc["below"] + even_binomial(m, bound)).otherwise(acc["below"])
-        counts = (a * clump >= least) & (a >= ratio)
-        total = acc["total"] + F.when(counts, even_binomial(n, a) * F.least(below, F.lit(1.0))).otherwise(0.0)
-        return F.struct(total.alias("total"), below.alias("below"), bound.alias("upto"))
-
-    return F.when(n >= 1, F.aggregate(F.sequence(F.lit(0), n.cast("int")), start, step)["total"]).otherwise(0.0)
+
+    @F.pandas_udf("double")
+    def chance(high: pd.Series, low: pd.Series) -> pd.Series:
+        n, m = np.rint(high.to_numpy(float) / clump), np.rint(low.to_numpy(float) / clump)
+        out = np.zeros(len(n))
+        rows = np.flatnonzero((n >= 1) & (m >= 0))  # what is missing compares with nothing
+        size = np.cumsum(sum(last - first + 1 for first, last in (_body(n[rows]), _body(m[rows]))))
+        for part in np.split(rows, np.flatnonzero(np.diff(np.floor(size / TERMS))) + 1):
+            out[part] = _chances(n[part], m[part], ratio, least, clump)
+        return pd.Series(out)
+
+    return chance(high.cast("double"), low.cast("double"))
 
 
 def impact_z(move: Column, volume: Column, impact: float) -> Column:

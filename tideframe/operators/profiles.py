@@ -230,9 +230,10 @@ def footprint_null(cells: DataFrame, bars: DataFrame, keys: list[str], ratio: fl
     buy = (F.col("ask") >= least) & (F.col("ask") >= ratio * one("_bid_below"))
     sell = (F.col("bid") >= least) & (F.col("bid") >= ratio * one("_ask_above"))
     chance = lambda c: F.when(F.col(c).isNotNull(), discrete.imbalance_chance(F.col("_v"), F.col(c), ratio, least, clump)).otherwise(0.0)
+    rows = rows.withColumn("_chance", chance("_v_below") + chance("_v_above"))
     middle = F.percentile("_v", F.lit(0.5))
     made = rows.groupBy(*keys).agg(
-        (F.count_if(buy) + F.count_if(sell)).alias("imbalances"), F.sum(chance("_v_below") + chance("_v_above")).alias("expected"),
+        (F.count_if(buy) + F.count_if(sell)).alias("imbalances"), F.sum("_chance").alias("expected"),
         F.try_divide(F.max(F.when(F.col("_top") == 1, F.col("_v"))), middle).alias("exhaustion_high"), F.try_divide(F.max(F.when(F.col("_bottom") == 1, F.col("_v"))), middle).alias("exhaustion_low"), F.sum("_v").alias("_all"),
     )
     z = discrete.impact_z(F.col("c") - F.col("o"), F.col("_all"), impact)
