@@ -17,6 +17,8 @@ from tideframe.operators.quantiles import exact_quantiles
 from tideframe.sources.level_files import level_lines, parse_level_texts, read_level_files
 from tideframe.sources.trade_files import read_trades
 
+from .conftest import SMALL
+
 G = C.Grammar(start=60, sigma=1.0, rearm=2.0, step=1.0, threshold=3.0, horizons={k: h // 5 for k, h in C.HORIZONS.items()}, watch=4)
 BARS = "instrument string, session long, t long, sessmin int, o double, h double, l double, c double, v double, delta double"
 
@@ -305,6 +307,35 @@ def test_horizon_series_meet(spark):
     assert none["p"] is None and none["d"] == pytest.approx(0.0, abs=1e-9)
 
 
+#: Queries whose series are long for each part.
+DEALT = ["horizon_scaled"]
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_parts_are_dealt_and_series_run_in_batches(spark, name):
+    """One small file of parts gives as many tasks as a shuffle, and no series is walked term by term in an expression."""
+    import tideframe.queries  # noqa: F401
+    from tideframe import registry
+
+    found = registry.queries()[name](spark, SMALL)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambdafunction" not in plan
+
+
+def test_scaled_time_is_an_integral_of_survival(spark):
+    rows = [(1.0, 2.0, 40.0, 1.0, 0.45), (3.0, 1.5, 0.7, 0.8, 0.3), (9.0, 13.0, 2.0, 1.0, 0.65)]
+    table = spark.createDataFrame(rows, "a double, b double, t double, s double, h double")
+    a, b, t, s, h = (F.col(x) for x in "abtsh")
+    made = table.select("*", horizon.scaled_outcome(a, b, t, s, h)["time"].alias("time")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(128))))
+    weight = F.when(F.col("i").isin(0, 128), 1.0).when(F.col("i") % 2 == 1, 4.0).otherwise(2.0)
+    part = F.when(F.col("i") == 0, 1.0).otherwise(horizon.survival(a, b, F.pow(F.col("i") * t / 128, 2 * h), s))
+    for r in made.groupBy("t", "time").agg((F.sum(weight * part) * F.col("t") / 384).alias("plain")).collect():
+        assert r["time"] == pytest.approx(r["plain"], rel=1e-12)
+    odd = table.limit(1).select(horizon.scaled_outcome(a, b, t, s, F.lit(1.0))["time"].alias("x"), horizon.survival(a, F.lit(None).cast("double"), t, s).alias("y"), horizon.exit_time(a, b, F.lit(0.0), s).alias("z")).first()
+    assert tuple(odd) == (None, None, None)
+
+
 def test_zero_gamma_by_halving(spark):
     from tideframe.operators import profiles as P
 

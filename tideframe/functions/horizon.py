@@ -3,15 +3,20 @@
 A walk starts at 0 with a stop at -a, a target at b, a drift and a deviation a unit of time. Two series give the chances until
 a deadline: one over modes of the strip, whose terms fall as exp(-n**2 * s), and one over mirror images of the barriers, whose
 terms fall as exp(-k**2 / s), with s the deadline's variance over the squared width. Each row takes the one that is short for
-it, with as many terms as a double's digits need. Undefined results are null.
+it, with as many terms as a double's digits need. The series run over batches of rows. Undefined results are null.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Below this ratio of variance to squared width the images are used: two on either side do there, thirteen modes beyond.
 SHORT_TIME = 0.05
@@ -21,41 +26,43 @@ DIGITS = 39.2
 QUADRATURE = 128
 
 
-def _sum(first: Column, last: Column, term) -> Column:
-    """Sum of term(k), k from first to last."""
-    return F.aggregate(F.sequence(first.cast("int"), last.cast("int")), F.lit(0.0), lambda total, k: total + term(k.cast("double")))
+def _tails(z: np.ndarray) -> np.ndarray:
+    """Chances that a standard normal value is above each z, to a double's relative digits, also far out."""
+    return 0.5 * np.fromiter(map(math.erfc, (z / math.sqrt(2)).tolist()), float, len(z))
 
 
-def upper_tail(z: Column) -> Column:
-    """Chance that a standard normal value is above z, to a double's relative digits, also far out."""
-    x = F.abs(z)
-    density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
-    # near the middle the series in odd powers, farther out the continued fraction from its end
-    grown = F.aggregate(F.sequence(F.lit(1), F.lit(48)), F.struct(x.alias("sum"), x.alias("term")), lambda acc, k: F.struct((acc["sum"] + acc["term"] * x * x / (2 * k + 1)).alias("sum"), (acc["term"] * x * x / (2 * k + 1)).alias("term")))["sum"]
-    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), x, lambda acc, k: x + k / acc)
-    tail = F.when(x < 3, 0.5 - density * grown).otherwise(density / fraction)
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+def _columns(function: Callable[..., np.ndarray]) -> Callable[..., Column]:
+    """A function of arrays as one of columns of doubles, null where it gives no number."""
 
+    def made(*columns: pd.Series) -> pd.Series:
+        with np.errstate(all="ignore"):
+            return pd.Series(function(*(c.to_numpy(float) for c in columns)))
 
-def _tail(z: Column) -> Column:
-    """upper_tail where it counts beside one."""
-    return F.when(z > 9, 0.0).otherwise(upper_tail(z))
+    return lambda *columns: F.pandas_udf(made, DoubleType())(*(c.cast("double") for c in columns))
 
 
-def _sound(stop: Column, target: Column, horizon: Column, sigma: Column) -> Column:
-    return (stop > 0) & (target > 0) & (horizon > 0) & (sigma > 0)
+def upper_tail(z: Column) -> Column:
+    """Chance that a standard normal value is above z, to a double's relative digits, also far out."""
+    return _columns(_tails)(z)
 
 
-def _ratio(stop: Column, target: Column, horizon: Column, sigma: Column) -> Column:
-    return sigma * sigma * horizon / F.pow(stop + target, 2)
+def _sound(stop: Column, target: Column, horizon: Column, sigma: Column) -> Column:
+    return (stop > 0) & (target > 0) & (horizon > 0) & (sigma > 0)
 
 
-def _modes(ratio: Column) -> Column:
-    return F.ceil(F.sqrt(2 * DIGITS / (math.pi**2 * ratio)))
+def _late(ratio: np.ndarray, odd: bool) -> Iterator[tuple[float, np.ndarray]]:
+    """Each mode with the places of the rows that need it, those of short times having none."""
+    left = np.flatnonzero(ratio >= SHORT_TIME)
+    most = np.ceil(np.sqrt(2 * DIGITS / (math.pi**2 * ratio[left])))
+    for n in itertools.count(1, 2 if odd else 1):
+        left, most = (left, most) if n == 1 else (left[most >= n], most[most >= n])
+        if not len(left):
+            return
+        yield float(n), left
 
 
-def _images(ratio: Column) -> Column:
-    return F.ceil((F.sqrt(2 * DIGITS * ratio) + 1) / 2)
+#: Mirror images on either side that short times need.
+IMAGES = range(-2, 3)
 
 
 def target_first(stop: Column, target: Column, drift: Column, sigma: Column) -> Column:
@@ -66,72 +73,87 @@ def target_first(stop: Column, target: Column, drift: Column, sigma: Column) ->
     return F.when((stop > 0) & (target > 0) & (sigma > 0), F.when(F.abs(rate * (stop + target)) < 1e-12, stop / (stop + target)).otherwise(up))
 
 
-def _met(near: Column, far: Column, horizon: Column, drift: Column, sigma: Column) -> Column:
-    """Chance that a walk meets the barrier `near` above it by a deadline before the one `far` below it."""
-    width, variance, ratio = near + far, sigma * sigma, _ratio(near, far, horizon, sigma)
-    theta, slow = drift / variance, drift * drift / (2 * variance)
-
-    def mode(n: Column) -> Column:
-        rate = n * n * math.pi**2 * variance / (2 * width * width) + slow
-        return n * F.sin(n * math.pi * near / width) * F.exp(theta * near - rate * horizon) / rate
-
-    late = target_first(far, near, drift, sigma) - math.pi * variance / (width * width) * _sum(F.lit(1), _modes(ratio), mode)
-    spread = sigma * F.sqrt(horizon)
-
-    def image(k: Column) -> Column:
+def _met(near: np.ndarray, far: np.ndarray, ever: np.ndarray, horizon: np.ndarray, drift: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """Chance that a walk meets the barrier `near` above it by a deadline before the one `far` below it; ever: without one."""
+    width, variance = near + far, sigma * sigma
+    ratio, theta, slow = variance * horizon / width**2, drift / variance, drift * drift / (2 * variance)
+    total = np.zeros(len(near))
+    for n, i in _late(ratio, odd=False):
+        rate = n * n * math.pi**2 * variance[i] / (2 * width[i] ** 2) + slow[i]
+        total[i] += n * np.sin(n * math.pi * near[i] / width[i]) * np.exp(theta[i] * near[i] - rate * horizon[i]) / rate
+    out = ever - math.pi * variance / width**2 * total
+    i = np.flatnonzero(ratio < SHORT_TIME)
+    near, width, theta, pull, moved, spread = near[i], width[i], theta[i], np.abs(theta[i]), np.abs(drift[i]) * horizon[i], sigma[i] * np.sqrt(horizon[i])
+    early = np.zeros(len(i))
+    for k in IMAGES:
         x = near + 2 * k * width
-        y, pull = F.abs(x), F.abs(theta)
-        # the second part is below exp(-pull * y), so it counts only where that does
-        back = F.when(pull * y < 50, F.exp(theta * near + pull * y) * upper_tail((y + F.abs(drift) * horizon) / spread)).otherwise(0.0)
-        lost = (y - F.abs(drift) * horizon) / spread > 38  # nothing is left in a double
-        return F.when(lost, 0.0).otherwise(F.signum(x) * (F.exp(theta * near - pull * y) * upper_tail((y - F.abs(drift) * horizon) / spread) + back))
-
-    early = _sum(-_images(ratio), _images(ratio), image)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(ratio < SHORT_TIME, early).otherwise(late)))
+        y = np.abs(x)
+        # the second part is below exp(-pull * y), so it counts only where that does; nothing is left in a double 38 deviations out
+        back = np.where(pull * y < 50, np.exp(theta * near + np.minimum(pull * y, 50)) * _tails((y + moved) / spread), 0.0)
+        there = np.exp(theta * near - pull * y) * _tails((y - moved) / spread) + back
+        early += np.where((y - moved) / spread > 38, 0.0, np.sign(x) * there)
+    out[i] = early
+    return np.clip(out, 0.0, 1.0)
 
 
 def barrier_chances(stop: Column, target: Column, horizon: Column, drift: Column, sigma: Column) -> Column:
     """(target, stop, open): chances to meet the target first, the stop first, or neither, by the deadline."""
-    up, down = _met(target, stop, horizon, drift, sigma), _met(stop, target, horizon, -drift, sigma)
+    up = _columns(_met)(target, stop, target_first(stop, target, drift, sigma), horizon, drift, sigma)
+    down = _columns(_met)(stop, target, target_first(target, stop, -drift, sigma), horizon, -drift, sigma)
     return F.when(_sound(stop, target, horizon, sigma), F.struct(up.alias("target"), down.alias("stop"), F.greatest(F.lit(0.0), 1 - up - down).alias("open")))
 
 
-def survival(stop: Column, target: Column, horizon: Column, sigma: Column) -> Column:
-    """Chance that a driftless walk meets neither barrier by the deadline."""
-    width, ratio = stop + target, _ratio(stop, target, horizon, sigma)
+def _survival(stop: np.ndarray, target: np.ndarray, horizon: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    width = stop + target
+    ratio = sigma * sigma * horizon / width**2
+    out = np.zeros(len(stop))
+    for n, i in _late(ratio, odd=True):
+        out[i] += 4 / (n * math.pi) * np.sin(n * math.pi * stop[i] / width[i]) * np.exp(-n * n * math.pi**2 * ratio[i] / 2)
+    i = np.flatnonzero(ratio < SHORT_TIME)
+    lost, spread = np.zeros(len(i)), sigma[i] * np.sqrt(horizon[i])
+    for k in IMAGES:
+        for first in (target[i], stop[i]):
+            x = first + 2 * k * width[i]
+            lost += 2 * np.sign(x) * _near_tails(np.abs(x) / spread)
+    out[i] = 1 - lost
+    return np.clip(out, 0.0, 1.0)
 
-    def mode(i: Column) -> Column:
-        n = 2 * i + 1
-        return 4 / (n * math.pi) * F.sin(n * math.pi * stop / width) * F.exp(-n * n * math.pi**2 * ratio / 2)
 
-    spread = sigma * F.sqrt(horizon)
+def _near_tails(z: np.ndarray) -> np.ndarray:
+    """_tails where they count beside one."""
+    out = np.zeros(len(z))
+    i = np.flatnonzero(z <= 9)
+    out[i] = _tails(z[i])
+    return out
 
-    def image(k: Column) -> Column:
-        near = lambda x: 2 * F.signum(x) * _tail(F.abs(x) / spread)
-        return near(target + 2 * k * width) + near(stop + 2 * k * width)
 
-    found = F.when(ratio < SHORT_TIME, 1 - _sum(-_images(ratio), _images(ratio), image)).otherwise(_sum(F.lit(0), F.floor(_modes(ratio) / 2), mode))
-    return F.when(_sound(stop, target, horizon, sigma), F.greatest(F.lit(0.0), F.least(F.lit(1.0), found)))
+def survival(stop: Column, target: Column, horizon: Column, sigma: Column) -> Column:
+    """Chance that a driftless walk meets neither barrier by the deadline."""
+    return F.when(_sound(stop, target, horizon, sigma), _columns(_survival)(stop, target, horizon, sigma))
+
+
+def _exit_time(stop: np.ndarray, target: np.ndarray, horizon: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    width, variance = stop + target, sigma * sigma
+    ratio = variance * horizon / width**2
+    total = np.zeros(len(stop))
+    for n, i in _late(ratio, odd=True):
+        total[i] += 4 / (n * math.pi) * np.sin(n * math.pi * stop[i] / width[i]) * np.exp(-n * n * math.pi**2 * ratio[i] / 2) * 2 * width[i] ** 2 / (n * n * math.pi**2 * variance[i])
+    out = stop * target / variance - total
+    i = np.flatnonzero(ratio < SHORT_TIME)
+    met, spread = np.zeros(len(i)), sigma[i] * np.sqrt(horizon[i])
+    for k in IMAGES:
+        for first in (target[i], stop[i]):
+            # the integral over the horizon of the chance that a level x away was met, with x's sign
+            x = first + 2 * k * width[i]
+            z = np.abs(x) / spread
+            met += np.sign(x) * 2 * horizon[i] * ((1 + z * z) * _near_tails(z) - z * np.exp(-z * z / 2) / math.sqrt(2 * math.pi))
+    out[i] = horizon[i] - met
+    return out
 
 
 def exit_time(stop: Column, target: Column, horizon: Column, sigma: Column) -> Column:
     """Mean time until a driftless walk meets a barrier or the deadline comes."""
-    width, variance, ratio = stop + target, sigma * sigma, _ratio(stop, target, horizon, sigma)
-
-    def mode(i: Column) -> Column:
-        n = 2 * i + 1
-        return 4 / (n * math.pi) * F.sin(n * math.pi * stop / width) * F.exp(-n * n * math.pi**2 * ratio / 2) * 2 * width * width / (n * n * math.pi**2 * variance)
-
-    late = stop * target / variance - _sum(F.lit(0), F.floor(_modes(ratio) / 2), mode)
-    spread = sigma * F.sqrt(horizon)
-
-    def met(x: Column) -> Column:
-        """Integral over the horizon of the chance that a level x away was met, with x's sign."""
-        z = F.abs(x) / spread
-        return F.signum(x) * 2 * horizon * ((1 + z * z) * _tail(z) - z * F.exp(-z * z / 2) / math.sqrt(2 * math.pi))
-
-    early = horizon - _sum(-_images(ratio), _images(ratio), lambda k: met(target + 2 * k * width) + met(stop + 2 * k * width))
-    return F.when(_sound(stop, target, horizon, sigma), F.when(ratio < SHORT_TIME, early).otherwise(late))
+    return F.when(_sound(stop, target, horizon, sigma), _columns(_exit_time)(stop, target, horizon, sigma))
 
 
 def outcome(stop: Column, target: Column, horizon: Column, sigma: Column) -> Column:
@@ -150,18 +172,20 @@ def scaling_exponent(short: Column, long: Column, horizon: Column) -> Column:
     return F.when((short > 0) & (long > 0) & (horizon > 1), F.log(long / short) / F.log(horizon))
 
 
+def _scaled_time(stop: np.ndarray, target: np.ndarray, horizon: np.ndarray, sigma: np.ndarray, exponent: np.ndarray) -> np.ndarray:
+    """Survival's integral over real time by Simpson's rule."""
+    step, total = horizon / QUADRATURE, np.ones(len(stop))
+    for i in range(1, QUADRATURE + 1):
+        weight = 1.0 if i == QUADRATURE else 4.0 if i % 2 == 1 else 2.0
+        total += weight * _survival(stop, target, (i * step) ** (2 * exponent), sigma)
+    return total * step / 3
+
+
 def scaled_outcome(stop: Column, target: Column, horizon: Column, sigma: Column, exponent: Column) -> Column:
     """outcome where deviations grow with a power of time: chances and deviation at the changed time, the mean time in real
     time, as an integral of survival by Simpson's rule."""
-    changed = F.pow(horizon, 2 * exponent)
-    made = outcome(stop, target, changed, sigma)
-    step = horizon / QUADRATURE
-
-    def weighed(i: Column) -> Column:
-        weight = F.when((i == 0) | (i == QUADRATURE), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
-        return weight * F.when(i == 0, 1.0).otherwise(survival(stop, target, F.pow(i * step, 2 * exponent), sigma))
-
-    time = _sum(F.lit(0), F.lit(QUADRATURE), weighed) * step / 3
+    made = outcome(stop, target, F.pow(horizon, 2 * exponent), sigma)
+    time = F.when(_sound(stop, target, horizon, sigma), _columns(_scaled_time)(stop, target, horizon, sigma, exponent))
     return F.when((exponent > 0) & (exponent < 1), made.withField("time", time))
 
 

@@ -139,8 +139,9 @@ forms("backtest_length", {"years": (lambda q, k, p: cf.minimum_backtest(q, k / 4
 
 
 def walls(spark, sf_dir):
-    """A stop a, a target b, a deadline t, a drift m and an exponent h of each part, a unit deviation."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    """A stop a, a target b, a deadline t, a drift m and an exponent h of each part, a unit deviation. What is made of a part
+    takes far longer than to read it, so parts are dealt to as many tasks as a shuffle has."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_retailprice").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     key = F.col("p_partkey")
     return p.select(
         "p_partkey", (1.0 + F.col("p_size") % 9).alias("a"), (1.0 + key % 13).alias("b"), (F.pow(F.col("p_retailprice") % 50 + 1, 2) / 20).alias("t"), ((key % 7 - 3) / 50).alias("m"), (0.35 + key % 4 / 10).alias("h")
