@@ -308,7 +308,7 @@ def test_horizon_series_meet(spark):
 
 
 #: Queries whose series are long for each part.
-DEALT = ["horizon_scaled", "double_barrier"]
+DEALT = ["horizon_scaled", "double_barrier", "horizon_outcome"]
 
 
 @pytest.mark.parametrize("name", DEALT)
