@@ -55,3 +55,21 @@ def test_simulated_nulls(spark):
     assert row["ruin"] == pytest.approx(2 * (1 - 0.5 * (1 + math.erf(1.45 / math.sqrt(2)))), abs=0.06)
     assert registry.queries()["trade_paths"](spark, SMALL).count() == 300
     assert registry.queries()["best_of_nothing"](spark, SMALL).first()["upper"] > 0
+
+
+def test_levels_of_results_are_numbered_not_held(spark):
+    """Levels of all results as a percentile of the table gives them, to the last bit, without one task that holds every value."""
+    import inspect
+
+    from pyspark.sql import functions as F
+
+    from tideframe.operators import inputs as I
+    from tideframe.operators.quantiles import whole_quantiles
+
+    levels = [0.0, 0.13, 0.5, 0.995, 1.0] + [(k + 0.5) / 100 for k in range(100)]
+    rows = I.trades(spark, SMALL)
+    plain = rows.agg(F.percentile("r", F.array(*[F.lit(x) for x in levels])).alias("q")).first()["q"]
+    assert whole_quantiles(rows, "pnl4", levels, 1e6).first()["quantiles"] == plain
+    few = spark.createDataFrame([(-3,), (None,), (-3,), (20,), (7,)], "v long")
+    assert whole_quantiles(few, "v", [0.0, 0.5, 0.75, 1.0]).first()["quantiles"] == [-3.0, 2.0, 10.25, 20.0]
+    assert "percentile" not in inspect.getsource(registry.queries()["trade_paths"])
