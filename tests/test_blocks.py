@@ -165,3 +165,73 @@ def test_traversal_times(spark):
     mean = 5.01 / 5
     time = {b: (2 / 0.5) ** 2 / min(mean / v, 16) if v else 1.0 for b, v in {0: 4.0, 1: 1.0, 2: 0, 3: 0, 4: 0.01}.items()}
     assert got == pytest.approx({(4, 0): sum(time.values()), (1, 3): time[1] + 2, (-5, 0): time[0], (7, 9): 0.0})
+
+
+def test_running_sums_in_an_order_of_columns(spark, monkeypatch):
+    """Sums, maxima and totals over blocks of any width as a plain loop gives them; null keys, order columns and values too."""
+    rng = random.Random(8)
+    rows = [(rng.choice("ab") if i % 40 else None, rng.randrange(4) if i % 9 else None, rng.randrange(60) if i % 7 else None, i, rng.randint(-9, 9) if i % 5 else None) for i in range(500)]
+    table = spark.createDataFrame(rows, "k string, day long, k1 long, k2 long, v long")
+    low = lambda x: (x is not None, x or 0)
+    want = {}
+    for key in ("a", "b", None):
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (low(r[1]), low(r[2]), r[3]))
+        total, top = 0, None
+        for i, r in enumerate(mine):
+            total += r[4] or 0
+            top = total if top is None else max(top, total)
+            want[r[3]] = (total, i + 1, top, len(mine))
+    for bits in (0, 3, 20):
+        monkeypatch.setattr(blocks, "PART_BITS", bits)
+        got = blocks.running_in_order(table, ["k"], ["day", "k1", "k2"], {"s": F.col("v"), "i": F.lit(1)}, {"top": "s"}, {"n": F.lit(1)})
+        assert {r["k2"]: (r["s"], r["i"], r["top"], r["n"]) for r in got.collect()} == want
+    for order in (["k2"], ["day", "k2"]):
+        got = blocks.running_in_order(table.where("k = 'a'"), ["k"], order, {"i": F.lit(1)}).orderBy("i").collect()
+        assert [r["i"] for r in got] == list(range(1, len(got) + 1)) and all(low(p[order[0]]) <= low(q[order[0]]) for p, q in zip(got, got[1:]))
+
+
+def test_runs_and_lags_across_blocks(spark, monkeypatch):
+    from tideframe.operators import stats
+
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.randrange(5), rng.randrange(50), i, rng.randint(-3, 3)) for i in range(400)]
+    table = spark.createDataFrame(rows, "k string, day long, k1 long, k2 long, v long")
+    monkeypatch.setattr(blocks, "PART_BITS", 2)
+    order = ["day", "k1", "k2"]
+    runs = {r["k"]: (r["a"], r["b"], r["runs"]) for r in stats.runs_test(table, ["k"], order, "v").collect()}
+    rho = {lag: {r["k"]: r["rho"] for r in stats.lag_correlation(table, ["k"], order, "v", lag).collect()} for lag in (1, 6)}
+    for key in "ab":
+        v = np.array([r[4] for r in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:4])])
+        up = v[v != 0] > 0
+        assert runs[key] == (up.sum(), (~up).sum(), 1 + (up[1:] != up[:-1]).sum())
+        d = v - v.mean()
+        for lag, found in rho.items():
+            assert found[key] == pytest.approx((d[lag:] * d[:-lag]).sum() / (d * d).sum())
+
+
+#: Reports over all trades of a setup, whose windows must not take a setup, or a setup and side, as one group.
+SHEETS = ["curve_sheet"]
+
+
+@pytest.mark.parametrize("name", SHEETS)
+def test_no_window_of_a_sheet_has_a_setup_as_one_group(spark, name):
+    import tideframe.queries  # noqa: F401
+    from tideframe import registry
+
+    plan = registry.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [re.sub(r"#\d+L?", "", line) for line in plan.split("\n") if re.search(r"\bWindow \[", line)]
+    assert windows
+    for line in windows:
+        # the windows with the keys alone run along heads, one row a head, or bands of distinct values, one row a value
+        assert "_head" in line or "_block" in line or "_v ASC" in line or "_s_" in line, line
+
+
+def test_no_join_of_the_risk_sheet_has_a_setup_as_one_group(spark):
+    """Values of a setup meet its levels in several tasks."""
+    import tideframe.queries  # noqa: F401
+    from tideframe import registry
+
+    plan = registry.queries()["risk_sheet"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [re.sub(r"#\d+L?", "", line) for line in plan.split("\n") if re.search(r"\bJoin Inner", line)]
+    # rows meet in salted joins; those by setup alone, or by setup and level, are of aggregates
+    assert sum("_salt" in line for line in joins) >= 2, joins

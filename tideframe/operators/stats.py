@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .quantiles import exact_quantiles
+from .blocks import in_order_blocks, in_order_parts, own, running_in_order
+from .quantiles import exact_quantiles, join_values
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -60,23 +61,39 @@ def streaks(trades: DataFrame, keys: list[str], order: list[str], value: str) ->
 
 def runs_test(trades: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Number of runs of wins and losses against what chance gives (zeros left out)."""
-    rows = trades.where(F.col(value) != 0)
-    w = W.partitionBy(*keys).orderBy(*order)
-    up = F.col(value) > 0
-    rows = rows.withColumn("up", up).withColumn("new", F.coalesce(F.lag("up").over(w) != F.col("up"), F.lit(True)))
-    made = rows.groupBy(*keys).agg(F.count_if("up").alias("a"), F.count_if(~F.col("up")).alias("b"), F.count_if("new").alias("runs"))
+    rows = in_order_parts(trades.where(F.col(value) != 0).select(*keys, *order, (F.col(value) > 0).alias("up")), order)
+    w = W.partitionBy(*keys, "_head", "_part").orderBy(*order)
+    rows = rows.withColumns({"_before": F.lag("up").over(w), "_after": F.lead("up").over(w)})
+    end = lambda beside: F.max(F.when(F.col(beside).isNull(), F.col("up")))
+    made = rows.groupBy(*keys, "_head", "_part").agg(
+        F.count_if("up").alias("a"), F.count_if(~F.col("up")).alias("b"), F.count_if(F.col("_before") != F.col("up")).alias("turns"), end("_before").alias("first"), end("_after").alias("last")
+    )
+    # blocks follow each other along the parts of a head, heads along their keys
+    for group, by in (([*keys, "_head"], "_part"), (keys, "_head")):
+        turned = F.coalesce((F.lag("last").over(W.partitionBy(*group).orderBy(by)) != F.col("first")).cast("int"), F.lit(0))
+        made = made.withColumn("turns", F.col("turns") + turned).groupBy(*group).agg(
+            F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("turns").alias("turns"), F.min_by("first", F.struct(by)).alias("first"), F.max_by("last", F.struct(by)).alias("last")
+        )
+    made = made.withColumn("runs", F.col("turns") + 1)
     n = F.col("a") + F.col("b")
     mean = 1 + ratio(2.0 * F.col("a") * F.col("b"), n)
     spread = ratio((mean - 1) * (mean - 2), n - 1)
     return made.select(*keys, "a", "b", "runs", mean.alias("expected"), F.when(spread > 0, (F.col("runs") - mean) / F.sqrt(spread)).alias("z"))
 
 
+def lagged_gaps(rows: DataFrame, keys: list[str], order: list[str], value: str, lag: int = 1) -> DataFrame:
+    """keys, the value, its number among its keys' rows (_i of _n), its deviation from their mean (_d) and the one a lag before
+    (_before). Rows are numbered first; then windows run in blocks of numbers, so no key is one group."""
+    x = F.col(value)
+    made = running_in_order(rows.select(*dict.fromkeys([*keys, *order, value])), keys, order, {"_i": F.lit(1)}, whole={"_n": F.lit(1), "_x": x, "_known": x.isNotNull().cast("long")})
+    made = in_order_blocks(made.select(*keys, value, "_i", "_n", (x - ratio(F.col("_x"), F.col("_known"))).alias("_d")), "_i", lag)
+    return own(made.withColumn("_before", F.lag("_d", lag).over(W.partitionBy(*keys, "_block").orderBy("_i"))))
+
+
 def lag_correlation(rows: DataFrame, keys: list[str], order: list[str], value: str, lag: int = 1) -> DataFrame:
     """Autocorrelation: products of deviations a lag apart over the sum of squares."""
-    mean = F.avg(value).over(W.partitionBy(*keys))
-    gap = rows.withColumn("d", F.col(value) - mean)
-    gap = gap.withColumn("before", F.lag("d", lag).over(W.partitionBy(*keys).orderBy(*order)))
-    return gap.groupBy(*keys).agg(ratio(F.sum(F.col("d") * F.col("before")), F.sum(F.col("d") * F.col("d"))).alias("rho"))
+    gap = lagged_gaps(rows, keys, order, value, lag)
+    return gap.groupBy(*keys).agg(ratio(F.sum(F.col("_d") * F.col("_before")), F.sum(F.col("_d") * F.col("_d"))).alias("rho"))
 
 
 def risk_sheet(trades: DataFrame, keys: list[str], r: str = "r", target: float = 0.0) -> DataFrame:
@@ -89,7 +106,9 @@ def risk_sheet(trades: DataFrame, keys: list[str], r: str = "r", target: float =
     )
     ends = exact_quantiles(trades, keys, r, [0.05, 0.95, 0.01]).select(*keys, *[F.element_at("quantiles", i).alias(q) for i, q in enumerate(("q05", "q95", "q01"), 1)])
     levels = levels.join(ends, keys)
-    tails = trades.join(levels.select(*keys, "q05"), keys).where(x <= F.col("q05")).groupBy(*keys).agg((-F.avg(x)).alias("shortfall95"))
+    counts = trades.where(x.isNotNull()).groupBy(*keys, x.cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    lowest = join_values(counts, levels.select(*keys, "q05"), keys, "_v").where(F.col("_v") <= F.col("q05"))
+    tails = lowest.groupBy(*keys).agg((-F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("shortfall95"))
     payoff = ratio(F.col("avg_win"), F.col("avg_loss"))
     z = -1.6448536269514722
     fisher = z + (z * z - 1) * F.col("skew") / 6 + (z**3 - 3 * z) * F.col("excess") / 24 - (2 * z**3 - 5 * z) * F.col("skew") * F.col("skew") / 36
@@ -169,9 +188,10 @@ def rolling_sortino(trades: DataFrame, keys: list[str], order: list[str], value:
 def curve_sheet(trades: DataFrame, keys: list[str], order: list[str], pnl4: str, day: str) -> DataFrame:
     """Figures of an equity curve (results in 1e-4, shown in units of 100): greatest drawdown, ulcer index, and the total
     over each; the result of a year of calendar days; the fit of a line; gain to pain."""
-    upto = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    rows = trades.withColumns({"_e": F.sum(pnl4).over(upto) / 1e6, "_i": F.count(F.lit(1)).over(upto).cast("double")})
-    rows = rows.withColumn("_d", F.greatest(F.lit(0.0), F.max("_e").over(upto)) - F.col("_e"))
+    rows = trades.select(*dict.fromkeys([*keys, *order, pnl4, day]))
+    rows = running_in_order(rows, keys, order, {"_sum": F.col(pnl4), "_i": F.lit(1), "_known": F.col(pnl4).isNotNull().cast("long")}, {"_top": "_sum"})
+    rows = rows.withColumns({"_e": F.when(F.col("_known") > 0, F.col("_sum") / 1e6), "_i": F.col("_i").cast("double")})
+    rows = rows.withColumn("_d", F.greatest(F.lit(0.0), F.col("_top") / 1e6) - F.col("_e"))
     x = F.col(pnl4) / 1e6
     made = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.max_by("_e", "_i").alias("total"), F.max("_d").alias("max_drawdown"), F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("ulcer"), F.avg("_d").alias("pain"),
