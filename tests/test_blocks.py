@@ -210,7 +210,7 @@ def test_runs_and_lags_across_blocks(spark, monkeypatch):
 
 
 #: Reports over all trades of a setup, whose windows must not take a setup, or a setup and side, as one group.
-SHEETS = ["curve_sheet", "metrics_sheet"]
+SHEETS = ["curve_sheet", "metrics_sheet", "validation_report"]
 
 
 @pytest.mark.parametrize("name", SHEETS)

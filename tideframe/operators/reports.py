@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normal
 from .blocks import running_sums
-from .stats import lag_correlation
+from .stats import lagged_gaps
 
 LAW = NormalDist()
 
@@ -30,12 +30,11 @@ def validation(trades: DataFrame, keys: list[str], order: list[str], value: str,
     consecutive folds with a positive mean (from 100 on). margin: the mean. A record without spread has a Sharpe ratio of 0.
     """
     x = F.col(value)
-    w = W.partitionBy(*keys)
-    ranked = trades.withColumns({"_i": F.row_number().over(w.orderBy(*order)), "_n": F.count(F.lit(1)).over(w)})
-    parts = ranked.groupBy(*keys, F.floor((F.col("_i") - 1) * folds / F.col("_n")).alias("_fold")).agg(F.avg(x).alias("_m"))
-    positive = parts.groupBy(*keys).agg(F.avg((F.col("_m") > 0).cast("double")).alias("_positive"))
+    gaps = lagged_gaps(trades, keys, order, value)
+    parts = gaps.groupBy(*keys, F.floor((F.col("_i") - 1) * folds / F.col("_n")).alias("_fold")).agg(F.avg(x).alias("_m"), F.sum(F.col("_d") * F.col("_before")).alias("_db"), F.sum(F.col("_d") * F.col("_d")).alias("_dd"))
+    told = parts.groupBy(*keys).agg(F.avg((F.col("_m") > 0).cast("double")).alias("_positive"), F.try_divide(F.sum("_db"), F.sum("_dd")).alias("rho"))
     sums = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.sum(x).alias("_total"), F.sum(x * x).alias("_squares"))
-    rows = sums.join(positive, keys).join(lag_correlation(trades, keys, order, value), keys)
+    rows = sums.join(told, keys)
     rho = F.least(F.greatest(F.coalesce("rho", F.lit(0.0)), F.lit(0.0)), F.lit(0.99))
     n, sharpe = F.col("n"), F.coalesce(F.try_divide(F.col("mean"), F.col("sd")), F.lit(0.0))
     lower = F.when(n >= 30, F.col("mean") - LAW.inv_cdf(0.975) * F.col("sd") / F.sqrt("n") * F.sqrt((1 + rho) / (1 - rho)))
