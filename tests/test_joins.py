@@ -53,3 +53,13 @@ def test_fifo_flips_against_single_units(spark):
     for r in registry.queries()["fifo_flips"](spark, SMALL).collect():
         got[r["book"], r["side"], r["entry"], r["exit"]] += r["matched"]
     assert len(want) > 1000 and got == want
+
+
+def test_overlaps_of_small_tables_are_dealt_to_tasks(spark):
+    """Every pair of many meeting intervals, from several tasks, though the tables are a few rows in one."""
+    rows = spark.createDataFrame([(k, i, i % 90, i % 90 + i % 7) for k in "abcdefgh" for i in range(40)], "k string, id long, lo long, hi long").coalesce(1)
+    other = rows.select("k", F.col("id").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    got = J.overlapping(rows, other, ["k"], "lo", "hi", "lo2", "hi2", 4)
+    plain = rows.join(other, "k").where("lo <= hi2 and lo2 <= hi")
+    assert sorted(got.select("id", "other").collect()) == sorted(plain.select("id", "other").collect())
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
