@@ -235,3 +235,38 @@ def test_no_join_of_the_risk_sheet_has_a_setup_as_one_group(spark):
     joins = [re.sub(r"#\d+L?", "", line) for line in plan.split("\n") if re.search(r"\bJoin Inner", line)]
     # rows meet in salted joins; those by setup alone, or by setup and level, are of aggregates
     assert sum("_salt" in line for line in joins) >= 2, joins
+
+
+@pytest.mark.parametrize("name", ["curve_sheet", "metrics_sheet"])
+def test_rows_of_a_curve_are_shuffled_once(spark, name):
+    """Totals of blocks and the rows that they go back to come from one shuffle of rows, which no second one follows."""
+    import tideframe.queries  # noqa: F401
+    from tideframe import registry
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = re.sub(r"#\d+L?", "", registry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning(_at, _block," in line]
+    # rows, and what comes before each block; the other side of the rows is the same shuffle again
+    assert sum("ReusedExchange" not in line for line in dealt) == 2 and sum("ReusedExchange" in line for line in dealt) == 1, dealt
+
+
+def test_quantiles_of_few_keys_tell_apart_values_in_bands_only(spark, monkeypatch):
+    from tideframe.operators import quantiles
+
+    rng = random.Random(4)
+    groups = {"one": [3.0], "ties": [7.0] * 3000 + [1.0, 9.0], "many": [rng.gauss(0, 1) for _ in range(20_000)], "few": [float(rng.randrange(5)) for _ in range(101)]}
+    table = spark.createDataFrame([(k, x) for k, v in groups.items() for x in v] + [("one", None), ("none", None)], "k string, x double")
+    levels = [0.5, 0.05, 0.0, 1.0, 0.999]
+    found = quantiles.exact_quantiles(table, ["k"], "x", levels, few=True)
+    got = {r["k"]: (r["n"], r["quantiles"]) for r in found.collect()}
+    assert got == {k: (len(v), pytest.approx(np.quantile(v, levels).tolist(), abs=1e-12)) for k, v in groups.items()}
+    plan = re.sub(r"#\d+L?", "", found._jdf.queryExecution().optimizedPlan().toString())
+    assert not any("Aggregate [k, _v]," in line for line in plan.split("\n"))
+    assert quantiles.few_keys(table, ["k"]) and quantiles.few_keys(table, [])
+    monkeypatch.setattr(quantiles, "MOST_KEYS", 4)
+    assert not quantiles.few_keys(table, ["k"])

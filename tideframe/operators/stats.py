@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .blocks import in_order_blocks, in_order_parts, own, running_in_order
-from .quantiles import exact_quantiles, join_values
+from .quantiles import exact_quantiles, few_keys, join_values, valued
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -104,10 +104,10 @@ def risk_sheet(trades: DataFrame, keys: list[str], r: str = "r", target: float =
         F.sqrt(F.avg(F.pow(F.least(x - target, F.lit(0.0)), 2))).alias("downside"), F.sum(F.greatest(x - target, F.lit(0.0))).alias("above"), F.sum(F.greatest(target - x, F.lit(0.0))).alias("below"),
         F.avg(F.when(x > 0, x)).alias("avg_win"), F.avg(F.when(x < 0, -x)).alias("avg_loss"), ratio(F.count_if(x > 0).cast("double"), F.count_if(x != 0)).alias("win_rate"),
     )
-    ends = exact_quantiles(trades, keys, r, [0.05, 0.95, 0.01]).select(*keys, *[F.element_at("quantiles", i).alias(q) for i, q in enumerate(("q05", "q95", "q01"), 1)])
+    few = few_keys(trades, keys)
+    ends = exact_quantiles(trades, keys, r, [0.05, 0.95, 0.01], few=few).select(*keys, *[F.element_at("quantiles", i).alias(q) for i, q in enumerate(("q05", "q95", "q01"), 1)])
     levels = levels.join(ends, keys)
-    counts = trades.where(x.isNotNull()).groupBy(*keys, x.cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    lowest = join_values(counts, levels.select(*keys, "q05"), keys, "_v").where(F.col("_v") <= F.col("q05"))
+    lowest = join_values(valued(trades, keys, r, few), ends.select(*keys, "q05"), keys, "_v", few).where(F.col("_v") <= F.col("q05"))
     tails = lowest.groupBy(*keys).agg((-F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("shortfall95"))
     payoff = ratio(F.col("avg_win"), F.col("avg_loss"))
     z = -1.6448536269514722

@@ -15,11 +15,11 @@ from ..operators import profiles as P
 from ..operators import reports as R
 from ..operators import series as S
 from ..operators import stats
-from ..operators.quantiles import exact_quantiles
+from ..operators.quantiles import exact_quantiles, few_keys
 from ..registry import register
 from .common import r6, r6_all, r6_sql
 from .profile_queries import CHAIN, chain
-from .trade_queries import LEVELS, SEQ, SEQ_SQL, T
+from .trade_queries import LEVELS, SEQ, SEQ_SQL, T, curve, risk
 
 Z95, Z80 = NormalDist().inv_cdf(0.95), NormalDist().inv_cdf(0.8)
 NEEDED = ((Z95 + Z80) / 0.1) ** 2
@@ -106,7 +106,7 @@ def quantile_normal(spark, sf_dir):
     """Exact quantiles of each setup's results beside a normal law's."""
     rows = I.trades(spark, sf_dir)
     laws = rows.groupBy("setup").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"))
-    found = exact_quantiles(rows, ["setup"], "pnl4", LEVELS).select("setup", F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in LEVELS]).alias("level"), F.col("quantiles").alias("value"))).alias("x"))
+    found = exact_quantiles(rows, ["setup"], "pnl4", LEVELS, few=few_keys(rows, ["setup"])).select("setup", F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in LEVELS]).alias("level"), F.col("quantiles").alias("value"))).alias("x"))
     return found.join(laws, "setup").select("setup", F.col("x.level").alias("level"), (F.round("x.value", 2) / 1e6).alias("value"), r6(F.col("m") + F.col("s") * normal.quantile(F.col("x.level")), "normal"))
 
 
@@ -162,16 +162,15 @@ def _sheet_sql() -> str:
 @register("metrics_sheet", _sheet_sql())
 def metrics_sheet(spark, sf_dir):
     """One sheet of a setup's figures: mean and spread, ratios, wins, risk, curve and runs."""
-    from ..registry import queries
-
-    rows, found = I.trades(spark, sf_dir), queries()
+    # trades without a setup meet no other sheet's row
+    rows = I.trades(spark, sf_dir).where("setup IS NOT NULL")
     n, r = F.count(F.lit(1)), F.col("r")
     sharpe = F.avg(r) / F.stddev_samp(r)
     basic = rows.groupBy("setup").agg(
         r6(F.avg(r), "mean"), r6(F.stddev_samp(r), "sd"), r6(sharpe, "sharpe"), r6(sharpe * F.sqrt(n), "t"), r6(F.count_if(r > 0) / F.count_if(r != 0), "win_rate"), r6(F.sum(F.greatest(r, F.lit(0.0))) / F.sum(F.greatest(-r, F.lit(0.0))), "profit_factor")
     )
     run = stats.runs_test(rows, ["setup"], SEQ, "pnl4").select("setup", "runs", r6(F.col("expected"), "runs_expected"), r6(F.col("z"), "runs_z"))
-    return basic.join(run, "setup").join(found["risk_sheet"](spark, sf_dir), "setup").join(found["curve_sheet"](spark, sf_dir).drop("n"), "setup")
+    return basic.join(run, "setup").join(risk(rows), "setup").join(curve(rows).drop("n"), "setup")
 
 
 @register("tpo_value_area")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import inputs as I
 from ..operators import joins as J
 from ..operators import stats as S
-from ..operators.quantiles import exact_quantiles
+from ..operators.quantiles import exact_quantiles, few_keys
 from ..registry import register
 from .common import r6, r6_all, r6_sql
 
@@ -102,7 +102,11 @@ SELECT setup, n, {r6_sql('downside', 'downside')}, {r6_sql('mean / downside', 's
  {r6_sql(f'-(mean + (({Z}) + (({Z}) * ({Z}) - 1) * skew / 6 + (pow({Z}, 3) - 3 * ({Z})) * excess / 24 - (2 * pow({Z}, 3) - 5 * ({Z})) * skew * skew / 36) * sd)', 'var95_fisher')}, {r6_sql('sf', 'shortfall95')} FROM lv JOIN tl USING (setup)""",
 )
 def risk_sheet(spark, sf_dir):
-    return r6_all(S.risk_sheet(I.trades(spark, sf_dir), ["setup"]), *RISK)
+    return risk(I.trades(spark, sf_dir))
+
+
+def risk(trades):
+    return r6_all(S.risk_sheet(trades, ["setup"]), *RISK)
 
 
 LEVELS = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -112,7 +116,8 @@ LEVELS = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 def quantile_table(spark, sf_dir):
     """Quantiles of exact results in 1e-4: at levels of hundredths they have two digits, so they are rounded once, exactly."""
     levels = F.array(*[F.lit(q) for q in LEVELS])
-    made = exact_quantiles(I.trades(spark, sf_dir), ["setup"], "pnl4", LEVELS, "q")
+    rows = I.trades(spark, sf_dir)
+    made = exact_quantiles(rows, ["setup"], "pnl4", LEVELS, "q", few=few_keys(rows, ["setup"]))
     return made.select("setup", F.explode(F.arrays_zip(levels.alias("level"), F.col("q").alias("value"))).alias("x")).select("setup", F.col("x.level").alias("level"), (F.round("x.value", 2) / 1e6).alias("value"))
 
 
@@ -294,5 +299,9 @@ SELECT setup, n, {r6_sql('mdd', 'max_drawdown', 4)}, {r6_sql('ulcer', 'ulcer', 4
 )
 def curve_sheet(spark, sf_dir):
     """Figures of each setup's equity curve: drawdown, ulcer index, recovery, yearly result, Calmar, Martin and pain ratios."""
-    made = S.curve_sheet(I.trades(spark, sf_dir), ["setup"], SEQ, "pnl4", "day")
+    return curve(I.trades(spark, sf_dir))
+
+
+def curve(trades):
+    made = S.curve_sheet(trades, ["setup"], SEQ, "pnl4", "day")
     return r6_all(made, "recovery", "calmar", "martin", "pain_ratio", "straightness", "gain_to_pain").withColumns({"max_drawdown": F.round("max_drawdown", 4), "ulcer": F.round("ulcer", 4), "yearly": F.round("yearly", 3)})
