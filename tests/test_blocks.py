@@ -270,3 +270,20 @@ def test_quantiles_of_few_keys_tell_apart_values_in_bands_only(spark, monkeypatc
     assert quantiles.few_keys(table, ["k"]) and quantiles.few_keys(table, [])
     monkeypatch.setattr(quantiles, "MOST_KEYS", 4)
     assert not quantiles.few_keys(table, ["k"])
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_quantiles_are_exact_where_bounds_differ_by_run(spark, monkeypatch, few):
+    """Bounds of a sketch depend on the order in which its parts arrive; here each run of one gives wider bands of its own."""
+    from tideframe.operators import quantiles
+
+    rng = random.Random(5)
+    groups = {k: [round(rng.gauss(0, 1), 4) for _ in range(4000)] for k in "abcdef"}
+    table = spark.createDataFrame([(k, x) for k, v in groups.items() for x in v], "k string, x double")
+    sketch, wider = F.percentile_approx, F.udf(lambda ends: [x + random.SystemRandom().random() / 5 * (-1, 1)[j % 2] for j, x in enumerate(ends)], "array<double>")
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda *a: wider(sketch(*a)))
+    levels = [0.05, 0.25, 0.5, 0.95]
+    got = {r["k"]: (r["n"], r["quantiles"]) for r in quantiles.exact_quantiles(table, ["k"], "x", levels, few=few).collect()}
+    assert got == {k: (len(v), pytest.approx(np.quantile(v, levels).tolist(), abs=1e-12)) for k, v in groups.items()}
+    every = quantiles.exact_quantiles(table, [], "x", levels).first()
+    assert every["quantiles"] == pytest.approx(np.quantile([x for v in groups.values() for x in v], levels).tolist(), abs=1e-12)
