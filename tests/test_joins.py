@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tideframe import registry
@@ -63,3 +64,30 @@ def test_overlaps_of_small_tables_are_dealt_to_tasks(spark):
     plain = rows.join(other, "k").where("lo <= hi2 and lo2 <= hi")
     assert sorted(got.select("id", "other").collect()) == sorted(plain.select("id", "other").collect())
     assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+@pytest.mark.parametrize("most", [3, 1024])
+def test_overlaps_of_alike_intervals_against_a_plain_join(spark, monkeypatch, most):
+    """Lists of rows of one interval lose no pair and add none: cut lists, copies, nulls, intervals that end before they begin."""
+    monkeypatch.setattr(J, "MOST_ALIKE", most)
+    rng = random.Random(3)
+    draw = lambda n: [(rng.choice(["a", "b", None]), i // 2, x := rng.choice([None, *range(-12, 12)]), rng.choice([None, *[x + d for d in (-2, 0, 0, 1, 5, 9)]] if x is not None else [1])) for i in range(n)]
+    rows = spark.createDataFrame([*draw(250), *[("a", 900 + i, 3, 4) for i in range(10)]], "k string, id long, lo long, hi long")
+    other = spark.createDataFrame([*draw(250), *[("a", 900 + i, 4, 4) for i in range(10)]], "k string, other long, lo2 long, hi2 long")
+    got = J.overlapping(rows, other, ["k"], "lo", "hi", "lo2", "hi2", 4)
+    columns = ["k", "id", "lo", "hi", "other", "lo2", "hi2"]
+    plain = rows.join(other, "k").where("lo <= hi2 and lo2 <= hi").select(columns).collect()
+    assert len(plain) > 1000 and sorted(got.select(columns).collect()) == sorted(plain)
+
+
+def test_written_overlaps_of_alike_intervals_are_small(spark, tmp_path):
+    """Written pairs of many rows of few intervals take far less than a number each."""
+    rows = spark.range(6000).select((F.col("id") % 2).alias("k"), F.xxhash64("id").alias("id"), (F.col("id") % 30).alias("lo"), (F.col("id") % 30 + F.col("id") % 4).alias("hi"))
+    other = rows.select("k", F.col("id").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    J.overlapping(rows, other, ["k"], "lo", "hi", "lo2", "hi2", 8).select("id", "other").write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs")).count()
+    plain = rows.join(other, "k").where("lo <= hi2 and lo2 <= hi").count()
+    assert pairs == plain > 1_000_000
+    written = sum(f.stat().st_size for f in (tmp_path / "pairs").rglob("*.parquet"))
+    print("bytes a pair", written / pairs)
+    assert written < pairs // 4
